@@ -1,0 +1 @@
+"""Streaming of the segmentation engine."""
