@@ -44,8 +44,8 @@ FOLDS = 16
 BUCKETS = 48
 #: Cells per doubling in the histogram of held-out events.
 CELLS = 4
-RANGE_TOKENS = 6_000_000
-UNIT_BYTES = 12 << 20
+RANGE_TOKENS = 3_000_000
+UNIT_BYTES = 4 << 20
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
 
@@ -66,8 +66,9 @@ class Vocabulary:
     def classes(self, h: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.zeros(len(h), np.int64)
+        h, back = np.unique(h, return_inverse=True)  # sorted probes keep to the cache
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.rank[at], self.rare)
+        return np.where(self.words[at] == h, self.rank[at], self.rare)[back]
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -88,6 +89,24 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(row), np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each occurs."""
+    key = np.sort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    return key[first], np.diff(np.append(first, len(key)))
+
+
+def _counted(key: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their occurrences, and those in held-out texts."""
+    kinds, n = _runs(key)
+    some, m = _runs(key[held])
+    own = np.zeros(len(kinds), np.int64)
+    own[np.searchsorted(kinds, some)] = m
+    return kinds, n, own
+
+
 def _sums(key: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
     """Distinct keys and the sums of each weight."""
     key, at = np.unique(key, return_inverse=True)
@@ -100,7 +119,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, h, counts in _units(batches):
             held = np.repeat(batch.column("held").to_numpy(zero_copy_only=False), counts)
-            key, n, m = _sums(h, np.ones(len(h)), held)
+            key, n, m = _counted(h, held)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(m)], names=["w", "n", "held"])
 
     rows = docs.filter("learn").select("text", "held").mapInArrow(run, "w long, n long, held long")
@@ -168,9 +187,9 @@ def pair_statistics(docs: DataFrame, voc: Vocabulary, ranges: int) -> DataFrame:
             c = voc.classes(h)
             key = (_contexts(c, counts, end) << _SHIFT) | c
             held = np.repeat(batch.column("held").to_numpy(zero_copy_only=False), counts)
-            key, n, m = _sums(key, np.ones(len(key)), held)
+            key, n, m = _counted(key, held)
             part = _range_of(key, ranges)
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.uint16 if ranges < 1 << 16 else np.int64), kind="stable")
             edges = np.searchsorted(part[order], np.arange(ranges + 1))
             used = [(p, order[edges[p] : edges[p + 1]]) for p in range(ranges) if edges[p] < edges[p + 1]]
             blobs = [b"".join((_planes(np.diff(key[i] >> _SHIFT, prepend=0)), _planes(key[i] & _LOW), _planes(n[i]), _planes(m[i]))) for _, i in used]
@@ -291,14 +310,12 @@ def scores(docs: DataFrame, learn: str = "learn") -> DataFrame:
             c = voc.classes(h)
             v, row = _contexts(c, counts, end), np.repeat(np.arange(len(counts)), counts)
             far = (v >= limit) | (c >= limit)
-            key, row = (v[far] << _SHIFT) | c[far], row[far]
+            bits = np.int64(max(1, len(counts).bit_length()))  # 45 bits of a pair and those of a batch's row fit one sort key
+            both, m = _runs((((v[far] << _SHIFT) | c[far]) << bits) | row[far])
+            key, row = both >> bits, both & ((np.int64(1) << bits) - 1)
             part = _range_of(key, ranges)
-            order = np.lexsort((row, key, part))
-            key, row, part = key[order], row[order], part[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-            m = np.diff(np.append(np.flatnonzero(new), len(key)))
-            key, row, part = key[new], row[new], part[new]
+            order = np.argsort(part.astype(np.uint16 if ranges < 1 << 16 else np.int64), kind="stable")
+            key, row, m, part = key[order], row[order], m[order], part[order]
             edges = np.searchsorted(part, np.arange(ranges + 1))
             ids, learn = batch.column("doc_id").to_numpy(), batch.column("learn").to_numpy(zero_copy_only=False)
             out: dict[str, list] = {"p": [], "ids": [], "learn": [], "blob": []}
@@ -316,13 +333,14 @@ def scores(docs: DataFrame, learn: str = "learn") -> DataFrame:
     def score_range(table: pa.Table) -> pa.Table:
         voc, weights, _ = shared.value
         keys, docs_of, many, ids, learn, at = [], [], [], [], [], 0
-        for own, bits, b in zip(table["ids"].to_pylist(), table["learn"].to_pylist(), table["blob"].to_pylist(), strict=True):
+        for i in range(table.num_rows):
+            own, bits, b = table["ids"][i].values.to_numpy(), table["learn"][i].as_py(), table["blob"][i].as_py()
             q = len(b) // 4
             dv, w, local, m = (_unplane(b[i * q : (i + 1) * q]) for i in range(4))
             keys.append((np.cumsum(dv) << _SHIFT) | w)
             docs_of.append((local + at).astype(np.int32))
             many.append(m.astype(np.int32))
-            ids.append(np.array(own, np.int64))
+            ids.append(own)
             learn.append(np.unpackbits(np.frombuffer(bits, np.uint8))[: len(own)].astype(bool))
             at += len(own)
         key, doc, m, ids, learn = (np.concatenate(x) for x in (keys, docs_of, many, ids, learn))

@@ -44,6 +44,9 @@ PERCENT = 75
 KEYS = 48
 HEAVY = 256
 HEAVY_SHARE = 0.4
+#: Further star passes, over the open buckets of more than STAR_SIZE members, with other pivots.
+STAR_ROUNDS = 3
+STAR_SIZE = 12
 TILE = 1024
 MAX_BITS = 1 << 14
 _SIGN = np.uint64(1 << 63)
@@ -221,6 +224,13 @@ def _admitted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
+def _open(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, size) of the buckets that hold more than one group."""
+    named = cut(keyed.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
+    return cut(named.join(mixed, "key"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -235,10 +245,20 @@ def groups(docs: DataFrame) -> DataFrame:
     links = cut(_verify(cut(_admitted(star, reps)), docs))
     release(spark)
     labels = components(links)
-    named = keyed.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    named = cut(named)
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
-    open_rows = cut(named.join(mixed, "key"))
+    open_rows = _open(keyed, labels)
+    for _ in range(STAR_ROUNDS):
+        large = open_rows.filter(F.col("size") > STAR_SIZE)
+        if large.isEmpty():
+            break
+        pivots = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("o"), F.col("node").alias("pivot"), F.col("label").alias("own"))).alias("p")).select("key", "p.pivot", "p.own")
+        star = large.join(pivots, "key").filter("label != own").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        more = cut(_verify(cut(_admitted(star, reps)), docs))
+        release(spark)
+        if more.isEmpty():
+            break
+        links = links.unionAll(more)
+        labels = components(links)
+        open_rows = _open(keyed, labels)
     heavy = open_rows.filter(F.col("size") > HEAVY).groupBy("node").agg(F.count("*").alias("hard"))
     heavy = heavy.join(reps.select("node", F.size("keys").alias("all")), "node").filter(F.col("hard") > HEAVY_SHARE * F.col("all")).select("node")
     light = open_rows.filter(F.col("size") <= HEAVY).select("key", "node", "label", F.lit(0).alias("tile"), F.lit(-1).alias("side"))

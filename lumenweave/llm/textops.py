@@ -25,7 +25,8 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-BLOCK_BYTES = 1 << 21
+#: Bytes handled at once: the 64-bit work arrays of a block then stay in cache.
+BLOCK_BYTES = 1 << 19
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
