@@ -113,30 +113,42 @@ def _can_link(a: np.ndarray, b: np.ndarray, differ: np.ndarray | int = 0) -> np.
     return 100 * (a + b - differ) >= PERCENT * (a + b + differ)
 
 
-def _popcounts(sizes: np.ndarray, maps: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """popcount(map_i ^ map_j) at the width of the smaller set (size_i <= size_j <= 4/3 size_i)."""
-    width = np.array([len(m) for m in maps], np.int64)
-    out = np.zeros(len(i), np.int64)
-    for w in np.unique(width[i]):
-        own = np.flatnonzero(width[i] == w)
-        used = np.unique(np.concatenate([i[own], j[own]]))
-        folded = np.zeros((len(used), w), np.uint8)
-        for r, u in enumerate(used):
-            m = np.frombuffer(maps[u], np.uint8)
-            folded[r] = m if len(m) == w else np.bitwise_xor.reduce(m.reshape(-1, w), axis=0)
-        folded = folded.view(np.uint64)
-        a, b = np.searchsorted(used, i[own]), np.searchsorted(used, j[own])
-        for at in range(0, len(own), 1 << 15):
-            cutout = slice(at, at + (1 << 15))
-            out[own[cutout]] = np.bitwise_count(folded[a[cutout]] ^ folded[b[cutout]]).sum(1, dtype=np.int64)
-    return out
-
-
-def _admit(node: np.ndarray, sizes: np.ndarray, maps: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+class Bitmaps:
+    """Parity bitmaps of a table's rows, as matrices by width; a wider map folds to a narrower by exclusive or."""
+
+    def __init__(self, maps: list[bytes]):
+        self.maps, self.width = maps, np.array([len(m) for m in maps], np.int64)
+        self._made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row to matrix row, matrix) of the rows of width w or 2w, at width w."""
+        if w not in self._made:
+            place, parts, used = np.full(len(self.maps), -1, np.int64), [], 0
+            for wide in (w, 2 * w):
+                own = np.flatnonzero(self.width == wide)
+                m = np.frombuffer(b"".join([self.maps[i] for i in own.tolist()]), np.uint8).reshape(-1, wide // w, w)
+                parts.append(np.bitwise_xor.reduce(m, axis=1))
+                place[own] = np.arange(used, used + len(own))
+                used += len(own)
+            self._made[w] = place, np.ascontiguousarray(np.concatenate(parts)).view(np.uint64)
+        return self._made[w]
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """popcount(map_i ^ map_j) at the width of the smaller set (size_i <= size_j <= 4/3 size_i)."""
+        out, width = np.zeros(len(i), np.int64), self.width[i]
+        for w in np.unique(width):
+            own, (place, matrix) = np.flatnonzero(width == w), self.at(int(w))
+            for at in range(0, len(own), 1 << 15):
+                o = own[at : at + (1 << 15)]
+                out[o] = np.bitwise_count(matrix[place[i[o]]] ^ matrix[place[j[o]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def _admit(sizes: np.ndarray, maps: Bitmaps, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     swap = sizes[i] > sizes[j]
     a, b = np.where(swap, j, i), np.where(swap, i, j)
     ok = _can_link(sizes[a], sizes[b])
-    ok[ok] = _can_link(sizes[a[ok]], sizes[b[ok]], _popcounts(sizes, maps, a[ok], b[ok]))
+    ok[ok] = _can_link(sizes[a[ok]], sizes[b[ok]], maps.differ(a[ok], b[ok]))
     return ok
 
 
@@ -144,7 +156,7 @@ def _tile_pairs(table: pa.Table) -> pa.RecordBatch:
     """Admitted pairs of different labels inside each (key, tile) of a table sorted by key, tile, size."""
     key, tile, side = (table[c].to_numpy() for c in ("key", "tile", "side"))
     node, label, sizes = (table[c].to_numpy() for c in ("node", "label", "n"))
-    maps = table["bitmap"].to_pylist()
+    maps = Bitmaps(table["bitmap"].to_pylist())
     out, i, d = [], np.arange(len(node)), 0
     while len(i):
         d += 1
@@ -155,7 +167,7 @@ def _tile_pairs(table: pa.Table) -> pa.RecordBatch:
         test = (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j]))
         if test.any():
             a, b = i[test], j[test]
-            ok = _admit(node, sizes, maps, a, b)
+            ok = _admit(sizes, maps, a, b)
             out.append((node[a[ok]], node[b[ok]]))
     a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
     b = np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
@@ -216,9 +228,8 @@ def _admitted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         for batch in batches:
             m = batch.num_rows
             if m:
-                node = np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")])
                 sizes = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
-                ok = _admit(node, sizes, batch.column("ma").to_pylist() + batch.column("mb").to_pylist(), np.arange(m), np.arange(m, 2 * m))
+                ok = _admit(sizes, Bitmaps(batch.column("ma").to_pylist() + batch.column("mb").to_pylist()), np.arange(m), np.arange(m, 2 * m))
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return rows.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
