@@ -44,7 +44,7 @@ FOLDS = 16
 BUCKETS = 48
 #: Cells per doubling in the histogram of held-out events.
 CELLS = 4
-RANGE_TOKENS = 3_000_000
+RANGE_TOKENS = 1_500_000
 UNIT_BYTES = 4 << 20
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
@@ -272,7 +272,7 @@ def scores(docs: DataFrame, learn: str = "learn") -> DataFrame:
     n = cells["n"].to_numpy()
     weights = expectation_maximisation(cells["b"].to_numpy(), n, cells["x"].to_numpy() / n, cells["y"].to_numpy() / n, 1 / (voc.v + 1)) if len(n) else np.tile([1e-6, 0.5, 0.5], (BUCKETS, 1))
     pairs = stats.filter("kind = 1").select("a", "b").toArrow()  # at most DENSE squared
-    dense = np.zeros((DENSE, DENSE), np.int64)
+    dense = np.zeros((DENSE, DENSE), np.int64 if voc.n >= 1 << 31 else np.int32)
     key = pairs["a"].to_numpy()
     dense[key >> _SHIFT, key & _LOW] = pairs["b"].to_numpy()
     shared = spark.sparkContext.broadcast((voc, weights, dense))
@@ -345,10 +345,13 @@ def scores(docs: DataFrame, learn: str = "learn") -> DataFrame:
             at += len(own)
         key, doc, m, ids, learn = (np.concatenate(x) for x in (keys, docs_of, many, ids, learn))
         del keys, docs_of, many
-        kinds, where = np.unique(key, return_inverse=True)
-        seen = np.bincount(where, weights=np.where(learn[doc], m, 0), minlength=len(kinds))
-        log_p = _log_p(voc, weights, kinds >> _SHIFT, kinds & _LOW, seen)
-        part = np.bincount(doc, weights=m * log_p[where], minlength=len(ids))
+        order = np.argsort(key)
+        key, doc, m = key[order], doc[order], m[order]
+        del order
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        seen = np.add.reduceat(np.where(learn[doc], m, 0), first)
+        log_p = _log_p(voc, weights, key[first] >> _SHIFT, key[first] & _LOW, seen)
+        part = np.bincount(doc, weights=m * np.repeat(log_p, np.diff(np.append(first, len(key)))), minlength=len(ids))
         return pa.table({"doc_id": ids, "part": part})
 
     rows = cut(docs.select("doc_id", "text", "learn").mapInArrow(per_document, "doc_id long, learn boolean, n_tokens long, known long, base double, direct double, rare array<struct<w: long, m: int>>"))

@@ -45,10 +45,10 @@ KEYS = 48
 HEAVY = 256
 HEAVY_SHARE = 0.4
 #: Further star passes, over the open buckets of more than STAR_SIZE members, with other pivots.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 STAR_SIZE = 12
 TILE = 1024
-MAX_BITS = 1 << 14
+MAX_BITS = 1 << 15
 _SIGN = np.uint64(1 << 63)
 
 
@@ -73,8 +73,8 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 
 def bits_for(n: int) -> int:
-    """Bitmap width of a set of ``n``: the power of two at or above 2n, from 64 to MAX_BITS."""
-    return min(MAX_BITS, max(64, 1 << (2 * n - 1).bit_length()))
+    """Bitmap width of a set of ``n``: the power of two at or above 4n, from 64 to MAX_BITS."""
+    return min(MAX_BITS, max(64, 1 << (4 * n - 1).bit_length()))
 
 
 def parity_bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -248,6 +248,8 @@ def groups(docs: DataFrame) -> DataFrame:
     sketch = cut(sketches(docs))
     sets = cut(sketch.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
     reps = cut(sketch.join(sets.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"))
+    sketch = cut(sketch.select("doc_id", "n", "s1", "s2"))
+    release(spark)
     keyed = reps.select("node", F.explode("keys").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     keyed = cut(keyed.join(pivots.select("key", "pivot"), "key"))  # keys of at least two sets
