@@ -9,6 +9,7 @@ from lumenweave.functions.pixel import dot, mat_vec, sym3_cofactors
 from lumenweave.operators import linalg
 from lumenweave.operators.grid import NINE, box_sums, dilate, taps, window_moments, windows
 from lumenweave.operators.neighbors import lle_weights, nearest
+from lumenweave.plans.lineage import cut
 
 _PAIRS = [(a, b) for k, a in enumerate("rgb") for b in "rgb"[k:]]
 
@@ -170,8 +171,8 @@ def trim_edges(pixels: DataFrame, passes: int = 9, high: float = 8.11 / 256, low
     """Label expansion with radius 1..passes and falling colour thresholds; each pass reads the last."""
     for n in range(passes):
         threshold = high + (low - high) * n / max(1, passes - 1)
-        t = expand_labels(pixels, n + 1, threshold).cache()
-        pixels = pixels.drop("t").join(t, ["image_id", "i"]).select(*pixels.columns)
+        t = expand_labels(pixels, n + 1, threshold)
+        pixels = cut(pixels.drop("t").join(t, ["image_id", "i"]).select(*pixels.columns))
     return pixels.select("image_id", "i", "t")
 
 
@@ -230,9 +231,9 @@ def information_flow_system(pixels: DataFrame, known_weight: float = 100.0, to_u
     l = linalg.add(linalg.diagonal(d), linalg.scale(mix, -1.0))
     l = linalg.matmat(linalg.transpose(l), l)
     l = linalg.add(l, linalg.laplacian(local_affinity(pixels), False), linalg.scale(linalg.laplacian(color_similarity(pixels, 5, 0.05, unknown), False), similarity))
-    edge = trim_edges(pixels)
+    edge = cut(trim_edges(pixels))
     base = pixels.drop("t").join(edge, ["image_id", "i"]).select(*pixels.columns)
-    trimmed = trim_patches(base)
+    trimmed = cut(trim_patches(base))
     ku = known_to_unknown(pixels.drop("t").join(trimmed, ["image_id", "i"]).select(*pixels.columns))
     rows = pixels.select("image_id", "i", "t").join(edge.withColumnRenamed("t", "e"), ["image_id", "i"]).join(ku, ["image_id", "i"], "left")
     known = (F.col("t") > 0.8) | (F.col("t") < 0.2)

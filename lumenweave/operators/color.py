@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions.pixel import clip, dot, inv2, mat_vec, sym3_cofactors
 from lumenweave.operators.grid import FOUR, box_sums, resize_bilinear, resize_nearest, taps
+from lumenweave.plans.lineage import cut
 from lumenweave.operators.kernels import ColumnFactor, conjugate_gradients, csr
 
 RGB = ["r", "g", "b"]
@@ -62,11 +63,11 @@ def color_pass(level: DataFrame, regularization: float = 1e-5) -> DataFrame:
     return out.withColumns(values).select(*level.columns)
 
 
-def estimate_multilevel(pixels: DataFrame, w: int, h: int, min_size: int = 2, growth: float = 2.0, regularization: float = 1e-5, n_iter: int | Callable[[int, int], int] = 2, cut: Callable[[DataFrame], DataFrame] = DataFrame.cache, levels: int | None = None) -> DataFrame:
+def estimate_multilevel(pixels: DataFrame, w: int, h: int, min_size: int = 2, growth: float = 2.0, regularization: float = 1e-5, n_iter: int | Callable[[int, int], int] = 2, cut: Callable[[DataFrame], DataFrame] = cut, levels: int | None = None) -> DataFrame:
     """pixels: (image_id, i, x, y, w, h, r, g, b, alpha) of images of one size. Adds f_* and b_*.
 
     Coarse to fine with a fixed number of passes, all in DataFrames; ``cut`` ends a level's
-    lineage (DataFrame.checkpoint on a cluster). ``levels`` stops early at a coarse size.
+    lineage (a checkpoint in the shared folder). ``levels`` stops early at a coarse size.
     """
     state = None
     for a, b in level_sizes(w, h, min_size, growth)[:levels]:

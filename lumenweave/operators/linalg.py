@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenweave.plans.lineage import cut
+
 
 def add(*matrices: DataFrame) -> DataFrame:
     """Sum; duplicate coordinates add up."""
@@ -108,6 +110,6 @@ def conjugate_gradients(a: DataFrame, b: DataFrame, steps: int) -> DataFrame:
         rows = rows.select("image_id", "i", "rr", "p", (F.col("x") + F.col("alpha") * F.col("p")).alias("x"), (F.col("r") - F.col("alpha") * F.coalesce("ap", F.lit(0.0))).alias("r"))
         after = rows.groupBy("image_id").agg(F.sum(F.col("r") * F.col("r")).alias("after"))
         rows = rows.join(after, "image_id").withColumn("p", F.col("r") + F.coalesce(F.try_divide("after", "rr"), F.lit(0.0)) * F.col("p"))
-        rows = rows.cache()
+        rows = cut(rows)
         x, r, p = (rows.select("image_id", "i", F.col(c).alias("v")) for c in ("x", "r", "p"))
     return x

@@ -23,11 +23,12 @@ def nearest(queries: DataFrame, candidates: DataFrame, features: list[str], k: i
     """
     n = candidates.groupBy("image_id").count()
     blocks = n.select("image_id", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    right = candidates.select("image_id", F.col("i").alias("j"), *features).join(blocks, "image_id").withColumn("block", F.pmod(F.xxhash64("j"), F.col("blocks")).cast("int")).drop("blocks")
+    right = candidates.select("image_id", F.col("i").alias("j"), *[F.col(f).alias(f"c_{f}") for f in features]).join(blocks, "image_id").withColumn("block", F.pmod(F.xxhash64("j"), F.col("blocks")).cast("int")).drop("blocks")
     left = queries.select("image_id", F.col("i").alias("q"), *features).join(blocks, "image_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     left = left.withColumn("part", F.pmod(F.xxhash64("q", F.lit(1)), F.lit(8)).cast("int"))
     right = right.withColumn("part", F.explode(F.array(*[F.lit(p) for p in range(8)])))
     on = ["image_id", "block", "part"]
+    right = right.toDF(*[f"r_{c}" if c in on else c for c in right.columns])
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"image_id": [], "q": [], "j": [], "dist2": []})
@@ -35,7 +36,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, features: list[str], k: i
             return empty
         b = b.sort_values("j")
         ids, out = b["j"].to_numpy(), []
-        cols = [b[f].to_numpy(np.float64) for f in features]
+        cols = [b[f"c_{f}"].to_numpy(np.float64) for f in features]
         for at in range(0, len(a), 256):
             some = a.iloc[at : at + 256]
             d = reduce(np.add, [(some[f].to_numpy(np.float64)[:, None] - c[None, :]) ** 2 for f, c in zip(features, cols, strict=True)])
@@ -43,7 +44,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, features: list[str], k: i
             out.append(pd.DataFrame({"image_id": a["image_id"].iloc[0], "q": np.repeat(some["q"].to_numpy(), top.shape[1]), "j": ids[top].ravel(), "dist2": np.take_along_axis(d, top, 1).ravel()}))
         return pd.concat(out)
 
-    pairs = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(meet, "image_id long, q long, j long, dist2 double")
+    pairs = left.groupBy(*on).cogroup(right.groupBy(*[f"r_{c}" for c in on])).applyInPandas(meet, "image_id long, q long, j long, dist2 double")
     order = Window.partitionBy("image_id", "q").orderBy("dist2", "j")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("image_id", "q", "rank", "j", "dist2")
 
@@ -77,7 +78,8 @@ def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
             out.append(pd.DataFrame({"q": np.repeat(some["q"].to_numpy(), top.shape[1]), "j": ids[top].ravel(), "dist2": np.take_along_axis(d, top, 1).ravel()}))
         return pd.concat(out)
 
-    pairs = left.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(meet, "q long, j long, dist2 double")
+    rows = rows.withColumnRenamed("block", "r_block")
+    pairs = left.groupBy("block").cogroup(rows.groupBy("r_block")).applyInPandas(meet, "q long, j long, dist2 double")
     order = Window.partitionBy("q").orderBy("dist2", "j")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("q", "rank", "j", "dist2")
 
