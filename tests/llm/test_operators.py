@@ -1,0 +1,188 @@
+"""Operators against brute force, and their edge cases."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from lumenweave.llm import ann, bpe, decontam, lines, lm, neardup, secrets, sharding, suffix_dedup, toxicity
+
+SF = "/root/testdata/sf0.001"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS = "doc_id long, text string, source string, n_removed int"
+LONG = "wörd " * 3000
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, copies, a repeated row, a clashing column."""
+    rows = [(1, None, None, 1), (2, "", "s", 2), (3, "one two", "s", 3), (4, LONG, "t", 4), (5, LONG, "u", 5), (5, LONG, "u", 5), (6, "a b c d e f g h i j k l m n", None, 6)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER))
+
+
+def test_op1(spark, texts):
+    n, seen = 400, collections.Counter()
+    raw = [(d, t.encode()) for d, t in texts]
+    for _, b in raw:
+        seen.update(hashlib.md5(b[s : s + n]).digest() for s in range(len(b) - n + 1))
+    got = {r.doc_id: r for r in suffix_dedup.op1_suffix_dedup(spark, SF).collect()}
+    for d, b in raw:
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - n + 1):
+            if seen[hashlib.md5(b[s : s + n]).digest()] > 1:
+                gone[s : s + n] = True
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        assert (got[d].n_bytes, got[d].n_removed, got[d].kept_sha256) == (len(b), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+        assert got[d].n_spans == int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+
+
+def test_op1_odd(spark, odd):
+    got = {r.id: r for r in suffix_dedup.strip_repeats(odd).collect()}
+    assert set(got) == {4, 5} and bytes(got[4].kept) == b""
+    assert suffix_dedup.strip_repeats(odd.limit(0)).count() == 0
+
+
+def test_op2_odd(spark, odd):
+    got = {r.doc_id: r for r in neardup.groups(odd.select("doc_id", "text")).collect()}
+    assert (got[1].n_shingles, got[1].component_id, got[2].n_shingles, got[3].n_shingles, got[5].component_id) == (0, 1, 0, 1, 4)
+    assert neardup.groups(odd.select("doc_id", "text").limit(0)).count() == 0
+
+
+def test_op2(spark, texts):
+    sets = {}
+    for d, t in texts:
+        w = words(t)
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.op2_ngram_jaccard(spark, SF).collect()}
+    assert got == {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def test_op3_held_out_findings(spark):
+    model = secrets.fit(secrets.labelled_findings(spark, 1500))
+    held = secrets.labelled_findings(spark, 400, seed=5)
+    rows = secrets.scan(held, model, "id", "text", "path").join(held.select("id", "label"), "id").collect()
+    assert sum(r.is_secret == bool(r.label) for r in rows) / len(rows) > 0.97
+    docs = spark.createDataFrame([(1, None, None), (2, "", "x"), (3, 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b', None)], "doc_id long, text string, source string")
+    assert [r.id for r in secrets.scan(docs, model).filter("is_secret").collect()] == [3]
+
+
+def test_op4(spark, odd):
+    got = sharding.op4_bfd_shards(spark, SF).toPandas()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    size = got.groupby("shard")["size"].sum()
+    assert len(size) == 24 and size.max() - size.min() <= got["size"].max()
+    rows = sharding.assign_shards(odd).collect()
+    assert len(rows) == 7 and len({r.shard for r in rows if r.doc_id in (4, 5)}) == 1 and {r.size for r in rows if r.doc_id < 3} == {8}
+    placed = sharding.best_fit_decreasing([(k, s) for k, s in enumerate([5, 5, 4, 3, 2, 1])], 10)
+    assert len(set(placed.values())) == 2
+
+
+def test_op5(spark, texts):
+    path, pattern = bpe.default_vocabulary()
+    enc = bpe.encoding(path, pattern)
+    got = {r.doc_id: r for r in bpe.op5_byte_bpe(spark, SF).collect()}
+    for d, t in texts:
+        ids = enc.encode_ordinary(t)
+        assert (got[d].n_tokens, got[d].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert got[d].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    for t in ("x" + " " * 3000 + "y", "a\x1c b", "word, next " * 20000, "  \n\n  b", "日本語" * 5000):
+        assert bpe.encode_text(enc, pattern, t).tolist() == enc.encode_ordinary(t)
+
+
+def test_op6(spark, texts):
+    count = collections.Counter()
+    docs = [(d, [*words(t), None]) for d, t in texts]
+    for d, w in docs:
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            count.update(w)
+    n, v = sum(count.values()), len(count)
+    got = {r.doc_id: r for r in lm.op6_deleted_interpolation(spark, SF).collect()}
+    for d, w in docs:
+        base = sum(np.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (len(w), sum(x in count for x in w), n) and abs(got[d].base_score - base) < 1e-6
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_op7(spark):
+    got = collections.defaultdict(list)
+    for r in ann.op7_cross_polytope(spark, SF).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    recall = []
+    for k in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[k]
+        s[k] = -np.inf
+        recall.append(len(set(ids[np.lexsort((ids, -s))[:20]]) & set(got[ids[k]])) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_op7_odd(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [0.0, 1.0]), (6, [1.0]), (7, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.nearest(df, df.filter("vec_id < 2"), k=3).collect())
+    assert got == [(0, 1, 1, 1.0), (0, 2, 5, 0.0), (1, 1, 0, 1.0), (1, 2, 5, 0.0)]
+    assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_op8_odd(spark):
+    docs = spark.createDataFrame([(i, f"a\nsame line\nrow {i}", f"s{i}", 0) for i in range(12)] + [(20, None, "s", 0), (21, "", None, 0), (22, "same line", "s1", 0)], DOCS)
+    got = {r.doc_id: r for r in lines.strip(docs).collect()}
+    assert got[3].text == "row 3" and got[3].n_removed == 2 and got[20].text is None and got[22].text == "same line"
+    assert lines.strip(docs.limit(0)).count() == 0
+
+
+def test_op9_odd(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b c d e f g h i j k l m n o"), (3, "a b c d e f g h i j k l m n o"), (4, "zz X-y q Q é")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "A B c d e f g h i j k l m"), (2, "y Q"), (3, None), (4, ""), (6, "c d e f g h i j k l m n")], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in decontam.flagged(docs, items).collect())
+    assert got == [(1, 0, 0, []), (2, 0, 0, []), (3, 15, 14, [1, 6]), (3, 15, 14, [1, 6]), (4, 6, 2, [2])]
+    assert decontam.flagged(docs, items.limit(0)).count() == 5
+
+
+def test_op10_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in toxicity.op10_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    clean = [r.predicted for r in rows if labels[r.doc_id] == 0]
+    assert sum(clean) / len(clean) < 0.05 and all(0 <= r.score <= 1 for r in rows)
+    empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [r.toxicity for r in toxicity.score(empty, None).collect()] == [0.0, 0.0]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    assert 0 < docs.count() <= 200 and p.STAGES[-1][1](spark, docs, SF).count() == docs.count()
