@@ -43,10 +43,11 @@ def build_system(pixels: DataFrame, method: str, weight: float = 100.0, epsilon:
 
 def solve(a: DataFrame, b: DataFrame, sizes: DataFrame, preconditioner: str | None = None, rtol: float = 0.0, atol: float | None = None, max_iterations: int = MAX_ITERATIONS, threshold: float = 1e-4, regularization: float = 0.0, callback: Callable | None = None) -> DataFrame:
     """(image_id, i, x, steps, residual) of A x = b, one image per task. atol defaults to 0.1 / (w h)."""
-    sides = b.join(sizes.select("image_id", "w", "h").distinct(), "image_id")
+    sides = b.join(sizes.select("image_id", "w", "h").distinct(), "image_id").select(F.col("image_id").alias("side_id"), F.col("i").alias("at"), F.col("v").alias("b"), "w", "h")
+    a = a.toDF(*a.columns)
 
     def one(m: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        side = side.sort_values("i")
+        side = side.sort_values("at")
         n, w, h = len(side), int(side.w.iloc[0]), int(side.h.iloc[0])
         matrix = csr(m["i"].to_numpy(), m["j"].to_numpy(), m["v"].to_numpy(), n)
         precondition = None
@@ -57,10 +58,10 @@ def solve(a: DataFrame, b: DataFrame, sizes: DataFrame, preconditioner: str | No
             precondition = Multigrid(matrix, w, h).cycle
         elif preconditioner == "ichol":
             precondition = factor_with_retries(matrix, threshold, regularization).solve
-        done = conjugate_gradients(matrix, side.v.to_numpy(), rtol, max_iterations, 0.1 / (w * h) if atol is None else atol, None, precondition, callback)
-        return pd.DataFrame({"image_id": side.image_id, "i": side.i, "x": done.x, "steps": done.steps, "residual": done.residual})
+        done = conjugate_gradients(matrix, side.b.to_numpy(), rtol, max_iterations, 0.1 / (w * h) if atol is None else atol, None, precondition, callback)
+        return pd.DataFrame({"image_id": side.side_id, "i": side["at"], "x": done.x, "steps": done.steps, "residual": done.residual})
 
-    return a.groupBy("image_id").cogroup(sides.groupBy("image_id")).applyInPandas(one, "image_id long, i long, x double, steps int, residual double")
+    return a.groupBy("image_id").cogroup(sides.groupBy("side_id")).applyInPandas(one, "image_id long, i long, x double, steps int, residual double")
 
 
 def _solve_large_kernel(pixels: DataFrame, radius: int, epsilon: float, weight: float, preconditioner: str | None, rtol: float, atol: float | None, max_iterations: int) -> DataFrame:

@@ -369,9 +369,9 @@ graph AS (SELECT i, j, sum(v) AS v FROM (SELECT a AS i, b AS j, 1.0 AS v FROM ed
 _NEAREST = """SELECT q.i, s.{0} FROM q JOIN px s ON s.i = q.j"""
 _LEVEL = _PX + """,
 size AS (SELECT CASE WHEN w < h THEN 2 ELSE ceil(2.0 * w / h)::INTEGER END AS lw, CASE WHEN w < h THEN ceil(2.0 * h / w)::INTEGER ELSE 2 END AS lh FROM dims),
-at AS (SELECT (x + y * lw)::BIGINT AS i, x, y, lw, lh, (least(w - 1, floor(x * w / lw::DOUBLE)) + least(h - 1, floor(y * h / lh::DOUBLE)) * w)::BIGINT AS src
+spot AS (SELECT (x + y * lw)::BIGINT AS i, x, y, lw, lh, (least(w - 1, floor(x * w / lw::DOUBLE)) + least(h - 1, floor(y * h / lh::DOUBLE)) * w)::BIGINT AS src
   FROM dims, size, LATERAL (SELECT unnest(range(lw)) AS x) a, LATERAL (SELECT unnest(range(lh)) AS y) b),
-l0 AS (SELECT at.i, at.x, at.y, lw, lh, r, g, b, alpha, r AS f_r, g AS f_g, b AS f_b, r AS b_r, g AS b_g, b AS b_b FROM at JOIN px ON px.i = at.src),
+l0 AS (SELECT q.i, q.x, q.y, lw, lh, r, g, b, alpha, r AS f_r, g AS f_g, b AS f_b, r AS b_r, g AS b_g, b AS b_b FROM spot q JOIN px ON px.i = q.src),
 four AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS o(dx, dy))
 """
 
