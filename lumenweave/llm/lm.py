@@ -17,7 +17,8 @@ counts: sorted, packed arrays per block and key range; yields a histogram of hel
 events for EM, and the dense pairs. (3) Per document: tokens, base score over vocabulary
 words, scores of dense pairs, and its rare words, which are joined with the word counts.
 (4) The other pairs of each document, packed per key range; a range counts its pairs over
-the learning texts, scores them and returns one sum per document.
+the learning texts, scores them and returns one sum per document, packed by document
+bucket; the buckets add up the ranges' sums.
 
 Cases: null and empty texts are one end token; repeated rows (same id and text) are
 counted as rows and get one result each; without learning texts N = V = 0 and every
@@ -352,7 +353,18 @@ def scores(docs: DataFrame, learn: str = "learn") -> DataFrame:
         seen = np.add.reduceat(np.where(learn[doc], m, 0), first)
         log_p = _log_p(voc, weights, key[first] >> _SHIFT, key[first] & _LOW, seen)
         part = np.bincount(doc, weights=m * np.repeat(log_p, np.diff(np.append(first, len(key)))), minlength=len(ids))
-        return pa.table({"doc_id": ids, "part": part})
+        ids, at = np.unique(ids, return_inverse=True)
+        part = np.bincount(at, weights=part, minlength=len(ids))
+        bucket = _range_of(ids, ranges)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(ranges + 1))
+        used = [(k, order[edges[k] : edges[k + 1]]) for k in range(ranges) if edges[k] < edges[k + 1]]
+        return pa.table({"bucket": pa.array([k for k, _ in used], pa.int32()), "ids": pa.array([ids[i] for _, i in used], pa.list_(pa.int64())), "parts": pa.array([part[i] for _, i in used], pa.list_(pa.float64()))})
+
+    def gather(table: pa.Table) -> pa.Table:
+        ids, parts = (table[c].combine_chunks().flatten().to_numpy() for c in ("ids", "parts"))
+        ids, at = np.unique(ids, return_inverse=True)
+        return pa.table({"doc_id": ids, "far": np.bincount(at, weights=parts, minlength=len(ids))})
 
     rows = cut(docs.select("doc_id", "text", "learn").mapInArrow(per_document, "doc_id long, learn boolean, n_tokens long, known long, base double, direct double, rare array<struct<w: long, m: int>>"))
     release(spark)
@@ -360,7 +372,7 @@ def scores(docs: DataFrame, learn: str = "learn") -> DataFrame:
     rare = rows.select("doc_id", F.explode("rare").alias("r")).select("doc_id", "r.w", "r.m").join(words.select("w", "n"), "w", "left")
     rare = rare.groupBy("doc_id").agg(F.sum(F.col("m") * one).alias("rare_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("m"))).alias("rare_known"))
     packed = docs.select("doc_id", "text", "learn").mapInArrow(pack, "p int, ids array<long>, learn binary, blob binary")
-    far = packed.groupBy("p").applyInArrow(score_range, "doc_id long, part double").groupBy("doc_id").agg(F.sum("part").alias("far"))
+    far = packed.groupBy("p").applyInArrow(score_range, "bucket int, ids array<long>, parts array<double>").groupBy("bucket").applyInArrow(gather, "doc_id long, far double")
     copies = rows.groupBy("doc_id").agg(F.count("*").alias("copies"))
     zero = F.lit(0.0)
     out = rows.join(copies, "doc_id").join(rare, "doc_id", "left").join(far, "doc_id", "left")
