@@ -14,8 +14,9 @@ columns pass through unchanged; an existing column named as an output is replace
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from lumenweave.llm.common import read
 
 #: Texts longer than this many characters are cut at safe boundaries.
 CHUNK_CHARS = 1 << 16
+#: Rows that a Python worker turns into ids or bytes at once.
+SLICE_ROWS = 256
 #: Longest white-space run given to the library's own splitter.
 LONG_SPACE = 512
 _SAFE = regex.compile(r"(?<=[0-9A-Za-z.,;:!?)])(?=[ \n\t])")
@@ -77,32 +80,54 @@ def _replace(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [values], names=[batch.schema.names[i] for i in keep] + [name])
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with ``out``: array<int> of the ids of column ``text``. Null: no ids."""
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch small enough that what a part expands to stays small."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(at, SLICE_ROWS)
+
+
+def _encoder(ranks_path: str, pattern: str, text: str, out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(ranks_path, pattern)
+        for part in chain.from_iterable(map(_slices, batches)):
+            ids = [encode_text(enc, pattern, t.as_py() or "") for t in part.column(text)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            yield _replace(part, out, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+
+    return run
+
 
+def _decoder(ranks_path: str, pattern: str, ids: str, out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [encode_text(enc, pattern, t or "") for t in part.column(text).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                yield _replace(part, out, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+        for part in chain.from_iterable(map(_slices, batches)):
+            # one row's ids at a time become Python integers
+            rows = (x.values.to_numpy().tolist() if x.is_valid else [] for x in part.column(ids))
+            yield _replace(part, out, pa.array([enc.decode_bytes(x) for x in rows], pa.binary()))
 
-    return df.mapInArrow(run, _with_column(df.schema, out, T.ArrayType(T.IntegerType())))
+    return run
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """``df`` with ``out``: array<int> of the ids of column ``text``. Null: no ids."""
+    return df.mapInArrow(_encoder(ranks_path, pattern, text, out), _with_column(df.schema, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``: the raw bytes that column ``ids`` stands for (not forced to be valid UTF-8)."""
+    return df.mapInArrow(_decoder(ranks_path, pattern, ids, out), _with_column(df.schema, out, T.BinaryType()))
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` of its ids, in one Python worker; column ``text`` is not returned."""
+    code, back = _encoder(ranks_path, pattern, text, ids), _decoder(ranks_path, pattern, ids, decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks_path, pattern)
-        for batch in batches:
-            col = batch.column(ids)
-            yield _replace(batch, out, pa.array([enc.decode_bytes(x or []) for x in col.to_pylist()], pa.binary()))
+        for batch in back(code(batches)):
+            yield batch.drop_columns([text])
 
-    return df.mapInArrow(run, _with_column(df.schema, out, T.BinaryType()))
+    schema = _with_column(_with_column(df.schema, ids, T.ArrayType(T.IntegerType())), decoded, T.BinaryType())
+    return df.mapInArrow(run, T.StructType([f for f in schema.fields if f.name != text]))
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -112,7 +137,7 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    coded = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern).drop("text"), ranks_path, pattern)
+    coded = round_trip(docs.select("doc_id", "text"), ranks_path, pattern)
     return coded.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
