@@ -6,11 +6,11 @@ frequency, floor(log2(c(v)+1)), and are learned by expectation-maximisation on h
 counts: one learning text in ``FOLDS`` is held out of the counts, the likelihood of its
 tokens is maximised, and the final counts cover all learning texts.
 
-Vocabulary: words frequent enough to be among ``VOCABULARY`` have classes of their own,
-the others (rare and unseen words) form one class whose probability its members and one
-unseen word share evenly. That table, the only one broadcast besides the counts of pairs
-of the ``DENSE`` most frequent classes, is bounded whatever the corpus. Base scores use
-the exact count of every word.
+Vocabulary: every learning word has its own counts of words and pairs; unseen words have
+none. The ``VOCABULARY`` most frequent words are numbered in a table, the only one broadcast
+besides the counts of pairs of the ``DENSE`` most frequent, bounded whatever the corpus.
+Pairs with a word outside it (the tail) are keyed by the words' hashes, counted and joined
+with the word counts by shuffles; the results do not depend on the table's size.
 
 Passes. (1) Word counts: per-block sums, then a partially aggregated count. (2) Pair
 counts: sorted, packed arrays per block and key range; yields a histogram of held-out
@@ -18,7 +18,8 @@ events for EM, and the dense pairs. (3) Per document: tokens, base score over vo
 words, scores of dense pairs, and its rare words, which are joined with the word counts.
 (4) The other pairs of each document, packed per key range; a range counts its pairs over
 the learning texts, scores them and returns one sum per document, packed by document
-bucket; the buckets add up the ranges' sums.
+bucket; the buckets add up the ranges' sums. (5) Only with more than ``VOCABULARY`` learning
+words: tail pairs per document, their counts, and their sums per document.
 
 Cases: null and empty texts are one end token; repeated rows (same id and text) are
 counted as rows and get one result each; without learning texts N = V = 0 and every
@@ -54,7 +55,7 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 class Vocabulary:
     words: np.ndarray  # sorted hashes
     rank: np.ndarray  # class of each: 0 is the most frequent
-    count: np.ndarray  # by class, the rare class last
+    count: np.ndarray  # by class, then the sum over all words without a class
     held: np.ndarray  # the part of ``count`` in held-out texts
     rare_types: int
     n: int
@@ -169,12 +170,21 @@ def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
     return (X.mix(key.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
 
 
-def _estimates(voc: Vocabulary, v: np.ndarray, w: np.ndarray, pair: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of the context, and the bigram and unigram estimates."""
-    ctx = count[v]
-    share = np.where(w == voc.rare, 1.0 / (voc.rare_types + 1), 1.0)
+def _estimates(ctx: np.ndarray, word: np.ndarray, pair: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of the context, and the bigram and unigram estimates, from counts of context, word and pair."""
     bucket = np.minimum(np.log2(ctx + 1).astype(np.int64), BUCKETS - 1)
-    return bucket, pair / np.maximum(ctx, 1) * share, count[w] / max(n, 1) * share
+    return bucket, pair / np.maximum(ctx, 1), word / max(n, 1)
+
+
+def _cells(ctx: np.ndarray, word: np.ndarray, pair: np.ndarray, n: int, events: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Histogram of held-out events: cell, events, and the weighted sums of both log estimates."""
+    bucket, q2, q1 = _estimates(ctx, word, pair, n)
+    x = np.where(q2 > 0, np.log2(np.maximum(q2, 1e-300)), -999.0)
+    y = np.where(q1 > 0, np.log2(np.maximum(q1, 1e-300)), -999.0)
+    cell = (bucket * 8192 + np.round(x * CELLS).astype(np.int64) % 8192) * 8192 + np.round(y * CELLS).astype(np.int64) % 8192
+    cell, at = np.unique(cell, return_inverse=True)
+    wt = events.astype(float)
+    return cell, *(np.bincount(at, weights=z, minlength=len(cell)).astype(float) for z in (wt, wt * x, wt * y))
 
 
 def pair_statistics(docs: DataFrame, voc: Vocabulary, ranges: int) -> DataFrame:
@@ -186,9 +196,10 @@ def pair_statistics(docs: DataFrame, voc: Vocabulary, ranges: int) -> DataFrame:
         end = int(voc.classes(np.array([END]))[0])
         for batch, h, counts in _units(batches):
             c = voc.classes(h)
-            key = (_contexts(c, counts, end) << _SHIFT) | c
+            v = _contexts(c, counts, end)
+            known = (v != voc.rare) & (c != voc.rare)  # the others are tail pairs
             held = np.repeat(batch.column("held").to_numpy(zero_copy_only=False), counts)
-            key, n, m = _counted(key, held)
+            key, n, m = _counted(((v << _SHIFT) | c)[known], held[known])
             part = _range_of(key, ranges)
             order = np.argsort(part.astype(np.uint16 if ranges < 1 << 16 else np.int64), kind="stable")
             edges = np.searchsorted(part[order], np.arange(ranges + 1))
@@ -207,14 +218,7 @@ def pair_statistics(docs: DataFrame, voc: Vocabulary, ranges: int) -> DataFrame:
         v, w = key >> _SHIFT, key & _LOW
         ev = m > 0
         train = voc.count - voc.held
-        bucket, q2, q1 = _estimates(voc, v[ev], w[ev], (n - m)[ev], train, int(train.sum()))
-        x = np.where(q2 > 0, np.log2(np.maximum(q2, 1e-300)), -999.0)
-        y = np.where(q1 > 0, np.log2(np.maximum(q1, 1e-300)), -999.0)
-        cell = (bucket * 8192 + np.round(x * CELLS).astype(np.int64) % 8192) * 8192 + np.round(y * CELLS).astype(np.int64) % 8192
-        cell, at = np.unique(cell, return_inverse=True)
-        wt = m[ev].astype(float)
-        total = np.bincount(at, weights=wt, minlength=len(cell))
-        mx, my = (np.bincount(at, weights=wt * z, minlength=len(cell)) for z in (x, y))
+        cell, total, mx, my = _cells(train[v[ev]], train[w[ev]], (n - m)[ev], int(train.sum()), m[ev])
         dense = (v < DENSE) & (w < DENSE)
         k = dense.sum()
         return pa.table(
@@ -233,6 +237,79 @@ def pair_statistics(docs: DataFrame, voc: Vocabulary, ranges: int) -> DataFrame:
     return rows.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"))
 
 
+def tail_pairs(docs: DataFrame, voc: Vocabulary) -> DataFrame:
+    """(doc_id, learn, held, v, w, tail, m): each document's pairs with a word outside the table; tail: 1 v, 2 w, 3 both."""
+    shared = docs.sparkSession.sparkContext.broadcast(voc)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = shared.value
+        for batch, h, counts in _units(batches):
+            c = voc.classes(h) == voc.rare
+            v, row = _contexts(h, counts, END), np.repeat(np.arange(len(counts)), counts)
+            tail = _contexts(c, counts, bool(voc.classes(np.array([END]))[0] == voc.rare)) + 2 * c.astype(np.int8)
+            used = np.flatnonzero(tail)
+            used = used[np.lexsort((h[used], v[used], row[used]))]
+            new = np.ones(len(used), bool)
+            new[1:] = (row[used][1:] != row[used][:-1]) | (v[used][1:] != v[used][:-1]) | (h[used][1:] != h[used][:-1])
+            m = np.diff(np.append(np.flatnonzero(new), len(used)))
+            used = used[new]
+            at = pa.array(row[used])
+            columns = [*(batch.column(k).take(at) for k in ("doc_id", "learn", "held")), pa.array(v[used].view(np.int64)), pa.array(h[used].view(np.int64)), pa.array(tail[used].astype(np.int32)), pa.array(m.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "learn", "held", "v", "w", "tail", "m"])
+
+    return docs.select("doc_id", "text", "learn", "held").mapInArrow(run, "doc_id long, learn boolean, held boolean, v long, w long, tail int, m long")
+
+
+def tail_counts(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(v, w, n, held, v_n, v_held, w_n, w_held) of distinct tail pairs; counts of words in the table are null."""
+    out = pairs.groupBy("v", "w", "tail").agg(F.sum(F.when(F.col("learn"), F.col("m")).otherwise(0)).alias("n"), F.sum(F.when(F.col("learn") & F.col("held"), F.col("m")).otherwise(0)).alias("held"))
+    for side, bit in (("v", 1), ("w", 2)):
+        # words of the table may be frequent: their rows are spread by a key that matches nothing of use
+        own = F.col("tail").bitwiseAND(bit) != 0
+        counts = words.select(F.col("w").alias("key"), F.col("n").alias(f"{side}_n"), F.col("held").alias(f"{side}_held"))
+        out = out.withColumn("key", F.when(own, F.col(side)).otherwise(F.xxhash64("v", "w"))).join(counts, "key", "left").drop("key")
+    return out.drop("tail")
+
+
+def _tail_sides(voc: Vocabulary, batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Occurrences of contexts and of words, and those in held-out texts."""
+    out = []
+    for side in ("v", "w"):
+        c = voc.classes(batch.column(side).to_numpy().view(np.uint64))
+        n, held = (batch.column(f"{side}_{k}").fill_null(0).to_numpy() for k in ("n", "held"))
+        out.append((np.where(c == voc.rare, n, voc.count[c]), np.where(c == voc.rare, held, voc.held[c])))
+    return out
+
+
+def tail_cells(counted: DataFrame, voc: Vocabulary) -> DataFrame:
+    """Rows of kind 0 as in ``pair_statistics``, of the tail pairs."""
+    shared = counted.sparkSession.sparkContext.broadcast(voc)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = shared.value
+        for batch in batches:
+            (v, v_held), (w, w_held) = _tail_sides(voc, batch)
+            n, m = batch.column("n").to_numpy(), batch.column("held").to_numpy()
+            cell, total, mx, my = _cells(v - v_held, w - w_held, n - m, voc.n - int(voc.held.sum()), m)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cell), np.int32)), pa.array(cell), pa.array(cell // (8192 * 8192)), pa.array(total), pa.array(mx), pa.array(my)], names=["kind", "a", "b", "n", "x", "y"])
+
+    return counted.filter("held > 0").mapInArrow(run, "kind int, a long, b long, n double, x double, y double")
+
+
+def tail_scores(counted: DataFrame, voc: Vocabulary, weights: np.ndarray) -> DataFrame:
+    """(v, w, log_p) of the tail pairs."""
+    shared = counted.sparkSession.sparkContext.broadcast((voc, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, weights = shared.value
+        for batch in batches:
+            (v, _), (w, _) = _tail_sides(voc, batch)
+            log_p = _log_mix(voc, weights, v, w, batch.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("w"), pa.array(log_p)], names=["v", "w", "log_p"])
+
+    return counted.mapInArrow(run, "v long, w long, log_p double")
+
+
 def expectation_maximisation(bucket: np.ndarray, n: np.ndarray, log2_pair: np.ndarray, log2_word: np.ndarray, uniform: float, steps: int = 60) -> np.ndarray:
     """(BUCKETS, 3) weights of pair, word and uniform estimate; buckets without events take the nearest lower one's."""
     q = np.stack([np.where(log2_pair > -900, np.exp2(log2_pair), 0), np.where(log2_word > -900, np.exp2(log2_word), 0), np.full(len(n), uniform)], 1)
@@ -251,25 +328,38 @@ def expectation_maximisation(bucket: np.ndarray, n: np.ndarray, log2_pair: np.nd
     return weights
 
 
-def _log_p(voc: Vocabulary, weights: np.ndarray, v: np.ndarray, w: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    bucket, q2, q1 = _estimates(voc, v, w, pair, voc.count, voc.n)
+def _log_mix(voc: Vocabulary, weights: np.ndarray, ctx: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    bucket, q2, q1 = _estimates(ctx, word, pair, voc.n)
     k = weights[bucket]
     if not voc.n:
-        return np.zeros(len(v))
+        return np.zeros(len(ctx))
     return np.log10(k[:, 0] * q2 + k[:, 1] * q1 + k[:, 2] / (voc.v + 1))
 
 
-def scores(docs: DataFrame, learn: str = "learn") -> DataFrame:
-    """docs: (doc_id, text, learn boolean). Adds n_tokens, n_known, train_tokens, base_score and score to doc_id and learn."""
+def _log_p(voc: Vocabulary, weights: np.ndarray, v: np.ndarray, w: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    return _log_mix(voc, weights, voc.count[v], voc.count[w], pair)
+
+
+def scores(docs: DataFrame, learn: str = "learn", limit: int = VOCABULARY) -> DataFrame:
+    """docs: (doc_id, text, learn boolean). Adds n_tokens, n_known, train_tokens, base_score and score to doc_id and learn.
+
+    ``limit``: words in the broadcast table; no result depends on it.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.col(learn).alias("learn"), (F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0).alias("held")).fillna({"held": False})
     words = cut(word_counts(docs))
-    voc = vocabulary(words)
+    voc = vocabulary(words, limit)
     release(spark)
     ranges = max(12, -(-voc.n // RANGE_TOKENS))
     stats = cut(pair_statistics(docs, voc, ranges))
     release(spark)
-    cells = stats.filter("kind = 0").toArrow()  # at most BUCKETS * cells per estimate squared
+    cells = stats.filter("kind = 0")
+    if voc.rare_types:
+        tail = cut(tail_pairs(docs, voc))
+        counted = cut(tail_counts(tail, words))
+        release(spark)
+        cells = cells.unionByName(tail_cells(counted, voc)).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    cells = cells.toArrow()  # at most BUCKETS * cells per estimate squared
     n = cells["n"].to_numpy()
     weights = expectation_maximisation(cells["b"].to_numpy(), n, cells["x"].to_numpy() / n, cells["y"].to_numpy() / n, 1 / (voc.v + 1)) if len(n) else np.tile([1e-6, 0.5, 0.5], (BUCKETS, 1))
     pairs = stats.filter("kind = 1").select("a", "b").toArrow()  # at most DENSE squared
@@ -286,9 +376,9 @@ def scores(docs: DataFrame, learn: str = "learn") -> DataFrame:
             c = voc.classes(h)
             v, row = _contexts(c, counts, end), np.repeat(np.arange(len(counts)), counts)
             known = c != voc.rare
-            base = np.bincount(row[known], weights=np.log10((voc.count[c[known]] + 0.5) / total), minlength=len(counts))
+            base = np.bincount(row[known], weights=np.log10((voc.count[c[known]] + 0.5) / total), minlength=len(counts)).astype(float)
             near = (v < min(DENSE, voc.rare)) & (c < min(DENSE, voc.rare))
-            direct = np.bincount(row[near], weights=_log_p(voc, weights, v[near], c[near], dense[v[near], c[near]]), minlength=len(counts))
+            direct = np.bincount(row[near], weights=_log_p(voc, weights, v[near], c[near], dense[v[near], c[near]]), minlength=len(counts)).astype(float)
             rare = ~known
             at, w, m = row[rare], h[rare].view(np.int64), None
             order = np.lexsort((w, at))
@@ -311,6 +401,8 @@ def scores(docs: DataFrame, learn: str = "learn") -> DataFrame:
             c = voc.classes(h)
             v, row = _contexts(c, counts, end), np.repeat(np.arange(len(counts)), counts)
             far = (v >= limit) | (c >= limit)
+            if voc.rare_types:  # else words outside the table are unseen and have no counts
+                far &= (v != voc.rare) & (c != voc.rare)
             bits = np.int64(max(1, len(counts).bit_length()))  # 45 bits of a pair and those of a batch's row fit one sort key
             both, m = _runs((((v[far] << _SHIFT) | c[far]) << bits) | row[far])
             key, row = both >> bits, both & ((np.int64(1) << bits) - 1)
@@ -373,6 +465,9 @@ def scores(docs: DataFrame, learn: str = "learn") -> DataFrame:
     rare = rare.groupBy("doc_id").agg(F.sum(F.col("m") * one).alias("rare_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("m"))).alias("rare_known"))
     packed = docs.select("doc_id", "text", "learn").mapInArrow(pack, "p int, ids array<long>, learn binary, blob binary")
     far = packed.groupBy("p").applyInArrow(score_range, "bucket int, ids array<long>, parts array<double>").groupBy("bucket").applyInArrow(gather, "doc_id long, far double")
+    if voc.rare_types:
+        own = tail.join(tail_scores(counted, voc, weights), ["v", "w"]).select("doc_id", (F.col("m") * F.col("log_p")).alias("far"))
+        far = far.unionByName(own).groupBy("doc_id").agg(F.sum("far").alias("far"))
     copies = rows.groupBy("doc_id").agg(F.count("*").alias("copies"))
     zero = F.lit(0.0)
     out = rows.join(copies, "doc_id").join(rare, "doc_id", "left").join(far, "doc_id", "left")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenweave.llm import ann, bpe, decontam, lines, lm, neardup, secrets, sharding, suffix_dedup, toxicity
 
@@ -130,6 +131,16 @@ def test_op6(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_op6_any_table(spark):
+    """Scores do not depend on how many words the broadcast table holds."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col("doc_id") % 5 != 1).alias("learn"))
+    whole, small, none = ({r.doc_id: r for r in lm.scores(docs, limit=n).collect()} for n in (1 << 20, 300, 0))
+    for d, r in whole.items():
+        for other in (small[d], none[d]):
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (other.n_tokens, other.n_known, other.train_tokens)
+            assert abs(r.base_score - other.base_score) < 1e-6 and abs(r.score - other.score) < 1e-6 * max(1, abs(r.score))
+
+
 def test_op7(spark):
     got = collections.defaultdict(list)
     for r in ann.op7_cross_polytope(spark, SF).orderBy("query_id", "rank").collect():
