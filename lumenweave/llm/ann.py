@@ -13,6 +13,11 @@ can appear in a result, so a vector copied into a third of all rows costs one ro
 buckets are split into salted parts of about ``PART`` candidates. Queries that found
 fewer than ``k`` candidates are answered exactly, in blocks against all rows.
 
+Probes and bucket size follow the table at hand: ``SAMPLE`` queries are answered exactly, and
+their true neighbours' keys tell how many probes find them. If the given setting finds fewer
+than ``RECALL`` of them, the cheapest pair of bucket size and probes that reaches it is used;
+if none is cheaper than comparing all rows, all queries are answered exactly.
+
 Nearness is the inner product; hashing sees directions, so vectors whose lengths differ
 by more than ``SPREAD`` are answered exactly as well (no such vectors in the tables here).
 
@@ -39,6 +44,12 @@ BUCKET = 64
 PART = 4096
 SPREAD = 1.01
 QUERY_BLOCK = 4096
+#: Queries whose exact answers choose the probes, and the share of neighbours to be found among them: 0.9 and a margin.
+SAMPLE = 256
+RECALL = 0.95
+MOST_PROBES = 512
+#: A probe's cost besides its candidates, in candidates.
+PROBE_COST = 256
 SEED = 97
 
 
@@ -150,8 +161,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col:
     if high > low * SPREAD:
         found = _exact(items, questions.select("qid", "v"), k, dim)
     else:
-        found = _hashed(items, questions.select("qid", "v"), k, dim, Hasher(dim, n / bucket, tables), probes)
-        found = cut(found)
+        setting = _setting(items, questions, k, dim, n, tables, probes, bucket)
+        asked = questions.select("qid", "v")
+        found = cut(_exact(items, asked, k, dim) if setting is None else _hashed(items, asked, k, dim, Hasher(dim, n / setting[1], tables), setting[0]))
         enough = found.groupBy("qid").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") >= k + 1).select("qid")
         rest = cut(questions.select("qid", "v").join(enough, "qid", "left_anti"))
         found = found.join(rest.select("qid"), "qid", "left_anti").unionByName(_exact(items, rest, k, dim))
@@ -160,6 +172,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col:
     return answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _setting(items: DataFrame, questions: DataFrame, k: int, dim: int, n: int, tables: int, probes: int, bucket: int) -> tuple[int, int] | None:
+    """Probes and bucket size that find RECALL of the sampled queries' neighbours; None: comparing all rows costs less."""
+    sample = cut(questions.orderBy("h1", "h2").limit(SAMPLE).select("qid", "v"))
+    truth = _exact(items, sample, k, dim).select("qid", F.get("ids", F.lit(0)).alias("id"))
+    # at most SAMPLE * (k + 1) rows; a query's own vector is no neighbour to be found
+    rows = items.join(F.broadcast(truth), "id").select("qid", F.col("v").alias("near")).join(F.broadcast(sample), "qid").filter("near != v").select("v", "near").toArrow()
+    if not rows.num_rows:
+        return probes, bucket
+    asked, at = np.unique(_matrix(rows["v"], dim), axis=0, return_inverse=True)
+    asked, near, at = _unit(asked), _unit(_matrix(rows["near"], dim)), at.ravel()
+
+    def needed(hasher: Hasher, most: int) -> np.ndarray:
+        """Per neighbour, the probes that reach it in its best table; ``most`` + 1 if none does."""
+        out = np.full(len(near), most + 1)
+        for t in range(hasher.tables):
+            keys = hasher.keys(near, t)
+            tried = np.concatenate([hasher.probes(asked[i : i + 16], t, most) for i in range(0, len(asked), 16)])
+            hit = tried[at] == keys[:, None]
+            out = np.where(hit.any(1), np.minimum(out, hit.argmax(1) + 1), out)
+        return out
+
+    if (needed(Hasher(dim, n / bucket, tables), probes) <= probes).mean() >= RECALL:
+        return probes, bucket
+    best, least = None, float(n)
+    for size in (bucket * 4**i for i in range(5)):
+        if size * 2 > n:
+            break
+        found = np.sort(needed(Hasher(dim, n / size, tables), MOST_PROBES))
+        p = int(found[int(np.ceil(RECALL * len(found))) - 1])
+        cost = float(tables * p * (size + PROBE_COST))
+        if p <= MOST_PROBES and cost < least:
+            best, least = (p, size), cost
+    return best
+
+
 _FOUND = "qid long, ids array<long>, score double"
 
 
@@ -168,11 +215,11 @@ def _pack(qid: np.ndarray, ids: list, score: np.ndarray) -> pa.RecordBatch:
 
 
 def _hashed(items: DataFrame, questions: DataFrame, k: int, dim: int, hasher: Hasher, probes: int) -> DataFrame:
+    rows = max(16, (1 << 19) // (probes * max(1, dim)))  # bounds the probed combinations held at once
+
     def place(probe: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
                 x = _unit(_matrix(batch.column("v"), dim))
                 for t in range(hasher.tables):
                     keys = hasher.probes(x, t, probes) if probe else hasher.keys(x, t)[:, None]

@@ -155,6 +155,22 @@ def test_op7(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_op7_recall_grows_probes(spark):
+    """A setting that sees few rows is widened until the neighbours are found."""
+    v = np.random.default_rng(3).normal(size=(4000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, df.filter("vec_id % 40 = 0"), k=10, tables=2, probes=2, bucket=16).collect():
+        got[r.query_id].add(r.vec_id)
+    recall = []
+    for q in range(0, 4000, 40):
+        s = v @ v[q]
+        s[q] = -np.inf
+        recall.append(len(set(np.argsort(-s)[:10].tolist()) & got[q]) / 10)
+    assert np.mean(recall) >= 0.9
+
+
 def test_op7_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [0.0, 1.0]), (6, [1.0]), (7, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
