@@ -1,7 +1,8 @@
 """Operator 3 (native): secret scan with a random forest for false-positive removal.
 
-``candidates`` finds runs of 16 or more key characters that hold a digit, in every whole
-text, with the words around them and the document's path. ``with_features`` turns a
+``candidates`` finds all runs of 16 or more key characters that hold a digit, and all values
+of 6 or more characters assigned to a key word, in every whole text, with the text around
+each and the document's path. ``with_features`` turns a
 candidate into numbers by SQL expressions: length, transitions between character classes,
 class shares, distinct characters, coverage by a dictionary, path and neighbouring words.
 ``fit`` trains a random forest on labelled findings; ``labelled_findings`` makes a bounded,
@@ -29,6 +30,12 @@ CANDIDATE = r"(?=[A-Za-z+/=_-]{0,64}[0-9])[A-Za-z0-9+/=_-]{16,}"
 DICTIONARY = "version|example|sample|image|static|content|index|page|file|data|user|name|test|file|info|order|number|report|group|value|type|list|item|table|column|row|model|class|public|private|service|client|server|request|response|config|default|system|build|release|update|module|package|format|color|width|height|title|article|section"
 KEY_WORDS = r"token|secret|passw|pwd|api[_-]?key|apikey|auth|bearer|credential|private[_-]?key|access[_-]?key"
 OTHER_WORDS = r"commit|sha-?[0-9]*|md5|checksum|digest|hash|uuid|guid|revision|etag|card|phone|account|isbn|order|invoice|build|version"
+#: What a key word is assigned, whatever its length and characters: within a word, or at the start of the next.
+_VALUE = r"[^\s\"'`,;&<>(){}\[\]]{6,}"
+_KEY = "(?i)(?:" + KEY_WORDS.replace("auth|", "auth(?!or)|") + r")[A-Za-z0-9_-]{0,20}[\"']{0,2}"
+ASSIGNED = _KEY + r"[=:]{1,2}[\"']{0,2}(" + _VALUE + ")"
+ASSIGNING = _KEY + r"\s?[=:]{1,2}[\"']?$"
+STARTING = r"^[\"']?(" + _VALUE + ")"
 PLAIN_PATH = r"test|example|sample|mock|fixture|docs?/|changelog|lock"
 FEATURES = ["f_len", "f_transitions", "f_digits", "f_upper", "f_hex", "f_distinct", "f_dictionary", "f_path", "f_key_word", "f_other_word", "f_assigned"]
 LABELLED_ROWS = 6000
@@ -36,18 +43,43 @@ THRESHOLD = 0.5
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """One row per candidate: id, pos (index of its white-space separated word), candidate, before, own, after, path."""
-    hit = docs.filter(F.col(text).rlike(CANDIDATE)).select(F.col(id_col).alias("id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.split(text, r"\s+").alias("w"))
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(CANDIDATE))
+    """One row per candidate: id, pos (index of its white-space separated word), at (index in the word), candidate, before, left, right, after, path.
+
+    ``left`` and ``right`` are the parts of the word around a candidate; where a word holds
+    several, they end at separators, and words around it belong to the outer ones.
+    """
+    hit = docs.filter(F.col(text).rlike(CANDIDATE) | F.col(text).rlike(_KEY)).select(F.col(id_col).alias("id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.split(text, r"\s+").alias("w"))
     near = lambda i, a, n: F.array_join(F.slice("w", F.greatest(i + a, F.lit(1)), n), " ")
+    assigned = lambda i: near(i, -1, F.least(i, F.lit(2))).rlike(ASSIGNING) & F.get("w", i).rlike(STARTING)
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(CANDIDATE) | F.get("w", i).rlike(ASSIGNED) | assigned(i))
     rows = hit.select(
         "id",
         "path",
         F.explode(
-            F.transform(at, lambda i: F.struct(i.alias("pos"), near(i, -2, F.least(i, F.lit(3))).alias("before"), F.get("w", i).alias("own"), near(i, 2, F.lit(2)).alias("after")))
+            F.transform(
+                at, lambda i: F.struct(i.alias("pos"), near(i, -2, F.least(i, F.lit(3))).alias("before"), F.get("w", i).alias("own"), near(i, 2, F.lit(2)).alias("after"), assigned(i).alias("assigned"))
+            )
         ).alias("c"),
-    )
-    return rows.select("id", F.col("c.pos").cast("long").alias("pos"), F.regexp_extract("c.own", f"({CANDIDATE})", 1).alias("candidate"), "c.before", "c.own", "c.after", "path")
+    ).select("id", "path", "c.*")
+    rows = rows.withColumn("runs", F.regexp_extract_all("own", F.lit(CANDIDATE), 0)).withColumn("gaps", F.split("own", CANDIDATE, -1))
+    first = F.when(F.col("assigned"), F.array(F.regexp_extract("own", STARTING, 1))).otherwise(F.array().cast("array<string>"))
+    values = F.array_distinct(F.concat(first, F.regexp_extract_all("own", F.lit(ASSIGNED), 1)))
+    values = F.filter(values, lambda x: ~x.rlike(CANDIDATE) & ~F.exists("runs", lambda r: r.contains(x)))
+
+    def run(x: Column, j: Column) -> Column:
+        last, gap, rest = F.size("runs") - 1, F.get("gaps", j), F.get("gaps", j + 1)
+        left = F.when(j == 0, gap).otherwise(F.regexp_extract(gap, "[^,;&|{}]*$", 0))
+        right = F.when(j == last, rest).otherwise(F.regexp_extract(rest, "^[^,;&|{}]*", 0))
+        before = F.when((j > 0) & left.rlike("[A-Za-z]"), "").otherwise(F.col("before"))
+        return F.struct(j.cast("int").alias("at"), x.alias("candidate"), before.alias("before"), left.alias("left"), right.alias("right"), F.when(j == last, F.col("after")).otherwise("").alias("after"))
+
+    def value(x: Column, j: Column) -> Column:
+        start = F.position(x, F.col("own"))
+        left = F.substring(F.col("own"), F.greatest(start - 48, F.lit(1)), F.least(start - 1, F.lit(48)))
+        return F.struct((F.size("runs") + j).cast("int").alias("at"), x.alias("candidate"), F.col("before").alias("before"), left.alias("left"), F.lit("").alias("right"), F.col("after").alias("after"))
+
+    found = F.explode(F.concat(F.transform("runs", run), F.transform(values, value))).alias("f")
+    return rows.select("id", F.col("pos").cast("long").alias("pos"), "path", found).select("id", "pos", "f.*", "path")
 
 
 def _share(c: str, kept: str) -> Column:
@@ -58,7 +90,7 @@ def with_features(found: DataFrame) -> DataFrame:
     c = "candidate"
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
     runs = F.regexp_replace(F.regexp_replace(classes, "[^9aA]", "-"), r"(.)\1*", "$1")
-    around = F.lower(F.concat_ws(" ", "before", F.regexp_replace("own", CANDIDATE, " "), "after"))
+    around = F.lower(F.concat_ws(" ", "before", "left", "right", "after"))
     flag = lambda cond: cond.cast("double")
     return found.withColumns(
         {
@@ -72,7 +104,7 @@ def with_features(found: DataFrame) -> DataFrame:
             "f_path": flag(F.lower("path").rlike(PLAIN_PATH)),
             "f_key_word": flag(around.rlike(KEY_WORDS)),
             "f_other_word": flag(around.rlike(OTHER_WORDS)),
-            "f_assigned": flag(F.concat_ws(" ", "before", "own").rlike("[=:][\\s\"']*" + CANDIDATE)),
+            "f_assigned": flag(F.concat_ws(" ", "before", F.concat("left", c)).rlike("[=:][\\s\"']*" + CANDIDATE) | F.concat_ws(" ", "before", "left").rlike("[=:][\\s\"']*$")),
         }
     )
 
@@ -97,6 +129,9 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int
         (1, F.concat(word, F.lit(" "), key, F.lit("="), F.substring(h, 1, 18), F.lit(" "), word)),
         (1, F.concat(F.lit("Authorization: Bearer "), F.substring(b64, 1, 44))),
         (1, F.concat(word, F.lit(" "), F.lit("ghp_"), F.substring(b64, 1, 36), F.lit(" "), word)),
+        (1, F.concat(word, F.lit(" "), key, sign, F.substring(b64, 1, 10), tail, F.lit(" "), word)),
+        (1, F.concat(key, sign, F.translate(F.substring(h, 1, 12), "0123456789", "qwrtzkxvjm"), tail)),
+        (0, F.concat(word, F.lit(" "), key, sign, pick("example,default,user-name,file-name,public-value,sample-page", 122), tail, F.lit(" "), word)),
         (0, F.concat(other, F.lit(" "), F.substring(h, 1, 40), F.lit(" "), word)),
         (0, F.concat(word, F.lit(" "), other, sign, F.substring(h, 1, 64), tail)),
         (0, F.concat(word, F.lit(" "), F.substring(digits, 1, 16), F.lit(" "), word)),
