@@ -2,18 +2,21 @@
 
 ``fit`` learns one model per class (toxic, ordinary) from a bounded sample of labelled
 rows: at most ``per_class`` distinct texts of each class, of at most ``max_bytes`` each.
-The models are Kneser-Ney continuation models: a word counts once for each different word
-before it, so copies of one passage count once however many texts hold them; absolute
-discounting takes ``DISCOUNT`` from every count and hands it to one back-off distribution
-counted over both classes, so an expression that is rare in both classes is judged alike
-by both and only frequent differences speak. Word pairs as a second order were measured
-and left out: copied passages gave them spurious weight (held-out toxic texts caught fell
-from 1.00 to 0.14 on the check table).
-
-A text's features are the length-normalised log-likelihood ratios of the whole text and
-of its most toxic passage of each length in ``WINDOWS``. Four fifths of the sample train
-the models; the others, unseen by them, fit the logistic calibration that turns the
-features into a score from 0 to 1.
+Both models have two orders of interpolated Kneser-Ney smoothing with one absolute
+discount per class and order, estimated from its counts of counts (n1 / (n1 + 2 n2)):
+
+- words: continuation counts (a word counts once for each different word before it) of the
+  class, backed off to continuation counts shared by both classes;
+- word pairs: pair counts of the class given the word before, backed off to the pairs of
+  both classes together, so that a rare expression is judged alike by both classes.
+
+Runs of ``COPIED`` words that occurred before in the sample are not counted again, so a
+copied passage counts once however many texts hold it.
+
+A text's features are the length-normalised log-likelihood ratios under either order, of
+the whole text and of its most toxic passage of each length in ``WINDOWS``. Four fifths of
+the sample train the models; the others, unseen by them, fit the logistic calibration that
+turns the features into a score from 0 to 1.
 
 ``score`` applies the model to every whole text. Labels, language, source and ids are no
 inputs of a score.
@@ -42,32 +45,54 @@ PER_CLASS = 1500
 MAX_BYTES = 1 << 15
 #: Lengths of the passages, in tokens, whose best ratio is a feature.
 WINDOWS = (1, 4, 16)
-DISCOUNT = 5.0
+COPIED = 8
 THRESHOLD = 0.7
 
 #: ASCII characters other than letters and digits separate words; other scripts stay.
 NOT_ALNUM = np.array([c < 0x30 or 0x39 < c < 0x41 or 0x5A < c < 0x61 or 0x7A < c < 0x80 for c in range(256)])
 
 
+class Table:
+    """Values of 64-bit keys: sorted keys with an index of their leading bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        heads = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.starts = np.append(np.searchsorted(self.keys, heads), len(keys))
+
+    def get(self, keys: np.ndarray, default: float | np.ndarray = 0.0) -> np.ndarray:
+        out = np.array(np.broadcast_to(np.asarray(default, float), len(keys)))
+        head = (keys >> self.shift).astype(np.int64)
+        at, stop, left = self.starts[head], self.starts[head + 1], np.arange(len(keys))
+        while len(left):
+            left = left[at[left] < stop[left]]
+            hit = self.keys[at[left]] == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit]
+            at[left] += 1
+        return out
+
+
 @dataclass
 class Model:
-    """Sorted hash tables of log-likelihood ratios; ``weights``: logistic calibration."""
+    """Log-likelihood ratios of words, of word pairs and of contexts (for unseen pairs); ``weights``: logistic calibration."""
 
-    words: np.ndarray
-    word_llr: np.ndarray
+    words: Table
+    pairs: Table
+    contexts: Table
     weights: np.ndarray
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+def _before(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The token before each; 0 at the start of a text."""
+    out = np.concatenate([np.zeros(1, np.uint64), h[:-1]])[: len(h)]
+    out[(np.cumsum(counts) - counts)[counts > 0]] = 0
+    return out
 
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    """Each token of one text hashed with the token before it."""
-    before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])[: len(h)]
+def _pairs(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return X.mix(before * X.SEQ[20] + h * X.SEQ[21])
 
@@ -77,51 +102,89 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield row, *X.tokens(data, offsets, NOT_ALNUM)
 
 
-def token_llr(model: Model, h: np.ndarray) -> np.ndarray:
-    """A word that neither class has seen is no evidence: 0."""
-    at, known = _find(model.words, h)
-    return np.where(known, model.word_llr[at], 0.0)
+def ratios(model: Model, h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Log-likelihood ratio of each token by words and by pairs. A word that neither class has seen is no evidence: 0."""
+    before = _before(h, counts)
+    by_word = model.words.get(h, np.nan)
+    by_pair = model.pairs.get(_pairs(before, h), model.contexts.get(before))
+    unseen = np.isnan(by_word)
+    return [np.where(unseen, 0.0, by_word), np.where(unseen, 0.0, by_pair)]
 
 
 def features(model: Model, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Per row: mean ratio of the whole text, and of the best window of each length; 0 without tokens."""
-    llr = token_llr(model, h)
-    sums = np.concatenate([[0.0], np.cumsum(llr)])
+    """Per row and order: mean ratio of the whole text, and of the best window of each length; 0 without tokens."""
     ends = np.cumsum(counts)
-    begins = ends - counts
-    mean = (sums[ends] - sums[begins]) / np.maximum(counts, 1)
-    out, full = [mean], counts > 0
-    for size in WINDOWS:
-        # windows at a row's end are shorter but are divided by the full length
-        stop = np.minimum(np.arange(len(h)) + size, np.repeat(ends, counts))
-        best = np.zeros(len(counts))
-        if full.any():
-            best[full] = np.maximum.reduceat((sums[stop] - sums[: len(h)]) / size, begins[full])
-        out.append(best)
+    begins, full, out = ends - counts, counts > 0, []
+    for llr in ratios(model, h, counts):
+        sums = np.concatenate([[0.0], np.cumsum(llr)])
+        out.append((sums[ends] - sums[begins]) / np.maximum(counts, 1))
+        for size in WINDOWS:
+            # windows at a row's end are shorter but are divided by the full length
+            stop = np.minimum(np.arange(len(h)) + size, np.repeat(ends, counts))
+            best = np.zeros(len(counts))
+            if full.any():
+                best[full] = np.maximum.reduceat((sums[stop] - sums[: len(h)]) / size, begins[full])
+            out.append(best)
     return np.stack(out, 1)
 
 
-def _train(rows: list[tuple[np.ndarray, int]]) -> Model:
-    """rows: token hashes and label of each text."""
-    h, pair = np.concatenate([h for h, _ in rows]), np.concatenate([_pairs(h) for h, _ in rows])
-    y = np.repeat([c for _, c in rows], [len(h) for h, _ in rows])
-    words = np.unique(h)
+def discount(counts: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2) of the counts of counts; one half where that is undefined."""
+    n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
+    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+
+def _first_uses(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Tokens outside any run of COPIED tokens that occurred before."""
+    runs, per_row = X.sequences(h, counts, COPIED)
+    again = np.ones(len(runs), bool)
+    again[np.unique(runs, return_index=True)[1]] = False
+    begins = np.repeat(np.cumsum(counts) - counts, per_row) + np.arange(len(runs)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+    cover = np.zeros(len(h) + 1, np.int64)
+    np.add.at(cover, begins[again], 1)
+    np.add.at(cover, begins[again] + COPIED, -1)
+    return np.cumsum(cover)[:-1] == 0
+
+
+def _conditional(pair: np.ndarray, context: np.ndarray, every: np.ndarray, every_context: np.ndarray, backoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interpolated estimates of pairs ``every`` from the occurrences ``pair``; also the contexts and what each leaves to the back-off."""
+    kinds, first, n = np.unique(pair, return_index=True, return_counts=True)
+    d = discount(n)
+    contexts, at = np.unique(context[first], return_inverse=True)
+    total = np.bincount(at, weights=n, minlength=len(contexts))
+    left = d * np.bincount(at, minlength=len(contexts)) / np.maximum(total, 1)
+    count = Table(kinds, n.astype(float)).get(every)
+    return np.maximum(count - d, 0) / Table(contexts, total).get(every_context, 1.0) + Table(contexts, left).get(every_context, 1.0) * backoff, contexts, left
+
+
+def _train(h: np.ndarray, counts: np.ndarray, y: np.ndarray) -> Model:
+    """Token hashes of all texts, tokens per text and label of each text."""
+    before, kept, label = _before(h, counts), _first_uses(h, counts), np.repeat(y, counts)
+    h, before, label = h[kept], before[kept], label[kept]
+    pair, words = _pairs(before, h), np.unique(h)
+    word = np.searchsorted(words, h)
 
     def continuations(own: np.ndarray) -> np.ndarray:
         first = np.flatnonzero(own)[np.unique(pair[own], return_index=True)[1]]
-        return np.bincount(np.searchsorted(words, h[first]), minlength=len(words)).astype(float)
+        return np.bincount(word[first], minlength=len(words)).astype(float)
 
     shared = continuations(np.ones(len(h), bool)) + 0.5
     shared /= shared.sum() + 0.5  # half a count for everything unseen
-    log_p, log_left = {}, {}
+    every, first = np.unique(pair, return_index=True)
+    both, _, _ = _conditional(pair, before, every, before[first], shared[word[first]])
+    log_word, log_pair, log_left = {}, {}, {}
     for c in (0, 1):
-        count = continuations(y == c)
-        n = max(count.sum(), 1.0)
-        left = np.minimum(count, DISCOUNT).sum() / n if count.any() else 1.0
-        log_p[c] = np.log(np.maximum(count - DISCOUNT, 0) / n + left * shared)
-        log_left[c] = np.log(left)
-    # what the sizes of the classes alone say about a word that neither has seen is taken off
-    return Model(words, log_p[1] - log_p[0] - (log_left[1] - log_left[0]), np.zeros(len(WINDOWS) + 2))
+        own = label == c
+        count = continuations(own)
+        n, d = max(count.sum(), 1.0), discount(count)
+        left = d * (count > 0).sum() / n if count.any() else 1.0
+        # what the sizes of the classes alone say about a word that neither has seen is taken off
+        log_word[c] = np.log(np.maximum(count - d, 0) / n + left * shared) - np.log(left)
+        p, contexts, left = _conditional(pair[own], before[own], every, before[first], both)
+        log_pair[c], log_left[c] = np.log(p), (contexts, np.log(left))
+    contexts = np.unique(before)
+    rest = Table(*log_left[1]).get(contexts) - Table(*log_left[0]).get(contexts)
+    return Model(Table(words, log_word[1] - log_word[0]), Table(every, log_pair[1] - log_pair[0]), Table(contexts, rest), np.zeros(2 * (len(WINDOWS) + 1) + 1))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -147,12 +210,13 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BY
     kept_out = np.asarray(table["o"].to_numpy()) % 5 == 0
     if len(set(y[~kept_out].tolist())) < 2 or len(set(y[kept_out].tolist())) < 2:
         kept_out = np.zeros(len(y), bool)
-    docs = []
-    for row, h, counts in _tokens(table["text"]):
-        docs += [(a, int(y[row + i])) for i, a in enumerate(np.split(h, np.cumsum(counts)[:-1]))]
-    model = _train([x for x, k in zip(docs, kept_out, strict=True) if not k])
-    held = [(h, c) for (h, c), k in zip(docs, kept_out, strict=True) if k or not kept_out.any()]
-    model.weights = _logistic(features(model, np.concatenate([h for h, _ in held]), np.array([len(h) for h, _ in held])), np.array([c for _, c in held]))
+    blocks = [(h, counts) for _, h, counts in _tokens(table["text"])]
+    h, counts = np.concatenate([h for h, _ in blocks]), np.concatenate([n for _, n in blocks])
+    owner = np.repeat(kept_out, counts)
+    model = _train(h[~owner], counts[~kept_out], y[~kept_out])
+    if not kept_out.any():
+        kept_out, owner = ~kept_out, ~owner
+    model.weights = _logistic(features(model, h[owner], counts[kept_out]), y[kept_out])
     return model
 
 
@@ -201,5 +265,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents that score THRESHOLD or more go."""
-    return score(docs, fit_from_tables(spark, docs, sf_dir)).filter(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    """Pipeline: documents that score THRESHOLD or more go. Columns of the caller keep their values, whatever their names."""
+    out = "__toxicity"
+    return score(docs, fit_from_tables(spark, docs, sf_dir), out=out).filter(F.col(out) < THRESHOLD).select(*docs.columns)
