@@ -23,7 +23,8 @@ Verification: admitted pairs are compared exactly by intersecting sorted shingle
 Cases: null and wordless texts have no shingles and are linked with nothing; texts of
 fewer than five words are one shingle; repeated rows (same id and text) share a result;
 ties go to the smallest id; an empty table gives an empty result; other columns pass
-through ``stage``. Ids are taken to be unique but for repeated rows.
+through ``stage``. ``groups`` takes ids to be unique but for repeated rows (rows without an
+id are left alone); ``stage`` also takes null and shared ids.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.llm import textops as X
-from lumenweave.llm.common import cut, read, release
+from lumenweave.llm.common import cut, discard, once, read, release, row_keys, stow
 from lumenweave.llm.graph import components
 
 WORDS = 5
@@ -235,24 +236,83 @@ def _admitted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
+def _apart(key: str) -> Column:
+    """A key whose partitioning the planner doesn't know, so that a join shuffles both sides itself and AQE may split a hot key's rows."""
+    return F.bitwise_not(F.bitwise_not(key)).alias(key)
+
+
 def _open(keyed: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, label, size) of the buckets that hold more than one group."""
-    named = cut(keyed.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
-    return cut(named.join(mixed, "key"))
+    named = stow(keyed.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high").select(_apart("key"), "size")
+    out = stow(named.join(mixed, "key"))
+    discard(named)
+    return out
+
+
+def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketch: doc_id, n, s1, s2 per row; sets: s1, s2, node = smallest id; reps: node, n, keys, bitmap per set)."""
+    whole = stow(sketches(docs))
+    sets = cut(whole.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
+    reps = stow(whole.join(sets.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"))
+    sketch = stow(whole.select("doc_id", "n", "s1", "s2"))
+    discard(whole)
+    release(docs.sparkSession)
+    return sketch, sets, reps
+
+
+def _keyed(reps: DataFrame) -> DataFrame:
+    """(key, node, pivot, size) of the keys of at least two sets; pivot: the smallest node of the key."""
+    keyed = reps.select("node", F.explode("keys").alias("key"))
+    pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
+    return stow(keyed.join(pivots.select(_apart("key"), "pivot", "size"), "key"))
+
+
+def _candidates(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b) of the pairs of different labels that tiles of ``rows`` (key, node, label, size) admit."""
+    heavy = rows.filter(F.col("size") > HEAVY).groupBy("node").agg(F.count("*").alias("hard"))
+    heavy = heavy.join(reps.select("node", F.size("keys").alias("all")), "node").filter(F.col("hard") > HEAVY_SHARE * F.col("all")).select("node")
+    light = rows.filter(F.col("size") <= HEAVY).select("key", "node", "label", F.lit(0).alias("tile"), F.lit(-1).alias("side"))
+    hard = rows.filter(F.col("size") > HEAVY).join(heavy, "node")
+    parts = F.ceil(F.col("size") / TILE).cast("int")
+    hard = hard.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    hard = hard.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    hard = hard.select("key", "node", "label", (lo * F.col("parts") + hi).alias("tile"), F.when(lo == hi, -1).otherwise((F.col("own") == hi).cast("int")).alias("side"))
+    tiled = light.unionAll(hard).join(reps.select("node", "n", "bitmap"), "node").repartition("key", "tile").sortWithinPartitions("key", "tile", "n")
+    return cut(tiled.select("key", "tile", "side", "node", "label", "n", "bitmap").mapInArrow(_tiles, "a long, b long").distinct())
+
+
+def link_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (pairs, members) of ``docs`` (doc_id, text).
+
+    pairs (a, b, a < b): all links between different shingle sets, each set named by its
+    smallest doc_id; members (doc_id, node): the set of every row that has shingles. Two rows
+    link when their nodes are equal or a pair. Rows of pairs grow with the square of a group
+    of near copies, as the links themselves do; ``groups`` needs none of that.
+    """
+    sketch, sets, reps = _sets(docs)
+    rows = _keyed(reps).select("key", "node", F.col("node").alias("label"), "size")
+    found = _candidates(rows, reps)
+    pairs = cut(_verify(found, docs))
+    return pairs, sketch.filter("n > 0").join(sets, ["s1", "s2"]).select("doc_id", "node")
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, n_links): of every row with shingles, its set and the number of other rows it links to."""
+    pairs, members = link_pairs(docs)
+    many = cut(members.groupBy("node").agg(F.count("*").alias("n")))
+    both = pairs.select("a", "b").unionAll(pairs.select("b", "a"))
+    far = both.join(many.toDF("b", "n"), "b").groupBy("a").agg(F.sum("n").alias("far")).withColumnRenamed("a", "node")
+    total = many.join(far, "node", "left").select("node", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return members.join(total, "node").select("doc_id", "node", "n_links")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    sketch = cut(sketches(docs))
-    sets = cut(sketch.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
-    reps = cut(sketch.join(sets.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"))
-    sketch = cut(sketch.select("doc_id", "n", "s1", "s2"))
-    release(spark)
-    keyed = reps.select("node", F.explode("keys").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    keyed = cut(keyed.join(pivots.select("key", "pivot"), "key"))  # keys of at least two sets
+    sketch, sets, reps = _sets(docs)
+    keyed = _keyed(reps)
     release(spark)
     star = keyed.filter("node != pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared")).filter("shared > 2").select("a", "b")
     links = cut(_verify(cut(_admitted(star, reps)), docs))
@@ -263,7 +323,7 @@ def groups(docs: DataFrame) -> DataFrame:
         large = open_rows.filter(F.col("size") > STAR_SIZE)
         if large.isEmpty():
             break
-        pivots = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("o"), F.col("node").alias("pivot"), F.col("label").alias("own"))).alias("p")).select("key", "p.pivot", "p.own")
+        pivots = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("o"), F.col("node").alias("pivot"), F.col("label").alias("own"))).alias("p")).select(_apart("key"), "p.pivot", "p.own")
         star = large.join(pivots, "key").filter("label != own").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         more = cut(_verify(cut(_admitted(star, reps)), docs))
         release(spark)
@@ -271,24 +331,16 @@ def groups(docs: DataFrame) -> DataFrame:
             break
         links = links.unionAll(more)
         labels = components(links)
+        discard(open_rows)
         open_rows = _open(keyed, labels)
-    heavy = open_rows.filter(F.col("size") > HEAVY).groupBy("node").agg(F.count("*").alias("hard"))
-    heavy = heavy.join(reps.select("node", F.size("keys").alias("all")), "node").filter(F.col("hard") > HEAVY_SHARE * F.col("all")).select("node")
-    light = open_rows.filter(F.col("size") <= HEAVY).select("key", "node", "label", F.lit(0).alias("tile"), F.lit(-1).alias("side"))
-    hard = open_rows.filter(F.col("size") > HEAVY).join(heavy, "node")
-    parts = F.ceil(F.col("size") / TILE).cast("int")
-    hard = hard.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    hard = hard.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    hard = hard.select("key", "node", "label", (lo * F.col("parts") + hi).alias("tile"), F.when(lo == hi, -1).otherwise((F.col("own") == hi).cast("int")).alias("side"))
-    tiled = light.unionAll(hard).join(reps.select("node", "n", "bitmap"), "node").repartition("key", "tile").sortWithinPartitions("key", "tile", "n")
-    found = tiled.select("key", "tile", "side", "node", "label", "n", "bitmap").mapInArrow(_tiles, "a long, b long").distinct()
-    found = cut(found)
+    discard(keyed)
+    found = _candidates(open_rows, reps)
+    discard(open_rows, reps)
     release(spark)
     more = cut(_verify(found, docs)) if not found.isEmpty() else links.limit(0)
     labels = components(links.unionAll(more)) if not more.isEmpty() else labels
     named_sets = sets.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component_id"))
-    out = sketch.select("doc_id", "n", "s1", "s2").join(named_sets, ["s1", "s2"], "left")
+    out = sketch.join(named_sets, ["s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -297,6 +349,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: of each group the document of the smallest id stays."""
-    kept = groups(docs.select("doc_id", "text")).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline: of each group the document of the smallest id stays.
+
+    Rows whose id is null or not theirs alone go by a hash of id and text (below all other
+    ids), so they are judged by their text; of repeated rows (same id and text) one stays.
+    """
+    keyed, clashes = row_keys(docs)
+    kept = groups(keyed.select(F.col("__key").alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    return once(keyed.join(kept, "__key", "left_semi"), clashes).select(*docs.columns)
