@@ -7,12 +7,15 @@ per task. A line whose estimate lies within the sketch's error of ``min_sites``
 exact distinct count of its sites; the others are decided by the estimate. Exact copies of
 a document count once (with the site of the smallest id), so a copied document does not
 turn its own text into boilerplate. A document left without any other line is kept
-whole: it is no carrier of boilerplate but a copy, which near-duplicate removal judges.
+whole and reported (``only_boilerplate``): near-duplicate removal judges it.
+
+Joins with the judged lines are broadcasts while their counted rows are few
+(``common.small``); beyond that both sides shuffle, so that a hot line's rows can be split.
 
 Lines are what ``\\n`` separates, compared after trimming spaces, tabs and ``\\r``; blank
 lines never go. Cases: null text stays null with 0 lines; null sites are no sites; an
-empty table gives an empty result; repeated rows each keep their row; further columns
-pass through ``strip``.
+empty table gives an empty result; repeated rows and null ids each keep their row; further
+columns pass through ``strip`` and, whatever their names, through ``stage``.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import cut, read
+from lumenweave.llm.common import cut, read, small, stow
 
 MIN_SITES = 10
 LG_K = 12
@@ -45,33 +48,44 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
     copies = docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(site).alias("site"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("doc"), text).alias("t2"))
     first = copies.groupBy("t1", "t2").agg(F.min(F.struct("id", "site")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("t1", "t2", F.col("first.id").alias("id"))
     # only texts with copies are looked up again; the others stand for themselves
-    spare = copies.join(first.select("t1", "t2", F.col("id").alias("kept")), ["t1", "t2"]).filter("id != kept").select("id", "t1").distinct()
+    spare = small(cut(copies.join(first.select("t1", "t2", F.col("id").alias("kept")), ["t1", "t2"]).filter("id != kept").select("id", "t1").distinct()))
     rows = docs.select(F.col(id_col).alias("id"), F.col(site).alias("site"), F.xxhash64(text).alias("t1"), F.explode(F.transform(_lines(text), _trim)).alias("line"))
-    rows = rows.filter("line != '' AND site IS NOT NULL").select("id", "t1", "site", *_keys(F.col("line"))).distinct()
-    rows = cut(rows.join(spare, ["id", "t1"], "left_anti").select("h1", "h2", "site"))
+    rows = rows.filter("line != '' AND site IS NOT NULL").join(spare, ["id", "t1"], "left_anti").select(*_keys(F.col("line")), "site")
     spread = rows.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites"))
     spread = cut(spread.filter(F.col("sites") >= min_sites * (1 - BAND) - 1))
     sure = F.col("sites") > min_sites * (1 + BAND) + 1
-    near = rows.join(spread.filter(~sure).select("h1", "h2"), ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
+    unsure = small(cut(spread.filter(~sure).select("h1", "h2")))
+    near = rows.join(unsure, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
     return spread.filter(sure).select("h1", "h2").unionAll(near.select("h1", "h2"))
 
 
-def strip(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with boilerplate lines cut from ``text``, and n_lines and n_removed added."""
-    bad = cut(boilerplate(docs, min_sites, site, id_col, text))
-    key = [F.col(id_col).alias("__id"), F.xxhash64(text).alias("__t")]
-    placed = docs.select(*key, F.posexplode(F.transform(_lines(text), _trim)).alias("pos", "line")).filter("line != ''")
-    placed = placed.select("__id", "__t", "pos", *_keys(F.col("line")))
-    gone = placed.join(bad, ["h1", "h2"], "left_semi").groupBy("__id", "__t").agg(F.collect_set("pos").alias("__gone"))
-    out = docs.withColumn("__key", F.xxhash64(text)).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__t")), "left")
-    lines = _lines(text)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("__gone", i))
+def _judged(docs: DataFrame, min_sites: int, site: str, id_col: str, text: str) -> DataFrame:
+    """``docs`` with private columns: __lines, __gone (positions of boilerplate lines, null without any), __kept (null if nothing goes)."""
+    bad = stow(boilerplate(docs, min_sites, site, id_col, text))
+    placed = docs.select(F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit("doc"), text).alias("__t2"), F.posexplode(F.transform(_lines(text), _trim)).alias("pos", "line")).filter("line != ''")
+    placed = placed.select("__t1", "__t2", "pos", *_keys(F.col("line")))
+    # what a text loses depends on the text alone, so copies share a row
+    gone = placed.join(small(bad), ["h1", "h2"], "left_semi").groupBy("__t1", "__t2").agg(F.collect_set("pos").alias("__gone")).toDF("__a", "__b", "__gone")
+    out = docs.join(gone, (F.xxhash64(text) == F.col("__a")) & (F.xxhash64(F.lit("doc"), text) == F.col("__b")), "left").drop("__a", "__b")
+    kept = F.filter("__lines", lambda line, i: ~F.array_contains("__gone", i))
     other = F.exists(kept, lambda line: _trim(line) != "")
-    out = out.withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.when(other, kept)))
-    out = out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
-    out = out.withColumn(text, F.coalesce(F.array_join("__kept", "\n"), F.col(text)))
-    return out.drop("__key", "__id", "__t", "__gone", "__kept")
+    return out.withColumn("__lines", _lines(text)).withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.when(other, kept)))
+
+
+def _cleaned(text: str) -> Column:
+    return F.coalesce(F.array_join("__kept", "\n"), F.col(text))
+
+
+def strip(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with boilerplate lines cut from ``text``; n_lines, n_removed and only_boilerplate are added (clashing names are replaced)."""
+    out = _judged(docs, min_sites, site, id_col, text)
+    new = {
+        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long"),
+        "n_removed": F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
+        "only_boilerplate": F.col("__gone").isNotNull() & F.col("__kept").isNull(),
+        text: _cleaned(text),
+    }
+    return out.withColumns(new).drop("__lines", "__gone", "__kept")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +94,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: boilerplate lines go, n_chars follows; no document goes."""
-    return strip(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Pipeline: boilerplate lines go, n_chars follows; no document goes and no other column changes."""
+    out = _judged(docs, MIN_SITES, "source", "doc_id", "text").withColumns({"text": _cleaned("text")})
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 _TRIM = "trim(translate({}, chr(9) || chr(13), '  '))"
