@@ -7,8 +7,9 @@ counts: one learning text in ``FOLDS`` is held out of the counts, the likelihood
 tokens is maximised, and the final counts cover all learning texts.
 
 Vocabulary: every learning word has its own counts of words and pairs; unseen words have
-none. The ``VOCABULARY`` most frequent words are numbered in a table, the only one broadcast
-besides the counts of pairs of the ``DENSE`` most frequent, bounded whatever the corpus.
+none. The ``VOCABULARY`` most frequent words are numbered in a table. It is broadcast, and so
+are the counts of the pairs of the ``DENSE`` most frequent words and of other pairs that are
+frequent enough to fill much of a range (at most ``HEAVY_PAIRS``): bounded whatever the corpus.
 Pairs with a word outside it (the tail) are keyed by the words' hashes, counted and joined
 with the word counts by shuffles; the results do not depend on the table's size.
 
@@ -22,7 +23,7 @@ bucket; the buckets add up the ranges' sums. (5) Only with more than ``VOCABULAR
 words: tail pairs per document, their counts, and their sums per document.
 
 Cases: null and empty texts are one end token; repeated rows (same id and text) are
-counted as rows and get one result each; without learning texts N = V = 0 and every
+counted as rows and get one result each, as do null ids and ids of several texts; without learning texts N = V = 0 and every
 probability is that of the uniform estimate; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.llm import textops as X
-from lumenweave.llm.common import crc_fold, cut, read, release
+from lumenweave.llm.common import crc_fold, discard, read, release, row_keys, stow
 
 VOCABULARY = 1 << 20
 DENSE = 2048
@@ -47,6 +48,8 @@ BUCKETS = 48
 #: Cells per doubling in the histogram of held-out events.
 CELLS = 4
 RANGE_TOKENS = 1_500_000
+#: Pairs of the table that occur oftener than a share of a range are broadcast too: at most HEAVY_PAIRS of them.
+HEAVY_SHARE, HEAVY_PAIRS = 1 / 16, 1 << 20
 UNIT_BYTES = 4 << 20
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
@@ -170,6 +173,18 @@ def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
     return (X.mix(key.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
 
 
+def _split(part: np.ndarray, ranges: int) -> list[tuple[int, np.ndarray]]:
+    """(range, its positions in order) of the ranges that occur."""
+    order = np.argsort(part.astype(np.uint16 if ranges < 1 << 16 else np.int64), kind="stable")
+    used, first = np.unique(part[order], return_index=True)
+    return list(zip(used.tolist(), np.split(order, first[1:]), strict=True)) if len(used) else []
+
+
+def _heavy_from(n: int) -> int:
+    """Occurrences from which a pair is heavy."""
+    return max(int(RANGE_TOKENS * HEAVY_SHARE), -(-n // HEAVY_PAIRS))
+
+
 def _estimates(ctx: np.ndarray, word: np.ndarray, pair: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of the context, and the bigram and unigram estimates, from counts of context, word and pair."""
     bucket = np.minimum(np.log2(ctx + 1).astype(np.int64), BUCKETS - 1)
@@ -188,8 +203,8 @@ def _cells(ctx: np.ndarray, word: np.ndarray, pair: np.ndarray, n: int, events:
 
 
 def pair_statistics(docs: DataFrame, voc: Vocabulary, ranges: int) -> DataFrame:
-    """Rows (kind, a, b, n, x, y): kind 0, a cell of held-out events; kind 1, a dense pair's count."""
-    shared = docs.sparkSession.sparkContext.broadcast(voc)
+    """Rows (kind, a, b, n, x, y): kind 0, a cell of held-out events; kind 1, the count of a dense or heavy pair."""
+    shared, heavy_from = docs.sparkSession.sparkContext.broadcast(voc), _heavy_from(voc.n)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
@@ -201,9 +216,7 @@ def pair_statistics(docs: DataFrame, voc: Vocabulary, ranges: int) -> DataFrame:
             held = np.repeat(batch.column("held").to_numpy(zero_copy_only=False), counts)
             key, n, m = _counted(((v << _SHIFT) | c)[known], held[known])
             part = _range_of(key, ranges)
-            order = np.argsort(part.astype(np.uint16 if ranges < 1 << 16 else np.int64), kind="stable")
-            edges = np.searchsorted(part[order], np.arange(ranges + 1))
-            used = [(p, order[edges[p] : edges[p + 1]]) for p in range(ranges) if edges[p] < edges[p + 1]]
+            used = _split(part, ranges)
             blobs = [b"".join((_planes(np.diff(key[i] >> _SHIFT, prepend=0)), _planes(key[i] & _LOW), _planes(n[i]), _planes(m[i]))) for _, i in used]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in used], pa.int32()), pa.array(blobs, pa.binary())], names=["p", "blob"])
 
@@ -219,7 +232,7 @@ def pair_statistics(docs: DataFrame, voc: Vocabulary, ranges: int) -> DataFrame:
         ev = m > 0
         train = voc.count - voc.held
         cell, total, mx, my = _cells(train[v[ev]], train[w[ev]], (n - m)[ev], int(train.sum()), m[ev])
-        dense = (v < DENSE) & (w < DENSE)
+        dense = (v < DENSE) & (w < DENSE) | (n >= heavy_from)
         k = dense.sum()
         return pa.table(
             {
@@ -336,6 +349,16 @@ def _log_mix(voc: Vocabulary, weights: np.ndarray, ctx: np.ndarray, word: np.nda
     return np.log10(k[:, 0] * q2 + k[:, 1] * q1 + k[:, 2] / (voc.v + 1))
 
 
+def _among(heavy: np.ndarray, key: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted ``heavy``, and the positions that have them, of those keys ``asked`` that are heavy."""
+    asked = np.flatnonzero(asked)
+    if not len(heavy):
+        return asked[:0], asked[:0]
+    at = np.minimum(np.searchsorted(heavy, key[asked]), len(heavy) - 1)
+    hit = heavy[at] == key[asked]
+    return at[hit], asked[hit]
+
+
 def _log_p(voc: Vocabulary, weights: np.ndarray, v: np.ndarray, w: np.ndarray, pair: np.ndarray) -> np.ndarray:
     return _log_mix(voc, weights, voc.count[v], voc.count[w], pair)
 
@@ -346,31 +369,36 @@ def scores(docs: DataFrame, learn: str = "learn", limit: int = VOCABULARY) -> Da
     ``limit``: words in the broadcast table; no result depends on it.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.col(learn).alias("learn"), (F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0).alias("held")).fillna({"held": False})
-    words = cut(word_counts(docs))
+    keyed, clashes = row_keys(docs.select("doc_id", "text", F.col(learn).alias("learn")))
+    docs = keyed.select(F.col("__key").alias("doc_id"), "text", "learn", (F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0).alias("held")).fillna({"held": False})
+    words = stow(word_counts(docs))
     voc = vocabulary(words, limit)
     release(spark)
     ranges = max(12, -(-voc.n // RANGE_TOKENS))
-    stats = cut(pair_statistics(docs, voc, ranges))
+    stats = stow(pair_statistics(docs, voc, ranges))
     release(spark)
     cells = stats.filter("kind = 0")
     if voc.rare_types:
-        tail = cut(tail_pairs(docs, voc))
-        counted = cut(tail_counts(tail, words))
+        tail = stow(tail_pairs(docs, voc))
+        counted = stow(tail_counts(tail, words))
         release(spark)
         cells = cells.unionByName(tail_cells(counted, voc)).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"))
     cells = cells.toArrow()  # at most BUCKETS * cells per estimate squared
     n = cells["n"].to_numpy()
     weights = expectation_maximisation(cells["b"].to_numpy(), n, cells["x"].to_numpy() / n, cells["y"].to_numpy() / n, 1 / (voc.v + 1)) if len(n) else np.tile([1e-6, 0.5, 0.5], (BUCKETS, 1))
-    pairs = stats.filter("kind = 1").select("a", "b").toArrow()  # at most DENSE squared
+    pairs = stats.filter("kind = 1").select("a", "b").toArrow()  # at most DENSE squared + HEAVY_PAIRS
     dense = np.zeros((DENSE, DENSE), np.int64 if voc.n >= 1 << 31 else np.int32)
-    key = pairs["a"].to_numpy()
-    dense[key >> _SHIFT, key & _LOW] = pairs["b"].to_numpy()
-    shared = spark.sparkContext.broadcast((voc, weights, dense))
+    key, n = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+    v, w = key >> _SHIFT, key & _LOW
+    inside = (v < DENSE) & (w < DENSE)
+    dense[v[inside], w[inside]] = n[inside]
+    order = np.argsort(key[~inside])
+    heavy, heavy_n = key[~inside][order], n[~inside][order]
+    shared = spark.sparkContext.broadcast((voc, weights, dense, heavy, heavy_n))
     total = voc.n + 0.5 * (voc.v + 1)
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, weights, dense = shared.value
+        voc, weights, dense, heavy, heavy_n = shared.value
         end = int(voc.classes(np.array([END]))[0])
         for batch, h, counts in _units(batches):
             c = voc.classes(h)
@@ -379,6 +407,8 @@ def scores(docs: DataFrame, learn: str = "learn", limit: int = VOCABULARY) -> Da
             base = np.bincount(row[known], weights=np.log10((voc.count[c[known]] + 0.5) / total), minlength=len(counts)).astype(float)
             near = (v < min(DENSE, voc.rare)) & (c < min(DENSE, voc.rare))
             direct = np.bincount(row[near], weights=_log_p(voc, weights, v[near], c[near], dense[v[near], c[near]]), minlength=len(counts)).astype(float)
+            at, often = _among(heavy, (v << _SHIFT) | c, ~near)
+            direct += np.bincount(row[often], weights=_log_p(voc, weights, v[often], c[often], heavy_n[at]), minlength=len(counts))
             rare = ~known
             at, w, m = row[rare], h[rare].view(np.int64), None
             order = np.lexsort((w, at))
@@ -395,7 +425,7 @@ def scores(docs: DataFrame, learn: str = "learn", limit: int = VOCABULARY) -> Da
             )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, _, _ = shared.value
+        voc, _, _, heavy, _ = shared.value
         end, limit = int(voc.classes(np.array([END]))[0]), min(DENSE, voc.rare)
         for batch, h, counts in _units(batches):
             c = voc.classes(h)
@@ -403,19 +433,14 @@ def scores(docs: DataFrame, learn: str = "learn", limit: int = VOCABULARY) -> Da
             far = (v >= limit) | (c >= limit)
             if voc.rare_types:  # else words outside the table are unseen and have no counts
                 far &= (v != voc.rare) & (c != voc.rare)
+            far[_among(heavy, (v << _SHIFT) | c, far)[1]] = False
             bits = np.int64(max(1, len(counts).bit_length()))  # 45 bits of a pair and those of a batch's row fit one sort key
             both, m = _runs((((v[far] << _SHIFT) | c[far]) << bits) | row[far])
             key, row = both >> bits, both & ((np.int64(1) << bits) - 1)
             part = _range_of(key, ranges)
-            order = np.argsort(part.astype(np.uint16 if ranges < 1 << 16 else np.int64), kind="stable")
-            key, row, m, part = key[order], row[order], m[order], part[order]
-            edges = np.searchsorted(part, np.arange(ranges + 1))
             ids, learn = batch.column("doc_id").to_numpy(), batch.column("learn").to_numpy(zero_copy_only=False)
             out: dict[str, list] = {"p": [], "ids": [], "learn": [], "blob": []}
-            for p in range(ranges):
-                i = slice(edges[p], edges[p + 1])
-                if edges[p] == edges[p + 1]:
-                    continue
+            for p, i in _split(part, ranges):
                 used, local = np.unique(row[i], return_inverse=True)
                 out["p"].append(p)
                 out["ids"].append(ids[used])
@@ -424,7 +449,7 @@ def scores(docs: DataFrame, learn: str = "learn", limit: int = VOCABULARY) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(out["p"], pa.int32()), pa.array(out["ids"], pa.list_(pa.int64())), pa.array(out["learn"], pa.binary()), pa.array(out["blob"], pa.binary())], names=list(out))
 
     def score_range(table: pa.Table) -> pa.Table:
-        voc, weights, _ = shared.value
+        voc, weights, *_ = shared.value
         keys, docs_of, many, ids, learn, at = [], [], [], [], [], 0
         for i in range(table.num_rows):
             own, bits, b = table["ids"][i].values.to_numpy(), table["learn"][i].as_py(), table["blob"][i].as_py()
@@ -447,10 +472,7 @@ def scores(docs: DataFrame, learn: str = "learn", limit: int = VOCABULARY) -> Da
         part = np.bincount(doc, weights=m * np.repeat(log_p, np.diff(np.append(first, len(key)))), minlength=len(ids))
         ids, at = np.unique(ids, return_inverse=True)
         part = np.bincount(at, weights=part, minlength=len(ids))
-        bucket = _range_of(ids, ranges)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(ranges + 1))
-        used = [(k, order[edges[k] : edges[k + 1]]) for k in range(ranges) if edges[k] < edges[k + 1]]
+        used = _split(_range_of(ids, ranges), ranges)
         return pa.table({"bucket": pa.array([k for k, _ in used], pa.int32()), "ids": pa.array([ids[i] for _, i in used], pa.list_(pa.int64())), "parts": pa.array([part[i] for _, i in used], pa.list_(pa.float64()))})
 
     def gather(table: pa.Table) -> pa.Table:
@@ -458,7 +480,7 @@ def scores(docs: DataFrame, learn: str = "learn", limit: int = VOCABULARY) -> Da
         ids, at = np.unique(ids, return_inverse=True)
         return pa.table({"doc_id": ids, "far": np.bincount(at, weights=parts, minlength=len(ids))})
 
-    rows = cut(docs.select("doc_id", "text", "learn").mapInArrow(per_document, "doc_id long, learn boolean, n_tokens long, known long, base double, direct double, rare array<struct<w: long, m: int>>"))
+    rows = stow(docs.select("doc_id", "text", "learn").mapInArrow(per_document, "doc_id long, learn boolean, n_tokens long, known long, base double, direct double, rare array<struct<w: long, m: int>>"))
     release(spark)
     one = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / total)
     rare = rows.select("doc_id", F.explode("rare").alias("r")).select("doc_id", "r.w", "r.m").join(words.select("w", "n"), "w", "left")
@@ -470,7 +492,11 @@ def scores(docs: DataFrame, learn: str = "learn", limit: int = VOCABULARY) -> Da
         far = far.unionByName(own).groupBy("doc_id").agg(F.sum("far").alias("far"))
     copies = rows.groupBy("doc_id").agg(F.count("*").alias("copies"))
     zero = F.lit(0.0)
+    discard(stats)
     out = rows.join(copies, "doc_id").join(rare, "doc_id", "left").join(far, "doc_id", "left")
+    if clashes:
+        own = keyed.filter("__clash").select("__key", F.col("doc_id").alias("own")).distinct()
+        out = out.join(own, F.col("doc_id") == F.col("__key"), "left").withColumn("doc_id", F.when(F.col("__key").isNull(), F.col("doc_id")).otherwise(F.col("own")))
     return out.select(
         "doc_id",
         "learn",
