@@ -9,12 +9,13 @@ word strings, and the hit words counted from the windows' positions. Items of fe
 WINDOW words are one window of their own length; for the (at most 12) such lengths that
 occur, all runs of that length are fingerprints.
 
-Broadcasts: an item-side table is broadcast only when its counted rows are at most
-``BROADCAST_ROWS``; beyond that the same joins shuffle.
+What a text holds is decided once per distinct text (two 64-bit hashes), however many
+documents share it. Broadcasts: an item-side table is broadcast only when its counted rows
+are few (``common.small``); beyond that the same joins shuffle.
 
 Cases: null and wordless texts have no words, no hits and are clean; equal items all
-count; repeated document rows each give a row; an empty table of either kind works;
-further columns are ignored here and kept by ``stage``.
+count; repeated document rows and null ids each give a row; an empty table of either kind
+works; further columns are ignored here and kept by ``stage``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import ascii_lower, cut, read
+from lumenweave.llm.common import ascii_lower, cut, read, small
 
 WINDOW = 13
 K = 6
 #: Characters that separate words: ASCII other than digits and a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 100_000
 SHARE = 20
 
 
@@ -90,12 +90,12 @@ def fingerprints(words: Column, window: int, k: int, short: set[int]) -> Column:
     return parts[0] if len(parts) == 1 else F.array_distinct(F.concat(*parts))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _text_key(text: Column | str) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")]
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document that holds an item's window: (id, text_hash, n_hit long, spans array<struct<start,len>>, items array)."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per distinct text that holds an item's window: (t1, t2, n_words long, n_hit long, spans array<struct<start,len>>, items array)."""
     item_words = items.select(F.col(item_id).alias("item_id"), word_array(item_text).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
     item_words = cut(item_words)
     short = {r["n"] for r in item_words.filter(F.col("n") < window).select("n").distinct().collect()}
@@ -109,21 +109,20 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
         one = F.explode(run_hashes(F.col("words"), n))
         item_fps = item_fps.unionAll(whole.filter(F.col("n") == n).select(one.alias("x")).select(F.xxhash64(F.lit(n), "x").alias("fp")))
     item_fps = cut(item_fps.distinct())
-    key = [F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash")]
     own = let(word_array(text), lambda w: fingerprints(w, window, k, short))
-    seen = docs.select(*key, F.explode(own).alias("fp"))
-    suspects = cut(seen.join(_small(item_fps), "fp", "left_semi").select("id", "text_hash").distinct())
-    bodies = docs.select(*key, F.col(text).alias("body")).join(suspects, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"])
-    bodies = bodies.select("id", "text_hash", word_array("body").alias("words"))
+    seen = docs.select(*_text_key(text), F.explode(own).alias("fp"))
+    suspects = cut(seen.join(small(item_fps), "fp", "left_semi").select("t1", "t2").distinct())
+    bodies = docs.select(*_text_key(text), F.col(text).alias("body")).join(small(suspects), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    bodies = bodies.select("t1", "t2", word_array("body").alias("words")).withColumn("n_words", F.size("words").cast("long"))
     lengths = sorted({window} | short)
 
     def windows(n: int) -> Column:
         at = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.struct(i.alias("start"), F.lit(n).alias("len"), F.array_join(F.slice("words", i, n), " ").alias("span")))
 
-    spans = bodies.select("id", "text_hash", F.explode(F.concat(*[windows(n) for n in lengths])).alias("s"))
-    hits = spans.select("id", "text_hash", "s.start", "s.len", "s.span").join(_small(item_windows), ["len", "span"])
-    found = hits.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"), F.collect_set("item_id").alias("items"))
+    spans = bodies.select("t1", "t2", "n_words", F.explode(F.concat(*[windows(n) for n in lengths])).alias("s"))
+    hits = spans.select("t1", "t2", "n_words", "s.start", "s.len", "s.span").join(small(item_windows), ["len", "span"])
+    found = hits.groupBy("t1", "t2", "n_words").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"), F.collect_set("item_id").alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
     covered = F.aggregate(
         "spans",
@@ -137,18 +136,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     return found.withColumn("n_hit", covered)
 
 
+def _too_much(n_hit: str, n_words: str) -> Column:
+    return (F.col(n_hit) > 0) & (F.col(n_hit) * SHARE >= F.col(n_words))
+
+
 def flagged(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """``docs`` with n_words, n_hit, items and contaminated added (clashing names are replaced)."""
-    found = contamination(docs, items, **how).select(F.col("id").alias("__id"), F.col("text_hash").alias("__th"), F.col("n_hit").alias("__hit"), F.col("items").alias("__items"))
-    rows = docs.withColumn("n_words", F.size(word_array("text")).cast("long"))
-    rows = rows.withColumn("__key", F.xxhash64("text"))
-    out = rows.join(found, rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["__key"] == F.col("__th")), "left")
-    hit = F.coalesce("__hit", F.lit(0).cast("long"))
+    found = small(cut(contamination(docs, items, **how).select(F.col("t1").alias("__a"), F.col("t2").alias("__b"), F.col("n_hit").alias("__hit"), F.col("items").alias("__items"))))
+    a, b = _text_key("text")
+    out = docs.withColumns({"n_words": F.size(word_array("text")).cast("long"), "__t1": a, "__t2": b})
+    out = out.join(found, (F.col("__t1") == F.col("__a")) & (F.col("__t2") == F.col("__b")), "left")
     return (
-        out.withColumn("n_hit", hit)
-        .withColumn("items", F.coalesce("__items", F.array().cast("array<bigint>")))
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
-        .drop("__id", "__th", "__hit", "__items", "__key")
+        out.withColumn("n_hit", F.coalesce("__hit", F.lit(0).cast("long")))
+        .withColumn("items", F.coalesce("__items", F.array().cast(found.schema["__items"].dataType)))
+        .withColumn("contaminated", _too_much("n_hit", "n_words"))
+        .drop("__a", "__b", "__t1", "__t2", "__hit", "__items")
     )
 
 
@@ -161,5 +163,8 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: contaminated documents go."""
-    return flagged(docs, read(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*docs.columns)
+    """Pipeline: documents that hold a window of WINDOW words, or whose hit words are a SHARE-th of all, go."""
+    found = contamination(docs.select("text"), read(spark, sf_dir, "benchmark"))
+    bad = small(cut(found.filter((F.col("n_hit") >= WINDOW) | _too_much("n_hit", "n_words")).select(F.col("t1").alias("__a"), F.col("t2").alias("__b"))))
+    a, b = _text_key("text")
+    return docs.join(bad, (a == F.col("__a")) & (b == F.col("__b")), "left_anti")
