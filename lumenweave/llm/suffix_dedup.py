@@ -1,17 +1,20 @@
-"""Operator 1: removal of repeated byte strings by a depth-limited radix sort of suffixes.
+"""Operator 1: removal of repeated strings by a depth-limited radix sort of suffixes.
+
+Texts are sequences of units, bytes or words (lower-cased A-Z, white space between), and a
+threshold of so many units is given; everything below holds for both.
 
 Suffixes are ordered by most-significant-digit passes, and only as deep as the threshold
-of ``length`` bytes; after each pass a bucket of one suffix is dropped, and the groups that
-are equal at full depth are exactly the repeated windows. A digit is a run of bytes, its
+of ``length`` units; after each pass a bucket of one suffix is dropped, and the groups that
+are equal at full depth are exactly the repeated windows. A digit is a run of units, its
 bucket the run's hash (64 bits where a pass only drops, 128 where it decides), so a pass
 is a partially aggregated count and a join, without order inside a bucket.
 
-To sort far fewer suffixes than bytes, windows are handled in bundles. Each window of
-``length`` bytes has an anchor, the position of the least 8-byte hash in its first half,
-which depends on its bytes alone; equal windows have equal anchors at equal offsets. The
-windows of an anchor are one bundle (about 80 windows), refined where needed:
+To sort far fewer suffixes than units, windows are handled in bundles. Each window of
+``length`` units has an anchor, the position of the least gram hash in its first half,
+which depends on its units alone; equal windows have equal anchors at equal offsets. The
+windows of an anchor are one bundle (about a fifth of ``length``), refined where needed:
 
-1. first digit: the bytes behind an anchor that all its windows hold. Anchors whose
+1. first digit: the units behind an anchor that all its windows hold. Anchors whose
    digit is unique are dropped with all their windows (most of a corpus ends here).
 2. whole bundle: the string that spans all windows of a bundle, if it occurs twice,
    decides all of them. Undecided bundles go on, each decided group sending one member.
@@ -22,7 +25,9 @@ Every step is exact (up to 128-bit hash collisions) at any group size: counts ar
 aggregated before they are shuffled, and nothing gathers a group in one task.
 
 Cases: null and short texts have no windows; repeated rows (same id and text) are copies
-of each other; an empty table gives an empty result; other columns are ignored.
+of each other and lose the whole text if it is long enough; rows with null ids or with an
+id that other texts have too are told apart by a hash of id and text; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,116 +40,131 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.anchors import GRAM, anchors
-from lumenweave.llm.common import cut, read, release
+from lumenweave.llm import textops as X
+from lumenweave.llm.anchors import anchors, digests, gram, reach
+from lumenweave.llm.common import discard, once, read, release, row_keys, stow
 
 LENGTH = 400
-BLOCK = 14
+#: Words of a passage, the least over 50.
+PASSAGE = 51
+#: Offsets of a block: bytes, words.
+BLOCK = {False: 14, True: 5}
+#: Rows of a batch that a pass returns.
+ROWS = 50_000
+_SMALL, _BIG = pa.int32(), pa.int64()
+
 
+class _Out:
+    """Columns gathered until they fill a batch."""
 
-def _rows(columns: dict[str, list | np.ndarray], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in kinds.items()], names=list(kinds))
+    def __init__(self, **kinds: pa.DataType):
+        self.kinds, self.parts, self.held = kinds, [], 0
 
+    def add(self, **columns) -> Iterator[pa.RecordBatch]:
+        self.parts.append(columns)
+        self.held += len(columns["id"])
+        if self.held >= ROWS:
+            yield from self.rest()
 
-def _h64(b: bytes) -> bytes:
-    return xxhash.xxh3_64_digest(b)
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            columns = [pa.array(np.concatenate([np.asarray(p[k]) for p in self.parts]), t) for k, t in self.kinds.items()]
+            yield pa.RecordBatch.from_arrays(columns, names=list(self.kinds))
+        self.parts, self.held = [], 0
 
 
 def _h128(b: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b)
 
 
-def _longs(digests: list[bytes], words: int) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, words)
+def _longs(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    g = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return g[:, 0], g[:, 1]
 
 
-def _reach(length: int) -> int:
-    """Positions among which a window's anchor is sought: half a window, less a gram."""
-    return max(1, length // 2 - GRAM + 1)
+def _unit_blocks(texts: pa.Array, words: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, units, offsets) of blocks of texts."""
+    for row, data, offsets in X.string_blocks(texts):
+        if words:
+            h, counts = X.tokens(data, offsets)
+            yield row, h, np.concatenate([[0], np.cumsum(counts)])
+        else:
+            yield row, data, offsets
 
 
-_SMALL, _BIG = pa.int32(), pa.int64()
-
+def _listed_rows(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[tuple[int, memoryview, int, pa.StructArray]]:
+    """(id, units as bytes, bytes per unit, todo) of each row of (id, body, todo)."""
+    for batch in batches:
+        ids, todo = batch.column("id").to_pylist(), batch.column("todo")
+        for row, units, offsets in _unit_blocks(batch.column("body"), words):
+            view, size = memoryview(np.ascontiguousarray(units).view(np.uint8)), units.itemsize
+            for i in range(len(offsets) - 1):
+                yield ids[row + i], view[offsets[i] * size : offsets[i + 1] * size], size, todo[row + i].values
 
-def _first_digit(length: int) -> Callable:
-    reach = _reach(length)
-    kinds = {"id": _BIG, "pos": _SMALL, "lo": _SMALL, "hi": _SMALL, "h": _BIG}
 
+def _first_digit(length: int, words: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Out(id=_BIG, pos=_SMALL, lo=_SMALL, hi=_SMALL, h=_BIG)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in kinds}
-            held = 0
-            for doc, body in zip(batch.column("id").to_pylist(), batch.column("body"), strict=True):
-                data = body.as_buffer() if body.is_valid else b""
-                view = memoryview(data)
-                pos, lo, hi = anchors(np.frombuffer(view, np.uint8), length, reach)
-                if not len(pos):
-                    continue
-                h = _longs([_h64(view[p : p + length - reach + 1]) for p in pos.tolist()], 1)[:, 0]
-                for k, v in (("id", np.full(len(pos), doc)), ("pos", pos), ("lo", lo), ("hi", hi), ("h", h)):
-                    out[k].append(v)
-                held += len(pos)
-                if held > 50_000:
-                    yield _rows({k: np.concatenate(v) for k, v in out.items()}, kinds)
-                    out, held = {k: [] for k in kinds}, 0
-            if held:
-                yield _rows({k: np.concatenate(v) for k, v in out.items()}, kinds)
+            ids = batch.column("id").to_numpy()
+            for row, units, offsets in _unit_blocks(batch.column("body"), words):
+                text, pos, lo, hi = anchors(units, offsets, length)
+                if len(pos):
+                    h = digests(units, pos, length - reach(length, gram(units)) + 1)
+                    yield from out.add(id=ids[row + text], pos=pos - offsets[text], lo=lo, hi=hi, h=h)
+        yield from out.rest()
 
     return run
 
 
-def _bundles(length: int) -> Callable:
-    kinds = {"id": _BIG, "pos": _SMALL, "lo": _SMALL, "hi": _SMALL, "h": _BIG, "g1": _BIG, "g2": _BIG}
-
+def _bundles(length: int, words: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                doc, body, todo = batch.column("id")[at].as_py(), memoryview(batch.column("body")[at].as_buffer()), batch.column("todo")[at].values
-                pos, lo, hi, h = (todo.field(k).to_numpy() for k in ("pos", "lo", "hi", "h"))
-                g = _longs([_h128(b"%d,%d;" % (a, b) + body[p - b : p - a + length]) for p, a, b in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True)], 2)
-                yield _rows({"id": np.full(len(pos), doc), "pos": pos, "lo": lo, "hi": hi, "h": h, "g1": g[:, 0], "g2": g[:, 1]}, kinds)
+        out = _Out(id=_BIG, pos=_SMALL, lo=_SMALL, hi=_SMALL, h=_BIG, g1=_BIG, g2=_BIG)
+        for doc, body, u, todo in _listed_rows(batches, words):
+            pos, lo, hi, h = (todo.field(k).to_numpy() for k in ("pos", "lo", "hi", "h"))
+            g1, g2 = _longs([_h128(b"%d,%d;" % (a, b) + body[(p - b) * u : (p - a + length) * u]) for p, a, b in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True)])
+            yield from out.add(id=np.full(len(pos), doc), pos=pos, lo=lo, hi=hi, h=h, g1=g1, g2=g2)
+        yield from out.rest()
 
     return run
 
 
-def _blocks(length: int) -> Callable:
-    kinds = {"id": _BIG, "s0": _SMALL, "s1": _SMALL, "open": pa.bool_(), "h": _BIG, "g1": _BIG, "g2": _BIG}
+def _blocks(length: int, words: bool) -> Callable:
+    block = BLOCK[words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                doc, body, todo = batch.column("id")[at].as_py(), memoryview(batch.column("body")[at].as_buffer()), batch.column("todo")[at].values
-                s0, s1, is_open, core, span = [], [], [], [], []
-                for p, lo, hi, o in zip(*(todo.field(k).to_pylist() for k in ("pos", "lo", "hi", "open")), strict=True):
-                    for b in range(lo // BLOCK, hi // BLOCK + 1):
-                        low, high = max(lo, b * BLOCK), min(hi, b * BLOCK + BLOCK - 1)
-                        s0.append(p - high)
-                        s1.append(p - low)
-                        is_open.append(o)
-                        # what all windows of the whole block hold
-                        core.append(_h64(b"%d;" % b + body[p - b * BLOCK : p - (b + 1) * BLOCK + 1 + length]))
-                        span.append(_h128(b"%d,%d;" % (low, high) + body[p - high : p - low + length]))
-                g = _longs(span, 2)
-                yield _rows({"id": np.full(len(s0), doc), "s0": s0, "s1": s1, "open": is_open, "h": _longs(core, 1)[:, 0], "g1": g[:, 0], "g2": g[:, 1]}, kinds)
+        out = _Out(id=_BIG, s0=_SMALL, s1=_SMALL, open=pa.bool_(), h=_BIG, g1=_BIG, g2=_BIG)
+        for doc, body, u, todo in _listed_rows(batches, words):
+            s0, s1, is_open, core, span = [], [], [], [], []
+            for p, lo, hi, o in zip(*(todo.field(k).to_pylist() for k in ("pos", "lo", "hi", "open")), strict=True):
+                for b in range(lo // block, hi // block + 1):
+                    low, high = max(lo, b * block), min(hi, b * block + block - 1)
+                    s0.append(p - high)
+                    s1.append(p - low)
+                    is_open.append(o)
+                    # what all windows of the whole block hold
+                    core.append(xxhash.xxh3_64_digest(b"%d;" % b + body[(p - b * block) * u : (p - (b + 1) * block + 1 + length) * u]))
+                    span.append(_h128(b"%d,%d;" % (low, high) + body[(p - high) * u : (p - low + length) * u]))
+            g1, g2 = _longs(span)
+            yield from out.add(id=np.full(len(s0), doc), s0=s0, s1=s1, open=is_open, h=np.frombuffer(b"".join(core), np.int64), g1=g1, g2=g2)
+        yield from out.rest()
 
     return run
 
 
-def _windows(length: int) -> Callable:
-    kinds = {"id": _BIG, "s0": _SMALL, "open": pa.bool_(), "g1": _BIG, "g2": _BIG}
-
+def _windows(length: int, words: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                doc, body, todo = batch.column("id")[at].as_py(), memoryview(batch.column("body")[at].as_buffer()), batch.column("todo")[at].values
-                s, is_open, full = [], [], []
-                for a, b, o in zip(*(todo.field(k).to_pylist() for k in ("s0", "s1", "open")), strict=True):
-                    for x in range(a, b + 1):
-                        s.append(x)
-                        is_open.append(o)
-                        full.append(_h128(body[x : x + length]))
-                g = _longs(full, 2)
-                yield _rows({"id": np.full(len(s), doc), "s0": s, "open": is_open, "g1": g[:, 0], "g2": g[:, 1]}, kinds)
+        out = _Out(id=_BIG, s0=_SMALL, open=pa.bool_(), g1=_BIG, g2=_BIG)
+        for doc, body, u, todo in _listed_rows(batches, words):
+            s, is_open, full = [], [], []
+            for a, b, o in zip(*(todo.field(k).to_pylist() for k in ("s0", "s1", "open")), strict=True):
+                for x in range(a, b + 1):
+                    s.append(x)
+                    is_open.append(o)
+                    full.append(_h128(body[x * u : (x + length) * u]))
+            g1, g2 = _longs(full)
+            yield from out.add(id=np.full(len(s), doc), s0=s, open=is_open, g1=g1, g2=g2)
+        yield from out.rest()
 
     return run
 
@@ -177,36 +197,74 @@ def _next(rows: DataFrame, own: Column) -> DataFrame:
     return rows.filter(own).withColumn("open", F.lit(True)).unionByName(others.withColumn("open", F.lit(False)))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(spans, bodies): (id, todo array<struct<s0, s1>>) start ranges of repeated windows, and (id, body) of a superset of those documents."""
-    spark = docs.sparkSession
-    body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
-    long_enough = body.filter(F.octet_length("body") >= length)
-    first = long_enough.mapInArrow(_first_digit(length), "id long, pos int, lo int, hi int, h long")
+def _spans(body: DataFrame, length: int, words: bool) -> tuple[DataFrame, DataFrame]:
+    """Of (id, body) with unique ids: (id, todo array<struct<s0, s1>>) start ranges of repeated windows, and a stowed (id, body, ..) of a superset of those rows."""
+    spark = body.sparkSession
+    # a word takes a byte and a separator at least
+    long_enough = body.filter(F.octet_length("body") >= (2 * length - 1 if words else length))
+    first = stow(long_enough.mapInArrow(_first_digit(length, words), "id long, pos int, lo int, hi int, h long"))
     kept = first.join(_repeated(first, "h"), "h", "left_semi")
-    todo = cut(_listed(kept, "pos", "lo", "hi", "h"))
+    todo = stow(_listed(kept, "pos", "lo", "hi", "h"))
+    discard(first)
+    release(spark)
+    sub = stow(long_enough.join(todo, "id"))
+    discard(todo)
     release(spark)
-    sub = cut(long_enough.join(todo, "id"))
+    bundles = stow(_decide(sub.mapInArrow(_bundles(length, words), "id long, pos int, lo int, hi int, h long, g1 long, g2 long"), "pos"))
     release(spark)
-    bundles = _decide(sub.mapInArrow(_bundles(length), "id long, pos int, lo int, hi int, h long, g1 long, g2 long"), "pos")
-    bundles = cut(bundles)
     spans = bundles.filter("done").select("id", (F.col("pos") - F.col("hi")).alias("s0"), (F.col("pos") - F.col("lo")).alias("s1"))
     todo = _listed(_next(bundles, ~F.col("done")), "pos", "lo", "hi", "open")
-    blocks = cut(sub.select("id", "body").join(todo, "id").mapInArrow(_blocks(length), "id long, s0 int, s1 int, open boolean, h long, g1 long, g2 long"))
+    split = stow(sub.select("id", "body").join(todo, "id").mapInArrow(_blocks(length, words), "id long, s0 int, s1 int, open boolean, h long, g1 long, g2 long"))
     release(spark)
-    blocks = cut(_decide(blocks.join(_repeated(blocks, "h"), "h", "left_semi"), "s0").withColumnRenamed("open", "wanted"))
+    blocks = stow(_decide(split.join(_repeated(split, "h"), "h", "left_semi"), "s0").withColumnRenamed("open", "wanted"))
+    discard(split)
     spans = spans.unionByName(blocks.filter("done AND wanted").select("id", "s0", "s1"))
     todo = _listed(_next(blocks, ~F.col("done") & F.col("wanted")), "s0", "s1", "open")
-    windows = cut(sub.select("id", "body").join(todo, "id").mapInArrow(_windows(length), "id long, s0 int, open boolean, g1 long, g2 long"))
+    windows = stow(sub.select("id", "body").join(todo, "id").mapInArrow(_windows(length, words), "id long, s0 int, open boolean, g1 long, g2 long"))
     release(spark)
     hit = windows.filter("open").join(_repeated(windows, "g1", "g2"), ["g1", "g2"], "left_semi")
-    spans = spans.unionByName(hit.select("id", "s0", F.col("s0").alias("s1")))
-    return cut(_listed(spans, "s0", "s1")), sub.select("id", "body")
+    out = stow(_listed(spans.unionByName(hit.select("id", "s0", F.col("s0").alias("s1"))), "s0", "s1"))
+    discard(bundles, blocks, windows)
+    release(spark)
+    return out, sub
+
+
+def _rows_of(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(keyed rows, one (id, body) for each key, keys of repeated rows if there can be any)."""
+    keyed, clashes = row_keys(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "id")
+    body = once(keyed, clashes).select(F.col("__key").alias("id"), F.col("text").cast("binary").alias("body"))
+    again = keyed.filter("__clash").groupBy("__key").count().filter("count > 1").select(F.col("__key").alias("id")) if clashes else None
+    return keyed, body, again
+
+
+def _with_whole(spans: DataFrame, again: DataFrame | None, body: DataFrame, units: Column, length: int) -> DataFrame:
+    """Rows that occur more than once are one repeated run."""
+    if again is None:
+        return spans
+    whole = body.join(again, "id", "left_semi").withColumn("n", units).filter(F.col("n") >= length)
+    whole = whole.select("id", F.array(F.struct(F.lit(0).alias("s0"), (F.col("n") - length).cast("int").alias("s1"))).alias("todo"))
+    return spans.join(whole, "id", "left_anti").unionByName(whole)
+
+
+def repeated_words(docs: DataFrame, length: int = PASSAGE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_repeated long): words of each row's text inside runs of ``length`` words that occur elsewhere too; rows without any are missing. For ``key`` see ``common.row_keys``."""
+    _, body, again = _rows_of(docs, id_col, text)
+    spans, sub = _spans(body, length, True)
+    discard(sub)
+    words = F.size(F.array_remove(F.split(F.col("body").cast("string"), r"[\x20\x09-\x0D]+"), ""))
+    spans = _with_whole(spans, again, body, words, length)
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    stop = lambda s: (s["s1"] + length).cast("long")
+    step = lambda a, s: F.struct((a["n"] + F.greatest(stop(s) - F.greatest(a["upto"], s["s0"].cast("long")), F.lit(0).cast("long"))).alias("n"), F.greatest(a["upto"], stop(s)).alias("upto"))
+    return spans.select(F.col("id").alias("key"), F.aggregate(F.array_sort("todo"), zero, step, lambda a: a["n"]).alias("n_repeated"))
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that lose bytes: (id, spans array<struct<start, stop>> of maximal removed runs, kept binary)."""
-    spans, bodies = repeated_spans(docs, length, id_col, text)
+    """Texts that lose bytes: (key, spans array<struct<start, stop>> of maximal removed runs, kept binary). For ``key`` see ``common.row_keys``."""
+    _, body, again = _rows_of(docs, id_col, text)
+    spans, sub = _spans(body, length, False)
+    spans = _with_whole(spans, again, body, F.octet_length("body"), length)
+    bodies = sub.select("id", "body") if again is None else body
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -223,22 +281,23 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 edges = np.concatenate([[0], np.stack([starts, stops], 1).ravel(), [len(data)]])
                 kept.append(b"".join(data[a:b] for a, b in edges.reshape(-1, 2).tolist()))
                 runs.append([{"start": a, "stop": b} for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(runs, span), pa.array(kept, pa.binary())], names=["id", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(runs, span), pa.array(kept, pa.binary())], names=["key", "spans", "kept"])
 
-    return bodies.join(spans, "id").mapInArrow(run, "id long, spans array<struct<start: long, stop: long>>, kept binary")
+    return bodies.join(spans, "id").mapInArrow(run, "key long, spans array<struct<start: long, stop: long>>, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns from runs of LENGTH bytes, and n_repeated_words: words inside runs of PASSAGE words that occur elsewhere too."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    passages = repeated_words(docs)
     cleaned = strip_repeats(docs).select(
-        F.col("id").alias("doc_id"),
+        "key",
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("removed"),
         F.size("spans").cast("long").alias("spans"),
         F.sha2("kept", 256).alias("sha"),
     )
-    cleaned = cleaned.dropDuplicates(["doc_id"])
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    whole = docs.select("doc_id", F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("whole"))
-    out = whole.join(cleaned, "doc_id", "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("removed", zero).alias("n_removed"), F.coalesce("spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+    whole = row_keys(docs)[0].select("doc_id", F.col("__key").alias("key"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("whole"))
+    out = whole.join(cleaned, "key", "left").join(passages, "key", "left")
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return out.select("doc_id", "n_bytes", n("removed").alias("n_removed"), n("spans").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"), n("n_repeated").alias("n_repeated_words"))

@@ -96,6 +96,16 @@ def tokens(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE
     return h, np.diff(edges)
 
 
+def run_hashes(units: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` consecutive bytes (uint8) or word hashes (uint64) from each of ``starts``."""
+    up, down = _pow(len(units) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.empty(len(units) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((_LUT[units] if units.dtype == np.uint8 else units) * up[: len(units)], out=sums[1:])
+        return mix((sums[starts + size] - sums[starts]) * down[starts])
+
+
 def sequences(h: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``n`` tokens inside each row, and their number per row."""
     per_row = np.maximum(counts - n + 1, 0)
