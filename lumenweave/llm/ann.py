@@ -10,16 +10,18 @@ the original vectors in double precision, and the tables' answers merge by rank.
 
 Equal vectors are one candidate that carries its ``k + 1`` smallest ids, which are all that
 can appear in a result, so a vector copied into a third of all rows costs one row. Large
-buckets are split into salted parts of about ``PART`` candidates. Queries that found
-fewer than ``k`` candidates are answered exactly, in blocks against all rows.
+buckets are split into a grid of salted parts of about ``PART`` candidates and ``QUERY_PART``
+queries. Queries that found fewer than ``k`` candidates are answered exactly, in blocks
+against all rows.
 
 Probes and bucket size follow the table at hand: ``SAMPLE`` queries are answered exactly, and
 their true neighbours' keys tell how many probes find them. If the given setting finds fewer
 than ``RECALL`` of them, the cheapest pair of bucket size and probes that reaches it is used;
-if none is cheaper than comparing all rows, all queries are answered exactly.
+if none does, all queries are answered exactly.
 
-Nearness is the inner product; hashing sees directions, so vectors whose lengths differ
-by more than ``SPREAD`` are answered exactly as well (no such vectors in the tables here).
+Nearness is the inner product, while hashing sees directions: where lengths differ, rows
+are scaled by the greatest length M and get one more coordinate, sqrt(1 - |x|^2 / M^2)
+(0 for queries), which makes the order of directions that of inner products.
 
 Cases: null, zero or empty vectors, and those with null or non-finite components, or of
 another dimension than most, take no part; ties go to the smaller id; repeated ids are
@@ -35,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import cut, read
+from lumenweave.llm.common import cut, read, small, stow
 
 NEIGHBOURS = 20
-TABLES = 16
-PROBES = 24
-BUCKET = 64
+TABLES = 8
+PROBES = 8
+BUCKET = 512
 PART = 4096
-SPREAD = 1.01
+QUERY_PART = 4096
+#: Lengths that differ by less are equal up to rounding.
+SAME_LENGTH = 1e-6
 QUERY_BLOCK = 4096
 #: Queries whose exact answers choose the probes, and the share of neighbours to be found among them: 0.9 and a margin.
 SAMPLE = 256
@@ -111,8 +115,14 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+def _unit(x: np.ndarray, longest: float | None = None, row: bool = True) -> np.ndarray:
+    """Directions to hash; with ``longest``, those of the space with one more coordinate."""
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    if longest is None:
+        return (x / length).astype(np.float32)
+    if not row:
+        return np.concatenate([x / length, np.zeros((len(x), 1))], 1).astype(np.float32)
+    return np.concatenate([x / longest, np.sqrt(np.maximum(1 - (length / longest) ** 2, 0))], 1).astype(np.float32)
 
 
 def _best(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,29 +161,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col:
     ids = numbered.withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= k + 1).withColumn("r", F.row_number().over(few)).filter(F.col("r") <= k + 1)
     ids = cut(ids.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("id")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    items = cut(rows.join(ids.select("id", "ids"), "id").dropDuplicates(["id"]).withColumn("norm", norm))
+    items = stow(rows.join(ids.select("id", "ids"), "id").dropDuplicates(["id"]).withColumn("norm", norm))
     asked = asked.select("id", "v", *h)
     questions = cut(asked.groupBy("h1", "h2").agg(F.min("id").alias("qid"), F.any_value("v").alias("v")))
     wanted = asked.select("id", "h1", "h2").join(questions.select("h1", "h2", "qid"), ["h1", "h2"]).select(F.col("id").alias("query_id"), "qid")
     n, low, high = items.agg(F.count("*"), F.min("norm"), F.max("norm")).first()
     if low is None:
         return spark.createDataFrame([], schema)
-    if high > low * SPREAD:
-        found = _exact(items, questions.select("qid", "v"), k, dim)
-    else:
-        setting = _setting(items, questions, k, dim, n, tables, probes, bucket)
-        asked = questions.select("qid", "v")
-        found = cut(_exact(items, asked, k, dim) if setting is None else _hashed(items, asked, k, dim, Hasher(dim, n / setting[1], tables), setting[0]))
-        enough = found.groupBy("qid").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") >= k + 1).select("qid")
-        rest = cut(questions.select("qid", "v").join(enough, "qid", "left_anti"))
-        found = found.join(rest.select("qid"), "qid", "left_anti").unionByName(_exact(items, rest, k, dim))
+    longest = None if high <= low * (1 + SAME_LENGTH) else high
+    space = dim + (longest is not None)
+    setting = _setting(items, questions, k, dim, longest, n, tables, probes, bucket)
+    asked = questions.select("qid", "v")
+    found = stow(_exact(items, asked, k, dim) if setting is None else _hashed(items, asked, k, dim, longest, Hasher(space, n / setting[1], tables), setting[0]))
+    enough = found.groupBy("qid").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") >= k + 1).select("qid")
+    rest = cut(questions.select("qid", "v").join(enough, "qid", "left_anti"))
+    found = found.join(rest.select("qid"), "qid", "left_anti").unionByName(_exact(items, rest, k, dim))
     answers = wanted.join(found, "qid").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id != query_id").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _setting(items: DataFrame, questions: DataFrame, k: int, dim: int, n: int, tables: int, probes: int, bucket: int) -> tuple[int, int] | None:
-    """Probes and bucket size that find RECALL of the sampled queries' neighbours; None: comparing all rows costs less."""
+def _setting(items: DataFrame, questions: DataFrame, k: int, dim: int, longest: float | None, n: int, tables: int, probes: int, bucket: int) -> tuple[int, int] | None:
+    """Probes and bucket size that find RECALL of the sampled queries' neighbours; None if none does."""
     sample = cut(questions.orderBy("h1", "h2").limit(SAMPLE).select("qid", "v"))
     truth = _exact(items, sample, k, dim).select("qid", F.get("ids", F.lit(0)).alias("id"))
     # at most SAMPLE * (k + 1) rows; a query's own vector is no neighbour to be found
@@ -181,7 +190,8 @@ def _setting(items: DataFrame, questions: DataFrame, k: int, dim: int, n: int, t
     if not rows.num_rows:
         return probes, bucket
     asked, at = np.unique(_matrix(rows["v"], dim), axis=0, return_inverse=True)
-    asked, near, at = _unit(asked), _unit(_matrix(rows["near"], dim)), at.ravel()
+    asked, near, at = _unit(asked, longest, False), _unit(_matrix(rows["near"], dim), longest), at.ravel()
+    space = near.shape[1]
 
     def needed(hasher: Hasher, most: int) -> np.ndarray:
         """Per neighbour, the probes that reach it in its best table; ``most`` + 1 if none does."""
@@ -193,13 +203,13 @@ def _setting(items: DataFrame, questions: DataFrame, k: int, dim: int, n: int, t
             out = np.where(hit.any(1), np.minimum(out, hit.argmax(1) + 1), out)
         return out
 
-    if (needed(Hasher(dim, n / bucket, tables), probes) <= probes).mean() >= RECALL:
+    if (needed(Hasher(space, n / bucket, tables), probes) <= probes).mean() >= RECALL:
         return probes, bucket
-    best, least = None, float(n)
-    for size in (bucket * 4**i for i in range(5)):
-        if size * 2 > n:
+    best, least = None, float("inf")
+    for size in (bucket // 8, bucket // 2, bucket, bucket * 4, bucket * 16):
+        if best and size * 2 > n:
             break
-        found = np.sort(needed(Hasher(dim, n / size, tables), MOST_PROBES))
+        found = np.sort(needed(Hasher(space, n / size, tables), MOST_PROBES))
         p = int(found[int(np.ceil(RECALL * len(found))) - 1])
         cost = float(tables * p * (size + PROBE_COST))
         if p <= MOST_PROBES and cost < least:
@@ -214,27 +224,34 @@ def _pack(qid: np.ndarray, ids: list, score: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(score, pa.float64())], names=["qid", "ids", "score"])
 
 
-def _hashed(items: DataFrame, questions: DataFrame, k: int, dim: int, hasher: Hasher, probes: int) -> DataFrame:
+def _hashed(items: DataFrame, questions: DataFrame, k: int, dim: int, longest: float | None, hasher: Hasher, probes: int) -> DataFrame:
     rows = max(16, (1 << 19) // (probes * max(1, dim)))  # bounds the probed combinations held at once
 
     def place(probe: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
-                x = _unit(_matrix(batch.column("v"), dim))
-                for t in range(hasher.tables):
-                    keys = hasher.probes(x, t, probes) if probe else hasher.keys(x, t)[:, None]
-                    row = np.repeat(np.arange(len(x)), keys.shape[1])
-                    part = batch.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(row), t, np.int32)), pa.array(keys.ravel())], names=[*part.schema.names, "t", "key"])
+                x = _unit(_matrix(batch.column("v"), dim), longest, not probe)
+                keys = np.concatenate([hasher.probes(x, t, probes) if probe else hasher.keys(x, t)[:, None] for t in range(hasher.tables)], 1)
+                ends = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], names=[*batch.schema.names, "keys"])
 
         return run
 
-    kept = items.select("id", "ids", "v").mapInArrow(place(False), "id long, ids array<long>, v array<double>, t int, key long")
-    probed = questions.select("qid", "v").mapInArrow(place(True), "qid long, v array<double>, t int, key long")
-    large = kept.groupBy("t", "key").count().filter(F.col("count") > PART).select("t", "key", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    large = cut(large)  # at most tables * rows / PART rows
-    kept = kept.join(F.broadcast(large), ["t", "key"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    probed = probed.join(F.broadcast(large), ["t", "key"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    width = int(min(probes, np.prod([2.0 * m for m in hasher.axes])))
+    kept = stow(items.select("id", "ids", "v").mapInArrow(place(False), "id long, ids array<long>, v array<double>, keys array<long>"))
+    probed = stow(questions.select("qid", "v").mapInArrow(place(True), "qid long, v array<double>, keys array<long>"))
+    kept = kept.select("id", "ids", "v", F.posexplode("keys").alias("t", "key"))
+    probed = probed.select("qid", "v", F.posexplode("keys").alias("t", "key")).withColumn("t", F.floor(F.col("t") / width).cast("int"))
+    rows, asked = kept.groupBy("t", "key").agg(F.count("*").alias("n")), probed.groupBy("t", "key").agg(F.count("*").alias("q"))
+    many = rows.join(asked, ["t", "key"]).filter((F.col("n") > PART) | (F.col("q") > QUERY_PART))
+    large = cut(many.select("t", "key", F.ceil(F.col("n") / PART).cast("int").alias("parts"), F.ceil(F.col("q") / QUERY_PART).cast("int").alias("sides")))
+
+    def dealt(df: DataFrame, name: str, own: str, over: str, other: str, others: str) -> DataFrame:
+        """Each row in one part of its own kind and in all parts of the other kind."""
+        df = df.join(small(large), ["t", "key"], "left").withColumn(own, F.coalesce(F.pmod(F.xxhash64(name), F.col(over)), F.lit(0)).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1))).drop("parts", "sides")
+
+    kept, probed = dealt(kept, "id", "part", "parts", "side", "sides"), dealt(probed, "qid", "side", "sides", "part", "parts")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -247,7 +264,7 @@ def _hashed(items: DataFrame, questions: DataFrame, k: int, dim: int, hasher: Ha
             out.append(pa.RecordBatch.from_arrays([pa.array(qid), ids.take(pa.array(top.ravel())), pa.array(score.ravel())], names=["qid", "ids", "score"]))
         return pa.Table.from_batches(out)
 
-    on = ["t", "key", "part"]
+    on = ["t", "key", "part", "side"]
     pairs = kept.groupBy(*on).cogroup(probed.groupBy(*on)).applyInArrow(meet, _FOUND)
     pairs = pairs.withColumn("first", F.get("ids", F.lit(0))).dropDuplicates(["qid", "first"])
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "first")
