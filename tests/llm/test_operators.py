@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenweave.llm.common import row_keys
 from lumenweave.llm import ann, bpe, decontam, lines, lm, neardup, secrets, sharding, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -49,10 +50,34 @@ def test_op1(spark, texts):
         assert got[d].n_spans == int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
 
 
+def test_op1_words(spark, texts):
+    """Words inside runs of PASSAGE words that occur elsewhere."""
+    n, seen, docs = suffix_dedup.PASSAGE, collections.Counter(), [(d, words(t)) for d, t in texts]
+    for _, w in docs:
+        seen.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    want = {}
+    for d, w in docs:
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                gone[i : i + n] = True
+        want[d] = int(gone.sum())
+    assert {r.doc_id: r.n_repeated_words for r in suffix_dedup.op1_suffix_dedup(spark, SF).collect()} == want and any(want.values())
+
+
 def test_op1_odd(spark, odd):
-    got = {r.id: r for r in suffix_dedup.strip_repeats(odd).collect()}
-    assert set(got) == {4, 5} and bytes(got[4].kept) == b""
-    assert suffix_dedup.strip_repeats(odd.limit(0)).count() == 0
+    """Copies, a repeated row, a null id and an id of two texts keep to their own bytes."""
+    other = "another text of its own " * 40
+    docs = odd.unionByName(spark.createDataFrame([(None, LONG, None, 0), (7, other, None, 0), (7, "b" * 600 + "c", None, 0), (8, other[:500], None, 0)], DOCS))
+    keyed = row_keys(docs)[0].select("doc_id", "text", "__key")
+    for df in (suffix_dedup.strip_repeats(docs), suffix_dedup.repeated_words(docs)):
+        assert df.count() == df.select("key").distinct().count()
+    gone = keyed.join(suffix_dedup.strip_repeats(docs), F.col("__key") == F.col("key")).collect()
+    got = sorted((r.doc_id or 0, len(r.kept), [(s.start, s.stop) for s in r.spans]) for r in gone)
+    size = len(LONG.encode())
+    assert got == [(0, 0, [(0, size)]), (4, 0, [(0, size)]), (5, 0, [(0, size)]), (5, 0, [(0, size)]), (7, 0, [(0, len(other))]), (7, 1, [(0, 600)]), (8, 0, [(0, 500)])]
+    assert {r.key: r.n_repeated for r in suffix_dedup.repeated_words(docs).collect()}[4] == 3000
+    assert suffix_dedup.strip_repeats(odd.limit(0)).count() == 0 and suffix_dedup.repeated_words(odd.limit(0)).count() == 0
 
 
 def test_op2_odd(spark, odd):
@@ -181,6 +206,28 @@ def test_op7_recall_grows_probes(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_op7_unequal_lengths(spark, monkeypatch):
+    """Inner products of vectors of any length go by hashing; large buckets are split on both sides."""
+    monkeypatch.setattr(ann, "PART", 64)
+    monkeypatch.setattr(ann, "QUERY_PART", 8)
+    exact, calls = ann._exact, []
+    monkeypatch.setattr(ann, "_exact", lambda items, questions, *a: calls.append(questions.count()) or exact(items, questions, *a))
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 12)) * rng.uniform(0.5, 1.5, (3000, 1))
+    v[7] = v[8]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(8, v[8].tolist())], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, df.filter("vec_id % 40 = 0"), k=10, bucket=256).orderBy("rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    recall = []
+    for q in range(0, 3000, 40):
+        s = v @ v[q]
+        s[q] = -np.inf
+        recall.append(len(set(np.argsort(-s)[:10].tolist()) & {i for i, _ in got[q]}) / 10)
+        assert all(abs(x - v[i] @ v[q]) < 1e-9 for i, x in got[q]) and len(got[q]) == 10
+    assert np.mean(recall) >= 0.9 and max(calls[1:]) < 75
+
+
 def test_op7_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [0.0, 1.0]), (6, [1.0]), (7, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
