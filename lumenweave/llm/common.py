@@ -39,7 +39,8 @@ def stow(df: DataFrame) -> DataFrame:
     """``cut`` as a compressed table in the same folder, for what is large: less disk, columns pruned, free again by ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: a task holds one in memory while it writes
+    df.write.option("compression", "zstd").option("parquet.block.size", str(8 << 20)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stowed = path
     return out
