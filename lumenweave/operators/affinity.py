@@ -133,21 +133,26 @@ def color_mixture(pixels: DataFrame, k: int, xy: float = 1.0, queries: Column |
     return lle_weights(found, nonlocal_features(pixels, xy), ["r", "g", "b", *(["fx", "fy"] if use_xy else [])]).select("image_id", F.col("q").alias("i"), "j", "v")
 
 
-def local_affinity(pixels: DataFrame, epsilon: float = 1e-7) -> DataFrame:
+def local_affinity(pixels: DataFrame, epsilon: float = 1e-6) -> DataFrame:
     """Closed-form weights over interior windows that touch an unknown pixel, row-normalised."""
     soft = pixels.withColumn("u", ~((F.col("t") > 0.8) | (F.col("t") < 0.2)))
     near = dilate(soft, F.col("u"), 1).filter("grown").select("image_id", "x", "y")
     inner = soft.filter((F.col("x") >= 1) & (F.col("x") < F.col("w") - 1) & (F.col("y") >= 1) & (F.col("y") < F.col("h") - 1)).join(near, ["image_id", "x", "y"], "left_semi").select("image_id", "i")
     w = closed_form_affinity(pixels, epsilon, inner)
-    d = linalg.row_sums(w).withColumn("v", 1 / F.when(F.abs("v") < 0.05, 1.0).otherwise(F.col("v")))
+    d = linalg.row_sums(w).withColumn("v", 1 / F.when(F.col("v") < 0.05, 1.0).otherwise(F.col("v")))
     return linalg.scale_rows(w, d)
 
 
-def color_similarity(pixels: DataFrame, k: int, xy: float = 0.05, queries: Column | None = None, scale: float = 100.0) -> DataFrame:
-    """COO of max(0, 1 - mean absolute feature difference) over k neighbours, halves of both directions."""
-    found = nonlocal_neighbours(pixels, k, xy, queries)
-    f = nonlocal_features(pixels, xy).select("image_id", "i", "r", "g", "b", (F.col("fx") / scale).alias("fx"), (F.col("fy") / scale).alias("fy"))
+def color_similarity(pixels: DataFrame, k: int = 5, xy: float = 0.05, queries: Column | None = None, candidates: Column | None = None, scale: float = 100.0) -> DataFrame:
+    """COO of max(0, 1 - mean absolute feature difference), halves of both directions.
+
+    Neighbours are the k nearest, and the ceil(k / 5) nearest by positions that count
+    1 / ``scale`` of that; the weights use the latter features. A pair found twice adds up.
+    """
+    near, far = nonlocal_neighbours(pixels, k, xy, queries, candidates), nonlocal_neighbours(pixels, -(-k // 5), xy / scale, queries, candidates)
+    found = near.select("image_id", "q", "j").unionAll(far.select("image_id", "q", "j"))
     names = ["r", "g", "b", "fx", "fy"]
+    f = nonlocal_features(pixels, xy / scale).select("image_id", "i", *names)
     rows = found.join(f.select("image_id", F.col("i").alias("q"), *[F.col(c).alias(f"q_{c}") for c in names]), ["image_id", "q"]).join(f.select("image_id", F.col("i").alias("j"), *names), ["image_id", "j"])
     gap = sum((F.abs(F.col(f"q_{c}") - F.col(c)) for c in names[1:]), F.abs(F.col("q_r") - F.col("r"))) / 5.0
     w = rows.select("image_id", F.col("q").alias("i"), "j", (F.greatest(F.lit(0.0), 1 - gap) / 2).alias("v"))
@@ -155,25 +160,27 @@ def color_similarity(pixels: DataFrame, k: int, xy: float = 0.05, queries: Colum
 
 
 def expand_labels(pixels: DataFrame, r: int, threshold: float) -> DataFrame:
-    """(image_id, i, t): unknown pixels take the label of the nearest known pixel within r whose colour is close."""
+    """(image_id, i, t): unknown pixels take the trimap value of the nearest known pixel within r whose colour is close."""
     known = pixels.filter("t > 0.8 OR t < 0.2").select("image_id", F.col("i").alias("j"), *[F.col(c).alias(f"k_{c}") for c in ("r", "g", "b", "t")])
     around = [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
     rows = taps(pixels.filter("NOT (t > 0.8 OR t < 0.2)"), around, ["r", "g", "b"], clamp=False).join(known, ["image_id", "j"])
     gap2 = sum(((F.col(c) - F.col(f"k_{c}")) * (F.col(c) - F.col(f"k_{c}")) for c in "gb"), (F.col("r") - F.col("k_r")) * (F.col("r") - F.col("k_r")))
     size = 2 * r + 1
     dx, dy = F.col("off") % size - r, F.floor(F.col("off") / size) - r
-    near = rows.filter(F.sqrt(gap2) < threshold).withColumn("o", F.struct((dx * dx + dy * dy).alias("d2"), "off", F.when(F.col("k_t") > 0.8, 1.0).otherwise(0.0).alias("label")))
+    near = rows.filter(gap2 < threshold * threshold).withColumn("o", F.struct((dx * dx + dy * dy).alias("d2"), "off", F.col("k_t").alias("label")))
     best = near.groupBy("image_id", F.col("c").alias("i")).agg(F.min("o").alias("o")).select("image_id", "i", F.col("o.label").alias("label"))
     return pixels.join(best, ["image_id", "i"], "left").select("image_id", "i", F.coalesce("label", "t").alias("t"))
 
 
 def trim_edges(pixels: DataFrame, passes: int = 9, high: float = 8.11 / 256, low: float = 1 / 256) -> DataFrame:
     """Label expansion with radius 1..passes and falling colour thresholds; each pass reads the last."""
+    names = ["image_id", "i", "x", "y", "w", "h", "r", "g", "b"]
+    still, base = pixels.select(*names, "t"), pixels.select(*names)
     for n in range(passes):
         threshold = high + (low - high) * n / max(1, passes - 1)
-        t = expand_labels(pixels, n + 1, threshold)
-        pixels = cut(pixels.drop("t").join(t, ["image_id", "i"]).select(*pixels.columns))
-    return pixels.select("image_id", "i", "t")
+        t = cut(expand_labels(still, n + 1, threshold))
+        still = base.join(t, ["image_id", "i"]).select(*names, "t")
+    return still.select("image_id", "i", "t")
 
 
 def _patch_moments(pixels: DataFrame, epsilon: float) -> DataFrame:
@@ -182,9 +189,9 @@ def _patch_moments(pixels: DataFrame, epsilon: float) -> DataFrame:
     return m.select("image_id", "i", *[(F.col(f"s_{a}") / (9.0 * 255.0)).alias(f"m_{a}") for a in "rgb"], *[(F.col(f"c_{a}{b}") / scale + (epsilon if a == b else 0.0)).alias(f"v_{a}{b}") for a, b in _PAIRS])
 
 
-def patch_distances(pixels: DataFrame, k: int = 10, epsilon: float = 1e-4) -> DataFrame:
+def patch_distances(pixels: DataFrame, k: int = 5, epsilon: float = 1e-8 / 9) -> DataFrame:
     """(image_id, i, fg, bg): smallest Bhattacharyya distance of an unknown pixel's patch to its k nearest known patches."""
-    m = _patch_moments(pixels, epsilon).join(pixels.select("image_id", "i", "t"), ["image_id", "i"])
+    m = cut(_patch_moments(pixels, epsilon).join(pixels.select("image_id", "i", "t"), ["image_id", "i"]))
     out = None
     for name, cond in (("fg", F.col("t") > 0.8), ("bg", F.col("t") < 0.2)):
         unknown = m.filter("NOT (t > 0.8 OR t < 0.2)")
@@ -202,7 +209,7 @@ def patch_distances(pixels: DataFrame, k: int = 10, epsilon: float = 1e-4) -> Da
     return out
 
 
-def trim_patches(pixels: DataFrame, low: float = 0.25, high: float = 0.9, k: int = 10) -> DataFrame:
+def trim_patches(pixels: DataFrame, low: float = 0.25, high: float = 0.9, k: int = 5) -> DataFrame:
     d = patch_distances(pixels, k)
     label = F.when((F.col("fg") < low) & (F.col("bg") > high), 1.0).when((F.col("bg") < low) & (F.col("fg") > high), 0.0)
     return pixels.select("image_id", "i", "t").join(d, ["image_id", "i"], "left").select("image_id", "i", F.coalesce(label, "t").alias("t"))
@@ -223,22 +230,24 @@ def known_to_unknown(pixels: DataFrame, k: int = 7, xy: float = 10.0) -> DataFra
 
 
 def information_flow_system(pixels: DataFrame, known_weight: float = 100.0, to_unknown: float = 0.05, similarity: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """A and b: squared mixture Laplacian, local and similarity Laplacians, known and estimated alphas."""
-    unknown = ~((F.col("t") > 0.8) | (F.col("t") < 0.2))
-    one = pixels.select("image_id", "i", F.lit(1.0).alias("v"))
-    mix = color_mixture(pixels, 20, 1.0, unknown)
-    d = linalg.row_sums(mix)
-    l = linalg.add(linalg.diagonal(d), linalg.scale(mix, -1.0))
-    l = linalg.matmat(linalg.transpose(l), l)
-    l = linalg.add(l, linalg.laplacian(local_affinity(pixels), False), linalg.scale(linalg.laplacian(color_similarity(pixels, 5, 0.05, unknown), False), similarity))
-    edge = cut(trim_edges(pixels))
-    base = pixels.drop("t").join(edge, ["image_id", "i"]).select(*pixels.columns)
-    trimmed = cut(trim_patches(base))
-    ku = known_to_unknown(pixels.drop("t").join(trimmed, ["image_id", "i"]).select(*pixels.columns))
-    rows = pixels.select("image_id", "i", "t").join(edge.withColumnRenamed("t", "e"), ["image_id", "i"]).join(ku, ["image_id", "i"], "left")
+    """A and b: squared mixture Laplacian, local and similarity Laplacians, known and estimated alphas.
+
+    Alphas of unknown pixels are estimated from the trimap after patch trimming, whose own
+    labels are sure; those of edge trimming (both read the given trimap) take precedence.
+    """
+    pixels = cut(pixels)
     known = (F.col("t") > 0.8) | (F.col("t") < 0.2)
-    guess = F.when(F.col("e") > 0.8, 1.0).when(F.col("e") < 0.2, 0.0).otherwise(F.coalesce("alpha", F.lit(0.0)))
-    sure = F.when(known, 0.0).when((F.col("e") > 0.8) | (F.col("e") < 0.2), 1.0).otherwise(F.coalesce("confidence", F.lit(0.0)))
+    mix = cut(color_mixture(pixels, 20, 1.0, ~known))
+    m = cut(linalg.add(linalg.diagonal(linalg.row_sums(mix)), linalg.scale(mix, -1.0)))
+    local, alike = cut(local_affinity(pixels)), cut(color_similarity(pixels, 5, 0.05, ~known, ~known))
+    l = cut(linalg.add(linalg.matmat(linalg.transpose(m), m), linalg.laplacian(local, False), linalg.scale(linalg.laplacian(alike, False), similarity)))
+    edge, patch = trim_edges(pixels), cut(trim_patches(pixels))
+    ku = known_to_unknown(pixels.drop("t").join(patch, ["image_id", "i"]).select(*pixels.columns))
+    rows = pixels.select("image_id", "i", "t").join(edge.withColumnRenamed("t", "e"), ["image_id", "i"]).join(patch.withColumnRenamed("t", "p"), ["image_id", "i"]).join(ku, ["image_id", "i"], "left")
+    label = lambda c: F.when(F.col(c) > 0.8, 1.0).when(F.col(c) < 0.2, 0.0)
+    labelled = lambda c: label(c).isNotNull()
+    guess = F.coalesce(label("e"), F.when(labelled("p"), F.col("p")), F.col("alpha"), F.lit(0.0))
+    sure = F.when(known, 0.0).when(labelled("e") | labelled("p"), 1.0).otherwise(F.coalesce("confidence", F.lit(0.0)))
     weight = F.when(known, known_weight).otherwise(0.0) + to_unknown * sure
-    b = rows.select("image_id", "i", (weight * guess).alias("v"))
-    return linalg.add(l, linalg.diagonal(rows.select("image_id", "i", weight.alias("v")))), b
+    rows = cut(rows.select("image_id", "i", weight.alias("weight"), (weight * guess).alias("v")))
+    return linalg.add(l, linalg.diagonal(rows.select("image_id", "i", F.col("weight").alias("v")))), rows.select("image_id", "i", "v")

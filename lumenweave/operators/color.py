@@ -8,16 +8,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions.pixel import clip, dot, inv2, mat_vec, sym3_cofactors
-from lumenweave.operators.grid import FOUR, box_sums, resize_bilinear, resize_nearest, taps
+from lumenweave.operators.grid import FOUR, box_sums, resize_bilinear, resize_nearest
 from lumenweave.plans.lineage import cut
 from lumenweave.operators.kernels import ColumnFactor, conjugate_gradients, csr
 
 RGB = ["r", "g", "b"]
 _PAIRS = [(a, b) for k, a in enumerate("rgb") for b in "rgb"[k:]]
+#: Pixels from which a level's lineage is cut.
+LARGE_LEVEL = 1 << 18
 _FB = [f"{s}_{c}" for s in "fb" for c in RGB]
 
 
@@ -49,16 +51,22 @@ def level_sizes(w: int, h: int, min_size: int = 2, growth: float = 2.0) -> list[
 
 
 def color_pass(level: DataFrame, regularization: float = 1e-5) -> DataFrame:
-    """One update of f_* and b_*: a 2x2 system per pixel from its colour, alpha and four clamped neighbours."""
-    near = level.select("image_id", F.col("i").alias("j"), F.col("alpha").alias("n_alpha"), *[F.col(c).alias(f"n_{c}") for c in _FB])
-    rows = taps(level, FOUR, ["alpha"]).join(near, ["image_id", "j"]).withColumn("d", regularization + F.abs(F.col("alpha") - F.col("n_alpha")))
-    s = rows.groupBy("image_id", F.col("c").alias("i")).agg(F.sum("d").alias("d"), *[F.sum(F.col("d") * F.col(f"n_{c}")).alias(f"s_{c}") for c in _FB])
-    out = level.drop(*_FB).join(s, ["image_id", "i"])
+    """One update of f_* and b_*: a 2x2 system per pixel from its colour, alpha and four clamped neighbours.
+
+    Neighbours come from windows over a row and over a column of the image, so the input is
+    named once and no join is needed.
+    """
+    rows, columns = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    held = F.struct("alpha", *_FB)
+    step = lambda f, w: F.coalesce(f(held).over(w), held)
+    out = level.withColumns({"n0": step(F.lag, rows), "n1": step(F.lead, rows)}).withColumns({"n2": step(F.lag, columns), "n3": step(F.lead, columns)})
+    out = out.withColumns({f"d{k}": regularization + F.abs(F.col("alpha") - F.col(f"n{k}.alpha")) for k in range(4)})
+    d = F.col("d0") + F.col("d1") + F.col("d2") + F.col("d3")
     a, b = F.col("alpha"), 1 - F.col("alpha")
-    p, q, _, t = inv2(a * a + F.col("d"), a * b, a * b, b * b + F.col("d"))
+    p, q, _, t = inv2(a * a + d, a * b, a * b, b * b + d)
     values = {}
     for c in RGB:
-        u, v = a * F.col(c) + F.col(f"s_f_{c}"), b * F.col(c) + F.col(f"s_b_{c}")
+        u, v = (own * F.col(c) + sum((F.col(f"d{k}") * F.col(f"n{k}.{s}_{c}") for k in range(1, 4)), F.col("d0") * F.col(f"n0.{s}_{c}")) for own, s in ((a, "f"), (b, "b")))
         values[f"f_{c}"], values[f"b_{c}"] = clip(p * u + q * v), clip(q * u + t * v)
     return out.withColumns(values).select(*level.columns)
 
@@ -66,8 +74,9 @@ def color_pass(level: DataFrame, regularization: float = 1e-5) -> DataFrame:
 def estimate_multilevel(pixels: DataFrame, w: int, h: int, min_size: int = 2, growth: float = 2.0, regularization: float = 1e-5, n_iter: int | Callable[[int, int], int] = 2, cut: Callable[[DataFrame], DataFrame] = cut, levels: int | None = None) -> DataFrame:
     """pixels: (image_id, i, x, y, w, h, r, g, b, alpha) of images of one size. Adds f_* and b_*.
 
-    Coarse to fine with a fixed number of passes, all in DataFrames; ``cut`` ends a level's
-    lineage (a checkpoint in the shared folder). ``levels`` stops early at a coarse size.
+    Coarse to fine with a fixed number of passes, all in DataFrames, one linear plan; ``cut``
+    ends the lineage of large levels (a checkpoint in the shared folder). ``levels`` stops
+    early at a coarse size.
     """
     state = None
     for a, b in level_sizes(w, h, min_size, growth)[:levels]:
@@ -78,7 +87,7 @@ def estimate_multilevel(pixels: DataFrame, w: int, h: int, min_size: int = 2, gr
             level = level.join(resize_nearest(state, a, b, _FB).select("image_id", "i", *_FB), ["image_id", "i"])
         for _ in range(n_iter(a, b) if callable(n_iter) else n_iter):
             level = color_pass(level, regularization)
-        state = cut(level)
+        state = cut(level) if a * b >= LARGE_LEVEL else level
     return state
 
 

@@ -52,8 +52,8 @@ def window_moments(pixels: DataFrame) -> DataFrame:
     return out.select("image_id", "i", *[f"s_{c}" for c in "rgb"], *[(9 * F.col(f"p_{a}{b}") - F.col(f"s_{a}") * F.col(f"s_{b}")).alias(f"c_{a}{b}") for a, b in pairs])
 
 
-def box_sums(pixels: DataFrame, r: int, values: list[str], mode: str = "same") -> DataFrame:
-    """Sums over (2r+1) x (2r+1) windows, zero outside. (image_id, x, y, values).
+def box_sums(pixels: DataFrame, r: int, values: list[str], mode: str = "same", fill_value: float = 0) -> DataFrame:
+    """Sums over (2r+1) x (2r+1) windows, ``fill_value`` outside. (image_id, x, y, w, h, values).
 
     Two bounded window frames, first along rows, then along columns. ``valid`` keeps
     centres whose window lies inside; ``full`` also has centres outside the image.
@@ -61,20 +61,38 @@ def box_sums(pixels: DataFrame, r: int, values: list[str], mode: str = "same") -
     if r < 1 or mode not in ("valid", "same", "full"):
         raise ValueError("r >= 1 and mode valid, same or full are required")
     rows = pixels.select("image_id", "x", "y", "w", "h", *values)
-    if mode == "full":
+    reach = (r if mode == "full" else 0) + (r if fill_value and mode != "valid" else 0)
+    if reach:
         size = rows.select("image_id", "w", "h").distinct()
-        around = size.select("image_id", "w", "h", F.explode(F.sequence(F.lit(-r), F.col("w") - 1 + r)).alias("x")).select("*", F.explode(F.sequence(F.lit(-r), F.col("h") - 1 + r)).alias("y"))
+        around = size.select("image_id", "w", "h", F.explode(F.sequence(F.lit(-reach), F.col("w") - 1 + reach)).alias("x")).select("*", F.explode(F.sequence(F.lit(-reach), F.col("h") - 1 + reach)).alias("y"))
         around = around.filter((F.col("x") < 0) | (F.col("x") >= F.col("w")) | (F.col("y") < 0) | (F.col("y") >= F.col("h")))
         kinds = dict(pixels.dtypes)
-        rows = rows.unionByName(around.select("image_id", "x", "y", "w", "h", *[F.lit(0).cast(kinds[v]).alias(v) for v in values]))
+        rows = rows.unionByName(around.select("image_id", "x", "y", "w", "h", *[F.lit(fill_value).cast(kinds[v]).alias(v) for v in values]))
     for along, across in (("x", "y"), ("y", "x")):
         frame = Window.partitionBy("image_id", across).orderBy(along).rangeBetween(-r, r)
         rows = rows.withColumns({v: F.sum(v).over(frame) for v in values})
-    if mode == "valid":
-        rows = rows.filter((F.col("x") >= r) & (F.col("x") < F.col("w") - r) & (F.col("y") >= r) & (F.col("y") < F.col("h") - r))
+    edge = {"valid": r, "same": 0, "full": -r}[mode]
+    if mode == "valid" or reach:
+        rows = rows.filter((F.col("x") >= edge) & (F.col("x") < F.col("w") - edge) & (F.col("y") >= edge) & (F.col("y") < F.col("h") - edge))
     return rows
 
 
+def running_sums(pixels: DataFrame, values: list[str]) -> DataFrame:
+    """(image_id, x, y, values): sums over all pixels at most as far right and down, rows first."""
+    rows = pixels.select("image_id", "x", "y", *values)
+    for along, across in (("x", "y"), ("y", "x")):
+        frame = Window.partitionBy("image_id", across).orderBy(along).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumns({v: F.sum(v).over(frame) for v in values})
+    return rows
+
+
+def windows_at(pixels: DataFrame, centres: DataFrame, r: int, values: list[str]) -> DataFrame:
+    """``windows`` of radius r, rows outside and columns inside, around ``centres`` (image_id, x, y) only; taps outside the image are dropped."""
+    around = [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
+    own = pixels.select("image_id", F.col("i").alias("j"), *[F.col(v).alias(f"n_{v}") for v in values])
+    return taps(pixels.join(centres.select("image_id", "x", "y").distinct(), ["image_id", "x", "y"], "left_semi"), around, clamp=False).join(own, ["image_id", "j"]).drop("weight")
+
+
 def box_mean(pixels: DataFrame, r: int, values: list[str], mode: str = "same") -> DataFrame:
     """``box_sums`` over (2r+1)^2, zero outside."""
     return box_sums(pixels, r, values, mode).withColumns({v: F.col(v) / float((2 * r + 1) ** 2) for v in values})

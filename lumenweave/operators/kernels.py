@@ -149,7 +149,7 @@ class FactorError(ArithmeticError):
 
 
 class ColumnFactor:
-    """Thresholded incomplete Cholesky factor by columns; entries below the threshold go, the diagonal stays.
+    """Thresholded incomplete Cholesky factor by columns; entries below the threshold (after division by the pivot's root) go, the diagonal stays.
 
     Each column is one sparse update from the earlier columns that reach its row. The
     triangular solves run level by level, so NumPy handles whole levels at once.
@@ -181,9 +181,10 @@ class ColumnFactor:
             work[r] = 0
             if not v[0] > 0:
                 raise FactorError(f"pivot {j} is not positive")
+            v /= np.sqrt(v[0])
             keep = np.abs(v) >= threshold
             keep[0] = True
-            r, v = r[keep], v[keep] / np.sqrt(v[0])
+            r, v = r[keep], v[keep]
             rows.append(r)
             vals.append(v)
             if len(r) > 1:
@@ -232,12 +233,12 @@ class ColumnFactor:
         return self.backward(self.forward(b))
 
 
-#: Factorisations tried in turn: (regularisation, threshold).
-RETRIES = [(0.0, 1e-4), (1e-4, 1e-4), (0.0, 1e-5), (1e-3, 1e-4), (1e-2, 1e-3)]
+#: Factorisations tried after the given one, (regularisation, threshold); fixed values. The last is complete.
+RETRIES = [(1e-4, 1e-4), (0.0, 1e-5), (1e-4, 1e-5), (0.0, 0.0)]
 
 
 def factor_with_retries(a: Csr, threshold: float = 1e-4, regularization: float = 0.0) -> ColumnFactor:
-    for shift, t in [(regularization, threshold), *RETRIES[1:]]:
+    for shift, t in [(regularization, threshold), *RETRIES]:
         try:
             return ColumnFactor(a, t, shift)
         except FactorError:

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Points of a candidate block; a task compares a batch of queries with one block at a time.
@@ -49,15 +49,6 @@ def nearest(queries: DataFrame, candidates: DataFrame, features: list[str], k: i
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("image_id", "q", "rank", "j", "dist2")
 
 
-def nearest_sql(queries: DataFrame, candidates: DataFrame, features: list[str], k: int) -> DataFrame:
-    """The same as one SQL plan (theta join and windowed limit), for a few thousand points."""
-    left = queries.select("image_id", F.col("i").alias("q"), *[F.col(f).alias(f"q_{f}") for f in features])
-    right = candidates.select("image_id", F.col("i").alias("j"), *features)
-    d = reduce(Column.__add__, [(F.col(f"q_{f}") - F.col(f)) * (F.col(f"q_{f}") - F.col(f)) for f in features])
-    order = Window.partitionBy("image_id", "q").orderBy("dist2", "j")
-    return left.join(right, "image_id").withColumn("dist2", d).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("image_id", "q", "rank", "j", "dist2")
-
-
 def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
     """Exact neighbours among all rows of (i, v array<double>), blocked like ``nearest``; one image."""
     blocks = max(1, -(-vectors.count() // BLOCK))
@@ -87,8 +78,9 @@ def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
 def lle_weights(found: DataFrame, points: DataFrame, features: list[str], ridge: float = 1e-10) -> DataFrame:
     """(image_id, q, j, v): weights that rebuild each query from its neighbours and sum to one.
 
-    One row per query with its neighbours' offsets reaches the kernel, which solves batches
-    of small ridge systems at once.
+    The ridge system (Z Z' + ridge I) w = 1 of a query's k offsets Z is solved through the
+    d x d matrix (ridge I + Z' Z) of its d features, which stays well conditioned when k > d.
+    One row per query with its neighbours' offsets reaches the kernel, which solves batches.
     """
     own = points.select("image_id", F.col("i").alias("q"), *[F.col(f).alias(f"q_{f}") for f in features])
     near = points.select("image_id", F.col("i").alias("j"), *features)
@@ -100,8 +92,11 @@ def lle_weights(found: DataFrame, points: DataFrame, features: list[str], ridge:
         for frame in frames:
             for k, part in frame.groupby(frame["js"].map(len)):
                 z = np.array([[list(r) for r in zs] for zs in part["zs"]], float)
-                g = z @ z.transpose(0, 2, 1) + ridge * np.eye(k)
-                w = np.linalg.solve(g, np.ones((len(part), k, 1)))[:, :, 0]
+                d, zt = z.shape[2], z.transpose(0, 2, 1)
+                if k > d:
+                    w = 1 - (z @ np.linalg.solve(zt @ z + ridge * np.eye(d), zt.sum(2, keepdims=True)))[:, :, 0]
+                else:
+                    w = np.linalg.solve(z @ zt + ridge * np.eye(k), np.ones((len(part), k, 1)))[:, :, 0]
                 w /= w.sum(1, keepdims=True)
                 yield pd.DataFrame({"image_id": np.repeat(part["image_id"].to_numpy(), k), "q": np.repeat(part["q"].to_numpy(), k), "j": np.concatenate(part["js"].to_list()), "v": w.ravel()})
 

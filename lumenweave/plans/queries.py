@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions import pixel as fx
 from lumenweave.operators import affinity, color, grid, linalg, matte, neighbors
+from lumenweave.plans import matting_sql as M
 from lumenweave.plans.lineage import cut
 from lumenweave.sources.pixels import PART_WIDTH, part_pixels
 
@@ -24,6 +25,10 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
+def r4(c: Column | str) -> Column:
+    return F.round(c, 4) + F.lit(0.0)
+
+
 def _px(spark: SparkSession, sf_dir: str, alpha: bool = False) -> DataFrame:
     px = part_pixels(spark, sf_dir)
     return px.withColumn("alpha", fx.clip((32 - F.col("x")) / 24.0)) if alpha else px
@@ -178,12 +183,15 @@ def edge_trim(spark, sf_dir):
     return _v(affinity.trim_edges(_px(spark, sf_dir)), "t")
 
 
+_UNKNOWN = ~((F.col("t") > 0.8) | (F.col("t") < 0.2))
+
+
 def color_similarity(spark, sf_dir):
-    return _v(affinity.color_similarity(_px(spark, sf_dir), 5))
+    return _v(affinity.color_similarity(_px(spark, sf_dir), 5, 0.05, _UNKNOWN, _UNKNOWN))
 
 
 def patch_bhattacharyya(spark, sf_dir):
-    return _v(affinity.patch_distances(_px(spark, sf_dir), 5), "fg", "bg")
+    return _v(affinity.patch_distances(_px(spark, sf_dir)), "fg", "bg")
 
 
 def patch_trim(spark, sf_dir):
@@ -195,11 +203,30 @@ def local_affinity(spark, sf_dir):
 
 
 def lle_weights(spark, sf_dir):
-    return _v(affinity.color_mixture(_px(spark, sf_dir), 3, use_xy=True).groupBy("i").agg(F.sum("v").alias("v")))
+    return affinity.color_mixture(_px(spark, sf_dir), 20, 1.0, _UNKNOWN).select("i", "j", F.round("v", 4).alias("v"))
 
 
 def known_unknown_mixture(spark, sf_dir):
-    return _v(affinity.known_to_unknown(_px(spark, sf_dir)), "alpha", "confidence")
+    return affinity.known_to_unknown(_px(spark, sf_dir)).select("i", F.round("alpha", 4).alias("alpha"), F.round("confidence", 4).alias("confidence"))
+
+
+def ifm_system(spark, sf_dir):
+    """Entries of A with b as column -1."""
+    a, b = affinity.information_flow_system(_px(spark, sf_dir))
+    return a.unionByName(b.withColumn("j", F.lit(-1).cast("long"))).select("i", "j", (F.round("v", 3) + F.lit(0.0)).alias("v"))
+
+
+def running_sums(spark, sf_dir):
+    return grid.running_sums(_px(spark, sf_dir), ["r8", "g8"]).select("x", "y", F.col("r8").alias("r"), F.col("g8").alias("g"))
+
+
+def windows_at(spark, sf_dir):
+    px = _px(spark, sf_dir)
+    return grid.windows_at(px, px.filter("r8 > 240"), 1, ["r8"]).select(F.col("c").alias("i"), "off", "j", F.col("n_r8").alias("v"))
+
+
+def box_fill(spark, sf_dir):
+    return grid.box_sums(_px(spark, sf_dir), BOX_R, ["r8", "g8"], "same", 7).select("x", "y", F.col("r8").alias("r"), F.col("g8").alias("g"))
 
 
 def lkm_apply(spark, sf_dir):
@@ -274,7 +301,10 @@ def fast_guided_filter(spark, sf_dir):
 
 
 def _alpha(method, preconditioner):
-    return lambda spark, sf_dir: matte.alpha(_px(spark, sf_dir), method, preconditioner, radius=2).select("i", F.round("alpha", 2).alias("alpha"))
+    """Solved far below the default tolerance, so that a result doesn't depend on the solver."""
+    if method == "ifm":  # row-normalised weights make this system unsymmetric, and its answer depend on the path
+        return lambda spark, sf_dir: matte.alpha(_px(spark, sf_dir), method, preconditioner).select("i", F.round("alpha", 2).alias("alpha"))
+    return lambda spark, sf_dir: matte.alpha(_px(spark, sf_dir), method, preconditioner, radius=2, absolute_tolerance=1e-9).select("i", r4("alpha").alias("alpha"))
 
 
 QUERIES = {
@@ -282,8 +312,8 @@ QUERIES = {
     for f in (
         alpha_jacobi_3, scan_pixels, rgb_to_gray, quantize_u8, trimap_split, trimap_soft, trimap_counts, validate_image, pixel_grid, window_3x3, stencil_coo, uniform_laplacian,
         resize_nearest, resize_bilinear, dilate, window_moments, cf_affinity, cf_laplacian, cf_system, coo_add, coo_transpose, coo_symmetrise, coo_triangles, matvec, matmat,
-        row_sum, inner_product, knn_embeddings, knn_graph, knn_laplacian, label_expand_1, edge_trim, color_similarity, patch_bhattacharyya, patch_trim, local_affinity,
-        lle_weights, known_unknown_mixture, lkm_apply, lkm_diagonal, restrict, jacobi_3, cg_3, fb_cf, blend, stack, guided_filter, fast_guided_filter,
+        row_sum, inner_product, running_sums, windows_at, box_fill, knn_embeddings, knn_graph, knn_laplacian, label_expand_1, edge_trim, color_similarity, patch_bhattacharyya, patch_trim, local_affinity,
+        lle_weights, known_unknown_mixture, ifm_system, lkm_apply, lkm_diagonal, restrict, jacobi_3, cg_3, fb_cf, blend, stack, guided_filter, fast_guided_filter,
     )
 } | {f"box_{m}": _box(m) for m in ("valid", "same", "full")} | {"fb_ml_level": _colors(1), "fb_ml": _colors(None)}
 QUERIES |= {f"alpha_{m}_{p or 'none'}": _alpha(m, p) for m, ps in matte.METHODS.items() for p in ps}
@@ -448,5 +478,93 @@ ORACLES = {
     "fb_ml_level": _with(_LEVEL + _pass_sql("l0", "l1") + _pass_sql("l1", "l2"), f"SELECT i, {_r('f_r', 'f_g', 'f_b', 'b_r', 'b_g', 'b_b')} FROM l2"),
     "blend": _with(_PX, "SELECT i, " + ", ".join(f"round({c} * alpha + (1 - alpha) * (1 - {c}), 6) + 0.0 AS {c}" for c in "rgb") + " FROM px"),
     "stack": _with(_PX, "SELECT i, r8 AS r8_0, g8 AS g8_0, b8 AS b8_1 FROM px"),
-    "lle_weights": _with(_PX, "SELECT i, 1.0::DOUBLE AS v FROM px"),
 }
+
+
+def _levels_sql(levels: int = 8) -> str:
+    """All levels: each has its size, starts from the one before, and repeats it once the full size is reached."""
+    rgb = "rgb"
+    fb = [f"{s}_{c}" for s in "fb" for c in rgb]
+    out = _PX + """,
+four AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS o(dx, dy)),
+s0 AS (SELECT w, h, least(w, CASE WHEN w < h THEN 2 ELSE ceil(2.0 * w / h)::INTEGER END) AS lw, least(h, CASE WHEN w < h THEN ceil(2.0 * h / w)::INTEGER ELSE 2 END) AS lh, false AS done FROM dims)"""
+    for n in range(levels):
+        if n:
+            out += f", s{n} AS (SELECT w, h, least(w, 2 * lw) AS lw, least(h, 2 * lh) AS lh, lw = w AND lh = h AS done FROM s{n - 1})"
+        out += f""",
+p{n} AS MATERIALIZED (SELECT (x + y * lw)::BIGINT AS i, x, y, lw, lh, done, (least(w - 1, floor(x * w / lw::DOUBLE)) + least(h - 1, floor(y * h / lh::DOUBLE)) * w)::BIGINT AS src
+  FROM s{n}, LATERAL (SELECT unnest(range(lw)) AS x) a, LATERAL (SELECT unnest(range(lh)) AS y) b)"""
+        if n:
+            carried = f"JOIN e{n - 1} o ON o.x = least(o.lw - 1, floor(q.x * o.lw / q.lw::DOUBLE)) AND o.y = least(o.lh - 1, floor(q.y * o.lh / q.lh::DOUBLE))"
+            own = ", ".join(f"o.{c}" for c in fb)
+        else:
+            carried, own = "", ", ".join(f"px.{c} AS {s}_{c}" for s in "fb" for c in rgb)
+        out += f", b{n} AS MATERIALIZED (SELECT q.i, q.x, q.y, q.lw, q.lh, q.done, px.r, px.g, px.b, px.alpha, {own} FROM p{n} q JOIN px ON px.i = q.src {carried})"
+        for old, new in ((f"b{n}", f"c{n}"), (f"c{n}", f"e{n}")):
+            one = _pass_sql(old, f"x{new}").replace(f"g{'x' + new} AS (", f"gx{new} AS MATERIALIZED (").replace(f"\nx{new} AS (", f"\nx{new} AS MATERIALIZED (")
+            out += one + f", {new} AS MATERIALIZED (SELECT o.i, o.x, o.y, o.lw, o.lh, o.done, o.r, o.g, o.b, o.alpha, {', '.join(f'CASE WHEN o.done THEN o.{c} ELSE u.{c} END AS {c}' for c in fb)} FROM {old} o JOIN x{new} u USING (i))"
+    return out
+
+
+_FB = ["f_r", "f_g", "f_b", "b_r", "b_g", "b_b"]
+_LOCAL = _MOMENTS + M.local(_INV.format("i").replace("1e-7", "1e-6"))
+_SOLVED = "SELECT i, round(greatest(0.0, least(1.0, v)), 4) + 0.0 AS alpha FROM solved"
+_SIDES = "b AS (SELECT i, CASE WHEN t = 1.0 THEN 100.0 ELSE 0.0 END::DOUBLE AS v FROM px)"
+
+
+def _known(l: str) -> str:
+    return f", a AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM {l} UNION ALL SELECT i, i, 100.0 FROM px WHERE t IN (0.0, 1.0)) GROUP BY 1, 2), {_SIDES}"
+
+
+def _matte_sql(ctes: str) -> str:
+    return "WITH RECURSIVE " + ctes + M.conjugate_gradients("a", "b", 3000, 1e-9) + " " + _SOLVED
+
+
+_GUIDED = ", ".join(["a_r", "a_g", "a_b", "a_0", "one"])
+_LOW = _PX + """,
+ld AS (SELECT w, h, greatest(3, floor(w * 0.125::DOUBLE))::INTEGER AS lw, greatest(3, floor(h * 0.125::DOUBLE))::INTEGER AS lh FROM dims),
+low AS MATERIALIZED (SELECT q.x, q.y, q.lw AS w, q.lh AS h, r, g, b, alpha FROM (SELECT x, y, lw, lh, (least(w - 1, floor(x * w / lw::DOUBLE)) + least(h - 1, floor(y * h / lh::DOUBLE)) * w)::BIGINT AS src
+  FROM ld, LATERAL (SELECT unnest(range(lw)) AS x) a, LATERAL (SELECT unnest(range(lh)) AS y) b) q JOIN px ON px.i = q.src)"""
+_UP = """,
+ug AS (SELECT i, lw, lh, (x + 0.5) * lw / w::DOUBLE - 0.5 AS fx, (y + 0.5) * lh / h::DOUBLE - 0.5 AS fy FROM px JOIN ld USING (w, h)),
+up AS (SELECT i, {0} FROM (
+  SELECT i, greatest(0, least(lw - 1, floor(fx) + dx)) AS x, greatest(0, least(lh - 1, floor(fy) + dy)) AS y,
+    (CASE WHEN dx = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) * (CASE WHEN dy = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) AS k
+  FROM ug, (SELECT unnest([0, 1]) AS dx) c, (SELECT unnest([0, 1]) AS dy) d) JOIN gs USING (x, y) GROUP BY i)
+""".format(", ".join(f"sum(k * {c}) AS {c}" for c in ("a_r", "a_g", "a_b", "a_0", "one")))
+_FILTERED = "round((a_r * r + a_g * g + a_b * b + a_0) / one, 6) + 0.0 AS v"
+_CG3 = _SYS + """,
+g0 AS MATERIALIZED (SELECT i, 0.0::DOUBLE AS x, v AS r, v AS p FROM b)""" + "".join(
+    f""",
+q{n} AS MATERIALIZED (SELECT a.i, sum(a.v * g.p) AS q FROM a JOIN g{n} g ON g.i = a.j GROUP BY a.i),
+t{n} AS MATERIALIZED (SELECT rr, rr / pq AS k FROM (SELECT sum(r * r) AS rr, sum(p * q) AS pq FROM g{n} JOIN q{n} USING (i))),
+u{n} AS MATERIALIZED (SELECT i, x + k * p AS x, r - k * q AS r, p, rr FROM g{n} JOIN q{n} USING (i), t{n}),
+g{n + 1} AS MATERIALIZED (SELECT i, x, r, r + (SELECT sum(r * r) FROM u{n}) / rr * p AS p FROM u{n})"""
+    for n in range(3)
+)
+
+ORACLES |= {
+    "running_sums": _with(_PX, "SELECT p.x, p.y, sum(q.r8)::BIGINT AS r, sum(q.g8)::BIGINT AS g FROM px p JOIN px q ON q.x <= p.x AND q.y <= p.y GROUP BY p.x, p.y"),
+    "windows_at": _with(_PX, "SELECT p.i, (3 * (q.y - p.y + 1) + q.x - p.x + 1)::INTEGER AS off, q.i AS j, q.r8 AS v FROM px p JOIN px q ON q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 WHERE p.r8 > 240"),
+    "box_fill": _with(_PX, f"SELECT p.x, p.y, (sum(q.r8) + 7 * ({(2 * BOX_R + 1) ** 2} - count(*)))::BIGINT AS r, (sum(q.g8) + 7 * ({(2 * BOX_R + 1) ** 2} - count(*)))::BIGINT AS g FROM px p JOIN px q ON q.x BETWEEN p.x - {BOX_R} AND p.x + {BOX_R} AND q.y BETWEEN p.y - {BOX_R} AND p.y + {BOX_R} GROUP BY p.x, p.y"),
+    "edge_trim": _with(_PX + M.edge_trim(), f"SELECT i, {_r('t')} FROM et9"),
+    "color_similarity": _with(_PX + M.similarity(), f"SELECT i, j, {_r('v')} FROM sim"),
+    "patch_bhattacharyya": _with(_MOMENTS + M.patches(), f"SELECT i, {_r('fg', 'bg')} FROM pd"),
+    "patch_trim": _with(_MOMENTS + M.patch_trim(), f"SELECT i, {_r('t')} FROM pt"),
+    "local_affinity": _with(_LOCAL, f"SELECT i, j, {_r('v')} FROM local"),
+    "lle_weights": _with(_PX + M.mixture(), "SELECT q AS i, j, round(v, 4) AS v FROM mix"),
+    "known_unknown_mixture": _with(_PX + M.to_unknown("px"), "SELECT i, round(alpha, 4) AS alpha, round(confidence, 4) AS confidence FROM ku"),
+    "ifm_system": _with(
+        _LOCAL + M.mixture() + M.similarity() + M.edge_trim() + M.patch_trim() + M.to_unknown("pt") + M.flow_system(),
+        "SELECT i, j, round(v, 3) + 0.0 AS v FROM (SELECT i, j, v FROM fa UNION ALL SELECT i, -1, v FROM fb)",
+    ),
+    "lkm_apply": _with(_PX + M.large_kernel_matrix(2), "SELECT lk.i, round(sum(lk.v * px.r), 6) + 0.0 AS v FROM lk JOIN px ON px.i = lk.j GROUP BY lk.i"),
+    "lkm_diagonal": _with(_PX + M.large_kernel_matrix(2), f"SELECT i, {_r('v')} FROM lk WHERE i = j"),
+    "cg_3": _with(_CG3, "SELECT i, round(x, 6) + 0.0 AS v FROM g3"),
+    "fb_ml": _with(_levels_sql(), f"SELECT i, {_r(*_FB)} FROM e7"),
+    "guided_filter": _with(_PX + M.guided("px", 2), f"SELECT px.i, {_FILTERED} FROM gs JOIN px USING (x, y)"),
+    "fast_guided_filter": _with(_LOW + M.guided("low", 1) + _UP, f"SELECT px.i, {_FILTERED} FROM up JOIN px USING (i)"),
+}
+_KNN_LAP = _KNN + ", lap AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, -v AS v FROM graph UNION ALL SELECT i, i, sum(v) FROM graph GROUP BY i) GROUP BY 1, 2)"
+for _m, _ctes in (("cf", _CF + _known("lap")), ("knn", _KNN_LAP + _known("lap")), ("lkm", _PX + M.large_kernel_matrix(2, "1e-7") + _known("lk"))):
+    ORACLES |= {f"alpha_{_m}_{p or 'none'}": _matte_sql(_ctes) for p in matte.METHODS[_m]}
