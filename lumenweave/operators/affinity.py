@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenweave.functions.pixel import dot, mat_vec, sym3_cofactors
+from lumenweave.functions.pixel import dot, mat_vec, quadratic, sym3_cofactors
 from lumenweave.operators import linalg
 from lumenweave.operators.grid import NINE, box_sums, dilate, taps, window_moments, windows
 from lumenweave.operators.neighbors import lle_weights, nearest
@@ -203,7 +203,7 @@ def patch_distances(pixels: DataFrame, k: int = 5, epsilon: float = 1e-8 / 9) ->
         gap = [F.col(f"m_{a}") - F.col(f"o_m_{a}") for a in "rgb"]
         _, d1 = sym3_cofactors({a + b: F.col(f"v_{a}{b}") for a, b in _PAIRS})
         _, d2 = sym3_cofactors({a + b: F.col(f"o_v_{a}{b}") for a, b in _PAIRS})
-        dist = dot(gap, mat_vec(_matrix({p: v / det for p, v in c.items()}), gap)) / 8 + 0.5 * F.log(det / F.sqrt(d1 * d2))
+        dist = quadratic(gap, _matrix({p: v / det for p, v in c.items()}), gap) / 8 + 0.5 * F.log(det / F.sqrt(d1 * d2))
         best = rows.groupBy("image_id", "i").agg(F.min(dist).alias(name))
         out = best if out is None else out.join(best, ["image_id", "i"])
     return out

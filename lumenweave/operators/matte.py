@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions.pixel import trimap_flags
 from lumenweave.operators import affinity, linalg
+from lumenweave.plans.lineage import cut
 from lumenweave.operators.kernels import Multigrid, conjugate_gradients, csr, factor_with_retries
 
 #: Preconditioners that each method accepts.
 METHODS = {"cf": [None, "jacobi", "vcycle", "ichol"], "knn": [None, "jacobi", "vcycle", "ichol"], "ifm": [None, "jacobi", "vcycle"], "lkm": [None, "jacobi"]}
 PRECONDITIONERS = [None, "jacobi", "vcycle", "ichol"]
 MAX_ITERATIONS = 2000
+#: Pixels of an image whose matrix (some 25 to 100 entries a pixel) one task holds.
+KERNEL_PIXELS = 1 << 21
 
 
 def validate(pixels: DataFrame) -> DataFrame:
@@ -41,9 +44,29 @@ def build_system(pixels: DataFrame, method: str, weight: float = 100.0, epsilon:
     raise ValueError(f"no matrix is formed for method {method}")
 
 
-def solve(a: DataFrame, b: DataFrame, sizes: DataFrame, preconditioner: str | None = None, rtol: float = 0.0, atol: float | None = None, max_iterations: int = MAX_ITERATIONS, threshold: float = 1e-4, regularization: float = 0.0, callback: Callable | None = None) -> DataFrame:
-    """(image_id, i, x, steps, residual) of A x = b, one image per task. atol defaults to 0.1 / (w h)."""
-    sides = b.join(sizes.select("image_id", "w", "h").distinct(), "image_id").select(F.col("image_id").alias("side_id"), F.col("i").alias("at"), F.col("v").alias("b"), "w", "h")
+def solve(a: DataFrame, b: DataFrame, sizes: DataFrame, preconditioner: str | None = None, rtol: float = 0.0, atol: float | None = None, max_iterations: int = MAX_ITERATIONS, threshold: float = 1e-4, regularization: float = 0.0, callback: Callable | None = None, x0: DataFrame | None = None) -> DataFrame:
+    """(image_id, i, x, steps, residual) of A x = b from ``x0`` (image_id, i, v; zero by default). atol defaults to 0.1 / (w h).
+
+    Images of up to KERNEL_PIXELS are solved one per task; larger ones by CG over tables, with
+    the Jacobi preconditioner for any that is asked.
+    """
+    shapes = cut(sizes.select("image_id", "w", "h").distinct())
+    large = shapes.filter(F.col("w").cast("long") * F.col("h") > KERNEL_PIXELS).select("image_id")
+    if large.isEmpty():
+        return _solve_in_tasks(a, b, shapes, preconditioner, rtol, atol, max_iterations, threshold, regularization, callback, x0)
+    a, b = cut(a), cut(b)
+    small, big = (lambda df: df.join(F.broadcast(large), "image_id", "left_anti")), (lambda df: df.join(F.broadcast(large), "image_id", "left_semi"))
+    norms = big(b).groupBy("image_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).join(shapes, "image_id")
+    least = F.lit(0.1) / (F.col("w").cast("long") * F.col("h")) if atol is None else F.lit(float(atol))
+    goals = cut(norms.select("image_id", F.greatest(least, rtol * F.col("norm")).alias("goal")))
+    out = linalg.solve(big(a), big(b), goals, max_iterations, big(x0) if x0 is not None else None, preconditioner is not None)
+    return out.unionByName(_solve_in_tasks(small(a), small(b), shapes, preconditioner, rtol, atol, max_iterations, threshold, regularization, callback, small(x0) if x0 is not None else None))
+
+
+def _solve_in_tasks(a: DataFrame, b: DataFrame, shapes: DataFrame, preconditioner: str | None, rtol: float, atol: float | None, max_iterations: int, threshold: float, regularization: float, callback: Callable | None, x0: DataFrame | None) -> DataFrame:
+    sides = b.withColumnRenamed("v", "b").join(shapes, "image_id")
+    sides = sides.withColumn("x0", F.lit(0.0)) if x0 is None else sides.join(x0.select("image_id", "i", F.col("v").alias("x0")), ["image_id", "i"], "left").fillna(0.0, ["x0"])
+    sides = sides.select(F.col("image_id").alias("side_id"), F.col("i").alias("at"), "b", "w", "h", "x0")
     a = a.toDF(*a.columns)
 
     def one(m: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
@@ -58,13 +81,13 @@ def solve(a: DataFrame, b: DataFrame, sizes: DataFrame, preconditioner: str | No
             precondition = Multigrid(matrix, w, h).cycle
         elif preconditioner == "ichol":
             precondition = factor_with_retries(matrix, threshold, regularization).solve
-        done = conjugate_gradients(matrix, side.b.to_numpy(), rtol, max_iterations, 0.1 / (w * h) if atol is None else atol, None, precondition, callback)
+        done = conjugate_gradients(matrix, side.b.to_numpy(), rtol, max_iterations, 0.1 / (w * h) if atol is None else atol, side.x0.to_numpy(), precondition, callback)
         return pd.DataFrame({"image_id": side.side_id, "i": side["at"], "x": done.x, "steps": done.steps, "residual": done.residual})
 
     return a.groupBy("image_id").cogroup(sides.groupBy("side_id")).applyInPandas(one, "image_id long, i long, x double, steps int, residual double")
 
 
-def _solve_large_kernel(pixels: DataFrame, radius: int, epsilon: float, weight: float, preconditioner: str | None, rtol: float, atol: float | None, max_iterations: int) -> DataFrame:
+def _solve_large_kernel(pixels: DataFrame, radius: int, epsilon: float, weight: float, preconditioner: str | None, rtol: float, atol: float | None, max_iterations: int, x0: DataFrame | None = None) -> DataFrame:
     """The large-kernel operator applied matrix-free inside the per-image kernel."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -104,16 +127,18 @@ def _solve_large_kernel(pixels: DataFrame, radius: int, epsilon: float, weight:
 
         diagonal = (cover - (cover + far) / n).ravel() + known
         precondition = (lambda r: r / diagonal) if preconditioner == "jacobi" else None
-        done = conjugate_gradients(Operator(), weight * (t == 1), rtol, max_iterations, 0.1 / (w * h) if atol is None else atol, None, precondition)
+        done = conjugate_gradients(Operator(), weight * (t == 1), rtol, max_iterations, 0.1 / (w * h) if atol is None else atol, frame.x0.to_numpy(), precondition)
         return pd.DataFrame({"image_id": frame.image_id, "i": frame.i, "x": done.x, "steps": done.steps, "residual": done.residual})
 
-    return pixels.select("image_id", "i", "w", "h", "r", "g", "b", "t").groupBy("image_id").applyInPandas(one, "image_id long, i long, x double, steps int, residual double")
+    pixels = pixels.select("image_id", "i", "w", "h", "r", "g", "b", "t")
+    pixels = pixels.withColumn("x0", F.lit(0.0)) if x0 is None else pixels.join(x0.select("image_id", "i", F.col("v").alias("x0")), ["image_id", "i"], "left").fillna(0.0, ["x0"])
+    return pixels.groupBy("image_id").applyInPandas(one, "image_id long, i long, x double, steps int, residual double")
 
 
-def alpha(pixels: DataFrame, method: str = "cf", preconditioner: str | None = "vcycle", weight: float = 100.0, epsilon: float = 1e-7, radius: int = 10, max_iterations: int = MAX_ITERATIONS, relative_tolerance: float | None = None, absolute_tolerance: float | None = None, threshold: float = 1e-4, regularization: float = 0.0, callback: Callable | None = None) -> DataFrame:
+def alpha(pixels: DataFrame, method: str = "cf", preconditioner: str | None = "vcycle", weight: float = 100.0, epsilon: float = 1e-7, radius: int = 10, max_iterations: int = MAX_ITERATIONS, relative_tolerance: float | None = None, absolute_tolerance: float | None = None, threshold: float = 1e-4, regularization: float = 0.0, callback: Callable | None = None, x0: DataFrame | None = None) -> DataFrame:
     """(image_id, i, alpha) of every image of ``pixels`` (channels, trimap ``t``).
 
-    Without tolerances the residual must fall below 0.1 / (w h); with one, the other is 0.
+    ``x0``: (image_id, i, v) to start from. Without tolerances the residual must fall below 0.1 / (w h); with one, the other is 0.
     """
     if method not in METHODS or preconditioner not in METHODS[method]:
         raise ValueError(f"method {method} with preconditioner {preconditioner} is not available; choose from {METHODS}")
@@ -123,8 +148,8 @@ def alpha(pixels: DataFrame, method: str = "cf", preconditioner: str | None = "v
     rtol = relative_tolerance or 0.0
     atol = absolute_tolerance if absolute_tolerance is not None else (None if relative_tolerance is None else 0.0)
     if method == "lkm":
-        x = _solve_large_kernel(pixels, radius, epsilon, weight, preconditioner, rtol, atol, max_iterations)
+        x = _solve_large_kernel(pixels, radius, epsilon, weight, preconditioner, rtol, atol, max_iterations, x0)
     else:
         a, b = build_system(pixels, method, weight, epsilon)
-        x = solve(a, b, pixels, preconditioner, rtol, atol, max_iterations, threshold, regularization, callback)
+        x = solve(a, b, pixels, preconditioner, rtol, atol, max_iterations, threshold, regularization, callback, x0)
     return x.select("image_id", "i", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x"))).alias("alpha"))

@@ -7,33 +7,43 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points of a candidate block; a task compares a batch of queries with one block at a time.
+from lumenweave.plans.lineage import cut
+
+#: Points of a candidate block, and queries that meet it in one task.
 BLOCK = 4096
+QUERIES = 4096
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, features: list[str], k: int) -> DataFrame:
-    """(image_id, q, rank, j, dist2): for each query the k nearest candidates of its image.
+def _boxed(candidates: DataFrame, features: list[str], sizes: DataFrame) -> DataFrame:
+    """Candidates with ``block``: strips along the first feature, cut along the second, of about BLOCK points."""
+    rows = candidates.join(F.broadcast(sizes), "image_id")
+    side = F.ceil(F.sqrt(F.ceil(F.col("n") / BLOCK)))
+    strip = Window.partitionBy("image_id").orderBy(f"c_{features[0]}", "j")
+    rows = rows.withColumn("strip", F.floor((F.row_number().over(strip) - 1) * side / F.col("n")))
+    inside = Window.partitionBy("image_id", "strip")
+    place = F.floor((F.row_number().over(inside.orderBy(f"c_{features[1 % len(features)]}", "j")) - 1) * side / F.count("*").over(inside))
+    return rows.withColumn("block", (F.col("strip") * side + place).cast("long")).drop("strip", "n")
 
-    Candidates are cut into blocks by a hash of their id and every query batch meets every
-    block of its image (a stated search of all rows, in blocks); a block keeps k per query,
-    and the blocks' answers merge by rank, so no task needs more than one block of memory.
-    """
-    n = candidates.groupBy("image_id").count()
-    blocks = n.select("image_id", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    right = candidates.select("image_id", F.col("i").alias("j"), *[F.col(f).alias(f"c_{f}") for f in features]).join(blocks, "image_id").withColumn("block", F.pmod(F.xxhash64("j"), F.col("blocks")).cast("int")).drop("blocks")
-    left = queries.select("image_id", F.col("i").alias("q"), *features).join(blocks, "image_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    left = left.withColumn("part", F.pmod(F.xxhash64("q", F.lit(1)), F.lit(8)).cast("int"))
-    right = right.withColumn("part", F.explode(F.array(*[F.lit(p) for p in range(8)])))
+
+def boxes(points: DataFrame, features: list[str], by: list[str]) -> DataFrame:
+    """Bounding box (lo_*, hi_*) of each group."""
+    return points.groupBy(*by).agg(*[f(v).alias(f"{name}_{v}") for v in features for name, f in (("lo", F.min), ("hi", F.max))])
+
+
+def _meet(left: DataFrame, right: DataFrame, features: list[str], k: int) -> DataFrame:
+    """(image_id, q, j, dist2): each query's k nearest in the blocks it is dealt to. Left: q, features, block; right: j, c_*, block."""
+    parts = left.groupBy("image_id", "block").count().select("image_id", "block", F.ceil(F.col("count") / QUERIES).cast("int").alias("parts"))
+    left = left.join(parts, ["image_id", "block"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).drop("parts")
+    right = right.join(parts, ["image_id", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     on = ["image_id", "block", "part"]
     right = right.toDF(*[f"r_{c}" if c in on else c for c in right.columns])
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"image_id": [], "q": [], "j": [], "dist2": []})
         if not len(a) or not len(b):
-            return empty
+            return pd.DataFrame({"image_id": [], "q": [], "j": [], "dist2": []})
         b = b.sort_values("j")
         ids, out = b["j"].to_numpy(), []
         cols = [b[f"c_{f}"].to_numpy(np.float64) for f in features]
@@ -44,11 +54,40 @@ def nearest(queries: DataFrame, candidates: DataFrame, features: list[str], k: i
             out.append(pd.DataFrame({"image_id": a["image_id"].iloc[0], "q": np.repeat(some["q"].to_numpy(), top.shape[1]), "j": ids[top].ravel(), "dist2": np.take_along_axis(d, top, 1).ravel()}))
         return pd.concat(out)
 
-    pairs = left.groupBy(*on).cogroup(right.groupBy(*[f"r_{c}" for c in on])).applyInPandas(meet, "image_id long, q long, j long, dist2 double")
+    return left.groupBy(*on).cogroup(right.groupBy(*[f"r_{c}" for c in on])).applyInPandas(meet, "image_id long, q long, j long, dist2 double")
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("image_id", "q").orderBy("dist2", "j")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("image_id", "q", "rank", "j", "dist2")
 
 
+def nearest(queries: DataFrame, candidates: DataFrame, features: list[str], k: int) -> DataFrame:
+    """(image_id, q, rank, j, dist2): for each query the k nearest candidates of its image.
+
+    Candidates of images of more than BLOCK points are cut into blocks with bounding boxes. A
+    query first meets the block whose box is nearest; its k-th distance there bounds the
+    blocks that it need meet besides, so blocks out of reach are never compared with it.
+    """
+    right = candidates.select("image_id", F.col("i").alias("j"), *[F.col(f).alias(f"c_{f}") for f in features])
+    left = queries.select("image_id", F.col("i").alias("q"), *features)
+    sizes = cut(right.groupBy("image_id").agg(F.count("*").alias("n")))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= BLOCK:
+        one = F.lit(0).cast("long").alias("block")
+        return _ranked(_meet(left.select("*", one), right.select("*", one), features, k), k)
+    right = cut(_boxed(right, features, sizes))
+    walls = boxes(right.withColumnsRenamed({f"c_{f}": f for f in features}), features, ["image_id", "block"])
+    walls = cut(walls)  # a row for BLOCK points
+    gap = reduce(Column.__add__, [F.pow(F.greatest(F.col(f"lo_{f}") - F.col(f), F.col(f) - F.col(f"hi_{f}"), F.lit(0.0)), F.lit(2.0)) for f in features])
+    far = left.join(walls, "image_id").withColumn("gap", gap)
+    home = cut(far.groupBy("image_id", "q").agg(F.min_by("block", F.struct("gap", "block")).alias("block")))
+    first = cut(_ranked(_meet(left.join(home, ["image_id", "q"]), right, features, k), k))
+    reach = first.groupBy("image_id", "q").agg(F.max("dist2").alias("reach"), F.count("*").alias("found")).join(home.withColumnRenamed("block", "home"), ["image_id", "q"])
+    near = far.join(reach, ["image_id", "q"]).filter((F.col("block") != F.col("home")) & ((F.col("found") < k) | (F.col("gap") <= F.col("reach") * (1 + 1e-9))))
+    second = _meet(near.select("image_id", "q", *features, "block"), right, features, k)
+    return _ranked(first.select("image_id", "q", "j", "dist2").unionByName(second), k)
+
+
 def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
     """Exact neighbours among all rows of (i, v array<double>), blocked like ``nearest``; one image."""
     blocks = max(1, -(-vectors.count() // BLOCK))

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in ``spark.checkpoint.dir``; only where none is set use a temporary folder."""
+    """Checkpoint ``df`` in ``spark.checkpoint.dir``; where none is set, in a temporary folder on a local master only."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenweave-"))
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lumenweave-"))
     return df.checkpoint(eager=True)

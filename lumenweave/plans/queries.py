@@ -50,6 +50,17 @@ def quantize_u8(spark, sf_dir):
     return _px(spark, sf_dir).select("i", *[fx.to_byte(F.col(c) * 1.25 - 0.0625).alias(c) for c in "rgb"])
 
 
+def outer_products(spark, sf_dir):
+    v = [F.col(c) for c in "rgb"]
+    return _px(spark, sf_dir).select("i", *[r6(c).alias(f"p_{a}{b}") for a, row in zip("rgb", fx.outer(v, v), strict=True) for b, c in zip("rgb", row, strict=True)])
+
+
+def quadratic_forms(spark, sf_dir):
+    """v' A w of each pixel with v = (r, g, b), A = outer(v, 1) and w = (1, t, b)."""
+    v, one = [F.col(c) for c in "rgb"], F.lit(1.0)
+    return _px(spark, sf_dir).select("i", r6(fx.quadratic(v, fx.outer(v, [one, one, one]), [one, F.col("t"), F.col("b")])).alias("v"))
+
+
 def trimap_split(spark, sf_dir):
     return _px(spark, sf_dir).select("i", *[v.alias(k) for k, v in fx.trimap_flags(F.col("t")).items()])
 
@@ -183,11 +194,12 @@ def edge_trim(spark, sf_dir):
     return _v(affinity.trim_edges(_px(spark, sf_dir)), "t")
 
 
-_UNKNOWN = ~((F.col("t") > 0.8) | (F.col("t") < 0.2))
+def _unknown() -> Column:
+    return ~((F.col("t") > 0.8) | (F.col("t") < 0.2))
 
 
 def color_similarity(spark, sf_dir):
-    return _v(affinity.color_similarity(_px(spark, sf_dir), 5, 0.05, _UNKNOWN, _UNKNOWN))
+    return _v(affinity.color_similarity(_px(spark, sf_dir), 5, 0.05, _unknown(), _unknown()))
 
 
 def patch_bhattacharyya(spark, sf_dir):
@@ -203,7 +215,7 @@ def local_affinity(spark, sf_dir):
 
 
 def lle_weights(spark, sf_dir):
-    return affinity.color_mixture(_px(spark, sf_dir), 20, 1.0, _UNKNOWN).select("i", "j", F.round("v", 4).alias("v"))
+    return affinity.color_mixture(_px(spark, sf_dir), 20, 1.0, _unknown()).select("i", "j", F.round("v", 4).alias("v"))
 
 
 def known_unknown_mixture(spark, sf_dir):
@@ -310,7 +322,7 @@ def _alpha(method, preconditioner):
 QUERIES = {
     f.__name__: f
     for f in (
-        alpha_jacobi_3, scan_pixels, rgb_to_gray, quantize_u8, trimap_split, trimap_soft, trimap_counts, validate_image, pixel_grid, window_3x3, stencil_coo, uniform_laplacian,
+        alpha_jacobi_3, scan_pixels, rgb_to_gray, quantize_u8, outer_products, quadratic_forms, trimap_split, trimap_soft, trimap_counts, validate_image, pixel_grid, window_3x3, stencil_coo, uniform_laplacian,
         resize_nearest, resize_bilinear, dilate, window_moments, cf_affinity, cf_laplacian, cf_system, coo_add, coo_transpose, coo_symmetrise, coo_triangles, matvec, matmat,
         row_sum, inner_product, running_sums, windows_at, box_fill, knn_embeddings, knn_graph, knn_laplacian, label_expand_1, edge_trim, color_similarity, patch_bhattacharyya, patch_trim, local_affinity,
         lle_weights, known_unknown_mixture, ifm_system, lkm_apply, lkm_diagonal, restrict, jacobi_3, cg_3, fb_cf, blend, stack, guided_filter, fast_guided_filter,
@@ -544,6 +556,8 @@ g{n + 1} AS MATERIALIZED (SELECT i, x, r, r + (SELECT sum(r * r) FROM u{n}) / rr
 )
 
 ORACLES |= {
+    "outer_products": _with(_PX, "SELECT i, " + ", ".join(f"round({a} * {b}, 6) + 0.0 AS p_{a}{b}" for a in "rgb" for b in "rgb") + " FROM px"),
+    "quadratic_forms": _with(_PX, "SELECT i, round((r * r + g * g + b * b) * (1 + t + b), 6) + 0.0 AS v FROM px"),
     "running_sums": _with(_PX, "SELECT p.x, p.y, sum(q.r8)::BIGINT AS r, sum(q.g8)::BIGINT AS g FROM px p JOIN px q ON q.x <= p.x AND q.y <= p.y GROUP BY p.x, p.y"),
     "windows_at": _with(_PX, "SELECT p.i, (3 * (q.y - p.y + 1) + q.x - p.x + 1)::INTEGER AS off, q.i AS j, q.r8 AS v FROM px p JOIN px q ON q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 WHERE p.r8 > 240"),
     "box_fill": _with(_PX, f"SELECT p.x, p.y, (sum(q.r8) + 7 * ({(2 * BOX_R + 1) ** 2} - count(*)))::BIGINT AS r, (sum(q.g8) + 7 * ({(2 * BOX_R + 1) ** 2} - count(*)))::BIGINT AS g FROM px p JOIN px q ON q.x BETWEEN p.x - {BOX_R} AND p.x + {BOX_R} AND q.y BETWEEN p.y - {BOX_R} AND p.y + {BOX_R} GROUP BY p.x, p.y"),

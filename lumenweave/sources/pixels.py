@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -14,14 +15,47 @@ from pyspark.sql import functions as F
 PART_WIDTH = 40
 
 
-def load_images(spark: SparkSession, path: str, mode: str | None = None) -> DataFrame:
-    """Pixels of all images under ``path`` as doubles from 0 to 1. mode "GRAY": one channel ``v``; else r, g, b (and a)."""
+def _axis(old: int, new: int, interpolation: str) -> np.ndarray:
+    """(new, old) weights of one axis. Bilinear is a triangle filter, as wide as the reduction when it reduces."""
+    scale, out = old / new, np.zeros((new, old))
+    centre = (np.arange(new) + 0.5) * scale
+    if interpolation == "NEAREST":
+        out[np.arange(new), np.minimum(centre.astype(int), old - 1)] = 1
+        return out
+    width = max(scale, 1.0)
+    out = np.maximum(0, 1 - np.abs(np.arange(old)[None, :] + 0.5 - centre[:, None]) / width)
+    return out / out.sum(1, keepdims=True)
+
+
+def resized(image: np.ndarray, w: int, h: int, interpolation: str = "BILINEAR") -> np.ndarray:
+    """8-bit (h, w, c) image at another size, rounded after each axis."""
+    if interpolation not in ("NEAREST", "BILINEAR"):
+        raise ValueError("interpolation must be NEAREST or BILINEAR")
+    for axis, new in ((1, w), (0, h)):
+        weights = _axis(image.shape[axis], new, interpolation)
+        image = np.moveaxis(np.tensordot(weights, image.astype(float), (1, axis)), 0, axis)
+        image = np.clip(np.floor(image + 0.5), 0, 255).astype(np.uint8)
+    return image
+
+
+def load_images(spark: SparkSession, path: str, mode: str | None = None, interpolation: str = "BILINEAR", width: int | None = None, height: int | None = None) -> DataFrame:
+    """Pixels of all images under ``path`` as doubles from 0 to 1. mode "GRAY": one channel ``v``; else r, g, b (and a).
+
+    With ``width`` or ``height`` each image is resized; with one of them, its shape is kept.
+    """
+    interpolation = interpolation.upper()
+    if interpolation not in ("NEAREST", "BILINEAR"):
+        raise ValueError("interpolation must be NEAREST or BILINEAR")
     img = spark.read.format("image").load(path).select(F.xxhash64("image.origin").alias("image_id"), "image.origin", F.col("image.width").alias("w"), F.col("image.height").alias("h"), F.col("image.nChannels").alias("c"), "image.data")
 
     def pixels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for image_id, origin, w, h, c, data in frame.itertuples(index=False):
-                a = np.frombuffer(data, np.uint8).reshape(w * h, c) / 255.0
+                image = np.frombuffer(data, np.uint8).reshape(h, w, c)
+                if width or height:
+                    to = (width or max(1, int(w * height / h)), height or max(1, int(h * width / w)))
+                    image, (w, h) = resized(image, *to, interpolation), to
+                a = image.reshape(w * h, c) / 255.0
                 b, g, r = (a[:, k] for k in ((0, 1, 2) if c >= 3 else (0, 0, 0)))
                 i = np.arange(w * h)
                 yield pd.DataFrame({"image_id": image_id, "origin": origin, "i": i, "x": i % w, "y": i // w, "w": w, "h": h, "r": r, "g": g, "b": b, "a": a[:, 3] if c == 4 else 1.0})
@@ -44,16 +78,57 @@ def encode_png(channels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
-def to_png(pixels: DataFrame, columns: list[str]) -> DataFrame:
-    """(image_id, png binary): each image's columns (0 to 1, truncated to bytes) as one file."""
+def encode_netpbm(channels: np.ndarray) -> bytes:
+    """PGM or PPM bytes of an (h, w, c) array of 8-bit values; c is 1 or 3."""
+    h, w, c = channels.shape
+    return b"P%d\n%d %d\n255\n" % ({1: 5, 3: 6}[c], w, h) + channels.astype(np.uint8).tobytes()
+
+
+#: Encoders by file extension.
+ENCODERS = {"png": encode_png, "ppm": encode_netpbm, "pgm": encode_netpbm}
+
+
+def encoded(pixels: DataFrame, columns: list[str], extension: str = "png") -> DataFrame:
+    """(image_id, body binary): each image's columns (0 to 1, truncated to bytes) as one file."""
+    if extension not in ENCODERS:
+        raise ValueError(f"extension must be one of {sorted(ENCODERS)}")
+    encode = ENCODERS[extension]
 
     def one(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i")
         w, h = int(frame.w.iloc[0]), int(frame.h.iloc[0])
         values = np.clip(frame[columns].to_numpy() * 255, 0, 255).astype(np.uint8).reshape(h, w, len(columns))
-        return pd.DataFrame({"image_id": [key[0]], "png": [encode_png(values)]})
+        return pd.DataFrame({"image_id": [key[0]], "body": [encode(values)]})
+
+    return pixels.select("image_id", "i", "w", "h", *columns).groupBy("image_id").applyInPandas(one, "image_id long, body binary")
+
 
-    return pixels.select("image_id", "i", "w", "h", *columns).groupBy("image_id").applyInPandas(one, "image_id long, png binary")
+def to_png(pixels: DataFrame, columns: list[str]) -> DataFrame:
+    """(image_id, png binary)."""
+    return encoded(pixels, columns, "png").withColumnRenamed("body", "png")
+
+
+def save_images(pixels: DataFrame, columns: list[str], folder: str, extension: str = "png") -> int:
+    """Write each image to ``folder``/<image_id>.<extension>; returns how many.
+
+    ``folder`` is a path or URI of a store that all executors reach. A file appears under its
+    name when it is complete, so a task that runs again does no harm.
+    """
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(root, recursive=True)
+        for frame in frames:
+            for image_id, body in frame.itertuples(index=False):
+                draft = f"{root}/.{image_id}.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as f:
+                    f.write(body)
+                store.move(draft, f"{root}/{image_id}.{extension}")
+            yield frame[["image_id"]]
+
+    return encoded(pixels, columns, extension).mapInPandas(write, "image_id long").count()
 
 
 def part_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,12 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lumenweave.operators import matte
+from lumenweave.operators import color, linalg, matte, neighbors
 from lumenweave.operators.kernels import ColumnFactor, Multigrid, conjugate_gradients, csr, restriction
 from lumenweave.plans.queries import ORACLES, QUERIES
-from lumenweave.sources.pixels import encode_png, load_images, part_pixels
+from lumenweave.sources.pixels import encode_png, load_images, part_pixels, resized, save_images
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +76,82 @@ def test_png_round_trip(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(encode_png(image))
     rows = load_images(spark, str(tmp_path)).orderBy("i").collect()
     assert [round(r.r * 255) for r in rows] == image[:, :, 0].ravel().tolist() and rows[0].w == 4
+
+
+def test_resize_on_load_and_save(spark, tmp_path):
+    image = np.arange(96, dtype=np.uint8).reshape(4, 8, 3)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(encode_png(image))
+    # a reduction by two with the wide triangle filter, inside the image: 1 3 3 1 over 8
+    want = (image[:, 1, 0] + 3.0 * image[:, 2, 0] + 3.0 * image[:, 3, 0] + image[:, 4, 0]) / 8
+    assert np.abs(resized(image, 4, 4)[:, 1, 0] - want).max() <= 0.5
+    assert (resized(image, 16, 8, "NEAREST") == image.repeat(2, 0).repeat(2, 1)).all() and (resized(image, 8, 4) == image).all()
+    px = load_images(spark, str(tmp_path / "in"), width=4)
+    assert {(r.w, r.h) for r in px.collect()} == {(4, 2)}
+    whole = load_images(spark, str(tmp_path / "in"))
+    for extension in ("png", "ppm"):
+        assert save_images(whole, ["r", "g", "b"], str(tmp_path / extension), extension) == 1
+    (file,) = [f for f in (tmp_path / "png").iterdir() if f.suffix == ".png"]
+    again = load_images(spark, str(file)).orderBy("i").collect()
+    assert [round(r.g * 255) for r in again] == image[:, :, 1].ravel().tolist()
+    with pytest.raises(ValueError):
+        save_images(whole, ["r"], str(tmp_path), "jpg")
+
+
+def test_nearest_with_blocks_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK", 40)
+    monkeypatch.setattr(neighbors, "QUERIES", 16)
+    rng = np.random.default_rng(2)
+    v = np.round(rng.random((500, 3)), 1)  # many ties
+    df = spark.createDataFrame([(i % 2, i, *map(float, x)) for i, x in enumerate(v)], "image_id long, i long, a double, b double, c double")
+    got = {}
+    for r in neighbors.nearest(df.filter("i % 5 < 2"), df, ["a", "b", "c"], 7).collect():
+        got.setdefault(r.q, {})[r["rank"]] = r.j
+    for q in [i for i in range(500) if i % 5 < 2]:
+        ids = np.arange(q % 2, 500, 2)
+        d = ((v[ids] - v[q]) ** 2)[:, 0] + ((v[ids] - v[q]) ** 2)[:, 1] + ((v[ids] - v[q]) ** 2)[:, 2]
+        assert [got[q][k] for k in range(1, 8)] == ids[np.lexsort((ids, d))[:7]].tolist()
+
+
+def test_solving_by_tables_equals_solving_in_tasks(spark, monkeypatch):
+    px = part_pixels(spark, SF)
+    want = {r.i: r.alpha for r in matte.alpha(px, "cf", "jacobi").collect()}
+    start = spark.createDataFrame([(0, i, a) for i, a in want.items()], "image_id long, i long, v double")
+    a, b = matte.build_system(px, "cf")
+    near = matte.solve(a, b, px, "jacobi", atol=0.5, x0=start).collect()
+    assert max(r.steps for r in near) < 30
+    monkeypatch.setattr(matte, "KERNEL_PIXELS", 16)
+    got = {r.i: r.alpha for r in matte.alpha(px, "cf", "jacobi", absolute_tolerance=5.0).collect()}
+    monkeypatch.setattr(matte, "KERNEL_PIXELS", 1 << 20)
+    same = {r.i: r.alpha for r in matte.alpha(px, "cf", "jacobi", absolute_tolerance=5.0).collect()}
+    assert max(abs(got[i] - same[i]) for i in same) < 1e-9
+
+
+def test_closed_form_colours_solve_their_system(spark):
+    """Against a dense solve of the normal equations."""
+    px = part_pixels(spark, SF).withColumn("alpha", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (32 - F.col("x")) / 24.0)))
+    got = color.estimate_closed_form(px, rtol=1e-12, max_iter=5000).orderBy("i").toPandas()
+    p = px.orderBy("i").toPandas()
+    n, w, h = len(p), int(p.w[0]), int(p.h[0])
+    alpha, m = p.alpha.to_numpy(), np.zeros((2 * n, 2 * n))
+    for i, (x, y) in enumerate(zip(p.x, p.y, strict=True)):
+        for dx, dy in ((-1, 0), (1, 0), (0, -1), (0, 1)):
+            j = min(max(x + dx, 0), w - 1) + min(max(y + dy, 0), h - 1) * w
+            e = np.zeros(n)
+            e[i], e[j] = e[i] + 1, e[j] - 1
+            k = 1e-5 + abs(alpha[i] - alpha[j])
+            m[:n, :n] += k * np.outer(e, e)
+            m[n:, n:] += k * np.outer(e, e)
+    c = np.concatenate([np.diag(alpha), np.diag(1 - alpha)], 1)
+    m += c.T @ c
+    for ch in "rgb":
+        s = np.clip(np.linalg.solve(m, c.T @ p[ch].to_numpy()), 0, 1)
+        assert np.abs(np.concatenate([got[f"f_{ch}"], got[f"b_{ch}"]]) - s).max() < 1e-4
+
+
+def test_flow_matte_leaves_a_small_residual(spark):
+    px = part_pixels(spark, SF).cache()
+    a, b = (x.cache() for x in matte.build_system(px, "ifm"))
+    x = matte.solve(a, b, px, "jacobi").select("image_id", "i", F.col("x").alias("v"))
+    left = linalg.matvec(a, x).withColumnRenamed("v", "ax").join(b, ["image_id", "i"]).agg(F.sqrt(F.sum((F.col("ax") - F.col("v")) ** 2)).alias("r")).first().r
+    assert left < 0.02 * b.agg(F.sqrt(F.sum(F.col("v") ** 2))).first()[0]
