@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweave.functions.pixel import dot, mat_vec, quadratic, sym3_cofactors
-from lumenweave.operators import linalg
+from lumenweave.operators import kernels, linalg
 from lumenweave.operators.grid import NINE, box_sums, dilate, taps, window_moments, windows
 from lumenweave.operators.neighbors import lle_weights, nearest
 from lumenweave.plans.lineage import cut
@@ -172,13 +173,33 @@ def expand_labels(pixels: DataFrame, r: int, threshold: float) -> DataFrame:
     return pixels.join(best, ["image_id", "i"], "left").select("image_id", "i", F.coalesce("label", "t").alias("t"))
 
 
-def trim_edges(pixels: DataFrame, passes: int = 9, high: float = 8.11 / 256, low: float = 1 / 256) -> DataFrame:
-    """Label expansion with radius 1..passes and falling colour thresholds; each pass reads the last."""
+#: Pixels of an image that one task holds.
+KERNEL_PIXELS = 1 << 23
+
+
+def trim_edges(pixels: DataFrame, passes: int = 9, high: float = 8.11 / 256, low: float = 1 / 256, in_tasks: bool | None = None) -> DataFrame:
+    """Label expansion with radius 1..passes and falling colour thresholds; each pass reads the last.
+
+    Images of up to KERNEL_PIXELS (``in_tasks``) run one per task, larger ones pass by pass as tables.
+    """
+    steps = [(n + 1, high + (low - high) * n / max(1, passes - 1)) for n in range(passes)]
     names = ["image_id", "i", "x", "y", "w", "h", "r", "g", "b"]
+    if in_tasks is None:
+        in_tasks = (pixels.agg(F.max(F.col("w").cast("long") * F.col("h"))).first()[0] or 0) <= KERNEL_PIXELS
+    if in_tasks:
+
+        def one(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("i")
+            w, h = int(frame.w.iloc[0]), int(frame.h.iloc[0])
+            image, t = frame[["r", "g", "b"]].to_numpy().reshape(h, w, 3), frame.t.to_numpy().reshape(h, w)
+            for r, threshold in steps:
+                t = kernels.expand_labels(image, t, r, threshold)
+            return pd.DataFrame({"image_id": frame.image_id, "i": frame.i, "t": t.ravel()})
+
+        return pixels.select(*names, "t").groupBy("image_id").applyInPandas(one, "image_id long, i long, t double")
     still, base = pixels.select(*names, "t"), pixels.select(*names)
-    for n in range(passes):
-        threshold = high + (low - high) * n / max(1, passes - 1)
-        t = cut(expand_labels(still, n + 1, threshold))
+    for r, threshold in steps:
+        t = cut(expand_labels(still, r, threshold))
         still = base.join(t, ["image_id", "i"]).select(*names, "t")
     return still.select("image_id", "i", "t")
 

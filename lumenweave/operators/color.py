@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from lumenweave.functions.pixel import clip, dot, inv2, mat_vec, sym3_cofactors
 from lumenweave.operators.grid import FOUR, box_sums, resize_bilinear, resize_nearest
 from lumenweave.plans.lineage import cut
-from lumenweave.operators.kernels import ColumnFactor, conjugate_gradients, csr
+from lumenweave.operators.kernels import ColumnFactor, colour_pass, conjugate_gradients, csr, nearest_indices
 
 RGB = ["r", "g", "b"]
 _PAIRS = [(a, b) for k, a in enumerate("rgb") for b in "rgb"[k:]]
+#: Pixels of an image that one task holds.
+KERNEL_PIXELS = 1 << 23
 #: Pixels from which a level's lineage is cut.
 LARGE_LEVEL = 1 << 18
 _FB = [f"{s}_{c}" for s in "fb" for c in RGB]
@@ -71,26 +73,55 @@ def color_pass(level: DataFrame, regularization: float = 1e-5) -> DataFrame:
     return out.withColumns(values).select(*level.columns)
 
 
-def estimate_multilevel(pixels: DataFrame, w: int, h: int, min_size: int = 2, growth: float = 2.0, regularization: float = 1e-5, n_iter: int | Callable[[int, int], int] = 2, cut: Callable[[DataFrame], DataFrame] = cut, levels: int | None = None) -> DataFrame:
+def estimate_multilevel(pixels: DataFrame, w: int, h: int, min_size: int = 2, growth: float = 2.0, regularization: float = 1e-5, n_iter: int | Callable[[int, int], int] = 2, cut: Callable[[DataFrame], DataFrame] = cut, levels: int | None = None, in_tasks: bool | None = None) -> DataFrame:
     """pixels: (image_id, i, x, y, w, h, r, g, b, alpha) of images of one size. Adds f_* and b_*.
 
-    Coarse to fine with a fixed number of passes, all in DataFrames, one linear plan; ``cut``
-    ends the lineage of large levels (a checkpoint in the shared folder). ``levels`` stops
-    early at a coarse size.
+    Coarse to fine with a fixed number of passes. Images of up to KERNEL_PIXELS (``in_tasks``)
+    run one per task; of larger ones every level is a DataFrame, in one linear plan whose
+    lineage ``cut`` ends at large levels. ``levels`` stops early at a coarse size.
     """
+    sizes = level_sizes(w, h, min_size, growth)[:levels]
+    passes = [n_iter(a, b) if callable(n_iter) else n_iter for a, b in sizes]
+    if w * h <= KERNEL_PIXELS if in_tasks is None else in_tasks:
+        return _multilevel_in_tasks(pixels, sizes, passes, regularization)
     state = None
-    for a, b in level_sizes(w, h, min_size, growth)[:levels]:
+    for (a, b), n in zip(sizes, passes, strict=True):
         level = resize_nearest(pixels, a, b, [*RGB, "alpha"])
         if state is None:
             level = level.withColumns({f"{s}_{c}": F.col(c) for s in "fb" for c in RGB})
         else:
             level = level.join(resize_nearest(state, a, b, _FB).select("image_id", "i", *_FB), ["image_id", "i"])
-        for _ in range(n_iter(a, b) if callable(n_iter) else n_iter):
+        for _ in range(n):
             level = color_pass(level, regularization)
         state = cut(level) if a * b >= LARGE_LEVEL else level
     return state
 
 
+def _multilevel_in_tasks(pixels: DataFrame, sizes: list[tuple[int, int]], passes: list[int], regularization: float) -> DataFrame:
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i")
+        w, h = int(frame.w.iloc[0]), int(frame.h.iloc[0])
+        image, alpha, state = frame[RGB].to_numpy().reshape(h, w, 3), frame.alpha.to_numpy().reshape(h, w), None
+        for (a, b), n in zip(sizes, passes, strict=True):
+            y, x = nearest_indices(h, b), nearest_indices(w, a)
+            small, at = image[y][:, x], alpha[y][:, x]
+            if state is None:
+                state = (small, small)
+            else:
+                y, x = nearest_indices(state[0].shape[0], b), nearest_indices(state[0].shape[1], a)
+                state = tuple(v[y][:, x] for v in state)
+            for _ in range(n):
+                state = colour_pass(small, at, *state, FOUR, regularization)
+        i = np.arange(a * b)
+        out = {"image_id": frame.image_id.iloc[0], "i": i, "x": i % a, "y": i // a, "w": a, "h": b, "alpha": at.ravel()}
+        planes = [("", small), ("f_", state[0]), ("b_", state[1])]
+        return pd.DataFrame(out | {f"{s}{c}": v[:, :, k].ravel() for s, v in planes for k, c in enumerate(RGB)})
+
+    names = ["r", "g", "b", *_FB]
+    schema = "image_id long, i long, x int, y int, w int, h int, alpha double, " + ", ".join(f"{c} double" for c in names)
+    return pixels.select("image_id", "i", "w", "h", *RGB, "alpha").groupBy("image_id").applyInPandas(one, schema)
+
+
 def estimate_closed_form(pixels: DataFrame, regularization: float = 1e-5, neighbors: list[tuple[int, int]] = FOUR, max_iter: int = 1000, atol: float = 0.0, rtol: float = 1e-5, threshold: float = 1e-4) -> DataFrame:
     """(image_id, i, f_*, b_*): smoothness system over both colours, one CG per channel and image."""
 

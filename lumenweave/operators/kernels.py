@@ -244,3 +244,44 @@ def factor_with_retries(a: Csr, threshold: float = 1e-4, regularization: float =
         except FactorError:
             continue
     raise FactorError("no attempt gave a factor")
+
+
+def _clamped(v: np.ndarray, dx: int, dy: int) -> np.ndarray:
+    """v at (y + dy, x + dx), with coordinates clamped to the image."""
+    h, w = v.shape[:2]
+    return v[np.clip(np.arange(h) + dy, 0, h - 1)][:, np.clip(np.arange(w) + dx, 0, w - 1)]
+
+
+def colour_pass(image: np.ndarray, alpha: np.ndarray, fg: np.ndarray, bg: np.ndarray, neighbours: list[tuple[int, int]], regularization: float) -> tuple[np.ndarray, np.ndarray]:
+    """One update of both colours from the pixel's own and its neighbours', for (h, w, 3) arrays."""
+    total, sums = np.zeros(alpha.shape), [np.zeros(fg.shape), np.zeros(bg.shape)]
+    for dx, dy in neighbours:
+        d = regularization + np.abs(alpha - _clamped(alpha, dx, dy))
+        total += d
+        for s, v in zip(sums, (fg, bg), strict=True):
+            s += d[..., None] * _clamped(v, dx, dy)
+    a, b = alpha, 1 - alpha
+    p, q, t = a * a + total, a * b, b * b + total
+    det = p * t - q * q
+    u, v = a[..., None] * image + sums[0], b[..., None] * image + sums[1]
+    return np.clip((t[..., None] * u - q[..., None] * v) / det[..., None], 0, 1), np.clip((p[..., None] * v - q[..., None] * u) / det[..., None], 0, 1)
+
+
+def nearest_indices(old: int, new: int) -> np.ndarray:
+    return np.minimum(old - 1, np.floor(np.arange(new) * old / float(new)).astype(np.int64))
+
+
+def expand_labels(image: np.ndarray, t: np.ndarray, r: int, threshold: float) -> np.ndarray:
+    """Unknown pixels take the trimap value of the nearest known pixel within r whose colour is closer than ``threshold``; ties go by row, then column."""
+    h, w = t.shape
+    known, out = (t > 0.8) | (t < 0.2), t.copy()
+    open_y, open_x = np.nonzero(~known)
+    for dx, dy in sorted(((dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1)), key=lambda o: o[0] ** 2 + o[1] ** 2):
+        x, y = open_x + dx, open_y + dy
+        ok = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+        ok[ok] = known[y[ok], x[ok]]
+        gap = image[open_y[ok], open_x[ok]] - image[y[ok], x[ok]]
+        ok[ok] = (gap[:, 1] ** 2 + gap[:, 0] ** 2) + gap[:, 2] ** 2 < threshold * threshold
+        out[open_y[ok], open_x[ok]] = t[y[ok], x[ok]]
+        open_y, open_x = open_y[~ok], open_x[~ok]
+    return out

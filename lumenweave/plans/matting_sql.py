@@ -223,16 +223,16 @@ gm AS MATERIALIZED (SELECT *, q - (a_r * m_r + a_g * m_g + a_b * m_b) AS a_0, 1.
     )
 
 
-def conjugate_gradients(a: str, b: str, steps: int, goal: float) -> str:
-    """CTE ``solved`` (i, v): at most ``steps`` steps of Jacobi-preconditioned CG on tables ``a`` (i, j, v) and ``b`` (i, v)."""
+def conjugate_gradients(a: str, b: str, steps: int, goal: float, name: str = "solved") -> str:
+    """CTE ``name`` (i, v): at most ``steps`` steps of Jacobi-preconditioned CG on tables ``a`` (i, j, v) and ``b`` (i, v)."""
     return f""",
-cg_d AS MATERIALIZED (SELECT i, v FROM {a} WHERE i = j),
-cg(k, i, d, x, r, z, p, rz, size) AS (
-  SELECT 0, i, d, 0.0::DOUBLE, r, z, z, sum(r * z) OVER (), sum(r * r) OVER () FROM (SELECT i, cg_d.v AS d, {b}.v AS r, {b}.v / cg_d.v AS z FROM {b} JOIN cg_d USING (i))
-  UNION ALL
-  SELECT k + 1, i, d, x, r, z, z + rz2 / rz * p, rz2, size FROM (
+{name}_d AS MATERIALIZED (SELECT i, v FROM {a} WHERE i = j),
+{name}_s(i, k, d, x, r, z, p, rz, size) USING KEY (i) AS (
+  SELECT i, 0, d, 0.0::DOUBLE, r, z, z, sum(r * z) OVER (), sum(r * r) OVER () FROM (SELECT i, {name}_d.v AS d, {b}.v AS r, {b}.v / {name}_d.v AS z FROM {b} JOIN {name}_d USING (i))
+  UNION
+  SELECT i, k + 1, d, x, r, z, z + rz2 / rz * p, rz2, size FROM (
     SELECT *, sum(r * z) OVER () AS rz2, sum(r * r) OVER () AS size FROM (
       SELECT k, i, d, rz, p, x + step * p AS x, r - step * q AS r, (r - step * q) / d AS z FROM (
-        SELECT cg.*, ap.q, rz / sum(p * ap.q) OVER () AS step FROM cg JOIN (SELECT m.i AS ai, sum(m.v * s.p) AS q FROM {a} m JOIN cg s ON s.i = m.j GROUP BY m.i) ap ON ap.ai = cg.i
+        SELECT s.*, ap.q, rz / sum(p * ap.q) OVER () AS step FROM {name}_s s JOIN (SELECT m.i AS ai, sum(m.v * s.p) AS q FROM {a} m JOIN {name}_s s ON s.i = m.j GROUP BY m.i) ap ON ap.ai = s.i
         WHERE k < {steps} AND size > {goal!r} * {goal!r})))),
-solved AS (SELECT i, x AS v FROM cg WHERE k = (SELECT max(k) FROM cg))"""
+{name} AS (SELECT i, x AS v FROM {name}_s)"""

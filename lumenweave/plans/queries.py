@@ -290,7 +290,9 @@ def _colors(levels):
 
 
 def fb_cf(spark, sf_dir):
-    return color.estimate_closed_form(_px(spark, sf_dir, True)).select("i", *[F.round(c, 3).alias(c) for c in ("f_r", "f_g", "f_b", "b_r", "b_g", "b_b")])
+    """Solved far below the default tolerance, as the mattes are."""
+    out = color.estimate_closed_form(_px(spark, sf_dir, True), rtol=1e-13, max_iter=5000)
+    return out.select("i", *[F.round(c, 3).alias(c) for c in ("f_r", "f_g", "f_b", "b_r", "b_g", "b_b")])
 
 
 def blend(spark, sf_dir):
@@ -579,6 +581,24 @@ ORACLES |= {
     "guided_filter": _with(_PX + M.guided("px", 2), f"SELECT px.i, {_FILTERED} FROM gs JOIN px USING (x, y)"),
     "fast_guided_filter": _with(_LOW + M.guided("low", 1) + _UP, f"SELECT px.i, {_FILTERED} FROM up JOIN px USING (i)"),
 }
+_FB_CF = (
+    _PX
+    + """,
+fe AS (SELECT p.i, q.i AS j, 1e-5::DOUBLE + abs(p.alpha - q.alpha) AS k FROM (SELECT i, alpha, (greatest(0, least(w - 1, x + dx)) + greatest(0, least(h - 1, y + dy)) * w)::BIGINT AS j
+  FROM px, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS o(dx, dy)) p JOIN px q ON q.i = p.j WHERE p.i <> q.i),
+fh AS (SELECT i, j, k FROM fe UNION ALL SELECT j, i, k FROM fe),
+fm AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM (
+  SELECT i + o AS i, i + o AS j, k AS v FROM fh, (SELECT unnest([0, 1000000000]) AS o) UNION ALL SELECT i + o, j + o, -k FROM fh, (SELECT unnest([0, 1000000000]) AS o)
+  UNION ALL SELECT i, i, alpha * alpha FROM px UNION ALL SELECT i + 1000000000, i + 1000000000, (1 - alpha) * (1 - alpha) FROM px
+  UNION ALL SELECT i, i + 1000000000, alpha * (1 - alpha) FROM px UNION ALL SELECT i + 1000000000, i, alpha * (1 - alpha) FROM px) GROUP BY 1, 2)"""
+    + "".join(f", fb_{c} AS (SELECT i, alpha * {c} AS v FROM px UNION ALL SELECT i + 1000000000, (1 - alpha) * {c} FROM px)" + M.conjugate_gradients("fm", f"fb_{c}", 6000, 1e-13, f"fs_{c}") for c in "rgb")
+)
+ORACLES["fb_cf"] = (
+    f"WITH RECURSIVE {_FB_CF} SELECT px.i, "
+    + ", ".join(f"round(greatest(0.0, least(1.0, {s}_{c}.v)), 3) AS {s}_{c}" for s in "fb" for c in "rgb")
+    + " FROM px "
+    + " ".join(f"JOIN fs_{c} {s}_{c} ON {s}_{c}.i = px.i + {0 if s == 'f' else 1000000000}" for s in "fb" for c in "rgb")
+)
 _KNN_LAP = _KNN + ", lap AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, -v AS v FROM graph UNION ALL SELECT i, i, sum(v) FROM graph GROUP BY i) GROUP BY 1, 2)"
 for _m, _ctes in (("cf", _CF + _known("lap")), ("knn", _KNN_LAP + _known("lap")), ("lkm", _PX + M.large_kernel_matrix(2, "1e-7") + _known("lk"))):
     ORACLES |= {f"alpha_{_m}_{p or 'none'}": _matte_sql(_ctes) for p in matte.METHODS[_m]}

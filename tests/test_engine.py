@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenweave.operators import color, linalg, matte, neighbors
+from lumenweave.operators import affinity, color, linalg, matte, neighbors
 from lumenweave.operators.kernels import ColumnFactor, Multigrid, conjugate_gradients, csr, restriction
 from lumenweave.plans.queries import ORACLES, QUERIES
 from lumenweave.sources.pixels import encode_png, load_images, part_pixels, resized, save_images
@@ -138,7 +138,8 @@ def test_closed_form_colours_solve_their_system(spark):
         for dx, dy in ((-1, 0), (1, 0), (0, -1), (0, 1)):
             j = min(max(x + dx, 0), w - 1) + min(max(y + dy, 0), h - 1) * w
             e = np.zeros(n)
-            e[i], e[j] = e[i] + 1, e[j] - 1
+            e[i] += 1
+            e[j] -= 1
             k = 1e-5 + abs(alpha[i] - alpha[j])
             m[:n, :n] += k * np.outer(e, e)
             m[n:, n:] += k * np.outer(e, e)
@@ -155,3 +156,12 @@ def test_flow_matte_leaves_a_small_residual(spark):
     x = matte.solve(a, b, px, "jacobi").select("image_id", "i", F.col("x").alias("v"))
     left = linalg.matvec(a, x).withColumnRenamed("v", "ax").join(b, ["image_id", "i"]).agg(F.sqrt(F.sum((F.col("ax") - F.col("v")) ** 2)).alias("r")).first().r
     assert left < 0.02 * b.agg(F.sqrt(F.sum(F.col("v") ** 2))).first()[0]
+
+
+def test_large_images_as_tables_equal_tasks(spark):
+    px = part_pixels(spark, SF).withColumn("alpha", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (32 - F.col("x")) / 24.0))).cache()
+    names = [f"{s}_{c}" for s in "fb" for c in "rgb"]
+    both = [color.estimate_multilevel(px, 40, 5, in_tasks=k).select("i", *names).orderBy("i").toPandas() for k in (True, False)]
+    assert np.abs(both[0] - both[1]).to_numpy().max() < 1e-9
+    both = [affinity.trim_edges(px, 3, in_tasks=k).orderBy("i").toPandas() for k in (True, False)]
+    assert both[0].equals(both[1])
