@@ -1,8 +1,8 @@
 """Operator 3 (native): secret scan with a random forest for false-positive removal.
 
-``candidates`` finds all runs of 16 or more key characters that hold a digit, and all values
-of 6 or more characters assigned to a key word, in every whole text, with the text around
-each and the document's path. ``with_features`` turns a
+``candidates`` finds all runs of 16 or more key characters that hold a digit, wherever it is,
+and all values of 6 or more characters assigned to a key word, in every whole text, with the
+text around each and the document's path. ``with_features`` turns a
 candidate into numbers by SQL expressions: length, transitions between character classes,
 class shares, distinct characters, coverage by a dictionary, path and neighbouring words.
 ``fit`` trains a random forest on labelled findings; ``labelled_findings`` makes a bounded,
@@ -22,10 +22,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import read
+from lumenweave.llm.common import cut, read
 
-#: At least 16 key characters with a digit among them.
-CANDIDATE = r"(?=[A-Za-z+/=_-]{0,64}[0-9])[A-Za-z0-9+/=_-]{16,}"
+#: A candidate is such a run with a digit in it.
+CANDIDATE = r"[A-Za-z0-9+/=_-]{16,}"
 #: Words whose letters explain a candidate away.
 DICTIONARY = "version|example|sample|image|static|content|index|page|file|data|user|name|test|file|info|order|number|report|group|value|type|list|item|table|column|row|model|class|public|private|service|client|server|request|response|config|default|system|build|release|update|module|package|format|color|width|height|title|article|section"
 KEY_WORDS = r"token|secret|passw|pwd|api[_-]?key|apikey|auth|bearer|credential|private[_-]?key|access[_-]?key"
@@ -50,21 +50,24 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path
     """
     hit = docs.filter(F.col(text).rlike(CANDIDATE) | F.col(text).rlike(_KEY)).select(F.col(id_col).alias("id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.split(text, r"\s+").alias("w"))
     near = lambda i, a, n: F.array_join(F.slice("w", F.greatest(i + a, F.lit(1)), n), " ")
-    assigned = lambda i: near(i, -1, F.least(i, F.lit(2))).rlike(ASSIGNING) & F.get("w", i).rlike(STARTING)
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(CANDIDATE) | F.get("w", i).rlike(ASSIGNED) | assigned(i))
+    # cheap conditions that the expensive ones imply come first
+    assigned = lambda i: F.get("w", i - 1).rlike("[=:][\"']?$") & near(i, -1, F.least(i, F.lit(2))).rlike(ASSIGNING) & F.get("w", i).rlike(STARTING)
+    run_in = lambda c: (F.length(c) >= 16) & c.rlike("[0-9]") & c.rlike(CANDIDATE)
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: run_in(F.get("w", i)) | (F.get("w", i).rlike("[=:]") & F.get("w", i).rlike(ASSIGNED)) | assigned(i))
     rows = hit.select(
         "id",
         "path",
         F.explode(
             F.transform(
-                at, lambda i: F.struct(i.alias("pos"), near(i, -2, F.least(i, F.lit(3))).alias("before"), F.get("w", i).alias("own"), near(i, 2, F.lit(2)).alias("after"), assigned(i).alias("assigned"))
+                at, lambda i: F.struct(i.alias("pos"), near(i, -2, F.least(i, F.lit(3))).alias("before"), F.get("w", i).alias("own"), near(i, 2, F.lit(2)).alias("after"), F.coalesce(assigned(i), F.lit(False)).alias("assigned"))
             )
         ).alias("c"),
     ).select("id", "path", "c.*")
     rows = rows.withColumn("runs", F.regexp_extract_all("own", F.lit(CANDIDATE), 0)).withColumn("gaps", F.split("own", CANDIDATE, -1))
     first = F.when(F.col("assigned"), F.array(F.regexp_extract("own", STARTING, 1))).otherwise(F.array().cast("array<string>"))
     values = F.array_distinct(F.concat(first, F.regexp_extract_all("own", F.lit(ASSIGNED), 1)))
-    values = F.filter(values, lambda x: ~x.rlike(CANDIDATE) & ~F.exists("runs", lambda r: r.contains(x)))
+    digit = lambda r: r.rlike("[0-9]")
+    values = F.filter(values, lambda x: ~F.exists(F.regexp_extract_all(x, F.lit(CANDIDATE), 0), digit) & ~F.exists("runs", lambda r: digit(r) & r.contains(x)))
 
     def run(x: Column, j: Column) -> Column:
         last, gap, rest = F.size("runs") - 1, F.get("gaps", j), F.get("gaps", j + 1)
@@ -78,7 +81,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path
         left = F.substring(F.col("own"), F.greatest(start - 48, F.lit(1)), F.least(start - 1, F.lit(48)))
         return F.struct((F.size("runs") + j).cast("int").alias("at"), x.alias("candidate"), F.col("before").alias("before"), left.alias("left"), F.lit("").alias("right"), F.col("after").alias("after"))
 
-    found = F.explode(F.concat(F.transform("runs", run), F.transform(values, value))).alias("f")
+    with_digit = F.filter(F.transform("runs", run), lambda f: digit(f["candidate"]))
+    found = F.explode(F.concat(with_digit, F.transform(values, value))).alias("f")
     return rows.select("id", F.col("pos").cast("long").alias("pos"), "path", found).select("id", "pos", "f.*", "path")
 
 
@@ -110,16 +114,24 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int = 1) -> DataFrame:
-    """(id, text, path, label): texts with one candidate each. 1: secret, 0: look-alike."""
-    h = F.sha2(F.concat_ws(":", F.lit(seed), "id").cast("string"), 512)
-    b64 = F.regexp_replace(F.base64(F.unhex(F.substring(h, 1, 96))), "=", "")
-    digits = F.translate(F.substring(h, 1, 60), "abcdef", "123456")
+    """(id, text, path, label, family): texts with one candidate each. 1: secret, 0: look-alike; family: the shape's number."""
+    # each part is a column of its own behind an exchange, so that no expression is copied into all shapes
+    base = spark.range(rows).select("id", F.sha2(F.concat_ws(":", F.lit(seed), "id").cast("string"), 512).alias("h")).repartition(2)
+    h = F.col("h")
     pick = lambda names, at: F.element_at(F.split(F.lit(names), ","), (F.conv(F.substring(h, at, 3), 16, 10).cast("int") % len(names.split(","))) + 1)
-    key = pick("token,secret,password,api_key,auth_token,access_key,client_secret,private_key,credential,bearer", 100)
-    word = pick("the,and,of,item,in,with,is,on,for,by", 104)
-    other = pick("commit,sha256,md5,checksum,digest,etag,revision,build", 108)
-    name = F.concat(pick("user,report,image,service,order,module,page,config", 112), pick("Table,Index,Version,Item,Group,Client,Page,Value", 116))
-    sign = pick(" = \x22, : \x22,=,: ", 120)
+    parts = {
+        "b64": F.regexp_replace(F.base64(F.unhex(F.substring(h, 1, 96))), "=", ""),
+        "digits": F.translate(F.substring(h, 1, 60), "abcdef", "123456"),
+        "key": pick("token,secret,password,api_key,auth_token,access_key,client_secret,private_key,credential,bearer", 100),
+        "word": pick("the,and,of,item,in,with,is,on,for,by", 104),
+        "other": pick("commit,sha256,md5,checksum,digest,etag,revision,build", 108),
+        "name": F.concat(pick("user,report,image,service,order,module,page,config", 112), pick("Table,Index,Version,Item,Group,Client,Page,Value", 116)),
+        "sign": pick(" = \x22, : \x22,=,: ", 120),
+        "plain": pick("example,default,user-name,file-name,public-value,sample-page", 122),
+        "path": pick("src/app.py,src/main.go,test/data.json,docs/readme.md,settings.env,deploy.yaml,example/run.sh,web/page.html", 124),
+    }
+    base = base.select("id", "h", *[v.alias(k) for k, v in parts.items()]).repartition(2)
+    b64, digits, key, word, other, name, sign = (F.col(c) for c in ("b64", "digits", "key", "word", "other", "name", "sign"))
     tail = F.when(sign.endswith('"'), F.lit('"')).otherwise(F.lit(""))
     kinds = [
         (1, F.concat(word, F.lit(" "), key, sign, F.substring(h, 1, 40), tail, F.lit(" "), word)),
@@ -131,27 +143,28 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int
         (1, F.concat(word, F.lit(" "), F.lit("ghp_"), F.substring(b64, 1, 36), F.lit(" "), word)),
         (1, F.concat(word, F.lit(" "), key, sign, F.substring(b64, 1, 10), tail, F.lit(" "), word)),
         (1, F.concat(key, sign, F.translate(F.substring(h, 1, 12), "0123456789", "qwrtzkxvjm"), tail)),
-        (0, F.concat(word, F.lit(" "), key, sign, pick("example,default,user-name,file-name,public-value,sample-page", 122), tail, F.lit(" "), word)),
+        (0, F.concat(word, F.lit(" "), key, sign, F.col("plain"), tail, F.lit(" "), word)),
         (0, F.concat(other, F.lit(" "), F.substring(h, 1, 40), F.lit(" "), word)),
         (0, F.concat(word, F.lit(" "), other, sign, F.substring(h, 1, 64), tail)),
         (0, F.concat(word, F.lit(" "), F.substring(digits, 1, 16), F.lit(" "), word)),
+        (0, F.concat(key, F.lit(" "), word, F.lit(" "), F.substring(digits, 1, 16), F.lit(" "), word)),
         (0, F.concat(F.lit("id: "), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(" "), word)),
         (0, F.concat(word, F.lit(" "), name, F.substring(digits, 1, 3), name, F.lit("_"), F.substring(digits, 4, 2), F.lit(" "), word)),
         (0, F.concat(key, F.lit(" in /static/"), name, F.lit("/"), name, F.substring(digits, 1, 2), F.lit("/index "), word)),
         (0, F.concat(word, F.lit(" "), key, F.lit(" = "), F.lit("example-"), name, F.lit("-0000000"), F.lit(" "), word)),
     ]
     kind = F.conv(F.substring(h, 90, 4), 16, 10).cast("int") % len(kinds)
-    text, label = F.lit(None).cast("string"), F.lit(None).cast("int")
+    shaped = None
     for i, (y, t) in enumerate(kinds):
-        text, label = F.when(kind == i, t).otherwise(text), F.when(kind == i, F.lit(y)).otherwise(label)
-    path = pick("src/app.py,src/main.go,test/data.json,docs/readme.md,settings.env,deploy.yaml,example/run.sh,web/page.html", 124)
-    return spark.range(rows).select("id", text.alias("text"), path.alias("path"), label.alias("label"))
+        own = base.filter(kind == i).select("id", t.alias("text"), "path", F.lit(y).alias("label"), F.lit(i).alias("family"))
+        shaped = own if shaped is None else shaped.unionAll(own)
+    return cut(shaped)  # else what follows would be planned once for each shape
 
 
 def fit(labelled: DataFrame, trees: int = 20, depth: int = 7) -> RandomForestClassificationModel:
     """``labelled``: (id, text, path, label), of a size that one machine holds (LABELLED_ROWS by default)."""
     rows = with_features(candidates(labelled, "id", "text", "path")).join(labelled.select("id", F.col("label").cast("double").alias("label")), "id")
-    rows = rows.select("label", *FEATURES).coalesce(1)
+    rows = cut(rows.select("label", *FEATURES).coalesce(1))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featuresCol="features").fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
 
 
