@@ -91,6 +91,11 @@ def once(keyed: DataFrame, clashes: bool) -> DataFrame:
     return keyed.filter("NOT __clash").unionByName(keyed.filter("__clash").dropDuplicates(["__key"]))
 
 
+def apart(key: str, name: str | None = None) -> Column:
+    """A key (long) whose partitioning the planner doesn't know, so that a join shuffles both sides itself and AQE may split a hot key's rows."""
+    return F.bitwise_not(F.bitwise_not(key)).alias(name or key)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import cut, read, small, stow
+from lumenweave.llm.common import apart, cut, read, small, stow
 
 MIN_SITES = 10
 LG_K = 12
@@ -65,7 +65,7 @@ def _judged(docs: DataFrame, min_sites: int, site: str, id_col: str, text: str)
     placed = docs.select(F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit("doc"), text).alias("__t2"), F.posexplode(F.transform(_lines(text), _trim)).alias("pos", "line")).filter("line != ''")
     placed = placed.select("__t1", "__t2", "pos", *_keys(F.col("line")))
     # what a text loses depends on the text alone, so copies share a row
-    gone = placed.join(small(bad), ["h1", "h2"], "left_semi").groupBy("__t1", "__t2").agg(F.collect_set("pos").alias("__gone")).toDF("__a", "__b", "__gone")
+    gone = placed.join(small(bad), ["h1", "h2"], "left_semi").groupBy("__t1", "__t2").agg(F.collect_set("pos").alias("__gone")).select(apart("__t1", "__a"), apart("__t2", "__b"), "__gone")
     out = docs.join(gone, (F.xxhash64(text) == F.col("__a")) & (F.xxhash64(F.lit("doc"), text) == F.col("__b")), "left").drop("__a", "__b")
     kept = F.filter("__lines", lambda line, i: ~F.array_contains("__gone", i))
     other = F.exists(kept, lambda line: _trim(line) != "")

@@ -47,10 +47,10 @@ FOLDS = 16
 BUCKETS = 48
 #: Cells per doubling in the histogram of held-out events.
 CELLS = 4
-RANGE_TOKENS = 1_500_000
+RANGE_TOKENS = 1_000_000
 #: Pairs of the table that occur oftener than a share of a range are broadcast too: at most HEAVY_PAIRS of them.
 HEAVY_SHARE, HEAVY_PAIRS = 1 / 16, 1 << 20
-UNIT_BYTES = 4 << 20
+UNIT_BYTES = 2 << 20
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
 

@@ -33,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.llm import textops as X
-from lumenweave.llm.common import cut, discard, once, read, release, row_keys, stow
+from lumenweave.llm.common import apart, cut, discard, once, read, release, row_keys, stow
 from lumenweave.llm.graph import components
 
 WORDS = 5
@@ -236,15 +236,10 @@ def _admitted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
-def _apart(key: str) -> Column:
-    """A key whose partitioning the planner doesn't know, so that a join shuffles both sides itself and AQE may split a hot key's rows."""
-    return F.bitwise_not(F.bitwise_not(key)).alias(key)
-
-
 def _open(keyed: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, label, size) of the buckets that hold more than one group."""
     named = stow(keyed.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high").select(_apart("key"), "size")
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high").select(apart("key"), "size")
     out = stow(named.join(mixed, "key"))
     discard(named)
     return out
@@ -265,7 +260,7 @@ def _keyed(reps: DataFrame) -> DataFrame:
     """(key, node, pivot, size) of the keys of at least two sets; pivot: the smallest node of the key."""
     keyed = reps.select("node", F.explode("keys").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    return stow(keyed.join(pivots.select(_apart("key"), "pivot", "size"), "key"))
+    return stow(keyed.join(pivots.select(apart("key"), "pivot", "size"), "key"))
 
 
 def _candidates(rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -323,7 +318,7 @@ def groups(docs: DataFrame) -> DataFrame:
         large = open_rows.filter(F.col("size") > STAR_SIZE)
         if large.isEmpty():
             break
-        pivots = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("o"), F.col("node").alias("pivot"), F.col("label").alias("own"))).alias("p")).select(_apart("key"), "p.pivot", "p.own")
+        pivots = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("o"), F.col("node").alias("pivot"), F.col("label").alias("own"))).alias("p")).select(apart("key"), "p.pivot", "p.own")
         star = large.join(pivots, "key").filter("label != own").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         more = cut(_verify(cut(_admitted(star, reps)), docs))
         release(spark)

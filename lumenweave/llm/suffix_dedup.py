@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.llm import textops as X
 from lumenweave.llm.anchors import anchors, digests, gram, reach
-from lumenweave.llm.common import discard, once, read, release, row_keys, stow
+from lumenweave.llm.common import apart, discard, once, read, release, row_keys, stow
 
 LENGTH = 400
 #: Words of a passage, the least over 50.
@@ -169,19 +169,14 @@ def _windows(length: int, words: bool) -> Callable:
     return run
 
 
-def _apart(groups: DataFrame, *key: str) -> DataFrame:
-    """Groups whose partitioning the planner doesn't know, so that a join shuffles both sides itself and AQE may split a hot key's rows."""
-    return groups.select(*[F.bitwise_not(F.bitwise_not(k)).alias(k) for k in key], *[c for c in groups.columns if c not in key])
-
-
 def _repeated(rows: DataFrame, *key: str) -> DataFrame:
-    return _apart(rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), *key)
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*map(apart, key))
 
 
 def _decide(rows: DataFrame, *place: str) -> DataFrame:
     """Adds ``done`` (the row's group has another member) and ``lead`` (it is the group's first)."""
     groups = rows.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct("id", *place)).alias("lead")).filter("n > 1").drop("n")
-    out = rows.join(_apart(groups, "g1", "g2"), ["g1", "g2"], "left")
+    out = rows.join(groups.select(apart("g1"), apart("g2"), "lead"), ["g1", "g2"], "left")
     return out.withColumn("done", F.col("lead").isNotNull()).withColumn("lead", F.col("lead") == F.struct("id", *place)).drop("g1", "g2")
 
 
