@@ -36,6 +36,8 @@ _KEY = "(?i)(?:" + KEY_WORDS.replace("auth|", "auth(?!or)|") + r")[A-Za-z0-9_-]{
 ASSIGNED = _KEY + r"[=:]{1,2}[\"']{0,2}(" + _VALUE + ")"
 ASSIGNING = _KEY + r"\s?[=:]{1,2}[\"']?$"
 STARTING = r"^[\"']?(" + _VALUE + ")"
+#: The name and sign in front of a value, inside a run.
+NAMED = r"^([A-Za-z][A-Za-z0-9_-]*=+)[A-Za-z0-9+/_-]{6,}=*$"
 PLAIN_PATH = r"test|example|sample|mock|fixture|docs?/|changelog|lock"
 FEATURES = ["f_len", "f_transitions", "f_digits", "f_upper", "f_hex", "f_distinct", "f_dictionary", "f_path", "f_key_word", "f_other_word", "f_assigned"]
 LABELLED_ROWS = 6000
@@ -74,14 +76,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path
         left = F.when(j == 0, gap).otherwise(F.regexp_extract(gap, "[^,;&|{}]*$", 0))
         right = F.when(j == last, rest).otherwise(F.regexp_extract(rest, "^[^,;&|{}]*", 0))
         before = F.when((j > 0) & left.rlike("[A-Za-z]"), "").otherwise(F.col("before"))
-        return F.struct(j.cast("int").alias("at"), x.alias("candidate"), before.alias("before"), left.alias("left"), right.alias("right"), F.when(j == last, F.col("after")).otherwise("").alias("after"))
+        name = F.regexp_extract(x, NAMED, 1)  # token=abc..: the name is context, the value the candidate
+        own, left = F.substring(x, F.length(name) + 1, F.length(x)), F.concat(left, name)
+        return F.struct(j.cast("int").alias("at"), own.alias("candidate"), before.alias("before"), left.alias("left"), right.alias("right"), F.when(j == last, F.col("after")).otherwise("").alias("after"))
 
     def value(x: Column, j: Column) -> Column:
         start = F.position(x, F.col("own"))
         left = F.substring(F.col("own"), F.greatest(start - 48, F.lit(1)), F.least(start - 1, F.lit(48)))
         return F.struct((F.size("runs") + j).cast("int").alias("at"), x.alias("candidate"), F.col("before").alias("before"), left.alias("left"), F.lit("").alias("right"), F.col("after").alias("after"))
 
-    with_digit = F.filter(F.transform("runs", run), lambda f: digit(f["candidate"]))
+    with_digit = F.filter(F.transform("runs", run), lambda f: digit(F.get("runs", f["at"])))
     found = F.explode(F.concat(with_digit, F.transform(values, value))).alias("f")
     return rows.select("id", F.col("pos").cast("long").alias("pos"), "path", found).select("id", "pos", "f.*", "path")
 
@@ -152,6 +156,10 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int
         (0, F.concat(word, F.lit(" "), name, F.substring(digits, 1, 3), name, F.lit("_"), F.substring(digits, 4, 2), F.lit(" "), word)),
         (0, F.concat(key, F.lit(" in /static/"), name, F.lit("/"), name, F.substring(digits, 1, 2), F.lit("/index "), word)),
         (0, F.concat(word, F.lit(" "), key, F.lit(" = "), F.lit("example-"), name, F.lit("-0000000"), F.lit(" "), word)),
+        (0, F.concat(word, F.lit(" "), other, F.lit(" "), word, F.lit(" "), F.substring(h, 1, 32), F.lit(" "), word)),
+        (0, F.concat(other, F.lit(": "), F.upper(F.substring(h, 1, 40)))),
+        (0, F.concat(word, F.lit(" "), other, F.lit(" "), F.substring(h, 1, 64), F.lit(" "), word)),
+        (0, F.concat(other, sign, F.lit("release-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 6), tail)),
     ]
     kind = F.conv(F.substring(h, 90, 4), 16, 10).cast("int") % len(kinds)
     shaped = None

@@ -109,6 +109,56 @@ def test_op2(spark, texts):
     assert got == {d: (len(sets[d]), root(d)) for d in sets}
 
 
+def brute_sets(rows):
+    sets = {}
+    for d, t in rows:
+        w = words(t)
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else (frozenset([tuple(w)]) if w else frozenset())
+    return sets
+
+
+def linked(a, b):
+    both = len(a & b)
+    return both > 0 and 100 * both >= 75 * (len(a) + len(b) - both)
+
+
+def test_op2_links(spark, monkeypatch):
+    """All links between different sets, and components, with heavy buckets, tiles and star rounds in use."""
+    for name, value in (("HEAVY", 6), ("TILE", 4), ("STAR_SIZE", 3)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = np.random.default_rng(4)
+    shared = [f"s{k}" for k in range(40)]  # a passage that many documents hold
+    rows = []
+    for i in range(60):
+        base = [f"b{i % 6}w{k}" for k in range(30)]
+        base[rng.integers(30)] = f"x{i}"
+        rows.append((i, " ".join((shared if i % 2 else []) + base)))
+    rows += [(100 + i, rows[i][1].upper()) for i in range(5)] + [(200, None), (201, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = brute_sets([(d, t or "") for d, t in rows])
+    pairs, members = neardup.link_pairs(docs)
+    node = {r.doc_id: r.node for r in members.collect()}
+    assert node == {d: min(e for e in sets if sets[e] == s) for d, s in sets.items() if s}
+    reps = sorted(set(node.values()))
+    want = {(a, b) for k, a in enumerate(reps) for b in reps[k + 1 :] if linked(sets[a], sets[b])}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and want
+    counts = {r.doc_id: r.n_links for r in neardup.link_counts(docs).collect()}
+    assert counts == {d: sum(linked(s, sets[e]) for e in sets if e != d) for d, s in sets.items() if s}
+    label = {d: d for d in sets}
+    for _ in sets:
+        label = {d: min([label[d], *(label[e] for e in sets if linked(sets[d], sets[e]))]) for d in sets}
+    assert {r.doc_id: r.component_id for r in neardup.groups(docs).collect()} == label
+
+
+def test_op2_stage_keeps_clean_rows(spark):
+    """Null and shared ids: one document of each group stays, and every clean one."""
+    one, two = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = [(1, one), (2, one), (None, two), (None, "a clean one"), (3, "x"), (3, "y"), (3, "y"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in neardup.stage(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, one), (None, two), (None, "a clean one"), (3, "x"), (3, "y"), (4, None)], key=str)
+
+
 def test_op3_held_out_findings(spark):
     model = secrets.fit(secrets.labelled_findings(spark, 1500))
     held = secrets.labelled_findings(spark, 400, seed=5)
@@ -161,6 +211,28 @@ def test_op4(spark, odd):
     assert len(set(placed.values())) == 2
 
 
+def test_op4_packing_equals_a_plain_search(spark):
+    """The tree's choice is the tightest bin of a linear search, for any capacities and bin limits."""
+    rng = np.random.default_rng(1)
+    for limit in (None, 5):
+        sizes = [int(x) for x in rng.integers(1, 40, 200)] + [7] * 20
+        left, want = [], {}
+        for key, size in sorted(enumerate(sizes), key=lambda x: (-x[1], str(x[0]))):
+            fits = [(r, k) for k, r in enumerate(left) if r >= size]
+            if fits:
+                k = min(fits)[1]
+            elif limit is None or len(left) < limit:
+                left.append(100)
+                k = len(left) - 1
+            else:
+                k = max((r, k) for k, r in enumerate(left))[1]
+            left[k] -= size
+            want[key] = k
+        assert sharding.best_fit_decreasing(list(enumerate(sizes)), 100, limit) == want
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert sharding.assign_shards(empty).count() == 0
+
+
 def test_op5(spark, texts):
     path, pattern = bpe.default_vocabulary()
     enc = bpe.encoding(path, pattern)
@@ -188,6 +260,57 @@ def test_op6(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def mixture(rows, weights, counts, pairs):
+    """log10 probability of each text under given weights, word by word."""
+    n, v, out = sum(counts.values()), len(counts), {}
+    for d, w in rows:
+        before, total = lm.END, 0.0
+        for h in w:
+            c = counts.get(before, 0)
+            k = weights[min(int(np.log2(c + 1)), lm.BUCKETS - 1)]
+            total += np.log10(k[0] * pairs.get((before, h), 0) / max(c, 1) + k[1] * counts.get(h, 0) / n + k[2] / (v + 1))
+            before = h
+        out[d] = total
+    return out
+
+
+def test_op6_score_is_the_mixture(spark, monkeypatch):
+    """Scores against a plain sum with the learned weights; heavy pairs in use."""
+    from lumenweave.llm import textops as X
+
+    seen = []
+    em = lm.expectation_maximisation
+    monkeypatch.setattr(lm, "expectation_maximisation", lambda *a: seen.append(em(*a)) or seen[-1])
+    monkeypatch.setattr(lm, "DENSE", 4)
+    monkeypatch.setattr(lm, "HEAVY_SHARE", 1 / 20000)
+    texts = [(i, f"the cat sat on the mat {'and the dog ran' * (i % 3)} word{i} the cat") for i in range(80)] + [(90, None), (91, "zzz qqq")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("learn", F.col("doc_id") % 5 != 1)
+    got = {r.doc_id: r.score for r in lm.scores(docs).collect()}
+    rows, counts, pairs = [], collections.Counter(), collections.Counter()
+    for d, t in texts:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        h, _ = X.tokens(data, np.array([0, len(data)]))
+        rows.append((d, [*h.tolist(), int(lm.END)]))
+        if d % 5 != 1:
+            counts.update(rows[-1][1])
+            pairs.update(zip([int(lm.END), *rows[-1][1]], rows[-1][1], strict=False))
+    monkeypatch.setattr(lm, "END", int(lm.END))
+    want = mixture(rows, seen[0], counts, pairs)
+    assert all(abs(got[d] - want[d]) < 1e-6 for d in want)
+
+
+def test_op6_odd(spark):
+    """No learning text, nothing but unseen words, repeated rows, null and shared ids, an empty table."""
+    schema = "doc_id long, text string, learn boolean"
+    none = lm.scores(spark.createDataFrame([(1, "zzz qqq", False), (2, None, False)], schema)).collect()
+    assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in none} == {(1, 3, 0, 0), (2, 1, 0, 0)}
+    rows = [(1, "the cat", True), (2, "zzz qqq", False), (3, "the cat", True), (3, "the cat", True), (4, "a", True), (4, "b c", False), (None, "the", True)]
+    got = lm.scores(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted([(1, 3), (2, 3), (3, 3), (3, 3), (4, 2), (4, 3), (None, 2)], key=str)
+    assert len({round(r.score, 9) for r in got if r.doc_id in (1, 3)}) == 1 and all(np.isfinite(r.score) for r in got)
+    assert lm.scores(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_op6_any_table(spark):
     """Scores do not depend on how many words the broadcast table holds."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col("doc_id") % 5 != 1).alias("learn"))
@@ -265,6 +388,31 @@ def test_op8_odd(spark):
     assert lines.strip(docs.limit(0)).count() == 0
 
 
+def test_op8_repeated_and_long(spark):
+    """Repeated rows, very long texts, documents of boilerplate alone and columns of the caller's."""
+    line = "a common line"
+    rows = [(i, f"{line}\nown {i}", f"s{i}", 9) for i in range(12)] + [(3, f"{line}\nown 3", "s3", 9), (30, f"x\n{line}\n" * 5000, "s1", 9), (31, line, "s2", 9)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = lines.strip(docs).collect()
+    assert [r.text for r in got if r.doc_id == 3] == ["own 3"] * 2
+    (long,) = [r for r in got if r.doc_id == 30]
+    assert long.n_removed == 5000 and line not in long.text
+    assert [(r.text, r.only_boilerplate) for r in got if r.doc_id == 31] == [(line, True)] and not any(r.only_boilerplate for r in got if r.doc_id < 31)
+    kept = lines.stage(spark, docs.withColumn("n_chars", F.lit(0).cast("long")), SF).collect()
+    assert all(r.n_removed == 9 and r.n_chars == len(r.text) for r in kept)
+
+
+def test_op9_stage(spark, monkeypatch):
+    """A whole window rejects a document of any length, null ids too; a short item alone does not; other columns stay."""
+    window = " ".join(f"q{i}" for i in range(13))
+    rows = [(1, "z " * 5000 + window, 5), (None, window, 5), (2, "z " * 500 + "short item", 5), (None, "clean", 5), (3, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_hit int")
+    items = spark.createDataFrame([(1, window), (2, "short item")], "item_id long, text string")
+    monkeypatch.setattr(decontam, "read", lambda *a: items)
+    got = sorted(((r.doc_id, r.n_hit) for r in decontam.stage(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(2, 5), (None, 5), (3, 5)], key=str)
+
+
 def test_op9_odd(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b c d e f g h i j k l m n o"), (3, "a b c d e f g h i j k l m n o"), (4, "zz X-y q Q é")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "A B c d e f g h i j k l m"), (2, "y Q"), (3, None), (4, ""), (6, "c d e f g h i j k l m n")], "item_id long, text string")
@@ -277,12 +425,35 @@ def test_op10_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in toxicity.op10_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
-    clean = [r.predicted for r in rows if labels[r.doc_id] == 0]
-    assert sum(clean) / len(clean) < 0.05 and all(0 <= r.score <= 1 for r in rows)
+    clean, toxic = ([r.predicted for r in rows if labels[r.doc_id] == c] for c in (0, 1))
+    assert sum(toxic) / len(toxic) > 0.7 and sum(clean) / len(clean) < 0.05 and all(0 <= r.score <= 1 for r in rows)
     empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert [r.toxicity for r in toxicity.score(empty, None).collect()] == [0.0, 0.0]
 
 
+def test_op10_odd(spark):
+    """Null, empty and long texts through a real model, one class missing, a clashing column."""
+    rows = [(f"you awful scum number {i}", 1) for i in range(40)] + [(f"a quiet walk by the river {i}", 0) for i in range(40)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    docs = spark.createDataFrame([(1, None, 7.0), (2, "", 7.0), (3, "you awful scum", 7.0), (4, "the river walk", 7.0), (5, "a quiet walk " * 30000, 7.0)], "doc_id long, text string, toxicity double")
+    got = {r.doc_id: r["p"] for r in toxicity.score(docs, model, out="p").collect()}
+    assert got[1] == got[2] and all(0 <= p <= 1 for p in got.values()) and got[3] > 0.7 > got[4]
+    assert {r.toxicity for r in toxicity.score(docs, model, out="p").collect()} == {7.0}
+    assert toxicity.fit(spark.createDataFrame([("a", 0), ("b", 0)], "text string, toxic int")) is None
+
+
+def test_pipeline_empty_and_null_rows(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(3).withColumns({"doc_id": F.lit(None).cast("long"), "source": F.lit(None).cast("string")}).unionAll(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
+    for rows, n in ((docs.limit(0), 0), (odd, None)):
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, rows, SF)
+            rows = spark.createDataFrame(out.collect(), docs.schema)
+        assert p.STAGES[-1][1](spark, rows, SF).count() == (rows.count() if n is None else n)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
