@@ -90,8 +90,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 n = first + len(counts)
                 yield batch.slice(row, n - row), np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
                 row, held, size = n, [], 0
+                X.give_back()
         if held:
             yield batch.slice(row), np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            X.give_back()
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
