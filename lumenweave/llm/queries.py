@@ -29,6 +29,26 @@ QUERIES = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Texts as hexadecimal digits (two for each byte), so that substrings are cut by bytes.
+_OP1 = f"""
+WITH body AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, k, n, substring(h, 800 * k + 1, 1600) AS p FROM (SELECT doc_id, h, len(h) // 2 AS n, unnest(range((len(h) // 2 - 400) // 400 + 1)) AS k FROM body WHERE len(h) >= 800)),
+windows AS MATERIALIZED (SELECT doc_id, 400 * k + o AS s, hash(substring(p, 2 * o + 1, 800)) AS g FROM (SELECT *, unnest(range(least(400, n - 400 * k - 399))) AS o FROM pieces)),
+hit AS (SELECT doc_id, s FROM windows WHERE g IN (SELECT g FROM windows GROUP BY g HAVING count(*) > 1)),
+marked AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400, true) AS new FROM hit),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS z FROM (SELECT *, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked) GROUP BY doc_id, run),
+gone AS (SELECT doc_id, sum(z - a) AS n, count(*) AS runs FROM runs GROUP BY doc_id),
+edges AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b FROM (SELECT doc_id, a, z FROM runs UNION ALL SELECT doc_id, len(h) // 2, NULL FROM body)),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS h FROM edges JOIN body USING (doc_id) GROUP BY doc_id),
+words AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+passages AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 51], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 50)) AS i FROM words WHERE len(w) > 50)),
+again AS (SELECT doc_id, i FROM passages WHERE g IN (SELECT g FROM passages GROUP BY g HAVING count(*) > 1)),
+said AS (SELECT doc_id, sum(least(51, coalesce(later - i, 51))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS later FROM again) GROUP BY doc_id)
+SELECT b.doc_id, (len(b.h) // 2)::BIGINT AS n_bytes, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.runs, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k.h, ''))) AS kept_sha256, coalesce(p.n, 0)::BIGINT AS n_repeated_words
+FROM body b LEFT JOIN gone g USING (doc_id) LEFT JOIN kept k USING (doc_id) LEFT JOIN said p USING (doc_id)
+"""
+
 _OP2 = f"""
 WITH RECURSIVE words AS (
   SELECT DISTINCT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -79,4 +99,4 @@ SELECT d.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_h
 FROM documents d JOIN dw ON dw.doc_id = d.doc_id LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
 """
 
-ORACLES = {"op2_ngram_jaccard": _OP2, "op7_cross_polytope": _OP7, "op8_line_dedup": lines.ORACLE, "op9_winnowing": _OP9}
+ORACLES = {"op1_suffix_dedup": _OP1, "op2_ngram_jaccard": _OP2, "op7_cross_polytope": _OP7, "op8_line_dedup": lines.ORACLE, "op9_winnowing": _OP9}
