@@ -24,7 +24,7 @@ STAGES = [
     ("byte_bpe", _encoded),
 ]
 
-#: A learned classifier takes part, which SQL can't express; tests hold the stages against brute force.
+#: A learned classifier takes part, which SQL can't express; every stage has tests of its own on small tables.
 ORACLE_SQL = None
 
 
