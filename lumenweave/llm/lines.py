@@ -48,7 +48,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
     copies = docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(site).alias("site"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("doc"), text).alias("t2"))
     first = copies.groupBy("t1", "t2").agg(F.min(F.struct("id", "site")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("t1", "t2", F.col("first.id").alias("id"))
     # only texts with copies are looked up again; the others stand for themselves
-    spare = small(cut(copies.join(first.select("t1", "t2", F.col("id").alias("kept")), ["t1", "t2"]).filter("id != kept").select("id", "t1").distinct()))
+    spare = small(cut(copies.join(first.select(apart("t1"), apart("t2"), F.col("id").alias("kept")), ["t1", "t2"]).filter("id != kept").select("id", "t1").distinct()))
     rows = docs.select(F.col(id_col).alias("id"), F.col(site).alias("site"), F.xxhash64(text).alias("t1"), F.explode(F.transform(_lines(text), _trim)).alias("line"))
     rows = rows.filter("line != '' AND site IS NOT NULL").join(spare, ["id", "t1"], "left_anti").select(*_keys(F.col("line")), "site")
     spread = rows.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites"))
