@@ -10,14 +10,18 @@ less than that of a hash collision; sets of up to 48 shingles cannot miss at all
 
 Pass 1 (star): in every key's bucket the members are compared with the smallest member
 only, which joins large groups of near copies with a number of rows linear in the group.
-Pass 2 (tiles): buckets whose members are not all in one group yet are cut into tiles
-sorted by set size; a tile compares the members of different groups whose sizes allow a
+Pass 2 (tiles): of a document's keys in buckets whose members are not all in one group yet,
+all but the most frequent are kept: linked sets share at least ``common_keys``, so leaving out
+that many less one loses no shared rarest key (exact for unions to 48 shingles, else a
+chance below 1e-12 a link). In buckets of more than ``HEAVY`` members a document stays only if
+enough of its shingles are in another document of such buckets, counted exactly; one with
+text of its own beyond a quarter can't link there. A bucket's largest group, whose members
+aren't compared with each other, is dealt apart from the rest, so that rows grow with the
+square only of what may link and doesn't, and no task holds a whole bucket. Tiles are
+sorted by set size and compare members of different groups whose sizes allow a
 link, by parity bitmaps: popcount(a ^ b) never exceeds the symmetric difference, so
 (|A| + |B| - popcount) / 2 bounds the overlap from above. Only pairs that the bound
-admits leave a tile. A bucket of more than ``HEAVY`` members (a passage that many
-documents share) keeps only documents in which such keys are over 2/5 of all: two linked
-documents below that share another key but for a chance of about 1e-11. What remains is
-tiled in blocks, so no task holds a whole bucket.
+admits leave a tile.
 Verification: admitted pairs are compared exactly by intersecting sorted shingle arrays.
 
 Cases: null and wordless texts have no shingles and are linked with nothing; texts of
@@ -30,25 +34,32 @@ id are left alone); ``stage`` also takes null and shared ids.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenweave.llm import textops as X
-from lumenweave.llm.common import apart, cut, discard, once, read, release, row_keys, stow
+from lumenweave.llm.common import apart, cut, discard, once, read, release, row_keys, small, stow
 from lumenweave.llm.graph import components
 
 WORDS = 5
 PERCENT = 75
 KEYS = 48
+#: Chance that two linked sets share fewer keys than ``common_keys`` says, and unions up to which it is counted exactly.
+MISS = 1e-12
+LARGE = 1600
 HEAVY = 256
-HEAVY_SHARE = 0.4
 #: Further star passes, over the open buckets of more than STAR_SIZE members, with other pivots.
 STAR_ROUNDS = 2
 STAR_SIZE = 12
 TILE = 1024
+#: Shingles of a task that counts in how many sets they are.
+RANGE = 1 << 17
 MAX_BITS = 1 << 15
 _SIGN = np.uint64(1 << 63)
 
@@ -73,6 +84,45 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         yield row, s, np.searchsorted(owner, np.arange(len(counts) + 1))
 
 
+def _surely_shared(union: int) -> int:
+    """Least number of the KEYS smallest hashes of a union of linked sets that both hold, but for a chance below MISS."""
+    both = -(-PERCENT * union // 100)
+    if union <= KEYS:
+        return both
+    ways, limit = 0, MISS * comb(union, KEYS)
+    for s in range(KEYS + 1):
+        ways += comb(both, s) * comb(union - both, KEYS - s)
+        if ways > limit:
+            return s
+    return KEYS
+
+
+def common_keys(n: int) -> int:
+    """Keys that a set of ``n`` shares at least with any set it links to (whose union has up to 4/3 n elements)."""
+    return max(1, min(_surely_shared(u) for u in range(n, max(n, 100 * n // PERCENT) + 1)))
+
+
+@cache
+def _steps() -> tuple[list[int], list[int], int]:
+    """``common_keys`` of the sizes to KEYS; beyond, where each step down begins; its least value."""
+    unions = [_surely_shared(u) for u in range(1, LARGE + 1)]
+    # a binomial tail bounds what larger unions give
+    share, tail, least = PERCENT / 100, 0.0, 0
+    while (tail := tail + comb(KEYS, least) * share**least * (1 - share) ** (KEYS - least)) <= MISS:
+        least += 1
+    to = [min(unions[n - 1 : max(n, 100 * n // PERCENT)]) for n in range(1, LARGE * PERCENT // 100)]
+    falling = list(accumulate(to[KEYS:], min))
+    begins = [KEYS + 1 + next((i for i, v in enumerate(falling) if v < s), len(falling)) for s in range(falling[0], least, -1)]
+    return to[:KEYS], begins, least
+
+
+def _common_keys(n: str) -> Column:
+    """``common_keys`` of a column, or less."""
+    few, begins, least = _steps()
+    many = sum(((F.col(n) < b).cast("int") for b in begins), F.lit(least))
+    return F.when(F.col(n) <= KEYS, F.element_at(F.array(*map(F.lit, few)), F.least(F.col(n), F.lit(KEYS)).cast("int"))).otherwise(many)
+
+
 def bits_for(n: int) -> int:
     """Bitmap width of a set of ``n``: the power of two at or above 4n, from 64 to MAX_BITS."""
     return min(MAX_BITS, max(64, 1 << (4 * n - 1).bit_length()))
@@ -263,19 +313,113 @@ def _keyed(reps: DataFrame) -> DataFrame:
     return stow(keyed.join(pivots.select(apart("key"), "pivot", "size"), "key"))
 
 
-def _candidates(rows: DataFrame, reps: DataFrame) -> DataFrame:
+def _prefixes(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, node, label) of ``rows`` without the ``common_keys`` - 1 most frequent keys of each node.
+
+    Two linked sets share at least so many keys, so the rarest key that they share stays in both:
+    at least that number less one of either's keys comes after it in the order.
+    """
+    frequent_first = Window.partitionBy("node").orderBy(F.desc("size"), F.desc("key"))
+    ranked = rows.join(reps.select("node", "n"), "node").withColumn("at", F.row_number().over(frequent_first))
+    return ranked.filter(F.col("at") >= _common_keys("n")).select("key", "node", "label")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(key, tile, side, node, label) of ``rows`` (key, node, label): every two members of a key with different labels meet in one tile.
+
+    A key of more than HEAVY members is dealt into parts of TILE: those of its largest label (no
+    two of which are compared) apart from the rest. Tile (p, q) holds part p of the largest label
+    and part q of the rest, further tiles two parts of the rest.
+    """
+    buckets = rows.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("top")).filter("all > top.m")
+    rows = rows.join(buckets.select(apart("key"), "all", "top"), "key")
+    alone, most = F.col("all") <= HEAVY, F.col("label") == F.col("top.label")
+    parts = lambda m: F.when(alone, 1).otherwise(F.ceil(m / TILE)).cast("long")
+    rows = rows.select("key", "node", "label", most.alias("most"), parts(F.col("top.m")).alias("p"), parts(F.col("all") - F.col("top.m")).alias("q"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("most"), F.col("p")).otherwise(F.col("q"))))
+    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.when(F.col("most"), F.col("q")).otherwise(F.col("p") + F.col("q") - 1) - 1)))
+    other = F.col("to") - F.col("p")
+    other = other + (other >= F.col("own")).cast("long")
+    lo, hi = F.least("own", other), F.greatest("own", other)
+    with_most = F.col("to") < F.col("p")
+    tile = F.when(F.col("most"), F.col("own") * F.col("q") + F.col("to")).when(with_most, F.col("to") * F.col("q") + F.col("own")).otherwise((F.col("p") + lo) * F.col("q") + hi)
+    # rows of the same side aren't compared, but those of side -1, which meet in the first tile of their part
+    side = F.when(F.col("most"), 0).when(F.col("to") == 0, -1).when(with_most, 1).otherwise((F.col("own") == hi).cast("int"))
+    return rows.select("key", tile.alias("tile"), side.alias("side"), "node", "label")
+
+
+def _shared_shingles(texts: DataFrame, ranges: int) -> DataFrame:
+    """(node, shared): how many shingles of each row of ``texts`` (node, text) another row has too."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            for row, s, at in shingle_sets(batch.column(1)):
+                if not len(s):
+                    continue
+                block = nodes[row : row + len(at) - 1]
+                owner = np.repeat(np.arange(len(block)), np.diff(at))
+                kinds, place, count = np.unique(s, return_inverse=True, return_counts=True)
+                again = count[place] > 1
+                known = np.bincount(owner[again], minlength=len(block))
+                alone, marks = s[~again], kinds[count > 1]
+                of, of_marks = ((x >> np.uint64(20)) % np.uint64(ranges) for x in (alone, marks))
+                order = np.argsort(of, kind="stable")
+                alone, of, held = alone[order], of[order], block[owner[~again]][order]
+                order = np.argsort(of_marks, kind="stable")
+                marks, of_marks = marks[order], of_marks[order]
+                into = np.unique(np.concatenate([of, of_marks]))
+                cuts, cuts_marks = (np.append(np.searchsorted(x, into), len(x)).astype(np.int32) for x in (of, of_marks))
+                cuts_known = np.full(len(into) + 1, len(block), np.int32)  # the block's own counts go with its first range
+                cuts_known[0] = 0
+                lists = [pa.ListArray.from_arrays(pa.array(c), pa.array(v)) for c, v in ((cuts, alone.view(np.int64)), (cuts, held), (cuts_marks, marks.view(np.int64)), (cuts_known, block), (cuts_known, known))]
+                yield pa.RecordBatch.from_arrays([pa.array(into.astype(np.int64)), *lists], names=["range", "alone", "held", "marks", "block", "known"])
+
+    def judge(table: pa.Table) -> pa.Table:
+        alone, held, marks, block, known = (np.concatenate([c.flatten().to_numpy() for c in table[name].chunks]) for name in ("alone", "held", "marks", "block", "known"))
+        kinds, place, count = np.unique(alone, return_inverse=True, return_counts=True)
+        again = (count[place] > 1) | np.isin(alone, marks)
+        node, at = np.unique(np.concatenate([held[again], block]), return_inverse=True)
+        shared = np.bincount(at, weights=np.concatenate([np.ones(again.sum()), known]), minlength=len(node))
+        return pa.table({"node": pa.array(node, pa.int64()), "shared": pa.array(shared.astype(np.int64))})
+
+    blobs = texts.select("node", "text").mapInArrow(gather, "range long, alone array<long>, held array<long>, marks array<long>, block array<long>, known array<long>")
+    return blobs.groupBy("range").applyInArrow(judge, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+
+
+def _linkable(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (key, node, label) without those of keys of more than HEAVY members whose node can't link to any member.
+
+    Two sets that link and meet in such a key have only shingles in common that two of its
+    nodes hold. So a set with too few of those, for its own size and the smallest set of the
+    key, has no link there. Its links through rarer keys are found by these.
+    """
+    large = cut(rows.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > HEAVY).select("key"))
+    if large.isEmpty():
+        return rows
+    of_large = small(large.withColumn("large", F.lit(True)))
+    hard = stow(rows.join(of_large, "key").select("key", "node", "label"))
+    nodes = stow(hard.select("node").distinct().join(reps.select("node", "n"), "node"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    ranges = nodes.agg(F.sum("n")).first()[0] // RANGE + 1
+    sizes = cut(_shared_shingles(texts, ranges).join(nodes, "node").filter(100 * F.col("shared") >= PERCENT * F.col("n")))
+    hard_rows = hard.join(sizes, "node")
+    least = hard_rows.groupBy("key").agg(F.min("n").alias("least"))
+    # linked sets have (100 + PERCENT) * overlap >= PERCENT * (one size + the other)
+    able = hard_rows.join(small(least), "key").filter((100 + PERCENT) * F.col("shared") >= PERCENT * (F.col("n") + F.col("least")))
+    out = stow(rows.join(of_large, "key", "left").filter("large IS NULL").select("key", "node", "label").unionAll(able.select("key", "node", "label")))
+    discard(hard, nodes)
+    return out
+
+
+def _candidates(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) of the pairs of different labels that tiles of ``rows`` (key, node, label, size) admit."""
-    heavy = rows.filter(F.col("size") > HEAVY).groupBy("node").agg(F.count("*").alias("hard"))
-    heavy = heavy.join(reps.select("node", F.size("keys").alias("all")), "node").filter(F.col("hard") > HEAVY_SHARE * F.col("all")).select("node")
-    light = rows.filter(F.col("size") <= HEAVY).select("key", "node", "label", F.lit(0).alias("tile"), F.lit(-1).alias("side"))
-    hard = rows.filter(F.col("size") > HEAVY).join(heavy, "node")
-    parts = F.ceil(F.col("size") / TILE).cast("int")
-    hard = hard.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    hard = hard.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    hard = hard.select("key", "node", "label", (lo * F.col("parts") + hi).alias("tile"), F.when(lo == hi, -1).otherwise((F.col("own") == hi).cast("int")).alias("side"))
-    tiled = light.unionAll(hard).join(reps.select("node", "n", "bitmap"), "node").repartition("key", "tile").sortWithinPartitions("key", "tile", "n")
-    return cut(tiled.select("key", "tile", "side", "node", "label", "n", "bitmap").mapInArrow(_tiles, "a long, b long").distinct())
+    kept = stow(_prefixes(rows, reps))
+    able = _linkable(kept, reps, docs)
+    tiled = _dealt(able).join(reps.select("node", "n", "bitmap"), "node").repartition("key", "tile").sortWithinPartitions("key", "tile", "n")
+    found = cut(tiled.select("key", "tile", "side", "node", "label", "n", "bitmap").mapInArrow(_tiles, "a long, b long").distinct())
+    discard(*{kept, able})
+    return found
 
 
 def link_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -288,7 +432,7 @@ def link_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     sketch, sets, reps = _sets(docs)
     rows = _keyed(reps).select("key", "node", F.col("node").alias("label"), "size")
-    found = _candidates(rows, reps)
+    found = _candidates(rows, reps, docs)
     pairs = cut(_verify(found, docs))
     return pairs, sketch.filter("n > 0").join(sets, ["s1", "s2"]).select("doc_id", "node")
 
@@ -329,7 +473,7 @@ def groups(docs: DataFrame) -> DataFrame:
         discard(open_rows)
         open_rows = _open(keyed, labels)
     discard(keyed)
-    found = _candidates(open_rows, reps)
+    found = _candidates(open_rows, reps, docs)
     discard(open_rows, reps)
     release(spark)
     more = cut(_verify(found, docs)) if not found.isEmpty() else links.limit(0)

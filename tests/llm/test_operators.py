@@ -150,6 +150,73 @@ def test_op2_links(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in neardup.groups(docs).collect()} == label
 
 
+def test_op2_rows_of_large_groups(spark, monkeypatch):
+    """Copies of one text with few to many changes: rows in tiles stay below the number of keys, components equal brute force."""
+    for name, value in (("HEAVY", 16), ("TILE", 16)):
+        monkeypatch.setattr(neardup, name, value)
+    tiles, seen = neardup._tiles, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        def each():
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        yield from tiles(each())
+
+    monkeypatch.setattr(neardup, "_tiles", counted)
+    rng, rows, rows_seen = np.random.default_rng(3), [], []
+    for i in range(320):
+        w = [f"b{k}" for k in range(150)]
+        for k in rng.choice(150, rng.integers(21), replace=False):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    for n in (160, 320):
+        before = seen.value
+        got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows[:n], "doc_id long, text string")).collect()}
+        rows_seen.append((seen.value - before) / n)
+    sets = brute_sets(rows)
+    near = {d: [e for e in sets if linked(s, sets[e])] for d, s in sets.items()}
+    label = {d: d for d in sets}
+    while (lower := {d: min(label[e] for e in near[d]) for d in sets}) != label:
+        label = lower
+    assert got == label
+    assert max(rows_seen) < neardup.KEYS and rows_seen[1] > 0, rows_seen
+
+
+def test_op2_tiles_hold_every_pair(spark, monkeypatch):
+    for name, value in (("HEAVY", 6), ("TILE", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(k, 100 * k + i, int(label)) for k, (n, kinds) in enumerate([(5, 2), (9, 9), (30, 2), (30, 30), (25, 4), (20, 1)]) for i, label in enumerate(rng.integers(0, kinds, n) ** 2 // kinds)]
+    label = {node: (k, label) for k, node, label in rows}
+    tiles = {}
+    for r in neardup._dealt(spark.createDataFrame(rows, "key long, node long, label long")).collect():
+        tiles.setdefault((r.key, r.tile), []).append((r.node, r.side))
+    met = [tuple(sorted((a, b))) for t in tiles.values() for n, (a, x) in enumerate(t) for b, y in t[n + 1 :] if label[a] != label[b] and (x < 0 or x != y)]
+    nodes = sorted(label)
+    assert sorted(met) == [(a, b) for n, a in enumerate(nodes) for b in nodes[n + 1 :] if label[a][0] == label[b][0] and label[a][1] != label[b][1]]
+
+
+def test_op2_common_keys(spark):
+    """No linked pair of sets shares fewer keys; shared shingles as counted by brute force."""
+    sizes = [*range(1, 130), 200, 500, 1000, 5000]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").coalesce(1).select(neardup._common_keys("n")).collect()]
+    assert all(1 <= g <= neardup.common_keys(n) for g, n in zip(got, sizes, strict=True))
+    rng = np.random.default_rng(5)
+    for n, least in zip(sizes[:130], got, strict=False):
+        for union in (n, 100 * n // 75):  # the smaller set within the larger, as few in common as may be
+            both = -(-75 * union // 100)
+            h = rng.permutation(union)
+            a, b = np.sort(h[: max(both, n)]), np.sort(np.concatenate([h[:both], h[max(both, n) :]]))
+            assert len(np.intersect1d(a[: neardup.KEYS], b[: neardup.KEYS])) >= least
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 9, 40))) for i in range(30)] + [(30, None), (31, "w1 w2"), (32, "w1 w2")]
+    sets = brute_sets([(d, t or "") for d, t in rows])
+    docs = spark.createDataFrame(rows, "node long, text string").repartition(3)
+    shared = {r.node: r.shared for r in neardup._shared_shingles(docs, 5).collect()}
+    assert {d: shared.get(d, 0) for d in sets} == {d: len(s & frozenset().union(*(sets[e] for e in sets if e != d))) for d, s in sets.items()}
+
+
 def test_op2_stage_keeps_clean_rows(spark):
     """Null and shared ids: one document of each group stays, and every clean one."""
     one, two = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
