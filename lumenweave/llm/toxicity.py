@@ -50,7 +50,7 @@ THRESHOLD = 0.7
 FOLDS = 5
 #: With fewer calibration texts of either class in one fold, all folds serve in turn.
 FEW = 100
-#: Ridge there. Of 0.01 to 10 it left the fewest clean learning texts at THRESHOLD, with as many toxic ones, out of fold (sf0.01).
+#: Ridge there. Of 0.01 to 10 it flagged the fewest clean learning texts out of fold at THRESHOLD, and about as many toxic ones (sf0.01).
 FEW_RIDGE = 10.0
 
 #: ASCII characters other than letters and digits separate words; other scripts stay.
