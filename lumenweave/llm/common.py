@@ -49,9 +49,14 @@ def stow(df: DataFrame) -> DataFrame:
 def discard(*stowed: DataFrame) -> None:
     """Delete tables of ``stow`` that nothing will read any more."""
     for df in stowed:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._stowed)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df._stowed)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one, on whatever file system it is."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a few longs that a broadcast may hold: some tens of MB on a node.
