@@ -37,24 +37,58 @@ def _after_white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _WHITE[b1] | ((b1 >= 0x80) & (wide | ((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0)))))
 
 
-def split(texts: pa.Array, whole: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _letters() -> np.ndarray:
+    """Whether each code point below 0x530 is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x530)])
+
+
+_LETTER = _letters()
+_ASCII_LETTER = np.concatenate([_LETTER[:0x80], np.zeros(0x80, bool)])
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != ord("'")]] = True
+
+
+def _after_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each of ``at`` is a letter of one or two bytes."""
+    b1, b2 = data[at - 1], np.where(at > 1, data[at - 2], 0)
+    code = ((b2.astype(np.int32) & 31) << 6) | (b1 & 63)
+    return _ASCII_LETTER[b1] | ((b2 >= 0xC2) & (b2 <= 0xD4) & (b1 >= 0x80) & _LETTER[np.minimum(code, len(_LETTER) - 1)] & (code < len(_LETTER)))
+
+
+def _places(data: np.ndarray, fine: bool) -> np.ndarray:
+    """Where segments start, beginnings of texts apart."""
+    at = np.flatnonzero((_WHITE if fine else np.arange(256) == 0x20)[data])
+    at = at[at > 0]
+    at = at[~_after_white(data, at)]
+    if not fine:
+        return at
+    marks = np.flatnonzero(_PUNCTUATION[data])
+    marks = marks[marks > 0]
+    # behind one line feed between two other characters
+    lines = at[(data[at] == 0x0A) & (at + 1 < len(data))] + 1
+    lines = lines[(data[lines] < 0x80) & ~_WHITE[data[lines]]]
+    return np.sort(np.concatenate([at, marks[_after_letter(data, marks)], lines]), kind="stable")
+
+
+def split(texts: pa.Array, whole: bool = False, fine: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Segment number of every segment in turn, the segments before each text's end, and the distinct segments.
 
     ``texts``: large_binary without nulls. An empty text has no segments. ``whole``: one segment for each text.
+    ``fine``: more places where byte-level BPE alone can't merge across: in front of any white-space run, between a
+    letter and a punctuation mark other than an apostrophe, and behind a single line feed.
     """
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     raw = texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[: offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    low, high = int(offsets[0]), int(offsets[-1])
+    data = np.frombuffer(raw, np.uint8)[low:high] if raw is not None else np.zeros(0, np.uint8)
     starts = offsets[:-1][np.diff(offsets) > 0]
-    if not whole:
-        at = np.flatnonzero(data == 0x20)
-        at = at[at > offsets[0]]
-        at = at[~_after_white(data, at)] if len(at) else at
-        starts = np.union1d(starts, at)
-    edges = np.append(starts, offsets[-1]).astype(np.int64)
     if not len(starts):
         return np.zeros(0, np.int32), np.zeros(n, np.int64), []
+    if not whole:
+        starts = np.sort(np.concatenate([starts, _places(data, fine) + low]), kind="stable")
+        starts = starts[np.diff(starts, prepend=-1) > 0]
+    edges = np.append(starts, high).astype(np.int64)
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), raw]).dictionary_encode()
     return coded.indices.to_numpy(), np.searchsorted(starts, offsets[1:]), coded.dictionary.to_pylist()
 
@@ -68,6 +102,19 @@ def as_bytes(texts: pa.Array, lead: str = "") -> pa.Array:
     return pa.compute.if_else(pa.compute.equal(pa.compute.binary_length(texts), 0), pa.scalar(b"", pa.large_binary()), full)
 
 
+def _joins(segment: str) -> bool:
+    """Whether a segment may follow another in one string: white space only inside it, and one space in front."""
+    body = segment[1:] if segment[0] == " " else segment
+    return bool(body) and not body[0].isspace() and not body[-1].isspace()
+
+
+def _crosses(token: bytes) -> bool:
+    """Whether a token holds a space right after a character other than white space."""
+    data = np.frombuffer(token, np.uint8)
+    at = np.flatnonzero(data[1:] == 0x20) + 1
+    return bool(len(at)) and not _after_white(data, at).all()
+
+
 def byte_level() -> dict[str, int]:
     """The printable character of each byte in byte-level vocabularies, by their public rule."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -93,11 +140,15 @@ class ByteBpe:
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         pre = kind["pre_tokenizer"] or {}
         plain = kind["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        joins = any(0x20 in b[1:] and any(b[k] == 0x20 and not _WHITE[b[k - 1]] for k in range(1, len(b))) for b in self.bytes)
-        self.splits = bool(plain) and not joins
+        self.added = list(added.values())
+        self.splits = bool(plain) and not any(map(_crosses, self.bytes))
         self._new: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
+    def holds_added(self, texts: pa.Array) -> bool:
+        """Whether a text holds an added token, which ``fine`` segments might cut."""
+        return any(pa.compute.any(pa.compute.match_substring(texts.cast(pa.large_string(), safe=False), t.decode())).as_py() for t in self.added)
+
     def _alone(self, segment: bytes) -> bytes:
         from lumenweave.llm.bpe import safe_chunks
 
@@ -106,34 +157,35 @@ class ByteBpe:
         return b"".join(np.array(self._coder.encode(p, add_special_tokens=False).ids, "<i4").tobytes() for p in parts)
 
     def _together(self, segments: list[bytes]) -> list[bytes]:
-        """Segments that start with a space and don't end with white space, encoded as one string and cut by bytes."""
-        ids = np.array(self._coder.encode_batch_fast([b"".join(segments).decode(errors="replace")], add_special_tokens=False)[0].ids, "<i4")
+        """Segments that can follow each other, encoded as one string and cut by bytes."""
+        # a line feed in front of a segment that starts with another character is a token of its own
+        bare = np.array([s[0] != 0x20 for s in segments])
+        text = b"".join([b"\n" + s if lone else s for s, lone in zip(segments, bare.tolist())])
+        ids = np.array(self._coder.encode_batch_fast([text.decode(errors="replace")], add_special_tokens=False)[0].ids, "<i4")
         ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])
-        want = np.cumsum([0] + [len(s) for s in segments])
-        at = np.searchsorted(ends, want)
-        if at[-1] >= len(ends) or (ends[at] != want).any():
+        size = np.array([len(s) for s in segments])
+        stop = np.cumsum(size + bare)
+        first, last = np.searchsorted(ends, stop - size), np.searchsorted(ends, stop)
+        if last[-1] >= len(ends) or (ends[first] != stop - size).any() or (ends[last] != stop).any():
             return [self._alone(s) for s in segments]
         raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip((4 * at[:-1]).tolist(), (4 * at[1:]).tolist())]
+        return [raw[a:b] for a, b in zip((4 * first).tolist(), (4 * last).tolist())]
 
     def encode(self, segments: list[bytes]) -> list[bytes]:
         """The ids of each segment as little-endian 32-bit integers."""
         new, old = self._new, self._old
-        out: list = [None] * len(segments)
+        out = list(map(new.get, segments))
         missing = []
-        for i, s in enumerate(segments):
-            ids = new.get(s)
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            ids = out[i] = old.get(segments[i])
             if ids is None:
-                ids = old.get(s)
-                if ids is None:
-                    missing.append(i)
-                else:
-                    new[s] = ids
-            out[i] = ids
+                missing.append(i)
+            else:
+                new[segments[i]] = ids
         joint = []
         for i in missing:
             s = segments[i]
-            if self.splits and len(s) <= 256 and s[0] == 0x20 and s[-1] < 0x80 and not _WHITE[s[-1]]:
+            if self.splits and len(s) <= 256 and _joins(s.decode(errors="replace")):
                 joint.append(i)
             else:
                 out[i] = self._alone(s)

@@ -22,22 +22,24 @@ _SLAB = 256
 def _choose(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and selector of every word of the rows of ``v``, each a block: the fewest bits a value, first selector on ties."""
     rows = len(v)
-    over = np.zeros((rows, BLOCK + 1), np.int32)
-    best, least = np.zeros((rows, BLOCK), np.int8), np.full((rows, BLOCK), np.inf, np.float32)
-    for s, (count, limit) in enumerate(zip(COUNTS.tolist(), _LIMITS.tolist())):
-        cut = max(BLOCK - count, 0)
-        if limit >> 32:
-            price = np.full((rows, BLOCK), 64, np.float32)
-        else:
-            np.cumsum(v >= np.uint32(limit), axis=1, dtype=np.int32, out=over[:, 1:])
-            escapes = -over[:, :-1]
-            escapes[:, :cut] += over[:, count : count + cut]
-            escapes[:, cut:] += over[:, -1:]
-            price = (32 * escapes + 64).astype(np.float32) if not _NO_ESCAPE[s] else np.where(escapes > 0, np.float32(np.inf), np.float32(64))
+    best, least = np.full((rows, BLOCK), len(COUNTS) - 1, np.int8), np.full((rows, BLOCK), 64, np.float32)
+    for s, (count, limit) in enumerate(zip(COUNTS[:-1].tolist(), _LIMITS[:-1].tolist())):
+        fits = v < np.uint32(limit)
+        # a selector is tried in blocks of which a quarter fits into it
+        mine = np.flatnonzero(np.count_nonzero(fits, axis=1) >= BLOCK // 4)
+        if not len(mine):
+            continue
+        over, cut = np.zeros((len(mine), BLOCK + 1), np.int16), max(BLOCK - count, 0)
+        np.cumsum(~fits[mine], axis=1, dtype=np.int16, out=over[:, 1:])
+        escapes = -over[:, :-1]
+        escapes[:, :cut] += over[:, count : count + cut]
+        escapes[:, cut:] += over[:, -1:]
+        price = escapes.astype(np.float32) * 32 + 64 if not _NO_ESCAPE[s] else np.where(escapes > 0, np.float32(np.inf), np.float32(64))
         price *= (1 / np.minimum(count, BLOCK - np.arange(BLOCK))).astype(np.float32)
-        better = price < least
-        np.copyto(least, price, where=better)
-        np.copyto(best, np.int8(s), where=better)
+        few = least[mine]
+        better = price < few
+        least[mine] = np.where(better, price, few)
+        best[mine] = np.where(better, np.int8(s), best[mine])
     at, live = np.zeros(rows, np.int64), np.arange(rows)
     starts, chosen = [], []
     while len(live):

@@ -167,11 +167,14 @@ def _writer(spec: object, end: int):
             texts = as_bytes(batch.column(1))
             names = batch.column(0).to_pylist()
             for rows in _slices(texts):
-                index, upto, distinct = split(texts.slice(rows.start, rows.stop - rows.start), whole=not coder.splits)
+                some = texts.slice(rows.start, rows.stop - rows.start)
+                index, upto, distinct = split(some, whole=not coder.splits, fine=not coder.holds_added(some))
                 coded = coder.encode(distinct)
                 count = np.fromiter((len(c) // 4 for c in coded), np.int64, len(coded))
-                flat = np.frombuffer(b"".join([coded[i] for i in index.tolist()]), "<i4")
-                stops = np.concatenate([[0], np.cumsum(count[index])])[upto]
+                many, known = count[index], np.frombuffer(b"".join(coded), "<i4")
+                ends = np.cumsum(many)
+                flat = known[np.repeat((np.cumsum(count) - count)[index] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+                stops = np.concatenate([[0], ends])[upto]
                 size = np.diff(stops, prepend=0)
                 # ids of the documents in turn, each with the end id
                 out = np.full(len(flat) + len(size), end, np.int64)
