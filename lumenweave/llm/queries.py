@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenweave.llm import ann, bpe, decontam, lines, lm, neardup, secrets, sharding, suffix_dedup, tokenfiles, toxicity, turns
+from lumenweave.llm import align, ann, bpe, decontam, lines, lm, neardup, secrets, sharding, suffix_dedup, tokenfiles, toxicity, turns
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_winnowing": decontam.op9_winnowing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_token_alignment": align.op11_token_alignment,
     "op12_token_files": tokenfiles.op12_token_files,
     "op13_conversation_repair": turns.op13_conversation_repair,
     "pipeline": pipeline,
