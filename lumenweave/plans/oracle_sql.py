@@ -1,4 +1,4 @@
-"""SQL for DuckDB of the larger matting queries; fragments are common table expressions over ``px`` and ``taps``."""
+"""SQL for DuckDB of the larger queries; fragments are common table expressions over ``px`` and ``taps``."""
 
 from __future__ import annotations
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions import pixel as fx
 from lumenweave.operators import affinity, color, grid, linalg, matte, neighbors
-from lumenweave.plans import matting_sql as M
+from lumenweave.plans import oracle_sql as M
 from lumenweave.plans.lineage import cut
 from lumenweave.sources.pixels import PART_WIDTH, part_pixels
 
