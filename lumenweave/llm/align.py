@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import discard, read, small, stow
+from lumenweave.llm.common import discard, read, release, small, stow
 from lumenweave.llm.segments import ByteBpe, as_bytes, split
 from lumenweave.llm.textops import give_back
 from lumenweave.llm.tokenfiles import vocabulary
@@ -44,6 +45,8 @@ from lumenweave.llm.tokenfiles import vocabulary
 BLOCK_BYTES = 8 << 20
 #: Distinct segments aligned at once, and link products of one step.
 SOME_SEGMENTS, SOME_LINKS = 1 << 14, 1 << 22
+#: Numbers of an alignment from here on take 32 bits; 16 else.
+WIDE = (1 << 16) - 1
 _META = "▁"
 
 
@@ -97,45 +100,81 @@ class Pair:
         ids = self._b.encode([s[1:].decode(errors="replace") for s in segments], num_threads=1)
         return [[self._space] if s == b" " else x for s, x in zip(segments, ids)]
 
-    def align(self, segments: list[bytes]) -> pa.RecordBatch:
-        """Per segment: its text of groups, counts of A and B tokens and groups, linked id pairs and how often (null where token bytes differ)."""
-        a_raw, b_ids = self.a.encode(segments), self._encode_b(segments)
-        good = np.array([b"".join([self.a.bytes[i] for i in np.frombuffer(x, "<i4").tolist()]) == s and b"".join([self._b_bytes[i] for i in y]) == s for s, x, y in zip(segments, a_raw, b_ids)], bool)
-        a_raw, b_ids = ([x for x, ok in zip(xs, good) if ok] for xs in (a_raw, b_ids))
-        n = len(a_raw)
-        a, b = np.frombuffer(b"".join(a_raw), "<i4").astype(np.int64), np.array([i for x in b_ids for i in x], np.int64)
+    def align(self, segments: list[bytes]) -> list[bytes | None]:
+        """Each segment's alignment as ``Aligned`` reads it; None where token bytes differ from the segment."""
+        a_raw, b_ids = self.a.encode(segments, memo=False), self._encode_b(segments)
         n_a, n_b = np.array([len(x) // 4 for x in a_raw], np.int64), np.array([len(x) for x in b_ids], np.int64)
-        a_end, b_end = np.cumsum(self.a.lengths[a]), np.cumsum(self._b_lengths[b])
-        both = np.intersect1d(a_end, b_end)
-        a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
-        of = np.searchsorted(np.cumsum(n_a) - 1, np.flatnonzero(np.diff(a_group, append=len(both))))  # each group's segment
-        n_groups = np.bincount(of, minlength=n)
-        # texts of groups
-        a_text, b_text = a.astype("U"), b.astype("U")
-        a_cut, b_cut = np.searchsorted(a_group, np.arange(len(both) + 1)).tolist(), np.searchsorted(b_group, np.arange(len(both) + 1)).tolist()
-        a_text, b_text = a_text.tolist(), b_text.tolist()
-        groups = [f"{','.join(a_text[p:q])}|{','.join(b_text[r:s])}" for p, q, r, s in zip(a_cut, a_cut[1:], b_cut, b_cut[1:])]
-        edges = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-        texts = [";".join(groups[p:q]) for p, q in zip(edges, edges[1:])]
-        key, often, pairs = self._links(a, a_group, b, b_group, of, n)
-        keep = np.flatnonzero(good)
-        at = np.full(len(segments), -1)
-        at[keep] = np.arange(n)
-        take = pa.array(np.where(at < 0, 0, at), mask=at < 0)
-        lists = np.concatenate([[0], np.cumsum(pairs)]).astype(np.int32)
-        columns = [pa.array(texts, pa.string()), *(pa.array(x, pa.int32()) for x in (n_a, n_b, n_groups)), pa.ListArray.from_arrays(pa.array(lists), pa.array(key)), pa.ListArray.from_arrays(pa.array(lists), pa.array(often))]
-        return pa.RecordBatch.from_arrays([pa.array(segments, pa.binary()), *(c.take(take) for c in columns)], ["segment", "groups", "n_a", "n_b", "n_groups", "pairs", "often"])
-
-    @staticmethod
-    def _links(a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = np.frombuffer(b"".join(a_raw), "<i4").astype(np.int64), np.fromiter(chain.from_iterable(b_ids), np.int64, int(n_b.sum()))
+        size = np.array([len(x) for x in segments], np.int64)
+        a_end, b_end, stop = np.cumsum(self.a.lengths[a]), np.cumsum(self._b_lengths[b]), np.cumsum(size)
+        fits = all(np.array_equal(np.append(0, ends)[np.cumsum(n)], stop) for ends, n in ((a_end, n_a), (b_end, n_b)))
+        joined = b"".join(segments)
+        if not fits or b"".join([self.a.bytes[i] for i in a.tolist()]) != joined or b"".join([self._b_bytes[i] for i in b.tolist()]) != joined:
+            if len(segments) == 1:
+                return [None]
+            half = len(segments) // 2
+            return self.align(segments[:half]) + self.align(segments[half:])
+        both = np.intersect1d(a_end, b_end, assume_unique=True)
+        of = np.searchsorted(stop, both)
+        a_many, b_many = (np.diff(np.searchsorted(ends, both, side="right"), prepend=0) for ends in (a_end, b_end))
+        n_groups = np.bincount(of, minlength=len(segments))
+        # one row of numbers a segment: groups, A tokens of each, B tokens of each, A ids, B ids
+        parts = [(np.arange(len(segments)), n_groups), (of, a_many), (of, b_many), (np.repeat(np.arange(len(segments)), n_a), a), (np.repeat(np.arange(len(segments)), n_b), b)]
+        owner, values = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+        order = np.argsort(owner, kind="stable")
+        values, cuts = values[order], np.cumsum(1 + 2 * n_groups + n_a + n_b).tolist()
+        if len(values) and values.max() >= WIDE:
+            rows = [values[p:q] for p, q in zip([0, *cuts], cuts)]
+            return [x.astype("<u2").tobytes() if x.max() < WIDE else b"\xff\xff" + x.astype("<u4").tobytes() for x in rows]
+        raw = values.astype("<u2").tobytes()
+        return [raw[2 * p : 2 * q] for p, q in zip([0, *cuts], cuts)]
+
+
+def _numbers(record: bytes) -> np.ndarray:
+    return np.frombuffer(record, "<u4", offset=2) if record[:2] == b"\xff\xff" else np.frombuffer(record, "<u2")
+
+
+class Aligned:
+    """Alignments of several segments at once: ``a`` and ``b`` ids, the group of each, and each group's segment (``of``)."""
+
+    def __init__(self, records: list[bytes]) -> None:
+        n = len(records)
+        if any(r[:2] == b"\xff\xff" for r in records):
+            rows = [_numbers(r) for r in records]
+            size, w = np.array([len(r) for r in rows], np.int64), np.concatenate(rows).astype(np.int64)
+        else:
+            size, w = np.array([len(r) // 2 for r in records], np.int64), np.frombuffer(b"".join(records), "<u2").astype(np.int64)
+        start = np.cumsum(size) - size
+        self.n_groups = w[start] if n else np.zeros(0, np.int64)
+        self.of = np.repeat(np.arange(n), self.n_groups)
+        inner = np.arange(len(self.of)) - np.repeat(np.cumsum(self.n_groups) - self.n_groups, self.n_groups)
+        a_many = w[start[self.of] + 1 + inner]
+        b_many = w[start[self.of] + 1 + self.n_groups[self.of] + inner]
+        self.n_a, self.n_b = (np.bincount(self.of, x, n).astype(np.int64) for x in (a_many, b_many))
+        take = lambda first, many: w[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        at = start + 1 + 2 * self.n_groups
+        self.a, self.b = take(at, self.n_a), take(at + self.n_a, self.n_b)
+        self.a_group, self.b_group = np.repeat(np.arange(len(self.of)), a_many), np.repeat(np.arange(len(self.of)), b_many)
+
+    def texts(self) -> list[str]:
+        """``a1,a2|b1;..`` of each segment."""
+        a, b = (list(map(str, x.tolist())) for x in (self.a, self.b))
+        edges = np.arange(len(self.of) + 1)
+        p, r = np.searchsorted(self.a_group, edges).tolist(), np.searchsorted(self.b_group, edges).tolist()
+        groups = [f"{a[i]}|{b[j]}" if k - i == 1 == m - j else f"{','.join(a[i:k])}|{','.join(b[j:m])}" for i, k, j, m in zip(p, p[1:], r, r[1:])]
+        ends = np.concatenate([[0], np.cumsum(self.n_groups)]).tolist()
+        return [";".join(groups[i:k]) for i, k in zip(ends, ends[1:])]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Linked pairs (A id << 32 | B id) of each segment in turn, how often each, and the pairs of each segment."""
+        of, n = self.of, len(self.n_groups)
 
         def counted(ids: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             key, often = np.unique((group << 20) | ids, return_counts=True)
             return key & ((1 << 20) - 1), often, np.searchsorted(key, np.arange(len(of) + 1) << 20)
 
-        a_id, a_often, a_at = counted(a, a_group)
-        b_id, b_often, b_at = counted(b, b_group)
+        a_id, a_often, a_at = counted(self.a, self.a_group)
+        b_id, b_often, b_at = counted(self.b, self.b_group)
         each = np.diff(a_at) * np.diff(b_at)
         parts, first, done = [], 0, np.cumsum(each)
         while first < len(of):
@@ -208,7 +247,7 @@ def _blocks(files: object):
     return run
 
 
-_ALIGNED = "segment binary, groups string, n_a int, n_b int, n_groups int, pairs array<long>, often array<long>"
+_ALIGNED = "segment binary, aligned binary"
 
 
 def _aligner(files: object):
@@ -216,19 +255,12 @@ def _aligner(files: object):
         pair = _pair(*files.value)
         for batch in batches:
             for at in range(0, batch.num_rows, SOME_SEGMENTS):
-                yield pair.align(batch.column(0).slice(at, SOME_SEGMENTS).to_pylist())
+                some = batch.column(0).slice(at, SOME_SEGMENTS)
+                yield pa.RecordBatch.from_arrays([some, pa.array(pair.align(some.to_pylist()), pa.binary())], ["segment", "aligned"])
 
     return run
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and values of lists; a null is empty."""
-    lists = column.combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return sizes, lists.flatten().to_numpy()
-
-
 _COMPOSED = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, links_of array<int>, link array<int>, often array<int>, pairs array<long>, holders array<long>"
 
 
@@ -237,16 +269,17 @@ def _compose(blocks: pa.Table, aligned: pa.Table) -> pa.Table:
     block = {c: blocks.column(c)[0].values.to_numpy(zero_copy_only=False) if c != "block" else blocks.column(c)[0].as_py() for c in ("block", "upto", "numbers")}
     ids = blocks.column("doc_ids")[0].as_py()
     n_docs, upto, numbers = len(ids), block["upto"].astype(np.int64), block["numbers"].astype(np.int64)
-    aligned = aligned.sort_by("number")
-    groups = aligned.column("groups").to_pylist()
-    known = aligned.column("groups").is_valid().to_numpy()
-    sizes, pairs = _flat(aligned.column("pairs"))
-    _, often = _flat(aligned.column("often"))
+    records = aligned.sort_by("number").column("aligned").to_pylist()
+    known = np.array([r is not None for r in records], bool)
+    # of a segment without tokens stands an empty row, which no good text uses
+    found = Aligned([r or b"\0\0" for r in records])
+    groups = found.texts()
+    pairs, often, sizes = found.links()
     owner = np.repeat(np.arange(n_docs), np.diff(upto, prepend=0))
     ok = np.diff(upto, prepend=0) > 0
     if len(numbers):
         ok[np.unique(owner[~known[numbers]])] = False
-    counts = [np.bincount(owner, aligned.column(c).fill_null(0).to_numpy()[numbers] if len(numbers) else None, n_docs).astype(np.int64) * ok for c in ("n_a", "n_b", "n_groups")]
+    counts = [np.bincount(owner, x[numbers] if len(numbers) else None, n_docs).astype(np.int64) * ok for x in (found.n_a, found.n_b, found.n_groups)]
     hashes, start = [], 0
     listed = numbers.tolist()
     for stop, fine in zip(upto.tolist(), ok.tolist()):
@@ -312,6 +345,8 @@ def align(docs: DataFrame, tokenizer: str, model: str, id_col: str = "doc_id", t
     joined = placed.join(aligned, "segment").drop("segment")
     composed = stow(blocks.drop("segments").groupBy("block").cogroup(joined.groupBy("of")).applyInArrow(_compose, _COMPOSED))
     discard(blocks, aligned)
+    del placed, joined
+    release(spark)
     pairs = composed.select(F.col("block").alias("of"), F.posexplode("pairs").alias("number", "pair"))
     counted = pairs.join(small(pair_counts(composed)), "pair", "left").select("of", "number", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("best", F.lit(0)).alias("best"))
     return composed.drop("pairs", "holders").groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(_look_up, _RESULT)

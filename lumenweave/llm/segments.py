@@ -171,8 +171,8 @@ class ByteBpe:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip((4 * first).tolist(), (4 * last).tolist())]
 
-    def encode(self, segments: list[bytes]) -> list[bytes]:
-        """The ids of each segment as little-endian 32-bit integers."""
+    def encode(self, segments: list[bytes], memo: bool = True) -> list[bytes]:
+        """The ids of each segment as little-endian 32-bit integers. Without ``memo`` none are remembered, as where no segment comes twice."""
         new, old = self._new, self._old
         out = list(map(new.get, segments))
         missing = []
@@ -193,7 +193,7 @@ class ByteBpe:
             some = joint[k : k + JOINED]
             for i, ids in zip(some, self._together([segments[i] for i in some])):
                 out[i] = ids
-        for i in missing:
+        for i in missing if memo else ():
             if len(segments[i]) <= 256:
                 new[segments[i]] = out[i]
         if len(new) > MEMO:
