@@ -6,13 +6,14 @@ where neither vocabulary can merge across (``Pair.splits`` verifies that on entr
 where it fails, a whole text is one segment). Then:
 
 1. Each block of texts (some MB) becomes its distinct segments and, per text, their numbers.
-2. The distinct segments of all blocks are tokenised and aligned once.
-3. Alignments are joined back to the blocks' segments, and texts composed from them.
-4. The blocks' counts of texts that hold an id pair linked are summed; the sums and each A id's
-   highest are joined back to the blocks' pairs, and every text's links are looked up.
+2. Blocks' segments meet in buckets by hash, where distinct ones are tokenised and aligned once
+   (once for each ``SALT_BLOCKS`` blocks, so that a segment of all blocks fills no bucket).
+3. Alignments go back to the blocks that asked, and texts are composed from them.
+4. The blocks' counts of texts that hold an id pair linked are summed, and every text's links are
+   looked up in the sums: broadcast while the distinct pairs are few, else joined to blocks.
 
-Joins run on segments and pairs of blocks, so a word that all texts hold is one row for each block,
-and Spark may split its rows further. Blocks and what is composed are tables in the shared folder.
+A word that all texts hold is one entry of each block. Blocks and what is composed are tables in
+the shared folder.
 
 Token bytes: A's entries byte-level decoded; B's pieces in UTF-8 with U+2581 as a space and <0xHH> as
 that byte. Places where tokens of both end cut them into groups; every A token of a group is linked
@@ -27,6 +28,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import discard, read, release, small, stow
+from lumenweave.llm.common import discard, read, release, shuffle_partitions, small, stow
 from lumenweave.llm.segments import ByteBpe, as_bytes, split
 from lumenweave.llm.textops import give_back
 from lumenweave.llm.tokenfiles import vocabulary
@@ -207,7 +209,36 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-_BLOCKS = "block long, doc_ids array<long>, upto array<int>, numbers array<int>, segments array<binary>"
+def _squeeze(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays (32-bit integers) or bytes as one compressed value."""
+    parts = [x if isinstance(x, bytes) else np.asarray(x).astype("<i4").tobytes() for x in arrays]
+    raw = np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unsqueeze(value: bytes) -> list[bytes]:
+    raw = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), "zstd", asbytes=True)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    ends = 8 * (n + 1) + np.cumsum([0, *np.frombuffer(raw, "<i8", n, 8)])
+    return [raw[p:q] for p, q in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _ints(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i4").astype(np.int64)
+
+
+def _listed(numbers: np.ndarray, items: list[bytes]) -> bytes:
+    """Ascending numbers and a value of each."""
+    return _squeeze(np.diff(numbers, prepend=0), np.array([len(x) for x in items]), b"".join(items))
+
+
+def _unlisted(value: bytes) -> tuple[np.ndarray, list[bytes]]:
+    steps, sizes, body = _unsqueeze(value)
+    ends = np.concatenate([[0], np.cumsum(_ints(sizes))]).tolist()
+    return np.cumsum(_ints(steps)), [body[p:q] for p, q in zip(ends, ends[1:])]
+
+
+_BLOCKS = "block long, doc_ids array<long>, texts binary, segments binary, n int"
 
 
 def _blocks(files: object):
@@ -220,12 +251,12 @@ def _blocks(files: object):
         def out() -> pa.RecordBatch:
             nonlocal block
             numbers, upto, segments = split(pa.concat_arrays(held), whole)
-            values = [[block], [list(ids)], [upto], [numbers], [segments]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+            values = [[block], [list(ids)], [_squeeze(upto, numbers)], [_listed(np.arange(len(segments)), segments)], [len(segments)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32()]
             block += 1
             ids.clear()
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["block", "doc_ids", "upto", "numbers", "segments"])
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["block", "doc_ids", "texts", "segments", "n"])
 
         for batch in batches:
             texts = as_bytes(batch.column(1), " ")
@@ -247,30 +278,60 @@ def _blocks(files: object):
     return run
 
 
-_ALIGNED = "segment binary, aligned binary"
+_ASKED = "bucket int, salt int, block long, asked binary"
 
 
-def _aligner(files: object):
+def _asker(buckets: int, salts: int):
+    """Each block's segments, dealt to buckets by a hash of the segment."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(*files.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, SOME_SEGMENTS):
-                some = batch.column(0).slice(at, SOME_SEGMENTS)
-                yield pa.RecordBatch.from_arrays([some, pa.array(pair.align(some.to_pylist()), pa.binary())], ["segment", "aligned"])
+            for block, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                _, segments = _unlisted(value)
+                of = np.fromiter(map(zlib.crc32, segments), np.int64, len(segments)) % buckets
+                order = np.argsort(of, kind="stable")
+                used, starts = np.unique(of[order], return_index=True)
+                rows = [_listed(some, [segments[i] for i in some.tolist()]) for some in np.split(order, starts[1:])] if len(order) else []
+                columns = [used, np.full(len(used), block % salts), np.full(len(used), block), rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["bucket", "salt", "block", "asked"])
+
+    return run
+
+
+def _answerer(files: object):
+    """A bucket's distinct segments aligned once; each block gets its own back (empty where token bytes differ)."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        pair = _pair(*files.value)
+        known: dict[bytes, bytes | None] = {}
+        for value in asked.column("asked"):
+            known.update(dict.fromkeys(_unlisted(value.as_py())[1]))
+        distinct = list(known)
+        for at in range(0, len(distinct), SOME_SEGMENTS):
+            some = distinct[at : at + SOME_SEGMENTS]
+            known.update(zip(some, pair.align(some)))
+        answers = []
+        for value in asked.column("asked"):
+            numbers, segments = _unlisted(value.as_py())
+            answers.append(_listed(numbers, [known[s] or b"" for s in segments]))
+        return pa.Table.from_arrays([asked.column("block"), pa.array(answers, pa.binary())], ["of", "answer"])
 
     return run
 
 
-_COMPOSED = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, links_of array<int>, link array<int>, often array<int>, pairs array<long>, holders array<long>"
+_COMPOSED = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, links binary, pairs array<long>, holders array<long>"
 
 
-def _compose(blocks: pa.Table, aligned: pa.Table) -> pa.Table:
+def _compose(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     """One block's texts from the alignments of its segments: their counts, hashes and links by numbers of the block's distinct pairs."""
-    block = {c: blocks.column(c)[0].values.to_numpy(zero_copy_only=False) if c != "block" else blocks.column(c)[0].as_py() for c in ("block", "upto", "numbers")}
-    ids = blocks.column("doc_ids")[0].as_py()
-    n_docs, upto, numbers = len(ids), block["upto"].astype(np.int64), block["numbers"].astype(np.int64)
-    records = aligned.sort_by("number").column("aligned").to_pylist()
-    known = np.array([r is not None for r in records], bool)
+    block, ids = blocks.column("block")[0].as_py(), blocks.column("doc_ids")[0].as_py()
+    upto, numbers = map(_ints, _unsqueeze(blocks.column("texts")[0].as_py()))
+    n_docs = len(ids)
+    records: list[bytes] = [b""] * blocks.column("n")[0].as_py()
+    for value in answers.column("answer"):
+        for i, record in zip(*_unlisted(value.as_py())):
+            records[i] = record
+    known = np.array([r != b"" for r in records], bool)
     # of a segment without tokens stands an empty row, which no good text uses
     found = Aligned([r or b"\0\0" for r in records])
     groups = found.texts()
@@ -302,30 +363,54 @@ def _compose(blocks: pa.Table, aligned: pa.Table) -> pa.Table:
     link, links = (key[new] % max(1, len(distinct))).astype(np.int32), key[new] // max(1, len(distinct))
     weight = np.add.reduceat(weight, new) if len(new) else weight
     holders = np.bincount(link, minlength=len(distinct)).astype(np.int64)
-    values = [block["block"], ids, *counts, hashes, np.bincount(links, minlength=n_docs), link, weight, distinct, holders]
-    kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int64())] * 3, pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3, *[pa.list_(pa.int64())] * 2]
-    names = ["block", "doc_ids", "n_a", "n_b", "n_groups", "groups_sha256", "links_of", "link", "often", "pairs", "holders"]
-    return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+    links_of = np.bincount(links, minlength=n_docs)
+    # steps between the ascending links of a document; its first counts from 0
+    steps = np.diff(link, prepend=0)
+    heads = (np.cumsum(links_of) - links_of)[links_of > 0]
+    steps[heads] = link[heads]
+    if len(weight) and weight.max() >> 31:
+        raise OverflowError("a pair is linked over 2^31 times in one document")
+    values = [block, ids, *counts, hashes, _squeeze(links_of, steps, weight), distinct, holders]
+    kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int64())] * 3, pa.list_(pa.string()), pa.binary(), *[pa.list_(pa.int64())] * 2]
+    return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [c.split()[0] for c in _COMPOSED.split(", ")])
 
 
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _look_up(blocks: pa.Table, counts: pa.Table) -> pa.Table:
-    """One block's documents, from how many documents hold each of its pairs."""
-    row = {c: blocks.column(c)[0].values for c in ("doc_ids", "n_a", "n_b", "n_groups", "groups_sha256", "links_of", "link", "often")}
-    counts = counts.sort_by("number")
-    count, best = counts.column("count").to_numpy(), counts.column("best").to_numpy()
-    sizes, link, often = (row[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("links_of", "link", "often"))
+def _documents(blocks: pa.Table, count: np.ndarray, best: np.ndarray) -> pa.Table:
+    """One block's documents, from how many documents hold each of its pairs and whether it is its A id's most frequent."""
+    row = {c: blocks.column(c)[0].values for c in ("doc_ids", "n_a", "n_b", "n_groups", "groups_sha256")}
+    sizes, steps, often = map(_ints, _unsqueeze(blocks.column("links")[0].as_py()))
+    stop = np.cumsum(sizes)
+    total = np.concatenate([[0], np.cumsum(steps)])
+    link = total[1:] - np.repeat(total[stop - sizes], sizes)
     sums = []
-    for values in (often, often * best[link] if len(link) else often, often * count[link] if len(link) else often):
+    for values in (often, often * best[link], often * count[link]) if len(link) else [often] * 3:
         total = np.concatenate([[0], np.cumsum(values)])
-        stop = np.cumsum(sizes)
         sums.append(pa.array(total[stop] - total[stop - sizes], pa.int64()))
     columns = [row["doc_ids"], row["n_a"], row["n_b"], row["n_groups"], *sums, row["groups_sha256"]]
     return pa.Table.from_arrays(columns, [c.split()[0] for c in _RESULT.split(", ")])
 
 
+def _look_up(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+    counts = counts.sort_by("number")
+    return _documents(blocks, counts.column("count").to_numpy(), counts.column("best").to_numpy())
+
+
+def _looker(table: object):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, count, best = table.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = pa.Table.from_batches([batch.slice(i, 1)])
+                at = np.searchsorted(keys, one.column("pairs")[0].values.to_numpy(zero_copy_only=False))
+                at = np.minimum(at, max(0, len(keys) - 1))  # pairs that no good text holds are not in the table, and not looked at
+                yield from _documents(one, count[at] if len(keys) else count, best[at] if len(keys) else best).to_batches()
+
+    return run
+
+
 def pair_counts(composed: DataFrame) -> DataFrame:
     """Columns pair, count (documents that hold it linked) and best (1 if no pair of its A id has more)."""
     held = composed.select(F.explode(F.arrays_zip("pairs", "holders")).alias("p")).select(F.col("p.pairs").alias("pair"), F.col("p.holders").alias("n")).filter("n > 0")
@@ -334,22 +419,34 @@ def pair_counts(composed: DataFrame) -> DataFrame:
     return counts.join(small(highest), F.shiftright("pair", 32) == F.col("a")).select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
 
 
+#: Entries of blocks and segments in a bucket, blocks of one salt, and distinct pairs that are broadcast (16 bytes each).
+BUCKET, SALT_BLOCKS, PAIRS = 1 << 18, 1 << 16, 1 << 20
+
+
 def align(docs: DataFrame, tokenizer: str, model: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: counts of its tokens, groups and links, and the hash of its groups."""
     spark = docs.sparkSession
     files = spark.sparkContext.broadcast((vocabulary(tokenizer), model_bytes(model)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     blocks = stow(rows.mapInArrow(_blocks(files), _BLOCKS))
-    placed = blocks.select(F.col("block").alias("of"), F.posexplode("segments").alias("number", "segment"))
-    aligned = stow(placed.select("segment").distinct().mapInArrow(_aligner(files), _ALIGNED))
-    joined = placed.join(aligned, "segment").drop("segment")
-    composed = stow(blocks.drop("segments").groupBy("block").cogroup(joined.groupBy("of")).applyInArrow(_compose, _COMPOSED))
-    discard(blocks, aligned)
-    del placed, joined
+    total = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries")).first()
+    salts = 1 + total["blocks"] // SALT_BLOCKS
+    buckets = max(shuffle_partitions(spark), total["entries"] // (salts * BUCKET) + 1)
+    asked = blocks.select("block", "segments").mapInArrow(_asker(buckets, salts), _ASKED)
+    answers = asked.groupBy("bucket", "salt").applyInArrow(_answerer(files), "of long, answer binary")
+    composed = stow(blocks.drop("segments").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(_compose, _COMPOSED))
+    discard(blocks)
+    del asked, answers
     release(spark)
+    counts = stow(pair_counts(composed))
+    slim = composed.drop("holders")
+    if counts.count() <= PAIRS:
+        table = counts.orderBy("pair").toPandas()
+        held = spark.sparkContext.broadcast((table["pair"].to_numpy(), table["count"].to_numpy(), table["best"].to_numpy()))
+        return slim.mapInArrow(_looker(held), _RESULT)
     pairs = composed.select(F.col("block").alias("of"), F.posexplode("pairs").alias("number", "pair"))
-    counted = pairs.join(small(pair_counts(composed)), "pair", "left").select("of", "number", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("best", F.lit(0)).alias("best"))
-    return composed.drop("pairs", "holders").groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(_look_up, _RESULT)
+    counted = pairs.join(counts, "pair", "left").select("of", "number", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("best", F.lit(0)).alias("best"))
+    return slim.drop("pairs").groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(_look_up, _RESULT)
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

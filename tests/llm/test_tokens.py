@@ -165,6 +165,10 @@ def test_op11_odd(spark, odd, monkeypatch):
     short = odd.filter("doc_id IS NULL OR doc_id <> 23")
     want = by_id(brute_alignment([x for x in ODD if x[0] != 23]))
     assert by_id(align.align(short, JSON, MODEL).collect()) == want
+    # pair counts joined instead of broadcast, several salts, small buckets
+    for name, value in (("PAIRS", 0), ("SALT_BLOCKS", 1), ("BUCKET", 8)):
+        monkeypatch.setattr(align, name, value)
+    assert by_id(align.align(short, JSON, MODEL).collect()) == want
     assert align.align(odd.limit(0), JSON, MODEL).count() == 0
     (long,) = align.align(odd.filter("doc_id = 23"), JSON, MODEL).collect()
     assert long.n_a >= 40000 and long.n_best == long.n_links == long.count_sum
