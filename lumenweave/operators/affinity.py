@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from lumenweave.functions.pixel import dot, mat_vec, quadratic, sym3_cofactors
 from lumenweave.operators import kernels, linalg
 from lumenweave.operators.grid import NINE, box_sums, dilate, taps, window_moments, windows
 from lumenweave.operators.neighbors import lle_weights, nearest
-from lumenweave.plans.lineage import cut
+from lumenweave.plans.lineage import cut, drop, keep
 
 _PAIRS = [(a, b) for k, a in enumerate("rgb") for b in "rgb"[k:]]
 
@@ -81,21 +83,44 @@ def _local_inverse(pixels: DataFrame, r: int, epsilon: float) -> DataFrame:
 
 def large_kernel_apply(pixels: DataFrame, p: DataFrame, r: int = 2, epsilon: float = 1e-4) -> DataFrame:
     """L p without forming L: windows of radius r that lie inside. p: (image_id, i, v)."""
+    return _kernel_product(pixels, _local_inverse(pixels, r, epsilon), r)(p)
+
+
+def large_kernel_operator(pixels: DataFrame, r: int = 10, epsilon: float = 1e-7, weight: float = 0.0) -> tuple[Callable[[DataFrame], DataFrame], DataFrame, Callable[[], None]]:
+    """The operator L + ``weight`` diag(known) as a function of (image_id, i, v), its diagonal, and what deletes its tables.
+
+    The windows' means and inverses are made once; one application is two sweeps of window sums.
+    """
+    if not pixels.filter(F.least("w", "h") < 2 * r + 1).isEmpty():
+        raise ValueError("both sides must be at least 2 * radius + 1")
+    known = F.when((F.col("t") == 0.0) | (F.col("t") == 1.0), float(weight)).otherwise(0.0)
+    base = keep(pixels.select("image_id", "i", "x", "y", "w", "h", "r", "g", "b", known.alias("known")))
+    local = keep(_local_inverse(base, r, epsilon))
+    d = large_kernel_diagonal(base, r, epsilon).join(base.select("image_id", "i", "known"), ["image_id", "i"])
+    return _kernel_product(base, local, r), d.select("image_id", "i", (F.col("v") + F.col("known")).alias("v")), lambda: drop(base, local)
+
+
+def _kernel_product(pixels: DataFrame, local: DataFrame, r: int) -> Callable[[DataFrame], DataFrame]:
+    """``pixels`` may hold ``known``, a diagonal that is added."""
     n = float((2 * r + 1) ** 2)
-    rows = pixels.join(p.withColumnRenamed("v", "p"), ["image_id", "i"])
-    sums = box_sums(rows.withColumns({f"p{a}": F.col(a) * F.col("p") for a in "rgb"}), r, ["p", "pr", "pg", "pb"], "valid").select("image_id", "x", "y", *[c for c in ("p", "pr", "pg", "pb")])
-    local = _local_inverse(pixels, r, epsilon).join(sums, ["image_id", "x", "y"])
-    shift = [F.col(f"p{a}") - F.col(f"m_{a}") * F.col("p") for a in "rgb"]
-    k = _matrix({a + b: F.col(f"k_{a}{b}") for a, b in _PAIRS})
-    local = local.withColumns({f"a_{a}": v for a, v in zip("rgb", mat_vec(k, shift), strict=True)})
-    local = local.withColumn("a_0", F.col("p") - dot([F.col(f"a_{a}") for a in "rgb"], [F.col(f"m_{a}") for a in "rgb"])).withColumn("one", F.lit(1.0))
-    # each pixel gathers what the valid windows around it say; zero elsewhere
-    full = pixels.select("image_id", "x", "y", "w", "h").join(local.select("image_id", "x", "y", "one", "a_0", "a_r", "a_g", "a_b"), ["image_id", "x", "y"], "left").fillna(0.0)
-    back = box_sums(full, r, ["one", "a_0", "a_r", "a_g", "a_b"], "same").select("image_id", "x", "y", "one", "a_0", "a_r", "a_g", "a_b")
-    out = rows.join(back, ["image_id", "x", "y"])
-    # windows share their mass evenly, so L p is coverage * p less the local models' values over n
-    value = F.col("one") * F.col("p") - (F.col("a_0") + F.col("a_r") * F.col("r") + F.col("a_g") * F.col("g") + F.col("a_b") * F.col("b")) / n
-    return out.select("image_id", "i", value.alias("v"))
+
+    def apply(p: DataFrame) -> DataFrame:
+        rows = pixels.join(p.select("image_id", "i", F.col("v").alias("p")), ["image_id", "i"])
+        sums = box_sums(rows.withColumns({f"p{a}": F.col(a) * F.col("p") for a in "rgb"}), r, ["p", "pr", "pg", "pb"], "valid").select("image_id", "x", "y", *[c for c in ("p", "pr", "pg", "pb")])
+        inner = local.join(sums, ["image_id", "x", "y"])
+        shift = [F.col(f"p{a}") - F.col(f"m_{a}") * F.col("p") for a in "rgb"]
+        k = _matrix({a + b: F.col(f"k_{a}{b}") for a, b in _PAIRS})
+        inner = inner.withColumns({f"a_{a}": v for a, v in zip("rgb", mat_vec(k, shift), strict=True)})
+        inner = inner.withColumn("a_0", F.col("p") - dot([F.col(f"a_{a}") for a in "rgb"], [F.col(f"m_{a}") for a in "rgb"])).withColumn("one", F.lit(1.0))
+        # each pixel gathers what the valid windows around it say; zero elsewhere
+        full = pixels.select("image_id", "x", "y", "w", "h").join(inner.select("image_id", "x", "y", "one", "a_0", "a_r", "a_g", "a_b"), ["image_id", "x", "y"], "left").fillna(0.0)
+        back = box_sums(full, r, ["one", "a_0", "a_r", "a_g", "a_b"], "same").select("image_id", "x", "y", "one", "a_0", "a_r", "a_g", "a_b")
+        out = rows.join(back, ["image_id", "x", "y"])
+        # windows share their mass evenly, so L p is coverage * p less the local models' values over n
+        value = F.col("one") * F.col("p") - (F.col("a_0") + F.col("a_r") * F.col("r") + F.col("a_g") * F.col("g") + F.col("a_b") * F.col("b")) / n
+        return out.select("image_id", "i", (value + F.col("known") * F.col("p") if "known" in pixels.columns else value).alias("v"))
+
+    return apply
 
 
 def large_kernel_diagonal(pixels: DataFrame, r: int = 2, epsilon: float = 1e-4) -> DataFrame:

@@ -3,25 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions.pixel import clip, dot, inv2, mat_vec, sym3_cofactors
-from lumenweave.operators.grid import FOUR, box_sums, resize_bilinear, resize_nearest
-from lumenweave.plans.lineage import cut
+from lumenweave.operators import krylov, linalg
+from lumenweave.operators.grid import FOUR, box_sums, resize_bilinear, resize_nearest, windows
+from lumenweave.plans.lineage import keep, small
 from lumenweave.operators.kernels import ColumnFactor, colour_pass, conjugate_gradients, csr, nearest_indices
 
 RGB = ["r", "g", "b"]
 _PAIRS = [(a, b) for k, a in enumerate("rgb") for b in "rgb"[k:]]
 #: Pixels of an image that one task holds.
 KERNEL_PIXELS = 1 << 23
-#: Pixels from which a level's lineage is cut.
-LARGE_LEVEL = 1 << 18
 _FB = [f"{s}_{c}" for s in "fb" for c in RGB]
 
 
@@ -52,8 +51,8 @@ def level_sizes(w: int, h: int, min_size: int = 2, growth: float = 2.0) -> list[
     return out
 
 
-def color_pass(level: DataFrame, regularization: float = 1e-5) -> DataFrame:
-    """One update of f_* and b_*: a 2x2 system per pixel from its colour, alpha and four clamped neighbours.
+def color_pass(level: DataFrame, regularization: float = 1e-5, where: Column | None = None) -> DataFrame:
+    """One update of f_* and b_*: a 2x2 system per pixel from its colour, alpha and four clamped neighbours. Rows not ``where`` stay.
 
     Neighbours come from windows over a row and over a column of the image, so the input is
     named once and no join is needed.
@@ -70,39 +69,67 @@ def color_pass(level: DataFrame, regularization: float = 1e-5) -> DataFrame:
     for c in RGB:
         u, v = (own * F.col(c) + sum((F.col(f"d{k}") * F.col(f"n{k}.{s}_{c}") for k in range(1, 4)), F.col("d0") * F.col(f"n0.{s}_{c}")) for own, s in ((a, "f"), (b, "b")))
         values[f"f_{c}"], values[f"b_{c}"] = clip(p * u + q * v), clip(q * u + t * v)
+    if where is not None:
+        values = {k: F.when(where, v).otherwise(F.col(k)) for k, v in values.items()}
     return out.withColumns(values).select(*level.columns)
 
 
-def estimate_multilevel(pixels: DataFrame, w: int, h: int, min_size: int = 2, growth: float = 2.0, regularization: float = 1e-5, n_iter: int | Callable[[int, int], int] = 2, cut: Callable[[DataFrame], DataFrame] = cut, levels: int | None = None, in_tasks: bool | None = None) -> DataFrame:
-    """pixels: (image_id, i, x, y, w, h, r, g, b, alpha) of images of one size. Adds f_* and b_*.
+def level_schedule(sizes: DataFrame, min_size: int = 2, growth: float = 2.0, n_iter: int | Callable[[int, int], int] = 2, levels: int | None = None) -> DataFrame:
+    """(image_id, level, nw, nh, passes, final) of images ``sizes`` (image_id, w, h), level 0 the coarsest."""
 
-    Coarse to fine with a fixed number of passes. Images of up to KERNEL_PIXELS (``in_tasks``)
-    run one per task; of larger ones every level is a DataFrame, in one linear plan whose
-    lineage ``cut`` ends at large levels. ``levels`` stops early at a coarse size.
+    def shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for w, h in zip(frame.w.tolist(), frame.h.tolist(), strict=True):
+                steps = level_sizes(w, h, min_size, growth)[:levels]
+                rows += [(w, h, k, a, b, n_iter(a, b) if callable(n_iter) else n_iter, k + 1 == len(steps)) for k, (a, b) in enumerate(steps)]
+            yield pd.DataFrame(rows, columns=["w", "h", "level", "nw", "nh", "passes", "final"])
+
+    plan = sizes.select("w", "h").distinct().mapInPandas(shapes, "w int, h int, level int, nw int, nh int, passes int, final boolean")
+    return sizes.select("image_id", "w", "h").distinct().join(small(plan), ["w", "h"]).drop("w", "h")
+
+
+def estimate_multilevel(pixels: DataFrame, min_size: int = 2, growth: float = 2.0, regularization: float = 1e-5, n_iter: int | Callable[[int, int], int] = 2, levels: int | None = None, in_tasks: bool | None = None) -> DataFrame:
+    """pixels: (image_id, i, x, y, w, h, r, g, b, alpha) of images of any sizes. Adds f_* and b_*.
+
+    Coarse to fine with a fixed number of passes. Images of up to KERNEL_PIXELS (all or none by
+    ``in_tasks``) run one per task. Larger ones run as tables: ``level_schedule`` tells each image's
+    size at each level, and all images that are at a level share one plan. ``levels`` stops early at
+    a coarse size.
     """
-    sizes = level_sizes(w, h, min_size, growth)[:levels]
-    passes = [n_iter(a, b) if callable(n_iter) else n_iter for a, b in sizes]
-    if w * h <= KERNEL_PIXELS if in_tasks is None else in_tasks:
-        return _multilevel_in_tasks(pixels, sizes, passes, regularization)
-    state = None
-    for (a, b), n in zip(sizes, passes, strict=True):
-        level = resize_nearest(pixels, a, b, [*RGB, "alpha"])
+    n = F.col("w").cast("long") * F.col("h")
+    if in_tasks is None:
+        small_ones, large = pixels.filter(n <= KERNEL_PIXELS), pixels.filter(n > KERNEL_PIXELS)
+        out = _multilevel_in_tasks(small_ones, min_size, growth, n_iter, levels, regularization)
+        return out if large.isEmpty() else out.unionByName(estimate_multilevel(large, min_size, growth, regularization, n_iter, levels, False))
+    if in_tasks:
+        return _multilevel_in_tasks(pixels, min_size, growth, n_iter, levels, regularization)
+    schedule = keep(level_schedule(pixels.select("image_id", "w", "h").distinct(), min_size, growth, n_iter, levels))
+    state, done, names = None, [], ["image_id", "i", "x", "y", "w", "h", *RGB, "alpha", *_FB]
+    for k in range((schedule.agg(F.max("level")).first()[0] or 0) + 1):
+        now = schedule.filter(F.col("level") == k)
+        sizes = now.select("image_id", "nw", "nh")
+        level = resize_nearest(pixels, None, None, [*RGB, "alpha"], sizes)
         if state is None:
             level = level.withColumns({f"{s}_{c}": F.col(c) for s in "fb" for c in RGB})
         else:
-            level = level.join(resize_nearest(state, a, b, _FB).select("image_id", "i", *_FB), ["image_id", "i"])
-        for _ in range(n):
-            level = color_pass(level, regularization)
-        state = cut(level) if a * b >= LARGE_LEVEL else level
-    return state
-
-
-def _multilevel_in_tasks(pixels: DataFrame, sizes: list[tuple[int, int]], passes: list[int], regularization: float) -> DataFrame:
+            level = level.join(resize_nearest(state, None, None, _FB, sizes).select("image_id", "i", *_FB), ["image_id", "i"])
+        passes = now.select("image_id", "passes", "final")
+        level = level.join(small(passes), "image_id")
+        for n in range(now.agg(F.max("passes")).first()[0] or 0):
+            level = color_pass(level, regularization, F.col("passes") > n)
+        level = keep(level)
+        done.append(level.filter("final").select(*names))
+        state = level.filter("NOT final")
+    return reduce(DataFrame.unionByName, done)
+
+
+def _multilevel_in_tasks(pixels: DataFrame, min_size: int, growth: float, n_iter: int | Callable[[int, int], int], levels: int | None, regularization: float) -> DataFrame:
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i")
         w, h = int(frame.w.iloc[0]), int(frame.h.iloc[0])
         image, alpha, state = frame[RGB].to_numpy().reshape(h, w, 3), frame.alpha.to_numpy().reshape(h, w), None
-        for (a, b), n in zip(sizes, passes, strict=True):
+        for a, b in level_sizes(w, h, min_size, growth)[:levels]:
             y, x = nearest_indices(h, b), nearest_indices(w, a)
             small, at = image[y][:, x], alpha[y][:, x]
             if state is None:
@@ -110,7 +137,7 @@ def _multilevel_in_tasks(pixels: DataFrame, sizes: list[tuple[int, int]], passes
             else:
                 y, x = nearest_indices(state[0].shape[0], b), nearest_indices(state[0].shape[1], a)
                 state = tuple(v[y][:, x] for v in state)
-            for _ in range(n):
+            for _ in range(n_iter(a, b) if callable(n_iter) else n_iter):
                 state = colour_pass(small, at, *state, FOUR, regularization)
         i = np.arange(a * b)
         out = {"image_id": frame.image_id.iloc[0], "i": i, "x": i % a, "y": i // a, "w": a, "h": b, "alpha": at.ravel()}
@@ -122,8 +149,50 @@ def _multilevel_in_tasks(pixels: DataFrame, sizes: list[tuple[int, int]], passes
     return pixels.select("image_id", "i", "w", "h", *RGB, "alpha").groupBy("image_id").applyInPandas(one, schema)
 
 
-def estimate_closed_form(pixels: DataFrame, regularization: float = 1e-5, neighbors: list[tuple[int, int]] = FOUR, max_iter: int = 1000, atol: float = 0.0, rtol: float = 1e-5, threshold: float = 1e-4) -> DataFrame:
-    """(image_id, i, f_*, b_*): smoothness system over both colours, one CG per channel and image."""
+def closed_form_system(pixels: DataFrame, regularization: float = 1e-5, neighbors: list[tuple[int, int]] = FOUR) -> tuple[DataFrame, DataFrame]:
+    """A (image_id, i, j, v) and b (image_id, i, r, g, b) of both colours' smoothness system: unknown i is the foreground of
+    pixel i, i + w h its background; the right sides of the three channels share A."""
+    n = F.col("w").cast("long") * F.col("h")
+    own = pixels.select("image_id", "i", n.alias("n"), F.col("alpha").alias("a"), *RGB)
+    rows = windows(pixels.withColumn("n", n), neighbors, ["alpha"], ["alpha", "n"]).select("image_id", F.col("c").alias("i"), "j", "n", (regularization + F.abs(F.col("alpha") - F.col("n_alpha"))).alias("k"))
+    entry = lambda i, j, v: F.struct(i.alias("i"), j.alias("j"), v.alias("v"))
+    i, j, k, a = F.col("i"), F.col("j"), F.col("k"), F.col("a")
+    near = [entry(p + half, q + half, v) for half in (F.lit(0), F.col("n")) for p, q, v in ((i, i, k), (j, j, k), (i, j, -k), (j, i, -k))]  # k (v_i - v_j)^2
+    m = i + F.col("n")
+    mine = [entry(i, i, a * a), entry(m, m, (1 - a) * (1 - a)), entry(i, m, a * (1 - a)), entry(m, i, a * (1 - a))]
+    cells = rows.select("image_id", F.inline(F.array(*near))).unionByName(own.select("image_id", F.inline(F.array(*mine))))
+    side = lambda at, k: F.struct(at.alias("i"), *[(k * F.col(c)).alias(c) for c in RGB])
+    b = own.select("image_id", F.array(side(i, a), side(m, 1 - a)).alias("s")).select("image_id", F.inline("s"))
+    return cells.groupBy("image_id", "i", "j").agg(F.sum("v").alias("v")), b
+
+
+def _closed_form_tables(pixels: DataFrame, regularization: float, neighbors: list[tuple[int, int]], max_iter: int, atol: float, rtol: float) -> DataFrame:
+    a, b = (keep(x) for x in closed_form_system(pixels, regularization, neighbors))
+    goals = b.groupBy("image_id").agg(*[F.greatest(F.lit(float(atol)), rtol * F.sqrt(F.sum(F.col(c) * F.col(c)))).alias(f"goal_{c}") for c in RGB])
+    out = krylov.solve(krylov.product(a, RGB), b, goals, max_iter, RGB, diagonal=linalg.diagonal_of(a))
+    n = F.col("w").cast("long") * F.col("h")
+    out = out.join(small(pixels.select("image_id", n.alias("n")).distinct()), "image_id")
+    parts = [F.max(F.when((F.col("i") < F.col("n")) == (s == "f"), clip(F.col(f"x_{c}")))).alias(f"{s}_{c}") for s in "fb" for c in RGB]
+    return out.groupBy("image_id", (F.col("i") % F.col("n")).alias("at")).agg(*parts).withColumnRenamed("at", "i")
+
+
+#: Pixels of an image whose two-colour matrix (some 12 entries a pixel) one task holds.
+CLOSED_FORM_PIXELS = 1 << 20
+
+
+def estimate_closed_form(pixels: DataFrame, regularization: float = 1e-5, neighbors: list[tuple[int, int]] = FOUR, max_iter: int = 1000, atol: float = 0.0, rtol: float = 1e-5, threshold: float = 1e-4, in_tasks: bool | None = None) -> DataFrame:
+    """(image_id, i, f_*, b_*): smoothness system over both colours; each channel of an image stops by itself.
+
+    Images of up to CLOSED_FORM_PIXELS (all or none by ``in_tasks``) run one per task with an
+    incomplete factor; larger ones by CG over tables, all three channels in one state, with the diagonal.
+    """
+    if in_tasks is None:
+        n = F.col("w").cast("long") * F.col("h")
+        how = (regularization, neighbors, max_iter, atol, rtol, threshold)
+        out, large = estimate_closed_form(pixels.filter(n <= CLOSED_FORM_PIXELS), *how, True), pixels.filter(n > CLOSED_FORM_PIXELS)
+        return out if large.isEmpty() else out.unionByName(estimate_closed_form(large, *how, False))
+    if not in_tasks:
+        return _closed_form_tables(pixels, regularization, neighbors, max_iter, atol, rtol)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i")
@@ -154,9 +223,9 @@ def estimate_closed_form(pixels: DataFrame, regularization: float = 1e-5, neighb
 
 
 def estimate_foreground_background(pixels: DataFrame, method: str = "ml", **how) -> DataFrame:
+    """Colours of images of any sizes, each as if it were alone."""
     if method == "ml":
-        w, h = pixels.select("w", "h").first()
-        return estimate_multilevel(pixels, w, h, **how)
+        return estimate_multilevel(pixels, **how)
     if method == "cf":
         return estimate_closed_form(pixels, **how)
     raise ValueError(f"method must be ml or cf, not {method}")
@@ -192,12 +261,13 @@ def guided_filter(pixels: DataFrame, p: str, r: int, eps: float = 1e-4) -> DataF
     return rows.select("image_id", "i", ((dot([F.col(f"a_{a}") for a in "rgb"], [F.col(a) for a in "rgb"]) + F.col("a_0")) / F.col("one")).alias("v"))
 
 
-def fast_guided_filter(pixels: DataFrame, p: str, r: int, w: int, h: int, eps: float = 1e-4, scale: float = 0.125) -> DataFrame:
-    """The model of ``guided_filter`` at ``scale``, enlarged bilinearly."""
-    small = max(1, int(r * scale))
-    ws, hs = max(2 * small + 1, int(w * scale)), max(2 * small + 1, int(h * scale))
-    low = resize_nearest(pixels, ws, hs, [*RGB, p])
-    model = low.select("image_id", "i", "x", "y", "w", "h").join(_spread(low, local_model(low, p, small, eps), small), ["image_id", "x", "y"])
-    up = resize_bilinear(model, w, h, _MODEL).select("image_id", "i", *_MODEL)
+def fast_guided_filter(pixels: DataFrame, p: str, r: int, eps: float = 1e-4, scale: float = 0.125) -> DataFrame:
+    """The model of ``guided_filter`` at ``scale`` of each image's size, enlarged bilinearly."""
+    reach = max(1, int(r * scale))
+    sizes = keep(pixels.select("image_id", "w", "h").distinct())
+    side = lambda c: F.greatest(F.lit(2 * reach + 1), F.floor(F.col(c) * scale).cast("int"))
+    low = resize_nearest(pixels, None, None, [*RGB, p], sizes.select("image_id", side("w").alias("nw"), side("h").alias("nh")))
+    model = low.select("image_id", "i", "x", "y", "w", "h").join(_spread(low, local_model(low, p, reach, eps), reach), ["image_id", "x", "y"])
+    up = resize_bilinear(model, None, None, _MODEL, sizes.select("image_id", F.col("w").alias("nw"), F.col("h").alias("nh"))).select("image_id", "i", *_MODEL)
     rows = pixels.join(up, ["image_id", "i"])
     return rows.select("image_id", "i", ((dot([F.col(f"a_{a}") for a in "rgb"], [F.col(a) for a in "rgb"]) + F.col("a_0")) / F.col("one")).alias("v"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenweave.plans.lineage import small
+
 #: The offsets of a 3x3 window, x outside and y inside; number 4 is the centre.
 NINE = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -104,29 +106,34 @@ def dilate(pixels: DataFrame, mask: Column, r: int) -> DataFrame:
     return box_sums(marked, r, ["m"]).select("image_id", "x", "y", (F.col("m") > 0).alias("grown"))
 
 
-def _target(pixels: DataFrame, w: int, h: int) -> DataFrame:
+def _target(pixels: DataFrame, w: int | None, h: int | None, to: DataFrame | None) -> DataFrame:
+    """Every pixel of the new sizes: ``w`` x ``h``, or those of ``to`` (image_id, nw, nh), whose images alone are kept."""
     size = pixels.select("image_id", F.col("w").alias("ow"), F.col("h").alias("oh")).distinct()
-    return size.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(w * h - 1).cast("long")))).select("image_id", "ow", "oh", "i", (F.col("i") % w).cast("int").alias("x"), F.floor(F.col("i") / w).cast("int").alias("y"))
+    size = size.withColumns({"nw": F.lit(w), "nh": F.lit(h)}) if to is None else size.join(small(to), "image_id")
+    last = F.col("nw").cast("long") * F.col("nh") - 1
+    rows = size.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return rows.select("image_id", "ow", "oh", "nw", "nh", "i", (F.col("i") % F.col("nw")).cast("int").alias("x"), F.floor(F.col("i") / F.col("nw")).cast("int").alias("y"))
 
 
-def resize_nearest(pixels: DataFrame, w: int, h: int, values: list[str]) -> DataFrame:
-    x = F.least(F.col("ow") - 1, F.floor(F.col("x") * F.col("ow") / F.lit(float(w))).cast("int"))
-    y = F.least(F.col("oh") - 1, F.floor(F.col("y") * F.col("oh") / F.lit(float(h))).cast("int"))
-    to = _target(pixels, w, h).withColumn("j", (x + y * F.col("ow")).cast("long"))
-    return to.join(pixels.select("image_id", F.col("i").alias("j"), *values), ["image_id", "j"]).select("image_id", "i", "x", "y", F.lit(w).alias("w"), F.lit(h).alias("h"), *values)
+def resize_nearest(pixels: DataFrame, w: int | None, h: int | None, values: list[str], to: DataFrame | None = None) -> DataFrame:
+    """Images at ``w`` x ``h``, or each at its size of ``to`` (image_id, nw, nh)."""
+    x = F.least(F.col("ow") - 1, F.floor(F.col("x") * F.col("ow") / F.col("nw").cast("double")).cast("int"))
+    y = F.least(F.col("oh") - 1, F.floor(F.col("y") * F.col("oh") / F.col("nh").cast("double")).cast("int"))
+    rows = _target(pixels, w, h, to).withColumn("j", (x + y * F.col("ow")).cast("long"))
+    return rows.join(pixels.select("image_id", F.col("i").alias("j"), *values), ["image_id", "j"]).select("image_id", "i", "x", "y", F.col("nw").alias("w"), F.col("nh").alias("h"), *values)
 
 
-def resize_bilinear(pixels: DataFrame, w: int, h: int, values: list[str]) -> DataFrame:
-    """Half-pixel centres, four clamped taps."""
-    fx = (F.col("x") + 0.5) * F.col("ow") / F.lit(float(w)) - 0.5
-    fy = (F.col("y") + 0.5) * F.col("oh") / F.lit(float(h)) - 0.5
-    to = _target(pixels, w, h).withColumns({"fx": fx, "fy": fy}).withColumns({"x0": F.floor("fx").cast("int"), "y0": F.floor("fy").cast("int")})
+def resize_bilinear(pixels: DataFrame, w: int | None, h: int | None, values: list[str], to: DataFrame | None = None) -> DataFrame:
+    """Half-pixel centres, four clamped taps; sizes as in ``resize_nearest``."""
+    fx = (F.col("x") + 0.5) * F.col("ow") / F.col("nw").cast("double") - 0.5
+    fy = (F.col("y") + 0.5) * F.col("oh") / F.col("nh").cast("double") - 0.5
+    rows = _target(pixels, w, h, to).withColumns({"fx": fx, "fy": fy}).withColumns({"x0": F.floor("fx").cast("int"), "y0": F.floor("fy").cast("int")})
     tap = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (0, 1) for b in (0, 1)])
-    to = to.withColumn("o", F.explode(tap))
+    rows = rows.withColumn("o", F.explode(tap))
     wx = F.when(F.col("o.dx") == 1, F.col("fx") - F.col("x0")).otherwise(1 - (F.col("fx") - F.col("x0")))
     wy = F.when(F.col("o.dy") == 1, F.col("fy") - F.col("y0")).otherwise(1 - (F.col("fy") - F.col("y0")))
     sx = F.greatest(F.lit(0), F.least(F.col("ow") - 1, F.col("x0") + F.col("o.dx")))
     sy = F.greatest(F.lit(0), F.least(F.col("oh") - 1, F.col("y0") + F.col("o.dy")))
-    to = to.select("image_id", "i", "x", "y", (sx + sy * F.col("ow")).cast("long").alias("j"), (wx * wy).alias("k"))
-    rows = to.join(pixels.select("image_id", F.col("i").alias("j"), *values), ["image_id", "j"])
-    return rows.groupBy("image_id", "i", "x", "y").agg(*[F.sum(F.col("k") * F.col(v)).alias(v) for v in values]).select("image_id", "i", "x", "y", F.lit(w).alias("w"), F.lit(h).alias("h"), *values)
+    rows = rows.select("image_id", "i", "x", "y", "nw", "nh", (sx + sy * F.col("ow")).cast("long").alias("j"), (wx * wy).alias("k"))
+    rows = rows.join(pixels.select("image_id", F.col("i").alias("j"), *values), ["image_id", "j"])
+    return rows.groupBy("image_id", "i", "x", "y", F.col("nw").alias("w"), F.col("nh").alias("h")).agg(*[F.sum(F.col("k") * F.col(v)).alias(v) for v in values])

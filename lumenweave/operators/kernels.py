@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -151,11 +152,12 @@ class FactorError(ArithmeticError):
 class ColumnFactor:
     """Thresholded incomplete Cholesky factor by columns; entries below the threshold (after division by the pivot's root) go, the diagonal stays.
 
+    ``pattern_only`` also drops what fills in where the matrix itself has no entry.
     Each column is one sparse update from the earlier columns that reach its row. The
     triangular solves run level by level, so NumPy handles whole levels at once.
     """
 
-    def __init__(self, a: Csr, threshold: float = 1e-4, regularization: float = 0.0):
+    def __init__(self, a: Csr, threshold: float = 1e-4, regularization: float = 0.0, pattern_only: bool = False):
         n = a.n
         low = a.i >= a.j
         order = np.lexsort((a.i[low], a.j[low]))
@@ -179,6 +181,9 @@ class ColumnFactor:
             r = np.unique(np.concatenate(used))
             v = work[r].copy()
             work[r] = 0
+            if pattern_only:
+                own = np.isin(r, used[0])
+                r, v = r[own], v[own]
             if not v[0] > 0:
                 raise FactorError(f"pivot {j} is not positive")
             v /= np.sqrt(v[0])
@@ -237,12 +242,12 @@ class ColumnFactor:
 RETRIES = [(1e-4, 1e-4), (0.0, 1e-5), (1e-4, 1e-5), (0.0, 0.0)]
 
 
-def factor_with_retries(a: Csr, threshold: float = 1e-4, regularization: float = 0.0) -> ColumnFactor:
+def factor_with_retries(a: Csr, threshold: float = 1e-4, regularization: float = 0.0, pattern_only: bool = False) -> ColumnFactor:
     for shift, t in [(regularization, threshold), *RETRIES]:
         try:
-            return ColumnFactor(a, t, shift)
-        except FactorError:
-            continue
+            return ColumnFactor(a, t, shift, pattern_only)
+        except FactorError as e:
+            warnings.warn(f"no factor with regularization {shift} and threshold {t}: {e}", stacklevel=2)
     raise FactorError("no attempt gave a factor")
 
 

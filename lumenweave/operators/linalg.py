@@ -113,34 +113,3 @@ def conjugate_gradients(a: DataFrame, b: DataFrame, steps: int) -> DataFrame:
         rows = cut(rows)
         x, r, p = (rows.select("image_id", "i", F.col(c).alias("v")) for c in ("x", "r", "p"))
     return x
-
-
-def solve(a: DataFrame, b: DataFrame, goals: DataFrame, max_iterations: int, x0: DataFrame | None = None, jacobi: bool = True) -> DataFrame:
-    """(image_id, i, x, steps, residual): CG to convergence with vectors as tables, for images that no task can hold.
-
-    ``goals``: (image_id, goal), the residual at which an image is done. Per step one sparse
-    product, one shuffle of the vectors, and per-image sums; the state is cut every step.
-    """
-    start = b.withColumnRenamed("v", "b").join(diagonal_of(a).withColumnRenamed("v", "d"), ["image_id", "i"], "left").fillna(1.0, ["d"])
-    if x0 is None:
-        state = start.select("image_id", "i", "d", F.lit(0.0).alias("x"), F.col("b").alias("r"))
-    else:
-        ax = matvec(a, x0).withColumnRenamed("v", "ax")
-        state = start.join(x0.withColumnRenamed("v", "x"), ["image_id", "i"], "left").fillna(0.0, ["x"]).join(ax, ["image_id", "i"], "left")
-        state = state.select("image_id", "i", "d", "x", (F.col("b") - F.coalesce("ax", F.lit(0.0))).alias("r"))
-    z = F.col("r") / F.col("d") if jacobi else F.col("r")
-    state, steps = cut(state.withColumn("z", z).withColumn("p", F.col("z"))), 0
-    sums = lambda df: cut(df.groupBy("image_id").agg(F.sum(F.col("r") * F.col("z")).alias("rz"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("residual")))
-    size = sums(state)
-    while steps < max_iterations and not size.join(goals, "image_id").filter("residual >= goal AND residual > 0").isEmpty():
-        ap = matvec(a, state.select("image_id", "i", F.col("p").alias("v"))).withColumnRenamed("v", "ap")
-        rows = cut(state.join(ap, ["image_id", "i"], "left").fillna(0.0, ["ap"]))
-        step = rows.groupBy("image_id").agg(F.sum(F.col("p") * F.col("ap")).alias("pap")).join(size, "image_id").join(goals, "image_id")
-        # an image that is done keeps its answer
-        step = step.select("image_id", "rz", F.when(F.col("residual") >= F.col("goal"), F.coalesce(F.try_divide("rz", "pap"), F.lit(0.0))).otherwise(0.0).alias("k"))
-        rows = rows.join(step, "image_id").withColumns({"x": F.col("x") + F.col("k") * F.col("p"), "r": F.col("r") - F.col("k") * F.col("ap")}).withColumn("z", z)
-        rows = cut(rows.select("image_id", "i", "d", "x", "r", "z", "p", F.col("rz").alias("old")))
-        size = sums(rows)
-        state = rows.join(size.select("image_id", "rz"), "image_id").withColumn("p", F.col("z") + F.coalesce(F.try_divide("rz", "old"), F.lit(0.0)) * F.col("p")).drop("rz", "old")
-        steps += 1
-    return state.join(size, "image_id").select("image_id", "i", "x", F.lit(steps).alias("steps"), "residual")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenweave.functions.pixel import trimap_flags
-from lumenweave.operators import affinity, linalg
+from lumenweave.operators import affinity, krylov, linalg, multigrid, tiles
+from lumenweave.plans import lineage
 from lumenweave.plans.lineage import cut
 from lumenweave.operators.kernels import Multigrid, conjugate_gradients, csr, factor_with_retries
 
@@ -47,20 +48,51 @@ def build_system(pixels: DataFrame, method: str, weight: float = 100.0, epsilon:
 def solve(a: DataFrame, b: DataFrame, sizes: DataFrame, preconditioner: str | None = None, rtol: float = 0.0, atol: float | None = None, max_iterations: int = MAX_ITERATIONS, threshold: float = 1e-4, regularization: float = 0.0, callback: Callable | None = None, x0: DataFrame | None = None) -> DataFrame:
     """(image_id, i, x, steps, residual) of A x = b from ``x0`` (image_id, i, v; zero by default). atol defaults to 0.1 / (w h).
 
-    Images of up to KERNEL_PIXELS are solved one per task; larger ones by CG over tables, with
-    the Jacobi preconditioner for any that is asked.
+    Images of up to KERNEL_PIXELS are solved one per task; larger ones by CG over tables with the
+    preconditioner asked for: the diagonal, a hierarchy of tables, or factors of overlapping tiles.
+    ``callback`` is for the former only.
     """
     shapes = cut(sizes.select("image_id", "w", "h").distinct())
     large = shapes.filter(F.col("w").cast("long") * F.col("h") > KERNEL_PIXELS).select("image_id")
     if large.isEmpty():
         return _solve_in_tasks(a, b, shapes, preconditioner, rtol, atol, max_iterations, threshold, regularization, callback, x0)
-    a, b = cut(a), cut(b)
-    small, big = (lambda df: df.join(F.broadcast(large), "image_id", "left_anti")), (lambda df: df.join(F.broadcast(large), "image_id", "left_semi"))
-    norms = big(b).groupBy("image_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).join(shapes, "image_id")
+    a, b, large = cut(a), cut(b), lineage.small(large)
+    few, big = (lambda df: df.join(large, "image_id", "left_anti")), (lambda df: df.join(large, "image_id", "left_semi"))
+    out = solve_tables(big(a), big(b), big(shapes), preconditioner, rtol, atol, max_iterations, threshold, regularization, big(x0) if x0 is not None else None)
+    return out.unionByName(_solve_in_tasks(few(a), few(b), shapes, preconditioner, rtol, atol, max_iterations, threshold, regularization, callback, few(x0) if x0 is not None else None))
+
+
+def _goals(b: DataFrame, shapes: DataFrame, rtol: float, atol: float | None) -> DataFrame:
+    norms = b.groupBy("image_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).join(lineage.small(shapes), "image_id")
     least = F.lit(0.1) / (F.col("w").cast("long") * F.col("h")) if atol is None else F.lit(float(atol))
-    goals = cut(norms.select("image_id", F.greatest(least, rtol * F.col("norm")).alias("goal")))
-    out = linalg.solve(big(a), big(b), goals, max_iterations, big(x0) if x0 is not None else None, preconditioner is not None)
-    return out.unionByName(_solve_in_tasks(small(a), small(b), shapes, preconditioner, rtol, atol, max_iterations, threshold, regularization, callback, small(x0) if x0 is not None else None))
+    return cut(norms.select("image_id", F.greatest(least, rtol * F.col("norm")).alias("goal_v")))
+
+
+def solve_tables(a: DataFrame, b: DataFrame, shapes: DataFrame, preconditioner: str | None = None, rtol: float = 0.0, atol: float | None = None, max_iterations: int = MAX_ITERATIONS, threshold: float = 1e-4, regularization: float = 0.0, x0: DataFrame | None = None) -> DataFrame:
+    """``solve`` for images that no task holds: CG with vectors as tables. shapes: (image_id, w, h)."""
+    how: dict = {}
+    close = lambda: None
+    if preconditioner == "jacobi":
+        how["diagonal"] = linalg.diagonal_of(a)
+    elif preconditioner == "vcycle":
+        levels = multigrid.Hierarchy(a, shapes)
+        how["precondition"], close = levels.cycle, levels.close
+    elif preconditioner == "ichol":
+        factors = tiles.TileFactors(a, shapes, threshold, regularization)
+        how["precondition"], close = factors.solve, factors.close
+    out = krylov.solve(krylov.product(a), b, _goals(b, shapes, rtol, atol), max_iterations, x0=x0, **how)
+    close()
+    return out.select("image_id", "i", F.col("x_v").alias("x"), "steps", F.col("residual_v").alias("residual"))
+
+
+def solve_large_kernel_tables(pixels: DataFrame, radius: int = 10, epsilon: float = 1e-7, weight: float = 100.0, preconditioner: str | None = None, rtol: float = 0.0, atol: float | None = None, max_iterations: int = MAX_ITERATIONS, x0: DataFrame | None = None) -> DataFrame:
+    """(image_id, i, x, steps, residual) of the large-kernel system by CG over tables: window sums take the matrix' place."""
+    apply, diagonal, close = affinity.large_kernel_operator(pixels, radius, epsilon, weight)
+    b = pixels.select("image_id", "i", F.when(F.col("t") == 1.0, float(weight)).otherwise(0.0).alias("v"))
+    shapes = pixels.select("image_id", "w", "h").distinct()
+    out = krylov.solve(apply, b, _goals(b, shapes, rtol, atol), max_iterations, x0=x0, diagonal=diagonal if preconditioner == "jacobi" else None)
+    close()
+    return out.select("image_id", "i", F.col("x_v").alias("x"), "steps", F.col("residual_v").alias("residual"))
 
 
 def _solve_in_tasks(a: DataFrame, b: DataFrame, shapes: DataFrame, preconditioner: str | None, rtol: float, atol: float | None, max_iterations: int, threshold: float, regularization: float, callback: Callable | None, x0: DataFrame | None) -> DataFrame:
@@ -88,7 +120,12 @@ def _solve_in_tasks(a: DataFrame, b: DataFrame, shapes: DataFrame, preconditione
 
 
 def _solve_large_kernel(pixels: DataFrame, radius: int, epsilon: float, weight: float, preconditioner: str | None, rtol: float, atol: float | None, max_iterations: int, x0: DataFrame | None = None) -> DataFrame:
-    """The large-kernel operator applied matrix-free inside the per-image kernel."""
+    """The large-kernel operator applied matrix-free: one image per task up to KERNEL_PIXELS, by tables beyond."""
+    size = F.col("w").cast("long") * F.col("h")
+    large = pixels.filter(size > KERNEL_PIXELS)
+    if not large.isEmpty():
+        how = (radius, epsilon, weight, preconditioner, rtol, atol, max_iterations, x0)
+        return solve_large_kernel_tables(large, *how).unionByName(_solve_large_kernel(pixels.filter(size <= KERNEL_PIXELS), *how))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i")

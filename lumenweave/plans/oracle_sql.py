@@ -171,7 +171,7 @@ fb AS (SELECT i, k * guess AS v FROM fw)"""
 
 def window_sums(name: str, source: str, r: int, columns: dict[str, str], inside: bool) -> str:
     """CTE ``name`` (x, y, w, h, columns): sums of SQL expressions over windows; ``inside``: of centres whose window lies inside ``source``."""
-    bound = f"WHERE c.x >= {r} AND c.x < c.w - {r} AND c.y >= {r} AND c.y < c.h - {r}" if inside else ""
+    bound = f"WHERE c.x >= {r} AND c.x < c.w - {r} AND c.y % 1000000 >= {r} AND c.y % 1000000 < c.h - {r}" if inside else ""
     return f""",
 {name} AS MATERIALIZED (SELECT c.x, c.y, c.w, c.h, {", ".join(f"sum({e}) AS {n}" for n, e in columns.items())}
   FROM (SELECT DISTINCT x, y, w, h FROM {source}) c JOIN {source} n ON n.x BETWEEN c.x - {r} AND c.x + {r} AND n.y BETWEEN c.y - {r} AND c.y + {r} {bound} GROUP BY ALL)"""
@@ -236,3 +236,53 @@ def conjugate_gradients(a: str, b: str, steps: int, goal: float, name: str = "so
         SELECT s.*, ap.q, rz / sum(p * ap.q) OVER () AS step FROM {name}_s s JOIN (SELECT m.i AS ai, sum(m.v * s.p) AS q FROM {a} m JOIN {name}_s s ON s.i = m.j GROUP BY m.i) ap ON ap.ai = s.i
         WHERE k < {steps} AND size > {goal!r} * {goal!r})))),
 {name} AS (SELECT i, x AS v FROM {name}_s)"""
+
+
+def some_steps(name: str, a: str, b: str, steps: int, diagonal: bool = True) -> str:
+    """CTE ``name`` (i, v): exactly ``steps`` steps of CG from zero on tables ``a`` (i, j, v) and ``b`` (i, v)."""
+    d = f"(SELECT i, v FROM {a} WHERE i = j)" if diagonal else f"(SELECT i, 1.0::DOUBLE AS v FROM {b})"
+    out = f""",
+{name}_d AS MATERIALIZED {d},
+{name}_0 AS MATERIALIZED (SELECT i, d.v AS d, 0.0::DOUBLE AS x, {b}.v AS r, {b}.v / d.v AS z, {b}.v / d.v AS p FROM {b} JOIN {name}_d d USING (i))"""
+    for n in range(steps):
+        out += f""",
+{name}_q{n} AS MATERIALIZED (SELECT m.i, sum(m.v * g.p) AS q FROM {a} m JOIN {name}_{n} g ON g.i = m.j GROUP BY m.i),
+{name}_t{n} AS MATERIALIZED (SELECT rz, rz / pq AS k FROM (SELECT sum(r * z) AS rz, sum(p * q) AS pq FROM {name}_{n} JOIN {name}_q{n} USING (i))),
+{name}_u{n} AS MATERIALIZED (SELECT i, d, x + k * p AS x, r - k * q AS r, (r - k * q) / d AS z, p, rz FROM {name}_{n} JOIN {name}_q{n} USING (i), {name}_t{n}),
+{name}_{n + 1} AS MATERIALIZED (SELECT i, d, x, r, z, z + (SELECT sum(r * z) FROM {name}_u{n}) / rz * p AS p FROM {name}_u{n})"""
+    return out + f", {name} AS (SELECT i, x AS v FROM {name}_{steps})"
+
+
+def sweep(colours: int = 3) -> str:
+    """CTE ``gs`` (i, v): one sweep from zero over colours by row and column, for tables ``a``, ``b`` and ``dg`` of ``px``."""
+    out = ", gs0 AS (SELECT i, 0.0::DOUBLE AS v FROM px)"
+    for c in range(colours * colours):
+        out += f""",
+gs{c + 1} AS MATERIALIZED (SELECT px.i, CASE WHEN (yl % {colours}) * {colours} + x % {colours} = {c} THEN (b.v - coalesce(s.v, 0.0)) / dg.v ELSE o.v END AS v
+  FROM px JOIN gs{c} o USING (i) JOIN b USING (i) JOIN dg USING (i) LEFT JOIN (SELECT a.i, sum(a.v * o.v) AS v FROM a JOIN gs{c} o ON o.i = a.j WHERE a.i <> a.j GROUP BY a.i) s ON s.i = px.i)"""
+    return out + f", gs AS (SELECT i, v FROM gs{colours * colours})"
+
+
+def v_cycle(levels: int, coarse: int = 256, omega: float = 0.8) -> str:
+    """CTE ``vz0`` (i, v): one V-cycle for tables ``a`` and ``b`` of the image ``dims``; a level of few unknowns is solved, and those below it are empty."""
+    out = ", va0 AS (SELECT i, j, v FROM a), vb0 AS (SELECT i, v FROM b), vs0 AS (SELECT w, h, w * h > %d AND least(w, h) >= 2 AS deeper FROM dims)" % coarse
+    for n in range(levels):
+        out += f""",
+vr{n} AS MATERIALIZED (SELECT i, x + y * w AS j, k AS v FROM (SELECT c.x + c.y * (w // 2) AS i, 2 * c.x + dx AS x, 2 * c.y + dy AS y, (2 - abs(dx)) * (2 - abs(dy)) / 16.0::DOUBLE AS k, w, h
+  FROM (SELECT w, h, x, y FROM vs{n}, LATERAL (SELECT unnest(range(w // 2)) AS x) a, LATERAL (SELECT unnest(range(h // 2)) AS y) b WHERE deeper) c, nine) WHERE x >= 0 AND x < w AND y >= 0 AND y < h),
+vd{n} AS MATERIALIZED (SELECT i, v FROM va{n} WHERE i = j),
+vx{n} AS MATERIALIZED (SELECT i, {omega} * o.v / d.v AS v FROM vb{n} o JOIN vd{n} d USING (i)),
+vq{n} AS MATERIALIZED (SELECT o.i, o.v - s.v AS v FROM vb{n} o JOIN (SELECT m.i, sum(m.v * x.v) AS v FROM va{n} m JOIN vx{n} x ON x.i = m.j GROUP BY m.i) s USING (i)),
+vb{n + 1} AS MATERIALIZED (SELECT r.i, sum(r.v * q.v) AS v FROM vr{n} r JOIN vq{n} q ON q.i = r.j GROUP BY r.i),
+vm{n} AS MATERIALIZED (SELECT r.i, m.j, sum(r.v * m.v) AS v FROM vr{n} r JOIN va{n} m ON m.i = r.j GROUP BY 1, 2),
+va{n + 1} AS MATERIALIZED (SELECT m.i, r.i AS j, sum(m.v * r.v) AS v FROM vm{n} m JOIN vr{n} r ON r.j = m.j GROUP BY 1, 2),
+vs{n + 1} AS (SELECT w // 2 AS w, h // 2 AS h, (w // 2) * (h // 2) > {coarse} AND least(w // 2, h // 2) >= 2 AS deeper FROM vs{n} WHERE deeper)"""
+    for n in range(levels + 1):
+        out += f", ve{n} AS MATERIALIZED (SELECT m.* FROM va{n} m, vs{n} WHERE NOT deeper)" + conjugate_gradients(f"ve{n}", f"vb{n}", 3000, 1e-11, f"vf{n}")
+    out += f", vz{levels} AS (SELECT i, v FROM vf{levels})"
+    for n in range(levels - 1, -1, -1):
+        out += f""",
+vy{n} AS MATERIALIZED (SELECT i, x.v + coalesce(c.v, 0.0) AS v FROM vx{n} x LEFT JOIN (SELECT r.j AS i, sum(r.v * z.v) AS v FROM vr{n} r JOIN vz{n + 1} z ON z.i = r.i GROUP BY r.j) c USING (i)),
+vz{n} AS MATERIALIZED (SELECT y.i, y.v + {omega} * (o.v - s.v) / d.v AS v FROM vy{n} y JOIN vb{n} o USING (i) JOIN vd{n} d USING (i)
+  JOIN (SELECT m.i, sum(m.v * y.v) AS v FROM va{n} m JOIN vy{n} y ON y.i = m.j GROUP BY m.i) s USING (i), vs{n} WHERE deeper UNION ALL SELECT i, v FROM vf{n})"""
+    return out

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.functions import pixel as fx
-from lumenweave.operators import affinity, color, grid, linalg, matte, neighbors
+from lumenweave.operators import affinity, color, grid, krylov, linalg, matte, multigrid, neighbors
 from lumenweave.plans import oracle_sql as M
 from lumenweave.plans.lineage import cut
 from lumenweave.sources.pixels import PART_WIDTH, part_pixels
 
 NEW_W, NEW_H = 23, 31
 BOX_R = 2
+#: Rows of an image where ``part`` is cut into many.
+TILE_ROWS = 10
 UNIFORM = [1.0] * 9
 STENCIL = [0.0, 1.0, 0.0, 1.0, -4.0, 1.0, 0.0, 1.0, 0.0]
 
@@ -34,10 +36,19 @@ def _px(spark: SparkSession, sf_dir: str, alpha: bool = False) -> DataFrame:
     return px.withColumn("alpha", fx.clip((32 - F.col("x")) / 24.0)) if alpha else px
 
 
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as many images of TILE_ROWS rows, so that operators that take an image a task have many tasks."""
+    return part_pixels(spark, sf_dir, TILE_ROWS).withColumn("alpha", fx.clip((32 - F.col("x")) / 24.0))
+
+
 def _v(df: DataFrame, *columns: str) -> DataFrame:
     return df.select("i", *[c for c in ("j",) if c in df.columns], *[r6(c).alias(c) for c in columns or ("v",)])
 
 
+def _t(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select("image_id", "i", *[r6(c).alias(c) for c in columns])
+
+
 def scan_pixels(spark, sf_dir):
     return _px(spark, sf_dir).select("i", "x", "y", r6("r").alias("r"), r6("g").alias("g"), r6("b").alias("b"), "t")
 
@@ -191,7 +202,7 @@ def label_expand_1(spark, sf_dir):
 
 
 def edge_trim(spark, sf_dir):
-    return _v(affinity.trim_edges(_px(spark, sf_dir)), "t")
+    return _t(affinity.trim_edges(_tiles(spark, sf_dir)), "t")
 
 
 def _unknown() -> Column:
@@ -280,19 +291,73 @@ def cg_3(spark, sf_dir):
     return _v(linalg.conjugate_gradients(a, b, 3))
 
 
-def _colors(levels):
-    def run(spark, sf_dir):
-        px = _px(spark, sf_dir, True)
-        h = px.select("h").first()["h"]
-        return _v(color.estimate_multilevel(px, PART_WIDTH, h, levels=levels), "f_r", "f_g", "f_b", "b_r", "b_g", "b_b")
+_FB = ["f_r", "f_g", "f_b", "b_r", "b_g", "b_b"]
+
+
+def fb_ml_level(spark, sf_dir):
+    """The coarsest level of the whole table as one image, by tables."""
+    return _v(color.estimate_multilevel(_px(spark, sf_dir, True), levels=1, in_tasks=False), *_FB)
+
+
+def fb_ml(spark, sf_dir):
+    """All levels of many images, each a task."""
+    return _t(color.estimate_multilevel(_tiles(spark, sf_dir)), *_FB)
+
 
-    return run
+def fb_ml_sizes(spark, sf_dir):
+    """Images of 8 to 13 rows in one call, by tables: as many levels and sizes as images need."""
+    return _t(color.estimate_foreground_background(_sizes(spark, sf_dir), "ml", in_tasks=False), *_FB)
+
+
+def _sizes(spark, sf_dir):
+    """``part`` as images of width 40 whose heights go from 8 to 13 in turn."""
+    px, at = _px(spark, sf_dir, True), F.col("y") % 63
+    tops = [0, 8, 17, 27, 38, 50, 63]
+    k = sum((F.when(at >= t, 1).otherwise(0) for t in tops[2:-1]), F.when(at >= tops[1], 1).otherwise(0))
+    top = (F.floor(F.col("y") / 63) * 63 + F.element_at(F.array(*[F.lit(t) for t in tops]), F.col("k") + 1)).cast("int")
+    high = F.least(F.element_at(F.array(*[F.lit(b - a) for a, b in zip(tops, tops[1:])]), F.col("k") + 1), F.col("h") - F.col("top")).cast("int")
+    px = px.withColumn("k", k).withColumn("top", top).withColumn("tall", high)
+    return px.withColumns({"image_id": (F.floor(F.col("y") / 63) * 6 + F.col("k")).cast("long"), "i": F.col("i") - F.col("top").cast("long") * F.col("w"), "y": F.col("y") - F.col("top"), "h": F.col("tall")}).drop("k", "top", "tall")
 
 
 def fb_cf(spark, sf_dir):
     """Solved far below the default tolerance, as the mattes are."""
-    out = color.estimate_closed_form(_px(spark, sf_dir, True), rtol=1e-13, max_iter=5000)
-    return out.select("i", *[F.round(c, 3).alias(c) for c in ("f_r", "f_g", "f_b", "b_r", "b_g", "b_b")])
+    out = color.estimate_closed_form(_tiles(spark, sf_dir), rtol=1e-13, max_iter=5000)
+    return out.select("image_id", "i", *[F.round(c, 3).alias(c) for c in _FB])
+
+
+def fb_cf_5(spark, sf_dir):
+    """Five steps over tables on the whole table as one image, three channels in one state."""
+    return _v(color.estimate_closed_form(_px(spark, sf_dir, True), rtol=1e-13, max_iter=5, in_tasks=False), *_FB)
+
+
+def lkm_cg_4(spark, sf_dir):
+    """Four preconditioned steps over tables with window sums in the matrix' place, on the whole table as one image."""
+    return _v(matte.solve_large_kernel_tables(_px(spark, sf_dir), 2, 1e-7, 100.0, "jacobi", atol=1e-12, max_iterations=4), "x")
+
+
+def vcycle(spark, sf_dir):
+    """One V-cycle for the closed-form system, from a hierarchy of tables down to 256 unknowns or fewer."""
+    a, b = _system(spark, sf_dir)
+    return _v(multigrid.Hierarchy(a, _px(spark, sf_dir)).cycle(b))
+
+
+def gauss_seidel(spark, sf_dir):
+    """One sweep over nine colours for the closed-form system."""
+    a, b = _system(spark, sf_dir)
+    return _v(multigrid.gauss_seidel(a, b, multigrid.colours(_px(spark, sf_dir))))
+
+
+def least_squares_4(spark, sf_dir):
+    """Four steps for a table whose row k * 10^9 + i holds the difference of pixel i to its left (0) or upper (1) neighbour, or (2) a tenth of the pixel itself; right sides r and g of the pixel."""
+    px = _px(spark, sf_dir)
+    big = F.lit(1_000_000_000).cast("long")
+    entry = lambda k, j, v, ok: F.when(ok, F.struct((k * big + F.col("i")).alias("i"), j.alias("j"), F.lit(v).alias("v")))
+    i, left, up = F.col("i"), F.col("x") > 0, F.col("y") > 0
+    cells = [entry(0, i, 1.0, left), entry(0, i - 1, -1.0, left), entry(1, i, 1.0, up), entry(1, i - F.col("w"), -1.0, up), entry(2, i, 0.1, F.lit(True))]
+    a = px.select("image_id", F.inline(F.array_compact(F.array(*cells))))
+    b = px.select("image_id", F.explode(F.array(*[(k * big + i) for k in range(3)])).alias("i"), "r", "g")
+    return _v(krylov.least_squares(a, b, ["r", "g"], 4), "x_r", "x_g")
 
 
 def blend(spark, sf_dir):
@@ -310,15 +375,14 @@ def guided_filter(spark, sf_dir):
 
 
 def fast_guided_filter(spark, sf_dir):
-    px = _px(spark, sf_dir, True)
-    return _v(color.fast_guided_filter(px, "alpha", 8, PART_WIDTH, px.select("h").first()["h"]))
+    return _v(color.fast_guided_filter(_px(spark, sf_dir, True), "alpha", 8))
 
 
 def _alpha(method, preconditioner):
-    """Solved far below the default tolerance, so that a result doesn't depend on the solver."""
+    """Many images, solved far below the default tolerance, so that a result doesn't depend on the solver."""
     if method == "ifm":  # row-normalised weights make this system unsymmetric, and its answer depend on the path
-        return lambda spark, sf_dir: matte.alpha(_px(spark, sf_dir), method, preconditioner).select("i", F.round("alpha", 2).alias("alpha"))
-    return lambda spark, sf_dir: matte.alpha(_px(spark, sf_dir), method, preconditioner, radius=2, absolute_tolerance=1e-9).select("i", r4("alpha").alias("alpha"))
+        return lambda spark, sf_dir: matte.alpha(_tiles(spark, sf_dir), method, preconditioner).select("image_id", "i", F.round("alpha", 2).alias("alpha"))
+    return lambda spark, sf_dir: matte.alpha(_tiles(spark, sf_dir), method, preconditioner, radius=2, absolute_tolerance=1e-9).select("image_id", "i", r4("alpha").alias("alpha"))
 
 
 QUERIES = {
@@ -327,22 +391,38 @@ QUERIES = {
         alpha_jacobi_3, scan_pixels, rgb_to_gray, quantize_u8, outer_products, quadratic_forms, trimap_split, trimap_soft, trimap_counts, validate_image, pixel_grid, window_3x3, stencil_coo, uniform_laplacian,
         resize_nearest, resize_bilinear, dilate, window_moments, cf_affinity, cf_laplacian, cf_system, coo_add, coo_transpose, coo_symmetrise, coo_triangles, matvec, matmat,
         row_sum, inner_product, running_sums, windows_at, box_fill, knn_embeddings, knn_graph, knn_laplacian, label_expand_1, edge_trim, color_similarity, patch_bhattacharyya, patch_trim, local_affinity,
-        lle_weights, known_unknown_mixture, ifm_system, lkm_apply, lkm_diagonal, restrict, jacobi_3, cg_3, fb_cf, blend, stack, guided_filter, fast_guided_filter,
+        lle_weights, known_unknown_mixture, ifm_system, lkm_apply, lkm_diagonal, restrict, jacobi_3, cg_3, vcycle, gauss_seidel, least_squares_4, lkm_cg_4, fb_cf, fb_cf_5, fb_ml, fb_ml_level, fb_ml_sizes, blend, stack, guided_filter, fast_guided_filter,
     )
-} | {f"box_{m}": _box(m) for m in ("valid", "same", "full")} | {"fb_ml_level": _colors(1), "fb_ml": _colors(None)}
+} | {f"box_{m}": _box(m) for m in ("valid", "same", "full")}
 QUERIES |= {f"alpha_{m}_{p or 'none'}": _alpha(m, p) for m, ps in matte.METHODS.items() for p in ps}
 
 # SQL for DuckDB
 
-_PX = """
-dims AS (SELECT 40 AS w, (max(p_partkey) // 40 + 1)::INTEGER AS h FROM part),
-px0 AS (SELECT p_partkey::BIGINT AS i, (p_partkey % 40)::INTEGER AS x, (p_partkey // 40)::INTEGER AS y, w, h,
-  (5 * p_size)::BIGINT AS r8, (6 * (p_partkey % 40) + p_size % 16)::BIGINT AS g8, ((4 * (p_partkey // 40) + p_size) % 256)::BIGINT AS b8 FROM part, dims),
+
+def _pixels_sql(images: str) -> str:
+    """CTEs dims, px, nine and taps over ``images``, SQL of (img, top, h): row spans of the table.
+
+    i runs through the table; base is an image's first; yl counts rows within the image, and y keeps
+    images so far apart that no window reaches from one into another.
+    """
+    return f"""
+whole AS (SELECT (max(p_partkey) // 40 + 1)::INTEGER AS rows FROM part),
+dims AS (SELECT img::BIGINT AS img, (top * 40)::BIGINT AS base, top::INTEGER AS top, 40 AS w, h::INTEGER AS h FROM ({images})),
+px0 AS (SELECT p_partkey::BIGINT AS i, img, base, (p_partkey % 40)::INTEGER AS x, (p_partkey // 40 - top + 1000000 * img)::INTEGER AS y, (p_partkey // 40 - top)::INTEGER AS yl, w, h,
+  (5 * p_size)::BIGINT AS r8, (6 * (p_partkey % 40) + p_size % 16)::BIGINT AS g8, ((4 * (p_partkey // 40) + p_size) % 256)::BIGINT AS b8 FROM part JOIN dims ON p_partkey // 40 >= top AND p_partkey // 40 < top + h),
 px AS (SELECT *, r8 / 255.0::DOUBLE AS r, g8 / 255.0::DOUBLE AS g, b8 / 255.0::DOUBLE AS b,
   CASE WHEN x < 8 THEN 1.0 WHEN x >= 32 THEN 0.0 ELSE 0.5 END::DOUBLE AS t, greatest(0.0, least(1.0, (32 - x) / 24.0))::DOUBLE AS alpha FROM px0),
 nine AS (SELECT (3 * (dx + 1) + dy + 1)::INTEGER AS off, dx, dy FROM (SELECT unnest(range(-1, 2)) AS dx) a, (SELECT unnest(range(-1, 2)) AS dy) b),
-taps AS (SELECT i AS c, off, (greatest(0, least(w - 1, x + dx)) + greatest(0, least(h - 1, y + dy)) * w)::BIGINT AS j FROM px, nine)
+taps AS (SELECT i AS c, off, (greatest(0, least(w - 1, x + dx)) + greatest(0, least(h - 1, yl + dy)) * w + base)::BIGINT AS j FROM px, nine)
 """
+
+
+_PX = _pixels_sql("SELECT 0 AS img, 0 AS top, rows AS h FROM whole")
+_TILES = _pixels_sql(f"SELECT img, img * {TILE_ROWS} AS top, least({TILE_ROWS}, rows - img * {TILE_ROWS}) AS h FROM whole, LATERAL (SELECT unnest(range((rows + {TILE_ROWS - 1}) // {TILE_ROWS})) AS img)")
+_HEIGHTS = _pixels_sql(
+    "SELECT 6 * block + k AS img, 63 * block + [0, 8, 17, 27, 38, 50][k + 1] AS top, least(8 + k, rows - (63 * block + [0, 8, 17, 27, 38, 50][k + 1])) AS h"
+    " FROM whole, LATERAL (SELECT unnest(range(rows // 63 + 1)) AS block) a, (SELECT unnest(range(6)) AS k) b WHERE 63 * block + [0, 8, 17, 27, 38, 50][k + 1] < rows"
+)
 _W = _PX + """,
 w AS (SELECT c AS i, j, sum(CASE WHEN off = 4 THEN -4.0 WHEN off % 2 = 1 THEN 1.0 ELSE 0.0 END) AS v FROM taps GROUP BY 1, 2)
 """
@@ -397,7 +477,7 @@ def _box_sql(mode: str) -> str:
 def _knn_sql(scale: float, k: int) -> str:
     return f"""SELECT least(q, j) AS a, greatest(q, j) AS b FROM (
       SELECT p.i AS q, c.i AS j, row_number() OVER (PARTITION BY p.i ORDER BY (((pow(p.r - c.r, 2) + pow(p.g - c.g, 2)) + pow(p.b - c.b, 2)) + pow(p.fx - c.fx, 2)) + pow(p.fy - c.fy, 2), c.i) AS n
-      FROM {scale_name(scale)} p, {scale_name(scale)} c) WHERE n <= {k}"""
+      FROM {scale_name(scale)} p JOIN {scale_name(scale)} c USING (img)) WHERE n <= {k}"""
 
 
 def scale_name(scale: float) -> str:
@@ -405,8 +485,8 @@ def scale_name(scale: float) -> str:
 
 
 _KNN = _PX + f""",
-near1 AS (SELECT i, r, g, b, (x + 1) / (sqrt((w * w + h * h)::DOUBLE) / 2.0) AS fx, (y + 1) / (sqrt((w * w + h * h)::DOUBLE) / 2.0) AS fy FROM px),
-near2 AS (SELECT i, r, g, b, 0.01::DOUBLE * (x + 1) / (sqrt((w * w + h * h)::DOUBLE) / 2.0) AS fx, 0.01::DOUBLE * (y + 1) / (sqrt((w * w + h * h)::DOUBLE) / 2.0) AS fy FROM px),
+near1 AS (SELECT i, img, r, g, b, (x + 1) / (sqrt((w * w + h * h)::DOUBLE) / 2.0) AS fx, (yl + 1) / (sqrt((w * w + h * h)::DOUBLE) / 2.0) AS fy FROM px),
+near2 AS (SELECT i, img, r, g, b, 0.01::DOUBLE * (x + 1) / (sqrt((w * w + h * h)::DOUBLE) / 2.0) AS fx, 0.01::DOUBLE * (yl + 1) / (sqrt((w * w + h * h)::DOUBLE) / 2.0) AS fy FROM px),
 edges AS (SELECT DISTINCT a, b FROM ({_knn_sql(1.0, 10)} UNION ALL {_knn_sql(0.01, 2)})),
 graph AS (SELECT i, j, sum(v) AS v FROM (SELECT a AS i, b AS j, 1.0 AS v FROM edges UNION ALL SELECT b, a, 1.0 FROM edges) GROUP BY 1, 2)
 """
@@ -415,7 +495,7 @@ _LEVEL = _PX + """,
 size AS (SELECT CASE WHEN w < h THEN 2 ELSE ceil(2.0 * w / h)::INTEGER END AS lw, CASE WHEN w < h THEN ceil(2.0 * h / w)::INTEGER ELSE 2 END AS lh FROM dims),
 spot AS (SELECT (x + y * lw)::BIGINT AS i, x, y, lw, lh, (least(w - 1, floor(x * w / lw::DOUBLE)) + least(h - 1, floor(y * h / lh::DOUBLE)) * w)::BIGINT AS src
   FROM dims, size, LATERAL (SELECT unnest(range(lw)) AS x) a, LATERAL (SELECT unnest(range(lh)) AS y) b),
-l0 AS (SELECT q.i, q.x, q.y, lw, lh, r, g, b, alpha, r AS f_r, g AS f_g, b AS f_b, r AS b_r, g AS b_g, b AS b_b FROM spot q JOIN px ON px.i = q.src),
+l0 AS (SELECT q.i, 0::BIGINT AS img, q.x, q.y, lw, lh, r, g, b, alpha, r AS f_r, g AS f_g, b AS f_b, r AS b_r, g AS b_g, b AS b_b FROM spot q JOIN px ON px.i = q.src),
 four AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS o(dx, dy))
 """
 
@@ -429,9 +509,9 @@ def _pass_sql(old: str, new: str) -> str:
     )
     return f""",
 g{new} AS (SELECT l.i, sum(d) AS d, {near} FROM (
-    SELECT l.i, (greatest(0, least(lw - 1, x + dx)) + greatest(0, least(lh - 1, y + dy)) * lw)::BIGINT AS j, alpha FROM {old} l, four) l
+    SELECT l.i, (greatest(0, least(lw - 1, x + dx)) + greatest(0, least(lh - 1, y + dy)) * lw + img * 1000000000)::BIGINT AS j, alpha FROM {old} l, four) l
   JOIN {old} n ON n.i = l.j, LATERAL (SELECT 1e-5 + abs(l.alpha - n.alpha) AS d) k GROUP BY l.i),
-{new} AS (SELECT i, x, y, lw, lh, r, g, b, alpha, {solved} FROM (
+{new} AS (SELECT i, img, x, y, lw, lh, r, g, b, alpha, {solved} FROM (
   SELECT *, alpha * alpha + d AS q1, alpha * (1 - alpha) AS q01, (1 - alpha) * (1 - alpha) + d AS q2, (alpha * alpha + d) * ((1 - alpha) * (1 - alpha) + d) - alpha * (1 - alpha) * alpha * (1 - alpha) AS det
   FROM {old} JOIN g{new} USING (i)))
 """
@@ -495,34 +575,33 @@ ORACLES = {
 }
 
 
-def _levels_sql(levels: int = 8) -> str:
+def _levels_sql(pixels: str, levels: int = 8) -> str:
     """All levels: each has its size, starts from the one before, and repeats it once the full size is reached."""
     rgb = "rgb"
     fb = [f"{s}_{c}" for s in "fb" for c in rgb]
-    out = _PX + """,
+    out = pixels + """,
 four AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS o(dx, dy)),
-s0 AS (SELECT w, h, least(w, CASE WHEN w < h THEN 2 ELSE ceil(2.0 * w / h)::INTEGER END) AS lw, least(h, CASE WHEN w < h THEN ceil(2.0 * h / w)::INTEGER ELSE 2 END) AS lh, false AS done FROM dims)"""
+s0 AS (SELECT img, base, w, h, least(w, CASE WHEN w < h THEN 2 ELSE ceil(2.0 * w / h)::INTEGER END) AS lw, least(h, CASE WHEN w < h THEN ceil(2.0 * h / w)::INTEGER ELSE 2 END) AS lh, false AS done FROM dims)"""
     for n in range(levels):
         if n:
-            out += f", s{n} AS (SELECT w, h, least(w, 2 * lw) AS lw, least(h, 2 * lh) AS lh, lw = w AND lh = h AS done FROM s{n - 1})"
+            out += f", s{n} AS (SELECT img, base, w, h, least(w, 2 * lw) AS lw, least(h, 2 * lh) AS lh, lw = w AND lh = h AS done FROM s{n - 1})"
         out += f""",
-p{n} AS MATERIALIZED (SELECT (x + y * lw)::BIGINT AS i, x, y, lw, lh, done, (least(w - 1, floor(x * w / lw::DOUBLE)) + least(h - 1, floor(y * h / lh::DOUBLE)) * w)::BIGINT AS src
+p{n} AS MATERIALIZED (SELECT (x + y * lw + img * 1000000000)::BIGINT AS i, img, x, y, lw, lh, done, (least(w - 1, floor(x * w / lw::DOUBLE)) + least(h - 1, floor(y * h / lh::DOUBLE)) * w + base)::BIGINT AS src
   FROM s{n}, LATERAL (SELECT unnest(range(lw)) AS x) a, LATERAL (SELECT unnest(range(lh)) AS y) b)"""
         if n:
-            carried = f"JOIN e{n - 1} o ON o.x = least(o.lw - 1, floor(q.x * o.lw / q.lw::DOUBLE)) AND o.y = least(o.lh - 1, floor(q.y * o.lh / q.lh::DOUBLE))"
+            carried = f"JOIN e{n - 1} o ON o.img = q.img AND o.x = least(o.lw - 1, floor(q.x * o.lw / q.lw::DOUBLE)) AND o.y = least(o.lh - 1, floor(q.y * o.lh / q.lh::DOUBLE))"
             own = ", ".join(f"o.{c}" for c in fb)
         else:
             carried, own = "", ", ".join(f"px.{c} AS {s}_{c}" for s in "fb" for c in rgb)
-        out += f", b{n} AS MATERIALIZED (SELECT q.i, q.x, q.y, q.lw, q.lh, q.done, px.r, px.g, px.b, px.alpha, {own} FROM p{n} q JOIN px ON px.i = q.src {carried})"
+        out += f", b{n} AS MATERIALIZED (SELECT q.i, q.img, q.x, q.y, q.lw, q.lh, q.done, px.r, px.g, px.b, px.alpha, {own} FROM p{n} q JOIN px ON px.i = q.src {carried})"
         for old, new in ((f"b{n}", f"c{n}"), (f"c{n}", f"e{n}")):
             one = _pass_sql(old, f"x{new}").replace(f"g{'x' + new} AS (", f"gx{new} AS MATERIALIZED (").replace(f"\nx{new} AS (", f"\nx{new} AS MATERIALIZED (")
-            out += one + f", {new} AS MATERIALIZED (SELECT o.i, o.x, o.y, o.lw, o.lh, o.done, o.r, o.g, o.b, o.alpha, {', '.join(f'CASE WHEN o.done THEN o.{c} ELSE u.{c} END AS {c}' for c in fb)} FROM {old} o JOIN x{new} u USING (i))"
+            out += one + f", {new} AS MATERIALIZED (SELECT o.i, o.img, o.x, o.y, o.lw, o.lh, o.done, o.r, o.g, o.b, o.alpha, {', '.join(f'CASE WHEN o.done THEN o.{c} ELSE u.{c} END AS {c}' for c in fb)} FROM {old} o JOIN x{new} u USING (i))"
     return out
 
 
-_FB = ["f_r", "f_g", "f_b", "b_r", "b_g", "b_b"]
 _LOCAL = _MOMENTS + M.local(_INV.format("i").replace("1e-7", "1e-6"))
-_SOLVED = "SELECT i, round(greatest(0.0, least(1.0, v)), 4) + 0.0 AS alpha FROM solved"
+_SOLVED = "SELECT img AS image_id, i - base AS i, round(greatest(0.0, least(1.0, v)), 4) + 0.0 AS alpha FROM solved JOIN px USING (i)"
 _SIDES = "b AS (SELECT i, CASE WHEN t = 1.0 THEN 100.0 ELSE 0.0 END::DOUBLE AS v FROM px)"
 
 
@@ -563,7 +642,7 @@ ORACLES |= {
     "running_sums": _with(_PX, "SELECT p.x, p.y, sum(q.r8)::BIGINT AS r, sum(q.g8)::BIGINT AS g FROM px p JOIN px q ON q.x <= p.x AND q.y <= p.y GROUP BY p.x, p.y"),
     "windows_at": _with(_PX, "SELECT p.i, (3 * (q.y - p.y + 1) + q.x - p.x + 1)::INTEGER AS off, q.i AS j, q.r8 AS v FROM px p JOIN px q ON q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 WHERE p.r8 > 240"),
     "box_fill": _with(_PX, f"SELECT p.x, p.y, (sum(q.r8) + 7 * ({(2 * BOX_R + 1) ** 2} - count(*)))::BIGINT AS r, (sum(q.g8) + 7 * ({(2 * BOX_R + 1) ** 2} - count(*)))::BIGINT AS g FROM px p JOIN px q ON q.x BETWEEN p.x - {BOX_R} AND p.x + {BOX_R} AND q.y BETWEEN p.y - {BOX_R} AND p.y + {BOX_R} GROUP BY p.x, p.y"),
-    "edge_trim": _with(_PX + M.edge_trim(), f"SELECT i, {_r('t')} FROM et9"),
+    "edge_trim": _with(_TILES + M.edge_trim(), f"SELECT img AS image_id, px.i - base AS i, {_r('et9.t')} FROM et9 JOIN px USING (i)"),
     "color_similarity": _with(_PX + M.similarity(), f"SELECT i, j, {_r('v')} FROM sim"),
     "patch_bhattacharyya": _with(_MOMENTS + M.patches(), f"SELECT i, {_r('fg', 'bg')} FROM pd"),
     "patch_trim": _with(_MOMENTS + M.patch_trim(), f"SELECT i, {_r('t')} FROM pt"),
@@ -577,28 +656,41 @@ ORACLES |= {
     "lkm_apply": _with(_PX + M.large_kernel_matrix(2), "SELECT lk.i, round(sum(lk.v * px.r), 6) + 0.0 AS v FROM lk JOIN px ON px.i = lk.j GROUP BY lk.i"),
     "lkm_diagonal": _with(_PX + M.large_kernel_matrix(2), f"SELECT i, {_r('v')} FROM lk WHERE i = j"),
     "cg_3": _with(_CG3, "SELECT i, round(x, 6) + 0.0 AS v FROM g3"),
-    "fb_ml": _with(_levels_sql(), f"SELECT i, {_r(*_FB)} FROM e7"),
+    "fb_ml": _with(_levels_sql(_TILES), f"SELECT img AS image_id, i % 1000000000 AS i, {_r(*_FB)} FROM e7"),
+    "fb_ml_sizes": _with(_levels_sql(_HEIGHTS), f"SELECT img AS image_id, i % 1000000000 AS i, {_r(*_FB)} FROM e7"),
     "guided_filter": _with(_PX + M.guided("px", 2), f"SELECT px.i, {_FILTERED} FROM gs JOIN px USING (x, y)"),
     "fast_guided_filter": _with(_LOW + M.guided("low", 1) + _UP, f"SELECT px.i, {_FILTERED} FROM up JOIN px USING (i)"),
 }
-_FB_CF = (
-    _PX
-    + """,
-fe AS (SELECT p.i, q.i AS j, 1e-5::DOUBLE + abs(p.alpha - q.alpha) AS k FROM (SELECT i, alpha, (greatest(0, least(w - 1, x + dx)) + greatest(0, least(h - 1, y + dy)) * w)::BIGINT AS j
+_LKM = _PX + M.large_kernel_matrix(2, "1e-7") + _known("lk")
+_FB_SYS = """,
+fe AS (SELECT p.i, q.i AS j, 1e-5::DOUBLE + abs(p.alpha - q.alpha) AS k FROM (SELECT i, alpha, (greatest(0, least(w - 1, x + dx)) + greatest(0, least(h - 1, yl + dy)) * w + base)::BIGINT AS j
   FROM px, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS o(dx, dy)) p JOIN px q ON q.i = p.j WHERE p.i <> q.i),
 fh AS (SELECT i, j, k FROM fe UNION ALL SELECT j, i, k FROM fe),
 fm AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM (
   SELECT i + o AS i, i + o AS j, k AS v FROM fh, (SELECT unnest([0, 1000000000]) AS o) UNION ALL SELECT i + o, j + o, -k FROM fh, (SELECT unnest([0, 1000000000]) AS o)
   UNION ALL SELECT i, i, alpha * alpha FROM px UNION ALL SELECT i + 1000000000, i + 1000000000, (1 - alpha) * (1 - alpha) FROM px
-  UNION ALL SELECT i, i + 1000000000, alpha * (1 - alpha) FROM px UNION ALL SELECT i + 1000000000, i, alpha * (1 - alpha) FROM px) GROUP BY 1, 2)"""
-    + "".join(f", fb_{c} AS (SELECT i, alpha * {c} AS v FROM px UNION ALL SELECT i + 1000000000, (1 - alpha) * {c} FROM px)" + M.conjugate_gradients("fm", f"fb_{c}", 6000, 1e-13, f"fs_{c}") for c in "rgb")
-)
-ORACLES["fb_cf"] = (
-    f"WITH RECURSIVE {_FB_CF} SELECT px.i, "
-    + ", ".join(f"round(greatest(0.0, least(1.0, {s}_{c}.v)), 3) AS {s}_{c}" for s in "fb" for c in "rgb")
-    + " FROM px "
-    + " ".join(f"JOIN fs_{c} {s}_{c} ON {s}_{c}.i = px.i + {0 if s == 'f' else 1000000000}" for s in "fb" for c in "rgb")
-)
+  UNION ALL SELECT i, i + 1000000000, alpha * (1 - alpha) FROM px UNION ALL SELECT i + 1000000000, i, alpha * (1 - alpha) FROM px) GROUP BY 1, 2)""" + "".join(f", fb_{c} AS (SELECT i, alpha * {c} AS v FROM px UNION ALL SELECT i + 1000000000, (1 - alpha) * {c} FROM px)" for c in "rgb")
+_FB_CF = _TILES + _FB_SYS + "".join(M.conjugate_gradients("fm", f"fb_{c}", 6000, 1e-13, f"fs_{c}") for c in "rgb")
+_HALVES = " FROM px " + " ".join(f"JOIN fs_{c} {s}_{c} ON {s}_{c}.i = px.i + {0 if s == 'f' else 1000000000}" for s in "fb" for c in "rgb")
+ORACLES |= {
+    "vcycle": "WITH RECURSIVE " + _SYS + M.v_cycle(4) + f" SELECT i, {_r('v')} FROM vz0",
+    "gauss_seidel": _with(_SYS + M.sweep(), f"SELECT i, {_r('v')} FROM gs"),
+    "lkm_cg_4": _with(_LKM + M.some_steps("cg", "a", "b", 4), f"SELECT i, round(v, 6) + 0.0 AS x FROM cg"),
+    "fb_cf_5": _with(
+        _PX + _FB_SYS + "".join(M.some_steps(f"fs_{c}", "fm", f"fb_{c}", 5) for c in "rgb"),
+        "SELECT px.i, " + ", ".join(f"round(greatest(0.0, least(1.0, {s}_{c}.v)), 6) + 0.0 AS {s}_{c}" for s in "fb" for c in "rgb") + _HALVES,
+    ),
+    "least_squares_4": _with(
+        _PX
+        + """,
+la AS MATERIALIZED (SELECT i AS k, i AS j, 1.0::DOUBLE AS v FROM px WHERE x > 0 UNION ALL SELECT i, i - 1, -1.0 FROM px WHERE x > 0 UNION ALL SELECT 1000000000 + i, i, 1.0 FROM px WHERE y > 0
+  UNION ALL SELECT 1000000000 + i, i - w, -1.0 FROM px WHERE y > 0 UNION ALL SELECT 2000000000 + i, i, 0.1 FROM px),
+ln AS MATERIALIZED (SELECT p.j AS i, q.j AS j, sum(p.v * q.v) AS v FROM la p JOIN la q USING (k) GROUP BY 1, 2)"""
+        + "".join(f", lb_{c} AS MATERIALIZED (SELECT la.j AS i, sum(la.v * px.{c}) AS v FROM la JOIN px ON px.i = la.k % 1000000000 GROUP BY la.j)" + M.some_steps(f"ls_{c}", "ln", f"lb_{c}", 4, False) for c in "rg"),
+        "SELECT i, round(p.v, 6) + 0.0 AS x_r, round(q.v, 6) + 0.0 AS x_g FROM ls_r p JOIN ls_g q USING (i)",
+    ),
+}
+ORACLES["fb_cf"] = f"WITH RECURSIVE {_FB_CF} SELECT img AS image_id, px.i - base AS i, " + ", ".join(f"round(greatest(0.0, least(1.0, {s}_{c}.v)), 3) AS {s}_{c}" for s in "fb" for c in "rgb") + _HALVES
 _KNN_LAP = _KNN + ", lap AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, -v AS v FROM graph UNION ALL SELECT i, i, sum(v) FROM graph GROUP BY i) GROUP BY 1, 2)"
-for _m, _ctes in (("cf", _CF + _known("lap")), ("knn", _KNN_LAP + _known("lap")), ("lkm", _PX + M.large_kernel_matrix(2, "1e-7") + _known("lk"))):
-    ORACLES |= {f"alpha_{_m}_{p or 'none'}": _matte_sql(_ctes) for p in matte.METHODS[_m]}
+for _m, _ctes in (("cf", _CF + _known("lap")), ("knn", _KNN_LAP + _known("lap")), ("lkm", _LKM)):
+    ORACLES |= {f"alpha_{_m}_{p or 'none'}": _matte_sql(_ctes.replace(_PX, _TILES)) for p in matte.METHODS[_m]}

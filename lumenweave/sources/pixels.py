@@ -131,14 +131,16 @@ def save_images(pixels: DataFrame, columns: list[str], folder: str, extension: s
     return encoded(pixels, columns, extension).mapInPandas(write, "image_id long").count()
 
 
-def part_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table ``part`` as one image of width 40 with a trimap ``t``."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("i"), F.col("p_size").cast("long").alias("s"))
-    h = (part.agg(F.max("i")).first()[0] or 0) // PART_WIDTH + 1
-    x, y = F.col("i") % PART_WIDTH, F.floor(F.col("i") / PART_WIDTH)
+def part_pixels(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
+    """The table ``part`` as one image of width 40 with a trimap ``t``, or cut into images of ``rows`` rows each (the last may have fewer)."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("at"), F.col("p_size").cast("long").alias("s"))
+    h = int((part.agg(F.max("at")).first()[0] or 0) // PART_WIDTH + 1)
+    x, y = F.col("at") % PART_WIDTH, F.floor(F.col("at") / PART_WIDTH)
+    tall = rows or h
+    image = F.floor(y / tall)
     px = part.select(
-        F.lit(0).cast("long").alias("image_id"), "i", x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(PART_WIDTH).alias("w"), F.lit(int(h)).alias("h"),
-        (5 * F.col("s")).alias("r8"), (6 * x + F.col("s") % 16).alias("g8"), ((4 * y + F.col("s")) % 256).cast("long").alias("b8"),
+        image.cast("long").alias("image_id"), (F.col("at") - image * tall * PART_WIDTH).cast("long").alias("i"), x.cast("int").alias("x"), (y - image * tall).cast("int").alias("y"), F.lit(PART_WIDTH).alias("w"),
+        F.least(F.lit(tall), h - image * tall).cast("int").alias("h"), (5 * F.col("s")).alias("r8"), (6 * x + F.col("s") % 16).alias("g8"), ((4 * y + F.col("s")) % 256).cast("long").alias("b8"),
     )
     px = px.withColumns({c: F.col(f"{c}8") / F.lit(255.0) for c in "rgb"})
     return px.withColumn("t", F.when(F.col("x") < 8, 1.0).when(F.col("x") >= 32, 0.0).otherwise(0.5))

@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenweave.operators import affinity, color, linalg, matte, neighbors
-from lumenweave.operators.kernels import ColumnFactor, Multigrid, conjugate_gradients, csr, restriction
+from lumenweave.operators import affinity, color, krylov, linalg, matte, multigrid, neighbors, tiles
+from lumenweave.operators.kernels import ColumnFactor, FactorError, Multigrid, conjugate_gradients, csr, factor_with_retries, gauss_seidel, least_squares, restriction
+from lumenweave.plans.lineage import keep
 from lumenweave.plans.queries import ORACLES, QUERIES
 from lumenweave.sources.pixels import encode_png, load_images, part_pixels, resized, save_images
 
@@ -161,7 +162,134 @@ def test_flow_matte_leaves_a_small_residual(spark):
 def test_large_images_as_tables_equal_tasks(spark):
     px = part_pixels(spark, SF).withColumn("alpha", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (32 - F.col("x")) / 24.0))).cache()
     names = [f"{s}_{c}" for s in "fb" for c in "rgb"]
-    both = [color.estimate_multilevel(px, 40, 5, in_tasks=k).select("i", *names).orderBy("i").toPandas() for k in (True, False)]
+    both = [color.estimate_multilevel(px, in_tasks=k).select("i", *names).orderBy("i").toPandas() for k in (True, False)]
     assert np.abs(both[0] - both[1]).to_numpy().max() < 1e-9
     both = [affinity.trim_edges(px, 3, in_tasks=k).orderBy("i").toPandas() for k in (True, False)]
     assert both[0].equals(both[1])
+
+
+def _mixed(spark):
+    rng, rows = np.random.default_rng(0), []
+    for image, w, h in ((1, 8, 6), (2, 5, 4), (3, 3, 9), (4, 1, 5), (5, 1, 1), (6, 20, 3)):
+        v = rng.random((w * h, 4))
+        rows += [(image, i, i % w, i // w, w, h, *map(float, v[i])) for i in range(w * h)]
+    return spark.createDataFrame(rows, "image_id long, i long, x int, y int, w int, h int, r double, g double, b double, alpha double")
+
+
+def test_colours_of_images_of_different_sizes(spark, monkeypatch):
+    px, names = _mixed(spark), [f"{s}_{c}" for s in "fb" for c in "rgb"]
+    frame = lambda df: df.select("image_id", "i", "w", "h", *names).toPandas().sort_values(["image_id", "i"]).reset_index(drop=True)
+    tasks, tables = (frame(color.estimate_foreground_background(px, "ml", in_tasks=k)) for k in (True, False))
+    assert tasks.groupby("image_id").size().to_dict() == {1: 48, 2: 20, 3: 27, 4: 5, 5: 1, 6: 60}
+    assert np.abs(tasks - tables).to_numpy().max() < 1e-12
+    for image in (1, 2):
+        alone = frame(color.estimate_foreground_background(px.filter(F.col("image_id") == image), "ml", in_tasks=False))
+        assert np.abs(alone - tables[tables.image_id == image].reset_index(drop=True)).to_numpy().max() < 1e-12
+    monkeypatch.setattr(color, "KERNEL_PIXELS", 25)  # some images in tasks, some by tables
+    assert np.abs(frame(color.estimate_multilevel(px, n_iter=lambda w, h: 1 + w % 2)) - frame(color.estimate_multilevel(px, n_iter=lambda w, h: 1 + w % 2, in_tasks=True))).to_numpy().max() < 1e-12
+    filtered = color.fast_guided_filter(px.filter("image_id < 3"), "alpha", 2, scale=0.5)
+    alone = {r.i: r.v for r in color.fast_guided_filter(px.filter("image_id = 2"), "alpha", 2, scale=0.5).collect()}
+    assert filtered.count() == 68 and all(abs(r.v - alone[r.i]) < 1e-12 for r in filtered.filter("image_id = 2").collect())
+
+
+def _small_system(spark):
+    """Systems of two images, 40 x 3 and 40 x 2, as tables and as frames."""
+    px = keep(part_pixels(spark, SF, 3))
+    a, b = (keep(x) for x in matte.build_system(px, "cf"))
+    return px, a, b, a.toPandas(), b.toPandas()
+
+
+def test_vcycle_by_tables_equals_the_kernel(spark):
+    px, a, b, fa, fb = _small_system(spark)
+    levels = multigrid.Hierarchy(a, px, coarse=32)
+    got = levels.cycle(b).toPandas()
+    for image, h in ((0, 3), (1, 2)):
+        m, side = fa[fa.image_id == image], fb[fb.image_id == image].sort_values("i").v.to_numpy()
+        want = Multigrid(csr(m.i.to_numpy(), m.j.to_numpy(), m.v.to_numpy(), 40 * h), 40, h).cycle(side)
+        assert np.abs(got[got.image_id == image].sort_values("i").v.to_numpy() - want).max() < 1e-9
+    levels.close()
+
+
+@pytest.mark.parametrize("preconditioner", [None, "jacobi", "vcycle", "ichol"])
+def test_large_images_use_the_preconditioner_asked_for(spark, monkeypatch, preconditioner):
+    px, a, b, fa, fb = _small_system(spark)
+    monkeypatch.setattr(matte, "KERNEL_PIXELS", 100)  # one image by tables, one in a task
+    monkeypatch.setattr(tiles, "SIDE", 8)
+    got = matte.solve(a, b, px, preconditioner, atol=20.0).toPandas()
+    steps = got.groupby("image_id").steps.max().to_dict()
+    for image, h in ((0, 3), (1, 2)):
+        m, side = fa[fa.image_id == image], fb[fb.image_id == image].sort_values("i").v.to_numpy()
+        left = side - csr(m.i.to_numpy(), m.j.to_numpy(), m.v.to_numpy(), 40 * h) @ got[got.image_id == image].sort_values("i").x.to_numpy()
+        assert np.sqrt(left @ left) < 20.001
+    assert steps[0] < {None: 100, "jacobi": 60, "vcycle": 15, "ichol": 15}[preconditioner]
+
+
+def test_tile_factors_are_symmetric(spark):
+    px, a, *_ = _small_system(spark)
+    factors = tiles.TileFactors(a, px, side=7, overlap=2)
+    rng = np.random.default_rng(3)
+    u, v = (spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(rng.random(120))], "image_id long, i long, v double") for _ in range(2))
+    sums = [linalg.dot(x, factors.solve(y)).first().v for x, y in ((u, v), (v, u))]
+    assert abs(sums[0] - sums[1]) < 1e-9 * abs(sums[0]) and linalg.dot(u, factors.solve(u)).first().v > 0
+
+
+def test_large_kernel_by_tables_equals_the_kernel(spark):
+    """Radius 10, as the matte's default has it."""
+    rng = np.random.default_rng(4)
+    rows = [(0, i, i % 24, i // 24, 24, 22, *map(float, rng.random(3)), [1.0, 0.5, 0.0][min(2, i % 24 // 8)]) for i in range(24 * 22)]
+    px = spark.createDataFrame(rows, "image_id long, i long, x int, y int, w int, h int, r double, g double, b double, t double")
+    how = (10, 1e-7, 100.0, "jacobi", 0.0, None, 4)
+    tables, task = (f(px, *how).toPandas().sort_values("i").x.to_numpy() for f in (matte.solve_large_kernel_tables, matte._solve_large_kernel))
+    assert np.abs(tables - task).max() < 1e-6
+
+
+def test_closed_form_colours_by_tables(spark):
+    """Each channel and image stops by itself, at the answer of the dense system."""
+    px = part_pixels(spark, SF, 3).withColumn("alpha", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (32 - F.col("x")) / 24.0)))
+    names = [f"{s}_{c}" for s in "fb" for c in "rgb"]
+    frame = lambda **how: color.estimate_closed_form(px, 0.05, **how).select("image_id", "i", *names).toPandas().sort_values(["image_id", "i"]).to_numpy()
+    assert np.abs(frame(in_tasks=False, rtol=1e-4, max_iter=200) - frame(in_tasks=True, rtol=1e-12)).max() < 2e-2
+
+
+def test_least_squares_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    dense = rng.random((12, 5)) * (rng.random((12, 5)) < 0.7) + np.eye(12, 5)
+    b = rng.random(12)
+    want = np.linalg.lstsq(dense, b, rcond=None)[0]
+    i, j = np.nonzero(dense)
+    assert np.allclose(least_squares(csr(i, j, dense[i, j], 12, 5), b), want, atol=1e-8)
+    a = spark.createDataFrame([(0, int(p), int(q), float(dense[p, q])) for p, q in zip(i, j)], "image_id long, i long, j long, v double")
+    side = spark.createDataFrame([(0, k, float(v)) for k, v in enumerate(b)], "image_id long, i long, v double")
+    got = krylov.least_squares(a, side).toPandas().sort_values("i").x_v.to_numpy()
+    assert np.allclose(got, want, atol=1e-8)
+
+
+def test_sweeps_by_colour_equal_plain_ones(spark):
+    px, a, b, fa, fb = _small_system(spark)
+    got = multigrid.gauss_seidel(a, b, multigrid.colours(px), sweeps=2).toPandas()
+    m, side = fa[fa.image_id == 0], fb[fb.image_id == 0].sort_values("i").v.to_numpy()
+    full = csr(m.i.to_numpy(), m.j.to_numpy(), m.v.to_numpy(), 120).dense()
+    colour = [(i // 40 % 3) * 3 + i % 40 % 3 for i in range(120)]
+    order, x = np.argsort(colour, kind="stable"), np.zeros(120)
+    for _ in range(2):
+        for i in order:
+            x[i] += (side[i] - full[i] @ x) / full[i, i]
+    assert np.abs(got[got.image_id == 0].sort_values("i").v.to_numpy() - x).max() < 1e-9
+    # the kernel's sweep is that of the given order
+    turned = csr(*np.nonzero(full[np.ix_(order, order)]), full[np.ix_(order, order)][np.nonzero(full[np.ix_(order, order)])], 120)
+    assert np.abs(gauss_seidel(turned, side[order], np.zeros(120), 2) - x[order]).max() < 1e-9
+
+
+def test_factor_of_the_pattern_only_and_retries():
+    dense, a = _spd(12)
+    dense[np.abs(np.subtract.outer(np.arange(12), np.arange(12))) % 5 > 1] = 0
+    a = csr(*np.nonzero(dense), dense[np.nonzero(dense)], 12)
+    f = ColumnFactor(a, 0.0, 0.0, True)
+    assert set(zip(f.i.tolist(), f.j.tolist())) == {(i, j) for i, j in zip(a.i.tolist(), a.j.tolist()) if i >= j}
+    assert len(ColumnFactor(a, 0.0).v) > len(f.v)
+    # not positive without a shift, positive with the ladder's
+    flat = csr(np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), np.array([1.0, 1.0, 1.0, 1.0]), 2)
+    with pytest.warns(UserWarning, match="no factor"):
+        assert abs(factor_with_retries(flat, 0.0).diag[1] ** 2 - 2e-4) < 1e-6
+    with pytest.raises(FactorError), pytest.warns(UserWarning):
+        factor_with_retries(csr(np.array([0]), np.array([0]), np.array([-1.0]), 1))
