@@ -5,7 +5,7 @@ are gathered per line hash in HyperLogLog sketches, partially aggregated before
 shuffle and merged after it, so a line that holds a third of all rows costs one sketch
 per task. A line whose estimate lies within the sketch's error of ``min_sites`` gets an
 exact distinct count of its sites; the others are decided by the estimate. Exact copies of
-a document count once (with the site of the smallest id), so a copied document does not
+a document count once (with the site of the smallest id, null ids last), so a copied document does not
 turn its own text into boilerplate. A document left without any other line is kept
 whole and reported (``only_boilerplate``): near-duplicate removal judges it.
 
@@ -45,12 +45,15 @@ def _keys(line: Column) -> list[Column]:
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(h1, h2) of the lines on at least ``min_sites`` distinct sites."""
-    copies = docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(site).alias("site"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("doc"), text).alias("t2"))
-    first = copies.groupBy("t1", "t2").agg(F.min(F.struct("id", "site")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("t1", "t2", F.col("first.id").alias("id"))
+    # a copy is told from others of its text by its id, null ids last, and its site
+    who = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col(site).alias("site"))
+    own = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("doc"), text).alias("t2"), F.xxhash64(F.col(id_col).isNull(), id_col, F.col(site).isNull(), site).alias("copy")]
+    copies = docs.filter(F.col(text).isNotNull()).select(*own, who.alias("who"))
+    first = copies.groupBy("t1", "t2").agg(F.min_by("copy", "who").alias("kept"), F.count("*").alias("n")).filter("n > 1").select(apart("t1"), apart("t2"), "kept")
     # only texts with copies are looked up again; the others stand for themselves
-    spare = small(cut(copies.join(first.select(apart("t1"), apart("t2"), F.col("id").alias("kept")), ["t1", "t2"]).filter("id != kept").select("id", "t1").distinct()))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(site).alias("site"), F.xxhash64(text).alias("t1"), F.explode(F.transform(_lines(text), _trim)).alias("line"))
-    rows = rows.filter("line != '' AND site IS NOT NULL").join(spare, ["id", "t1"], "left_anti").select(*_keys(F.col("line")), "site")
+    spare = small(cut(copies.join(first, ["t1", "t2"]).filter("copy != kept").select("t1", "t2", "copy").distinct()))
+    rows = docs.select(*own, F.col(site).alias("site"), F.explode(F.transform(_lines(text), _trim)).alias("line"))
+    rows = rows.filter("line != '' AND site IS NOT NULL").join(spare, ["t1", "t2", "copy"], "left_anti").select(*_keys(F.col("line")), "site")
     spread = rows.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites"))
     spread = cut(spread.filter(F.col("sites") >= min_sites * (1 - BAND) - 1))
     sure = F.col("sites") > min_sites * (1 + BAND) + 1

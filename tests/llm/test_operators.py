@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenweave.llm.common import row_keys
-from lumenweave.llm import ann, bpe, decontam, lines, lm, neardup, secrets, sharding, suffix_dedup, toxicity
+from lumenweave.llm import ann, bpe, common, decontam, lines, lm, neardup, secrets, sharding, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -530,3 +530,17 @@ def test_pipeline(spark):
         assert out.columns == docs.columns, name
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert 0 < docs.count() <= 200 and p.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_op8_copies_with_null_ids(spark, monkeypatch):
+    """Copies of a text on many sites count once, whatever their ids; so do null-id copies alone. Also with shuffles instead of broadcasts."""
+    text = "a line of its own\nanother one"
+    rows = [(i, text, f"s{i}") for i in range(13)] + [(None, text, "s13")] + [(None, "only nulls", f"t{i}") for i in range(14)]
+    rows += [(100 + i, f"everywhere\nown {i}", f"u{i}") for i in range(12)] + [(100, "everywhere\nown 0", "u0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for _ in range(2):
+        got = {(r.doc_id, r.source): (r.n_removed, r.only_boilerplate) for r in lines.strip(docs).collect()}
+        assert all(got[i, f"s{i}"] == (0, False) for i in range(13)) and got[None, "s13"] == got[None, "t3"] == (0, False)
+        assert all(got[100 + i, f"u{i}"] == (1, False) for i in range(12))
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common.small, "__defaults__", (0,))
