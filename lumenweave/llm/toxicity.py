@@ -14,9 +14,12 @@ Runs of ``COPIED`` words that occurred before in the sample are not counted agai
 copied passage counts once however many texts hold it.
 
 A text's features are the length-normalised log-likelihood ratios under either order, of
-the whole text and of its most toxic passage of each length in ``WINDOWS``. Four fifths of
-the sample train the models; the others, unseen by them, fit the logistic calibration that
-turns the features into a score from 0 to 1.
+the whole text and of its most toxic passage of each length in ``WINDOWS``. Each of ``FOLDS``
+parts of the sample is held out in turn, and its features come from models of the others; the
+logistic calibration that turns features into a score from 0 to 1 is fitted to these, with the
+ridge under which held-out texts are likeliest. The model used is the mean of these models, since
+one of all parts would give unseen texts other features than those that calibrated it. The same is
+done whatever the sample's size.
 
 ``score`` applies the model to every whole text. Labels, language, source and ids are no
 inputs of a score.
@@ -47,11 +50,9 @@ MAX_BYTES = 1 << 15
 WINDOWS = (1, 4, 16)
 COPIED = 8
 THRESHOLD = 0.7
-FOLDS = 5
-#: With fewer calibration texts of either class in one fold, all folds serve in turn.
-FEW = 100
-#: Ridge there. Of 0.01 to 10 it flagged the fewest clean learning texts out of fold at THRESHOLD, and about as many toxic ones (sf0.01).
-FEW_RIDGE = 10.0
+#: Parts of the sample that are held out in turn, and ridges of the calibration tried on what was held out.
+FOLDS = 4
+RIDGES = (0.01, 0.1, 1.0, 10.0)
 
 #: ASCII characters other than letters and digits separate words; other scripts stay.
 NOT_ALNUM = np.array([c < 0x30 or 0x39 < c < 0x41 or 0x5A < c < 0x61 or 0x7A < c < 0x80 for c in range(256)])
@@ -204,18 +205,55 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def _fit_few(h: np.ndarray, counts: np.ndarray, y: np.ndarray) -> Model:
-    """Model of all texts; the calibration sees each text's features by a model of the other folds."""
-    model = _train(h, counts, y)
-    x, fold = features(model, h, counts), np.zeros(len(y), np.int64)
+def _ridge(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
+    """The ridge of RIDGES under which texts are likeliest by a calibration that didn't see them; both classes weigh alike."""
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+
+    def likelihood(ridge: float) -> float:
+        total = 0.0
+        for k in range(FOLDS):
+            own = fold == k
+            b = _logistic(x[~own], y[~own], ridge)
+            z = np.clip(x[own] @ b[:-1] + b[-1], -30, 30)
+            total += float((weight[own] * (y[own] * z - np.logaddexp(0, z))).sum())
+        return total
+
+    return max(RIDGES, key=likelihood)
+
+
+def _mean(models: list[Model], h: np.ndarray, counts: np.ndarray) -> Model:
+    """One model whose ratios are the means of several's over all tokens of the sample; a word that one hasn't seen is no evidence there."""
+    before = _before(h, counts)
+    words, contexts = np.unique(h), np.unique(before)
+    every, first = np.unique(_pairs(before, h), return_index=True)
+    by_word, by_pair, rest = np.zeros(len(words)), np.zeros(len(every)), np.zeros(len(contexts))
+    for m in models:
+        own = m.words.get(words, np.nan)
+        by_word += np.nan_to_num(own)
+        pair = m.pairs.get(every, m.contexts.get(before[first]))
+        by_pair += np.where(np.isnan(own)[np.searchsorted(words, h[first])], 0.0, pair)
+        rest += m.contexts.get(contexts)
+    n = max(1, len(models))
+    return Model(Table(words, by_word / n), Table(every, by_pair / n), Table(contexts, rest / n), np.zeros(2 * (len(WINDOWS) + 1) + 1))
+
+
+def _cross_fit(h: np.ndarray, counts: np.ndarray, y: np.ndarray) -> Model:
+    """The mean of the models that each leave one fold out; its calibration sees each text's features by the one that left it out.
+
+    A model of all texts would give unseen texts other features than those that calibrated it.
+    """
+    fold, models = np.zeros(len(y), np.int64), []
     for c in (0, 1):
         fold[y == c] = np.arange((y == c).sum()) % FOLDS
-    if min((y == c).sum() for c in (0, 1)) >= FOLDS:
-        for k in range(FOLDS):
-            own = np.repeat(fold == k, counts)
-            others = _train(h[~own], counts[fold != k], y[fold != k])
-            x[fold == k] = features(others, h[own], counts[fold == k])
-    model.weights = _logistic(x, y, FEW_RIDGE)
+    x = np.zeros((len(y), 2 * (len(WINDOWS) + 1)))
+    for k in range(FOLDS):
+        own = np.repeat(fold == k, counts)
+        # with a single text of a class, one fold leaves none of it: its texts then tell nothing apart
+        if len(set(y[fold != k].tolist())) == 2:
+            models.append(_train(h[~own], counts[fold != k], y[fold != k]))
+            x[fold == k] = features(models[-1], h[own], counts[fold == k])
+    model = _mean(models, h, counts)
+    model.weights = _logistic(x, y, _ridge(x, y, fold) if min((y == c).sum() for c in (0, 1)) >= FOLDS else max(RIDGES))
     return model
 
 
@@ -229,14 +267,7 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BY
         return None
     blocks = [(h, counts) for _, h, counts in _tokens(table["text"])]
     h, counts = np.concatenate([h for h, _ in blocks]), np.concatenate([n for _, n in blocks])
-    kept_out = np.asarray(table["o"].to_numpy()) % FOLDS == 0
-    fewest = min((y[kept_out] == c).sum() for c in (0, 1))
-    if fewest < FEW:
-        return _fit_few(h, counts, y)
-    owner = np.repeat(kept_out, counts)
-    model = _train(h[~owner], counts[~kept_out], y[~kept_out])
-    model.weights = _logistic(features(model, h[owner], counts[kept_out]), y[kept_out])
-    return model
+    return _cross_fit(h, counts, y)
 
 
 def probability(model: Model | None, texts: pa.Array) -> np.ndarray:

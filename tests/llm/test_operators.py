@@ -544,3 +544,50 @@ def test_op8_copies_with_null_ids(spark, monkeypatch):
         assert all(got[100 + i, f"u{i}"] == (1, False) for i in range(12))
         monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(common.small, "__defaults__", (0,))
+
+
+def test_op10_against_plain_kneser_ney():
+    """Both orders' log-likelihood ratios, from dictionaries."""
+    import pyarrow as pa
+
+    texts = ["you are a fool", "a fool you are", "what a nice day", "nice day you have", "you vile fool", "have a day", "a a b a b"]
+    y = np.array([1, 1, 0, 0, 1, 0, 0])
+    ((_, h, counts),) = toxicity._tokens(pa.array(texts))
+    model = toxicity._train(h, counts, y)
+    rows = [[(b, w) for b, w in zip(["<s>", *t.split()], t.split())] for t in texts]
+
+    def discount(values):
+        n1, n2 = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    pairs = {c: collections.Counter(p for r, k in zip(rows, y) for p in r if c in (k, "all")) for c in (0, 1, "all")}
+    seen = {c: collections.Counter(w for _, w in pairs[c]) for c in pairs}
+    words = sorted(seen["all"])
+    total = sum(seen["all"][w] + 0.5 for w in words) + 0.5
+    shared = {w: (seen["all"][w] + 0.5) / total for w in words}
+
+    def by_word(c, w):
+        d, n = discount([seen[c][x] for x in words]), sum(seen[c].values())
+        left = d * len(seen[c]) / n
+        return np.log((max(seen[c][w] - d, 0) / n + left * shared[w]) / left)
+
+    def by_pair(c, b, w):
+        below = shared[w] if c == "all" else np.exp(by_pair("all", b, w))
+        d, n = discount(pairs[c].values()), sum(v for (x, _), v in pairs[c].items() if x == b)
+        kinds = sum(x == b for x, _ in pairs[c])
+        return np.log(max(pairs[c][b, w] - d, 0) / n + d * kinds / n * below) if n else np.log(below)
+
+    word, pair = toxicity.ratios(model, h, counts)
+    flat = [p for r in rows for p in r]
+    assert np.allclose(word, [by_word(1, w) - by_word(0, w) for _, w in flat])
+    assert np.allclose(pair, [by_pair(1, b, w) - by_pair(0, b, w) for b, w in flat])
+
+
+def test_op10_repeated_rows_and_empty_table(spark):
+    rows = [(f"you are a vile fool {i}", 1) for i in range(6)] + [(f"what a nice day {i}", 0) for i in range(6)]
+    twice = spark.createDataFrame(rows + rows, "text string, toxic int")
+    once = spark.createDataFrame(rows, "text string, toxic int")
+    docs = spark.createDataFrame([("a vile fool",), ("a vile fool",), (None,)], "text string")
+    scores = [[r.toxicity for r in toxicity.score(docs, toxicity.fit(t)).collect()] for t in (twice, once)]
+    assert scores[0] == scores[1] and scores[0][0] == scores[0][1] > scores[0][2]
+    assert toxicity.fit(once.limit(0)) is None and toxicity.score(docs.limit(0), toxicity.fit(once)).count() == 0
