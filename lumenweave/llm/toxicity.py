@@ -33,6 +33,7 @@ pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -242,16 +243,23 @@ def _cross_fit(h: np.ndarray, counts: np.ndarray, y: np.ndarray) -> Model:
 
     A model of all texts would give unseen texts other features than those that calibrated it.
     """
-    fold, models = np.zeros(len(y), np.int64), []
+    fold = np.zeros(len(y), np.int64)
     for c in (0, 1):
         fold[y == c] = np.arange((y == c).sum()) % FOLDS
     x = np.zeros((len(y), 2 * (len(WINDOWS) + 1)))
-    for k in range(FOLDS):
+
+
+    def without(k: int) -> Model | None:
         own = np.repeat(fold == k, counts)
         # with a single text of a class, one fold leaves none of it: its texts then tell nothing apart
-        if len(set(y[fold != k].tolist())) == 2:
-            models.append(_train(h[~own], counts[fold != k], y[fold != k]))
-            x[fold == k] = features(models[-1], h[own], counts[fold == k])
+        if len(set(y[fold != k].tolist())) < 2:
+            return None
+        model = _train(h[~own], counts[fold != k], y[fold != k])
+        x[fold == k] = features(model, h[own], counts[fold == k])
+        return model
+
+    with ThreadPoolExecutor(FOLDS) as pool:  # sorting and searching, which NumPy does outside the interpreter's lock
+        models = [m for m in pool.map(without, range(FOLDS)) if m is not None]
     model = _mean(models, h, counts)
     model.weights = _logistic(x, y, _ridge(x, y, fold) if min((y == c).sum() for c in (0, 1)) >= FOLDS else max(RIDGES))
     return model
