@@ -15,7 +15,8 @@ all but the most frequent are kept: linked sets share at least ``common_keys``,
 that many less one loses no shared rarest key (exact for unions to 48 shingles, else a
 chance below 1e-12 a link). In buckets of more than ``HEAVY`` members a document stays only if
 enough of its shingles are in another document of such buckets, counted exactly; one with
-text of its own beyond a quarter can't link there. A bucket's largest group, whose members
+text of its own beyond a quarter can't link there. Buckets that are crowded still are split by what
+else their members share (``_crowds``), as where texts consist of common passages. A bucket's largest group, whose members
 aren't compared with each other, is dealt apart from the rest, so that rows grow with the
 square only of what may link and doesn't, and no task holds a whole bucket. Tiles are
 sorted by set size and compare members of different groups whose sizes allow a
@@ -368,10 +369,12 @@ def _shared_shingles(texts: DataFrame, ranges: int) -> DataFrame:
                 alone, of, held = alone[order], of[order], block[owner[~again]][order]
                 order = np.argsort(of_marks, kind="stable")
                 marks, of_marks = marks[order], of_marks[order]
-                into = np.unique(np.concatenate([of, of_marks]))
-                cuts, cuts_marks = (np.append(np.searchsorted(x, into), len(x)).astype(np.int32) for x in (of, of_marks))
-                cuts_known = np.full(len(into) + 1, len(block), np.int32)  # the block's own counts go with its first range
-                cuts_known[0] = 0
+                # the block's own counts are dealt by node
+                of_known = X.mix(block.astype(np.uint64)) % np.uint64(ranges)
+                order = np.argsort(of_known, kind="stable")
+                block, known, of_known = block[order], known[order], of_known[order]
+                into = np.unique(np.concatenate([of, of_marks, of_known]))
+                cuts, cuts_marks, cuts_known = (np.append(np.searchsorted(x, into), len(x)).astype(np.int32) for x in (of, of_marks, of_known))
                 lists = [pa.ListArray.from_arrays(pa.array(c), pa.array(v)) for c, v in ((cuts, alone.view(np.int64)), (cuts, held), (cuts_marks, marks.view(np.int64)), (cuts_known, block), (cuts_known, known))]
                 yield pa.RecordBatch.from_arrays([pa.array(into.astype(np.int64)), *lists], names=["range", "alone", "held", "marks", "block", "known"])
 
@@ -412,11 +415,86 @@ def _linkable(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+#: Classes in common that may tell the members of a crowded bucket apart.
+DEPTH = 8
+
+
+def _exploded(texts: DataFrame) -> DataFrame:
+    """(node, s): the shingles of ``texts`` (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            for row, s, at in shingle_sets(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[row : row + len(at) - 1], np.diff(at))), pa.array(s.view(np.int64))], names=["node", "s"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, s long")
+
+
+def _crowds(crowded: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, node, label) of finer buckets for the members of ``crowded`` (key, node, label).
+
+    Shingles that the same members hold form a class, whose weight is their number: a passage that many
+    texts hold is one. Linked sets have classes in common that weigh at least PERCENT of either's size.
+    With classes in one order, rare first, the first in common begins a part of either's list of at
+    least that weight; the second one of that weight less the first's, and so on. So the members of a
+    class may be dealt by the next class in common, and those by the next, and few of a set's
+    classes come in question each time. Members to whom what they have in common weighs enough
+    without another class stay together too. A bucket is split where that makes fewer rows than
+    its tiles would have; no pair that links is lost either way.
+    """
+    nodes = stow(crowded.select("node", "label").distinct().join(reps.select("node", F.ceil(F.col("n") * PERCENT / 100).cast("int").alias("need")), "node"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small(nodes.select("node")), "node", "left_semi").dropDuplicates(["node"])
+    own = stow(_exploded(texts))
+    named = own.groupBy("s").agg(F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2"), F.count("*").alias("m")).filter("m > 1")
+    named = named.select(apart("s"), F.xxhash64("h1", "h2", "m").alias("key"), "m")
+    spots = own.join(named, "s").groupBy("node", "m", "key").agg(F.count("*").cast("int").alias("weight"))
+    spots = spots.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("m", "key", "weight"))).alias("c"))
+    # of each class what its place and all later ones weigh
+    rest = F.transform("c", lambda x, i: F.aggregate(F.slice("c", i + 1, F.size("c")), F.lit(0), lambda t, y: t + y["weight"]))
+    lists = stow(nodes.join(spots, "node").withColumn("rest", rest))
+
+    def after(at: Column, least: Column) -> Column:
+        """Places behind ``at`` whose rest weighs at least ``least``."""
+        return F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: (i > at) & (F.get("rest", i) >= least))
+
+    step = lists.select("node", "label", "need", "c", "rest", F.explode(after(F.lit(-1), F.col("need"))).alias("at"))
+    state = step.select("node", "label", F.get("c", F.col("at"))["key"].alias("key"), "at", F.get("c", F.col("at"))["weight"].alias("has"))
+    done = None
+    for depth in range(DEPTH):
+        state = stow(state)
+        kept = state if depth + 1 == DEPTH else None
+        if kept is None:
+            big = state.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > TILE).select(apart("key"), "m")
+            inside = state.join(big, "key").join(lists.select("node", "need", "c", "rest"), "node").withColumn("next", after(F.col("at"), F.col("need") - F.col("has")))
+            split = stow(inside.groupBy("key").agg(F.sum(F.size("next")).alias("finer"), F.first("m").alias("m")).filter(F.col("finer") * TILE < F.col("m") * F.col("m")).select(apart("key"), F.lit(True).alias("split")))
+            if split.isEmpty():
+                kept = state
+            else:
+                marked = state.join(small(split), "key", "left")
+                inside = inside.join(small(split), "key")
+                kept = marked.filter("split IS NULL").drop("split").unionByName(inside.filter("has >= need").select(*state.columns))
+                state = inside.select("node", "label", "key", "has", "c", F.explode("next").alias("at"))
+                state = state.select("node", "label", F.xxhash64("key", F.get("c", F.col("at"))["key"]).alias("key"), "at", (F.col("has") + F.get("c", F.col("at"))["weight"]).alias("has"))
+        part = kept.select("key", "node", "label")
+        done = part if done is None else done.unionByName(part)
+        if kept is state:
+            break
+    return done
+
+
 def _candidates(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) of the pairs of different labels that tiles of ``rows`` (key, node, label, size) admit."""
     kept = stow(_prefixes(rows, reps))
     able = _linkable(kept, reps, docs)
-    tiled = _dealt(able).join(reps.select("node", "n", "bitmap"), "node").repartition("key", "tile").sortWithinPartitions("key", "tile", "n")
+    crowds = cut(able.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > TILE).select("key"))
+    placed = able
+    if not crowds.isEmpty():
+        marks = small(crowds.withColumn("crowd", F.lit(True)))
+        marked = able.join(marks, "key", "left")
+        finer = _crowds(marked.filter("crowd").select("key", "node", "label"), reps, docs)
+        placed = marked.filter("crowd IS NULL").select("key", "node", "label").unionByName(finer)
+    tiled = _dealt(placed).join(reps.select("node", "n", "bitmap"), "node").repartition("key", "tile").sortWithinPartitions("key", "tile", "n")
     found = cut(tiled.select("key", "tile", "side", "node", "label", "n", "bitmap").mapInArrow(_tiles, "a long, b long").distinct())
     discard(*{kept, able})
     return found

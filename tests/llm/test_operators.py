@@ -591,3 +591,57 @@ def test_op10_repeated_rows_and_empty_table(spark):
     scores = [[r.toxicity for r in toxicity.score(docs, toxicity.fit(t)).collect()] for t in (twice, once)]
     assert scores[0] == scores[1] and scores[0][0] == scores[0][1] > scores[0][2]
     assert toxicity.fit(once.limit(0)) is None and toxicity.score(docs.limit(0), toxicity.fit(once)).count() == 0
+
+
+def passages_table(n, passages, size, chosen, seed=1):
+    """Texts of ``chosen`` out of common passages of ``size`` words; every fiftieth again in another order."""
+    rng = np.random.default_rng(seed)
+    p = [" ".join(f"p{k}w{j}x{rng.integers(1000)}" for j in range(size)) for k in range(passages)]
+    rows = [(i, " ".join(p[k] for k in rng.permutation(passages)[:chosen])) for i in range(n)]
+    for i in range(0, n - 1, 50):
+        w = rows[i][1].split()
+        rows[i + 1] = (i + 1, " ".join(w[len(w) // 2 :] + w[: len(w) // 2]))
+    return rows
+
+
+def all_links(rows, chosen, size):
+    """Links of different sets; only texts with at least 3/4 of their passages in common are compared."""
+    sets = brute_sets(rows)
+    names = [frozenset(w.split("w")[0] for w in t.split()) for _, t in rows]
+    one = {k: i for i, k in enumerate(sorted(set().union(*names)))}
+    held = np.zeros((len(rows), len(one)), np.int32)
+    for d, own in enumerate(names):
+        held[d, [one[k] for k in own]] = 1
+    near = np.argwhere(np.triu(held @ held.T >= chosen * 3 // 4, 1))
+    first = {}
+    for d, _ in rows:
+        first.setdefault(sets[d], d)
+    return {(a, b) for a, b in near.tolist() if sets[a] != sets[b] and first[sets[a]] == a and first[sets[b]] == b and linked(sets[a], sets[b])}
+
+
+@pytest.mark.parametrize("n, constants", [(300, {"HEAVY": 16, "TILE": 8}), (6000, {})])
+def test_op2_texts_of_common_passages(spark, monkeypatch, n, constants):
+    """Links are exact where buckets are crowded, and rows in tiles stay few: 8 of 40 common passages of 30 words."""
+    for k, v in constants.items():
+        monkeypatch.setattr(neardup, k, v)
+    dealt, seen = neardup._dealt, []
+
+    def counted(rows):
+        out = common.cut(dealt(rows))
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_dealt", counted)
+    rows = passages_table(n, 40, 30, 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    pairs, _ = neardup.link_pairs(docs)
+    assert {(r.a, r.b) for r in pairs.collect()} == all_links(rows, 8, 30)
+    assert constants or seen[-1] < 25 * n
+
+
+def test_shared_shingles_are_dealt(spark):
+    """Counts go by node to all ranges; none gets a row of every text."""
+    rows = [(i, f"one two three four five six own{i} a{i} b{i} c{i} d{i}") for i in range(200)]
+    texts = spark.createDataFrame(rows, "node long, text string").repartition(4)
+    got = {r.node: r.shared for r in neardup._shared_shingles(texts, 16).collect()}
+    assert {got[i] for i in range(200)} == {2} and len(got) == 200
