@@ -10,22 +10,89 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenweave.plans.lineage import cut
+from lumenweave.plans.lineage import cut, small
 
-#: Points of a candidate block, and queries that meet it in one task.
-BLOCK = 4096
+#: Points of a candidate block, a leaf of the tree; and queries that meet it in one task.
+BLOCK = 512
 QUERIES = 4096
+#: Sampled points for each leaf, leaves of an image at most, and leaves that are broadcast at once.
+SAMPLE, MOST_LEAVES, BROADCAST_LEAVES = 16, 1 << 14, 1 << 17
 
 
-def _boxed(candidates: DataFrame, features: list[str], sizes: DataFrame) -> DataFrame:
-    """Candidates with ``block``: strips along the first feature, cut along the second, of about BLOCK points."""
-    rows = candidates.join(F.broadcast(sizes), "image_id")
-    side = F.ceil(F.sqrt(F.ceil(F.col("n") / BLOCK)))
-    strip = Window.partitionBy("image_id").orderBy(f"c_{features[0]}", "j")
-    rows = rows.withColumn("strip", F.floor((F.row_number().over(strip) - 1) * side / F.col("n")))
-    inside = Window.partitionBy("image_id", "strip")
-    place = F.floor((F.row_number().over(inside.orderBy(f"c_{features[1 % len(features)]}", "j")) - 1) * side / F.count("*").over(inside))
-    return rows.withColumn("block", (F.col("strip") * side + place).cast("long")).drop("strip", "n")
+class Tree:
+    """Median splits of one image's points, breadth first: node n has children 2 n + 1 and 2 n + 2; all leaves are at one depth.
+
+    ``fit`` gives every node the bounding box of its leaves' points, for ``reached``.
+    """
+
+    def __init__(self, sample: np.ndarray, depth: int) -> None:
+        self.depth, nodes = depth, (1 << depth) - 1
+        self.dim, self.cut = np.zeros(nodes, np.int64), np.zeros(nodes)
+        parts = {0: sample}
+        for n in range(nodes):
+            own = parts.pop(n)
+            if len(own):
+                self.dim[n] = int(np.argmax(own.max(0) - own.min(0)))
+                self.cut[n] = np.median(own[:, self.dim[n]])
+            low = own[:, self.dim[n]] <= self.cut[n]
+            parts[2 * n + 1], parts[2 * n + 2] = own[low], own[~low]
+
+    def leaf(self, points: np.ndarray) -> np.ndarray:
+        """The leaf (from 0) of each point."""
+        at = np.zeros(len(points), np.int64)
+        for _ in range(self.depth):
+            at = 2 * at + 1 + (points[np.arange(len(points)), self.dim[at]] > self.cut[at])
+        return at - len(self.dim)
+
+    def fit(self, leaves: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        n, d = len(self.dim), low.shape[1]
+        self.low, self.high = np.full((2 * n + 1, d), np.inf), np.full((2 * n + 1, d), -np.inf)
+        self.low[n + leaves], self.high[n + leaves] = low, high
+        for k in range(n - 1, -1, -1):
+            self.low[k], self.high[k] = np.minimum(self.low[2 * k + 1], self.low[2 * k + 2]), np.maximum(self.high[2 * k + 1], self.high[2 * k + 2])
+
+    def _gap(self, points: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        return (np.maximum(np.maximum(self.low[nodes] - points, points - self.high[nodes]), 0) ** 2).sum(1)
+
+    def nearest(self, points: np.ndarray) -> np.ndarray:
+        """A leaf with points, by going down to the nearer child each time."""
+        at = np.zeros(len(points), np.int64)
+        for _ in range(self.depth):
+            left, right = self._gap(points, 2 * at + 1), self._gap(points, 2 * at + 2)
+            at = 2 * at + 1 + (right < left)
+        return at - len(self.dim)
+
+    def reached(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, leaf) for all leaves whose box comes within ``reach`` (a squared distance) of a point."""
+        point, at = np.arange(len(points)), np.zeros(len(points), np.int64)
+        for _ in range(self.depth):
+            point, at = np.repeat(point, 2), np.stack([2 * at + 1, 2 * at + 2], 1).ravel()
+            near = self._gap(points[point], at) <= reach[point]
+            point, at = point[near], at[near]
+        return point, at - len(self.dim)
+
+
+def _trees(points: DataFrame, features: list[str], sizes: DataFrame) -> dict[int, Tree]:
+    """A tree for each image of ``sizes`` (image_id, n), from a bounded sample of its points (image_id, i, features)."""
+    rate = F.least(F.lit(1.0), F.lit(float(SAMPLE * MOST_LEAVES)) / F.col("n"), F.lit(float(SAMPLE)) / BLOCK)
+    share = F.greatest(rate, F.least(F.lit(1.0), F.lit(4096.0) / F.col("n")))
+    some = points.join(F.broadcast(sizes), "image_id").filter(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20))
+    out = {}
+    for image, rows in some.select("image_id", "n", *features).toPandas().groupby("image_id"):
+        depth = min(MOST_LEAVES.bit_length() - 1, max(0, int(np.ceil(np.log2(rows["n"].iloc[0] / BLOCK)))))
+        out[int(image)] = Tree(rows[features].to_numpy(np.float64), depth)
+    return out
+
+
+def _by_tree(rows: DataFrame, features: list[str], trees: object, schema: str, run) -> DataFrame:
+    """``run``(tree, frame, points) for the rows of each image within each batch of ``rows`` (image_id, .., features)."""
+
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for image, part in frame.groupby("image_id"):
+                yield run(trees.value[int(image)], part, part[features].to_numpy(np.float64))
+
+    return rows.mapInPandas(go, schema)
 
 
 def boxes(points: DataFrame, features: list[str], by: list[str]) -> DataFrame:
@@ -65,32 +132,69 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 def nearest(queries: DataFrame, candidates: DataFrame, features: list[str], k: int) -> DataFrame:
     """(image_id, q, rank, j, dist2): for each query the k nearest candidates of its image.
 
-    Candidates of images of more than BLOCK points are cut into blocks with bounding boxes. A
-    query first meets the block whose box is nearest; its k-th distance there bounds the
-    blocks that it need meet besides, so blocks out of reach are never compared with it.
+    The candidates of an image of more than BLOCK points are dealt to the leaves of a tree of median splits,
+    which is built from a sample and broadcast with the boxes of its nodes, so many images at a time as
+    keep that small. A query first meets the leaf that is nearest; its k-th distance there bounds
+    what it need meet besides, and it goes down the tree again to the leaves within that
+    reach, all inside its task. So a query meets some boxes of each level instead of all of them.
     """
     right = candidates.select("image_id", F.col("i").alias("j"), *[F.col(f).alias(f"c_{f}") for f in features])
     left = queries.select("image_id", F.col("i").alias("q"), *features)
     sizes = cut(right.groupBy("image_id").agg(F.count("*").alias("n")))
-    if (sizes.agg(F.max("n")).first()[0] or 0) <= BLOCK:
-        one = F.lit(0).cast("long").alias("block")
+    large = sizes.filter(F.col("n") > BLOCK)
+    one = F.lit(0).cast("long").alias("block")
+    if large.isEmpty():
         return _ranked(_meet(left.select("*", one), right.select("*", one), features, k), k)
-    right = cut(_boxed(right, features, sizes))
-    walls = boxes(right.withColumnsRenamed({f"c_{f}": f for f in features}), features, ["image_id", "block"])
-    walls = cut(walls)  # a row for BLOCK points
-    gap = reduce(Column.__add__, [F.pow(F.greatest(F.col(f"lo_{f}") - F.col(f), F.col(f) - F.col(f"hi_{f}"), F.lit(0.0)), F.lit(2.0)) for f in features])
-    far = left.join(walls, "image_id").withColumn("gap", gap)
-    home = cut(far.groupBy("image_id", "q").agg(F.min_by("block", F.struct("gap", "block")).alias("block")))
-    first = cut(_ranked(_meet(left.join(home, ["image_id", "q"]), right, features, k), k))
-    reach = first.groupBy("image_id", "q").agg(F.max("dist2").alias("reach"), F.count("*").alias("found")).join(home.withColumnRenamed("block", "home"), ["image_id", "q"])
-    near = far.join(reach, ["image_id", "q"]).filter((F.col("block") != F.col("home")) & ((F.col("found") < k) | (F.col("gap") <= F.col("reach") * (1 + 1e-9))))
-    second = _meet(near.select("image_id", "q", *features, "block"), right, features, k)
+    leaves = large.agg(F.sum(F.least(F.lit(MOST_LEAVES), F.ceil(2 * F.col("n") / BLOCK)))).first()[0]
+    turns = int(-(-leaves // BROADCAST_LEAVES))
+    few = sizes.filter(F.col("n") <= BLOCK).select("image_id")
+    parts = [] if few.isEmpty() else [_ranked(_meet(left.join(small(few), "image_id", "left_semi").select("*", one), right.join(small(few), "image_id", "left_semi").select("*", one), features, k), k)]
+    for turn in range(turns):
+        mine = large.filter(F.pmod(F.xxhash64("image_id"), F.lit(turns)) == turn)
+        if turns == 1 or not mine.isEmpty():
+            ids = small(mine.select("image_id"))
+            parts.append(_nearest_large(left.join(ids, "image_id", "left_semi"), right.join(ids, "image_id", "left_semi"), mine, features, k))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest_large(left: DataFrame, right: DataFrame, sizes: DataFrame, features: list[str], k: int) -> DataFrame:
+    # of equal points only the k of smallest ids can be among the nearest, so a flat area fills no leaf
+    same = Window.partitionBy("image_id", *[f"c_{f}" for f in features]).orderBy("j")
+    right = right.withColumn("again", F.row_number().over(same)).filter(F.col("again") <= k).drop("again")
+    context, named = left.sparkSession.sparkContext, right.withColumnsRenamed({f"c_{f}": f for f in features})
+    trees = _trees(named.withColumnRenamed("j", "i"), features, sizes)
+    kind = ", ".join(f"{f} double" for f in features)
+    plain = [F.col(f).cast("double").alias(f) for f in features]
+    held = context.broadcast(trees)
+    dealt = _by_tree(named.select("image_id", "j", *plain), features, held, f"image_id long, j long, {kind}, block long", lambda tree, rows, points: rows.assign(block=tree.leaf(points)))
+    dealt = cut(dealt)
+    for image, walls in boxes(dealt, features, ["image_id", "block"]).toPandas().groupby("image_id"):
+        trees[int(image)].fit(walls["block"].to_numpy(), walls[[f"lo_{f}" for f in features]].to_numpy(), walls[[f"hi_{f}" for f in features]].to_numpy())
+    held = context.broadcast(trees)
+    points = left.select("image_id", "q", *plain)
+    home = cut(_by_tree(points, features, held, f"image_id long, q long, {kind}, block long", lambda tree, rows, at: rows.assign(block=tree.nearest(at))))
+    right = dealt.select("image_id", "j", *[F.col(f).alias(f"c_{f}") for f in features], "block")
+    first = cut(_ranked(_meet(home, right, features, k), k))
+    reach = first.groupBy("image_id", "q").agg(F.max("dist2").alias("reach"), F.count("*").alias("found"))
+    far = home.withColumnRenamed("block", "home").join(reach, ["image_id", "q"]).withColumn("reach", F.when(F.col("found") < k, float("inf")).otherwise(F.col("reach") * (1 + 1e-9))).drop("found")
+
+    def again(tree: Tree, rows: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
+        point, leaf = tree.reached(at, rows["reach"].to_numpy())
+        out = rows.iloc[point].assign(block=leaf)
+        return out[out["block"] != out["home"]].drop(columns=["home", "reach"])
+
+    near = _by_tree(far.select("image_id", "q", *features, "home", "reach"), features, held, f"image_id long, q long, {kind}, block long", again)
+    second = _meet(near, right, features, k)
     return _ranked(first.select("image_id", "q", "j", "dist2").unionByName(second), k)
 
 
+#: Vectors of a block.
+VECTORS = 4096
+
+
 def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
     """Exact neighbours among all rows of (i, v array<double>), blocked like ``nearest``; one image."""
-    blocks = max(1, -(-vectors.count() // BLOCK))
+    blocks = max(1, -(-vectors.count() // VECTORS))
     rows = vectors.select("i", "v").withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
     left = rows.select(F.col("i").alias("q"), "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 

@@ -114,6 +114,32 @@ def test_nearest_with_blocks_is_exact(spark, monkeypatch):
         assert [got[q][k] for k in range(1, 8)] == ids[np.lexsort((ids, d))[:7]].tolist()
 
 
+def test_tree_finds_all_leaves_in_reach():
+    rng = np.random.default_rng(8)
+    points = np.round(rng.random((3000, 4)), 2)
+    tree = neighbors.Tree(points[::7], 5)
+    leaf = tree.leaf(points)
+    kinds = np.unique(leaf)
+    tree.fit(kinds, np.array([points[leaf == k].min(0) for k in kinds]), np.array([points[leaf == k].max(0) for k in kinds]))
+    q, reach = rng.random((50, 4)), rng.random(50) * 0.1
+    found = set(zip(*(x.tolist() for x in tree.reached(q, reach))))
+    need = {(i, int(leaf[j])) for i in range(50) for j in np.flatnonzero(((points - q[i]) ** 2).sum(1) <= reach[i])}
+    assert need <= found and len(found) < 50 * 32 and set(tree.nearest(q).tolist()) <= set(kinds.tolist())
+
+
+def test_nearest_among_equal_points(spark, monkeypatch):
+    """A flat area: most points are the same, and ties go to the smallest ids."""
+    monkeypatch.setattr(neighbors, "BLOCK", 30)
+    rows = [(0, i, 0.5 if i % 10 else i / 400.0, 0.25) for i in range(400)] + [(1, i, 0.1, 0.1) for i in range(20)]
+    df = spark.createDataFrame(rows, "image_id long, i long, a double, b double")
+    got = {}
+    for r in neighbors.nearest(df, df, ["a", "b"], 3).collect():
+        got.setdefault((r.image_id, r.q), {})[r["rank"]] = r.j
+    for image, q, a, _ in rows:
+        own = sorted((((x - a) ** 2, j) for k, j, x, _ in rows if k == image))[:3]
+        assert [got[image, q][n] for n in (1, 2, 3)] == [j for _, j in own]
+
+
 def test_solving_by_tables_equals_solving_in_tasks(spark, monkeypatch):
     px = part_pixels(spark, SF)
     want = {r.i: r.alpha for r in matte.alpha(px, "cf", "jacobi").collect()}
