@@ -12,25 +12,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenweave.sources.jpeg import encode_jpeg
+
 PART_WIDTH = 40
 
 
+def _cubic(x: np.ndarray) -> np.ndarray:
+    """Cubic convolution with slope -1/2."""
+    x = np.abs(x)
+    return np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0))
+
+
+#: Kernels by name, and how far they reach.
+KERNELS = {
+    "BOX": (lambda x: ((x > -0.5) & (x <= 0.5)).astype(float), 0.5),
+    "BILINEAR": (lambda x: np.maximum(0, 1 - np.abs(x)), 1.0),
+    "BICUBIC": (_cubic, 2.0),
+    "LANCZOS": (lambda x: np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0), 3.0),
+}
+INTERPOLATIONS = ["NEAREST", *KERNELS]
+
+
 def _axis(old: int, new: int, interpolation: str) -> np.ndarray:
-    """(new, old) weights of one axis. Bilinear is a triangle filter, as wide as the reduction when it reduces."""
+    """(new, old) weights of one axis. A kernel is as wide as the reduction when it reduces."""
     scale, out = old / new, np.zeros((new, old))
     centre = (np.arange(new) + 0.5) * scale
     if interpolation == "NEAREST":
         out[np.arange(new), np.minimum(centre.astype(int), old - 1)] = 1
         return out
+    kernel, reach = KERNELS[interpolation]
     width = max(scale, 1.0)
-    out = np.maximum(0, 1 - np.abs(np.arange(old)[None, :] + 0.5 - centre[:, None]) / width)
+    away = (np.arange(old)[None, :] + 0.5 - centre[:, None]) / width
+    out = np.where(np.abs(away) <= reach, kernel(away), 0)
     return out / out.sum(1, keepdims=True)
 
 
 def resized(image: np.ndarray, w: int, h: int, interpolation: str = "BILINEAR") -> np.ndarray:
     """8-bit (h, w, c) image at another size, rounded after each axis."""
-    if interpolation not in ("NEAREST", "BILINEAR"):
-        raise ValueError("interpolation must be NEAREST or BILINEAR")
+    if interpolation not in INTERPOLATIONS:
+        raise ValueError(f"interpolation must be one of {INTERPOLATIONS}")
     for axis, new in ((1, w), (0, h)):
         weights = _axis(image.shape[axis], new, interpolation)
         image = np.moveaxis(np.tensordot(weights, image.astype(float), (1, axis)), 0, axis)
@@ -44,8 +64,8 @@ def load_images(spark: SparkSession, path: str, mode: str | None = None, interpo
     With ``width`` or ``height`` each image is resized; with one of them, its shape is kept.
     """
     interpolation = interpolation.upper()
-    if interpolation not in ("NEAREST", "BILINEAR"):
-        raise ValueError("interpolation must be NEAREST or BILINEAR")
+    if interpolation not in INTERPOLATIONS:
+        raise ValueError(f"interpolation must be one of {INTERPOLATIONS}")
     img = spark.read.format("image").load(path).select(F.xxhash64("image.origin").alias("image_id"), "image.origin", F.col("image.width").alias("w"), F.col("image.height").alias("h"), F.col("image.nChannels").alias("c"), "image.data")
 
     def pixels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +105,7 @@ def encode_netpbm(channels: np.ndarray) -> bytes:
 
 
 #: Encoders by file extension.
-ENCODERS = {"png": encode_png, "ppm": encode_netpbm, "pgm": encode_netpbm}
+ENCODERS = {"png": encode_png, "jpg": encode_jpeg, "jpeg": encode_jpeg, "ppm": encode_netpbm, "pgm": encode_netpbm}
 
 
 def encoded(pixels: DataFrame, columns: list[str], extension: str = "png") -> DataFrame:

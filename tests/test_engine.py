@@ -9,6 +9,7 @@ from lumenweave.operators import affinity, color, krylov, linalg, matte, multigr
 from lumenweave.operators.kernels import ColumnFactor, FactorError, Multigrid, conjugate_gradients, csr, factor_with_retries, gauss_seidel, least_squares, restriction
 from lumenweave.plans.lineage import keep
 from lumenweave.plans.queries import ORACLES, QUERIES
+from lumenweave.sources.jpeg import code_lengths, encode_jpeg
 from lumenweave.sources.pixels import encode_png, load_images, part_pixels, resized, save_images
 
 SF = "/root/testdata/sf0.001"
@@ -96,7 +97,7 @@ def test_resize_on_load_and_save(spark, tmp_path):
     again = load_images(spark, str(file)).orderBy("i").collect()
     assert [round(r.g * 255) for r in again] == image[:, :, 1].ravel().tolist()
     with pytest.raises(ValueError):
-        save_images(whole, ["r"], str(tmp_path), "jpg")
+        save_images(whole, ["r"], str(tmp_path), "gif")
 
 
 def test_nearest_with_blocks_is_exact(spark, monkeypatch):
@@ -324,3 +325,38 @@ def test_factor_of_the_pattern_only_and_retries():
         assert abs(factor_with_retries(flat, 0.0).diag[1] ** 2 - 2e-4) < 1e-6
     with pytest.raises(FactorError), pytest.warns(UserWarning):
         factor_with_retries(csr(np.array([0]), np.array([0]), np.array([-1.0]), 1))
+
+
+@pytest.mark.parametrize("shape", [(16, 24, 3), (13, 21, 3), (9, 5, 1), (1, 1, 3), (64, 64, 1)])
+def test_jpeg_is_decoded_within_an_error(spark, tmp_path, shape):
+    """Smooth images come back within a few levels, flat ones within one, noise within its quantisation."""
+    h, w, c = shape
+    y, x = np.mgrid[:h, :w]
+    smooth = np.stack([128 + 100 * np.sin(x / 9 + k) * np.cos(y / 11) for k in range(c)], -1)
+    noise = np.random.default_rng(9).integers(0, 256, shape)
+    for k, (image, most) in enumerate(((smooth, 6), (np.full(shape, 77.0), 1), (noise, 40))):
+        image = np.rint(image).astype(np.uint8)
+        (tmp_path / f"{k}.jpg").write_bytes(encode_jpeg(image))
+        rows = load_images(spark, str(tmp_path / f"{k}.jpg")).orderBy("i").toPandas()
+        got = np.rint(rows[["r", "g", "b"][:c]].to_numpy() * 255).reshape(h, w, c)
+        assert (rows.w[0], rows.h[0]) == (w, h) and np.abs(got - image).max() <= most
+
+
+def test_jpeg_sink_and_code_lengths(spark, tmp_path):
+    px = part_pixels(spark, SF, 3)
+    assert save_images(px, ["r", "g", "b"], str(tmp_path), "jpg") == 2
+    assert load_images(spark, str(tmp_path)).groupBy("w", "h").count().count() == 2
+    fibonacci = [1, 1]
+    while len(fibonacci) < 40:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    bits = code_lengths(dict(enumerate(fibonacci)))
+    assert max(n for _, n in bits) <= 16 and sum(2.0**-n for _, n in bits) < 1
+
+
+@pytest.mark.parametrize("kind", ["BOX", "BICUBIC", "LANCZOS"])
+def test_wide_kernels(kind):
+    """A constant stays, a doubling keeps a straight line inside, and rows of weights sum to one."""
+    assert (resized(np.full((6, 9, 2), 93, np.uint8), 4, 5, kind) == 93).all()
+    line = np.repeat(np.arange(0, 200, 10, dtype=np.uint8)[None, :, None], 4, 0)
+    up = resized(line, 40, 4, kind)[0, 8:32, 0].astype(float)
+    assert np.abs(up - (np.arange(8, 32) / 2 - 0.25) * 10).max() <= (2.6 if kind == "BOX" else 2)
