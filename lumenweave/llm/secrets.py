@@ -38,6 +38,8 @@ ASSIGNING = _KEY + r"\s?[=:]{1,2}[\"']?$"
 STARTING = r"^[\"']?(" + _VALUE + ")"
 #: The name and sign in front of a value, inside a run.
 NAMED = r"^([A-Za-z][A-Za-z0-9_-]*=+)[A-Za-z0-9+/_-]{6,}=*$"
+#: All up to the last run with a digit.
+OTHER_CANDIDATE = r"^.*(?=[A-Za-z0-9+/=_-]*[0-9])" + CANDIDATE
 PLAIN_PATH = r"test|example|sample|mock|fixture|docs?/|changelog|lock"
 FEATURES = ["f_len", "f_transitions", "f_digits", "f_upper", "f_hex", "f_distinct", "f_dictionary", "f_path", "f_key_word", "f_other_word", "f_assigned"]
 LABELLED_ROWS = 6000
@@ -98,7 +100,9 @@ def with_features(found: DataFrame) -> DataFrame:
     c = "candidate"
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
     runs = F.regexp_replace(F.regexp_replace(classes, "[^9aA]", "-"), r"(.)\1*", "$1")
-    around = F.lower(F.concat_ws(" ", "before", "left", "right", "after"))
+    # words up to another candidate in front belong to that one: token = "<key>" 4111..
+    before = F.regexp_replace("before", OTHER_CANDIDATE, "")
+    around = F.lower(F.concat_ws(" ", before, "left", "right", "after"))
     flag = lambda cond: cond.cast("double")
     return found.withColumns(
         {
@@ -112,7 +116,7 @@ def with_features(found: DataFrame) -> DataFrame:
             "f_path": flag(F.lower("path").rlike(PLAIN_PATH)),
             "f_key_word": flag(around.rlike(KEY_WORDS)),
             "f_other_word": flag(around.rlike(OTHER_WORDS)),
-            "f_assigned": flag(F.concat_ws(" ", "before", F.concat("left", c)).rlike("[=:][\\s\"']*" + CANDIDATE) | F.concat_ws(" ", "before", "left").rlike("[=:][\\s\"']*$")),
+            "f_assigned": flag(F.concat_ws(" ", before, "left").rlike("[=:][\\s\"']*$") | F.col(c).rlike("^=")),
         }
     )
 

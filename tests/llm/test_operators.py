@@ -645,3 +645,14 @@ def test_shared_shingles_are_dealt(spark):
     texts = spark.createDataFrame(rows, "node long, text string").repartition(4)
     got = {r.node: r.shared for r in neardup._shared_shingles(texts, 16).collect()}
     assert {got[i] for i in range(200)} == {2} and len(got) == 200
+
+
+def test_op3_words_belong_to_the_nearest_candidate(spark):
+    """A card number right behind a secret is none, whatever is assigned in front of it; ties and repeated rows share a score."""
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'x token = "{key}"### 4785380592391139$$$ de', f'x token = "{key}" y', "of the 4785380592391139 and more"]
+    docs = spark.createDataFrame([(i, t, "src/app.py") for i, t in enumerate(texts + texts[:1])], "doc_id long, text string, source string")
+    found = secrets.scan(docs, secrets.fit(secrets.labelled_findings(spark))).collect()
+    got = {(r.id, r.candidate): (r.is_secret, r.score) for r in found}
+    assert len(found) == 6 and not got[0, "4785380592391139"][0] and not got[2, "4785380592391139"][0]
+    assert got[0, key][0] and got[1, key][0] and all(got[0, c] == got[3, c] for c in (key, "4785380592391139"))
