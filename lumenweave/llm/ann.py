@@ -16,8 +16,9 @@ against all rows.
 
 Probes and bucket size follow the table at hand: ``SAMPLE`` queries are answered exactly, and
 their true neighbours' keys tell how many probes find them. If the given setting finds fewer
-than ``RECALL`` of them, the cheapest pair of bucket size and probes that reaches it is used;
-if none does, all queries are answered exactly.
+than ``RECALL`` of them, the cheapest bucket size, probes and tables that reach it are used. What
+reaches it always, and is the cheapest where vectors are few or have no structure, is one table of two
+buckets that are both probed.
 
 Nearness is the inner product, while hashing sees directions: where lengths differ, rows
 are scaled by the greatest length M and get one more coordinate, sqrt(1 - |x|^2 / M^2)
@@ -172,7 +173,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col:
     space = dim + (longest is not None)
     setting = _setting(items, questions, k, dim, longest, n, tables, probes, bucket)
     asked = questions.select("qid", "v")
-    found = stow(_exact(items, asked, k, dim) if setting is None else _hashed(items, asked, k, dim, longest, Hasher(space, n / setting[1], tables), setting[0]))
+    found = stow(_hashed(items, asked, k, dim, longest, Hasher(space, n / setting[1], setting[2]), setting[0]))
     enough = found.groupBy("qid").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") >= k + 1).select("qid")
     rest = cut(questions.select("qid", "v").join(enough, "qid", "left_anti"))
     found = found.join(rest.select("qid"), "qid", "left_anti").unionByName(_exact(items, rest, k, dim))
@@ -181,14 +182,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col:
     return answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _setting(items: DataFrame, questions: DataFrame, k: int, dim: int, longest: float | None, n: int, tables: int, probes: int, bucket: int) -> tuple[int, int] | None:
-    """Probes and bucket size that find RECALL of the sampled queries' neighbours; None if none does."""
+def _setting(items: DataFrame, questions: DataFrame, k: int, dim: int, longest: float | None, n: int, tables: int, probes: int, bucket: int) -> tuple[int, int, int]:
+    """Probes, bucket size and tables that find RECALL of the sampled queries' neighbours: the given ones if they do, else the cheapest found.
+
+    Where vectors have no structure at all, up to four times the tables are tried; the last resort is one
+    table of two buckets, both probed.
+    """
     sample = cut(questions.orderBy("h1", "h2").limit(SAMPLE).select("qid", "v"))
     truth = _exact(items, sample, k, dim).select("qid", F.get("ids", F.lit(0)).alias("id"))
     # at most SAMPLE * (k + 1) rows; a query's own vector is no neighbour to be found
     rows = items.join(F.broadcast(truth), "id").select("qid", F.col("v").alias("near")).join(F.broadcast(sample), "qid").filter("near != v").select("v", "near").toArrow()
     if not rows.num_rows:
-        return probes, bucket
+        return probes, bucket, tables
     asked, at = np.unique(_matrix(rows["v"], dim), axis=0, return_inverse=True)
     asked, near, at = _unit(asked, longest, False), _unit(_matrix(rows["near"], dim), longest), at.ravel()
     space = near.shape[1]
@@ -204,16 +209,19 @@ def _setting(items: DataFrame, questions: DataFrame, k: int, dim: int, longest:
         return out
 
     if (needed(Hasher(space, n / bucket, tables), probes) <= probes).mean() >= RECALL:
-        return probes, bucket
-    best, least = None, float("inf")
-    for size in (bucket // 8, bucket // 2, bucket, bucket * 4, bucket * 16):
-        if best and size * 2 > n:
+        return probes, bucket, tables
+    best, least = (2, max(1, n // 2), 1), float(n + 2 * PROBE_COST)
+    for many in (tables, 2 * tables, 4 * tables):
+        for size in (bucket // 8, bucket // 2, bucket, bucket * 4, bucket * 16):
+            if size * 2 > n:
+                break
+            found = np.sort(needed(Hasher(space, n / size, many), MOST_PROBES))
+            p = int(found[int(np.ceil(RECALL * len(found))) - 1])
+            cost = float(many * p * (size + PROBE_COST))
+            if p <= MOST_PROBES and cost < least:
+                best, least = (p, size, many), cost
+        if best[2] == many:
             break
-        found = np.sort(needed(Hasher(space, n / size, tables), MOST_PROBES))
-        p = int(found[int(np.ceil(RECALL * len(found))) - 1])
-        cost = float(tables * p * (size + PROBE_COST))
-        if p <= MOST_PROBES and cost < least:
-            best, least = (p, size), cost
     return best
 
 

@@ -656,3 +656,24 @@ def test_op3_words_belong_to_the_nearest_candidate(spark):
     got = {(r.id, r.candidate): (r.is_secret, r.score) for r in found}
     assert len(found) == 6 and not got[0, "4785380592391139"][0] and not got[2, "4785380592391139"][0]
     assert got[0, key][0] and got[1, key][0] and all(got[0, c] == got[3, c] for c in (key, "4785380592391139"))
+
+
+@pytest.mark.parametrize("n, dim, kind", [(6000, 64, "gaussian"), (3000, 16, "clusters"), (40, 5, "gaussian")])
+def test_op7_recall_by_hashing_alone(spark, monkeypatch, n, dim, kind):
+    """Vectors without structure too are found by probed buckets, with at least 0.9 of the true neighbours; no query falls back on an exact search."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(n, dim)) + (4 * rng.normal(size=(30, dim))[rng.integers(30, size=n)] if kind == "clusters" else 0)
+    df = spark.createDataFrame([(i, x.tolist(), "s") for i, x in enumerate(v)], "vec_id long, embedding array<double>, score string")
+    exact, calls = ann._exact, []
+    monkeypatch.setattr(ann, "_exact", lambda items, questions, *a: calls.append(questions.count()) or exact(items, questions, *a))
+    asked = df.filter("vec_id % 50 = 0")
+    got = {}
+    for r in ann.nearest(df, asked, 10).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert calls[-1] == 0
+    hits = 0
+    for q, found in got.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:10].tolist()) & set(found))
+    assert len(got) == -(-n // 50) and hits >= 0.9 * 10 * len(got)
