@@ -32,6 +32,7 @@ pass through.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -258,7 +259,7 @@ def _cross_fit(h: np.ndarray, counts: np.ndarray, y: np.ndarray) -> Model:
         x[fold == k] = features(model, h[own], counts[fold == k])
         return model
 
-    with ThreadPoolExecutor(FOLDS) as pool:  # sorting and searching, which NumPy does outside the interpreter's lock
+    with ThreadPoolExecutor(2) as pool:  # sorting and searching, which NumPy does outside the interpreter's lock
         models = [m for m in pool.map(without, range(FOLDS)) if m is not None]
     model = _mean(models, h, counts)
     model.weights = _logistic(x, y, _ridge(x, y, fold) if min((y == c).sum() for c in (0, 1)) >= FOLDS else max(RIDGES))
@@ -269,13 +270,21 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BY
     """Model from a DataFrame of text and 0/1 label. None when a class has no row."""
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("y")).filter(F.col("text").isNotNull() & F.col("y").isin(0, 1) & (F.octet_length("text") <= max_bytes))
     rows = rows.withColumn("o", F.xxhash64("text")).dropDuplicates(["o", "y"])
-    table = pa.concat_tables([rows.filter(F.col("y") == c).orderBy("o").limit(per_class).toArrow() for c in (0, 1)])
-    y = np.asarray(table["y"].to_numpy())
-    if len(set(y.tolist())) < 2:
-        return None
-    blocks = [(h, counts) for _, h, counts in _tokens(table["text"])]
-    h, counts = np.concatenate([h for h, _ in blocks]), np.concatenate([n for _, n in blocks])
-    return _cross_fit(h, counts, y)
+    picked = [rows.filter(F.col("y") == c).orderBy("o").limit(per_class) for c in (0, 1)]
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = list(batches)
+        table = pa.Table.from_batches(some).sort_by([("y", "ascending"), ("o", "ascending")]) if some else None
+        y = table["y"].to_numpy() if some else np.zeros(0)
+        if len(set(y.tolist())) == 2:
+            blocks = [(h, counts) for _, h, counts in _tokens(table["text"])]
+            model = _cross_fit(np.concatenate([h for h, _ in blocks]), np.concatenate([n for _, n in blocks]), np.asarray(y))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        X.give_back()
+
+    # the bounded sample is one task's work, which leaves the driver's memory alone
+    found = picked[0].unionAll(picked[1]).repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def probability(model: Model | None, texts: pa.Array) -> np.ndarray:
