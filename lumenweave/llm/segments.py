@@ -185,7 +185,9 @@ class ByteBpe:
         joint = []
         for i in missing:
             s = segments[i]
-            if self.splits and len(s) <= 256 and _joins(s.decode(errors="replace")):
+            # printable ASCII at both ends needs no closer look
+            plain = 0x20 < s[-1] < 0x7F and (0x20 < s[0] < 0x7F or (s[0] == 0x20 and len(s) > 1 and 0x20 < s[1] < 0x7F))
+            if self.splits and len(s) <= 256 and (plain or _joins(s.decode(errors="replace"))):
                 joint.append(i)
             else:
                 out[i] = self._alone(s)

@@ -21,7 +21,7 @@ _SLAB = 256
 
 def _choose(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and selector of every word of the rows of ``v``, each a block: the fewest bits a value, first selector on ties."""
-    rows = len(v)
+    rows, top = len(v), int(v.max())
     best, least = np.full((rows, BLOCK), len(COUNTS) - 1, np.int8), np.full((rows, BLOCK), 64, np.float32)
     for s, (count, limit) in enumerate(zip(COUNTS[:-1].tolist(), _LIMITS[:-1].tolist())):
         fits = v < np.uint32(limit)
@@ -40,6 +40,8 @@ def _choose(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         better = price < few
         least[mine] = np.where(better, price, few)
         best[mine] = np.where(better, np.int8(s), best[mine])
+        if top < limit:
+            break  # all fit, and later selectors hold fewer
     at, live = np.zeros(rows, np.int64), np.arange(rows)
     starts, chosen = [], []
     while len(live):
