@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenweave.llm import textops as X
-from lumenweave.llm.common import crc_fold, read
+from lumenweave.llm.common import crc_fold, read, release
 
 PER_CLASS = 1500
 MAX_BYTES = 1 << 15
@@ -65,15 +65,26 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self._index()
+
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.keys, self.values  # the index is made again where it is needed
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray]) -> None:
+        self.keys, self.values = state
+        self._index()
+
+    def _index(self) -> None:
+        keys = self.keys
         self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
         heads = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
-        self.starts = np.append(np.searchsorted(self.keys, heads), len(keys))
+        self.starts = np.append(np.searchsorted(self.keys, heads), len(keys)).astype(np.int32)
 
     def get(self, keys: np.ndarray, default: float | np.ndarray = 0.0) -> np.ndarray:
         out = np.array(np.broadcast_to(np.asarray(default, float), len(keys)))
         head = (keys >> self.shift).astype(np.int64)
-        at, stop, left = self.starts[head], self.starts[head + 1], np.arange(len(keys))
+        at, stop, left = self.starts[head].astype(np.int64), self.starts[head + 1], np.arange(len(keys))
         while len(left):
             left = left[at[left] < stop[left]]
             hit = self.keys[at[left]] == keys[left]
@@ -283,8 +294,13 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BY
         X.give_back()
 
     # the bounded sample is one task's work, which leaves the driver's memory alone
+    release(labelled.sparkSession)
     found = picked[0].unionAll(picked[1]).repartition(1).mapInArrow(train, "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else None
+    raw = found.pop()["model"] if found else None
+    model = pickle.loads(raw) if raw else None
+    del raw, found
+    X.give_back()
+    return model
 
 
 def probability(model: Model | None, texts: pa.Array) -> np.ndarray:
