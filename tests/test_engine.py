@@ -360,3 +360,15 @@ def test_wide_kernels(kind):
     line = np.repeat(np.arange(0, 200, 10, dtype=np.uint8)[None, :, None], 4, 0)
     up = resized(line, 40, 4, kind)[0, 8:32, 0].astype(float)
     assert np.abs(up - (np.arange(8, 32) / 2 - 0.25) * 10).max() <= (2.6 if kind == "BOX" else 2)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_solver_products_are_not_broadcast(spark):
+    """Small files aren't few rows: neither side of a product of a solver goes through the driver."""
+    px = part_pixels(spark, SF)
+    a = px.select("image_id", "i", F.col("i").alias("j"), F.lit(2.0).alias("v"))
+    x = px.select("image_id", "i", "r", "g")
+    assert "BroadcastHashJoin" not in _plan(krylov.product(a, ["r", "g"])(x))
