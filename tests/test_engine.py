@@ -372,3 +372,8 @@ def test_solver_products_are_not_broadcast(spark):
     a = px.select("image_id", "i", F.col("i").alias("j"), F.lit(2.0).alias("v"))
     x = px.select("image_id", "i", "r", "g")
     assert "BroadcastHashJoin" not in _plan(krylov.product(a, ["r", "g"])(x))
+
+
+def test_sparse_products_are_not_broadcast(spark):
+    for name in ("matmat", "matvec", "row_sum", "inner_product"):
+        assert "BroadcastHashJoin" not in _plan(QUERIES[name](spark, SF)), name
