@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenweave.operators import affinity, color, krylov, linalg, matte, multigrid, neighbors, tiles
+from lumenweave.operators import affinity, color, grid, krylov, linalg, matte, multigrid, neighbors, tiles
 from lumenweave.operators.kernels import ColumnFactor, FactorError, Multigrid, conjugate_gradients, csr, factor_with_retries, gauss_seidel, least_squares, restriction
 from lumenweave.plans.lineage import keep
 from lumenweave.plans.queries import ORACLES, QUERIES
+from lumenweave.sources import pixels
 from lumenweave.sources.jpeg import code_lengths, encode_jpeg
 from lumenweave.sources.pixels import encode_png, load_images, part_pixels, resized, save_images
 
@@ -377,3 +378,28 @@ def test_solver_products_are_not_broadcast(spark):
 def test_sparse_products_are_not_broadcast(spark):
     for name in ("matmat", "matvec", "row_sum", "inner_product"):
         assert "BroadcastHashJoin" not in _plan(QUERIES[name](spark, SF)), name
+
+
+def test_stencil_entries_need_no_shuffle_inside(spark):
+    """Only pixels at an edge are grouped, and narrow images, where a tap clamps from both sides, add up as before."""
+    for w, h in ((40, 9), (1, 1), (2, 3), (3, 3)):
+        px = spark.range(w * h).selectExpr("0L AS image_id", "id AS i", f"CAST(id % {w} AS int) AS x", f"CAST(id DIV {w} AS int) AS y", f"{w} AS w", f"{h} AS h")
+        offsets, weights = [(dx, dy) for dx in (-1, 0, 2) for dy in (-1, 0, 1)] + [(0, 0)], [float(k) for k in range(10)]
+        want = {}
+        for x in range(w):
+            for y in range(h):
+                for (dx, dy), v in zip(offsets, weights):
+                    at = (x + y * w, min(w - 1, max(0, x + dx)) + min(h - 1, max(0, y + dy)) * w)
+                    want[at] = want.get(at, 0.0) + v
+        got = grid.stencil_matrix(px, offsets, weights)
+        assert {(r.i, r.j): r.v for r in got.collect()} == want and got.count() == len(want)
+    plan = _plan(got)
+    assert "Union" in plan
+
+
+def test_many_pixels_of_a_small_file_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pixels, "PART_ROWS", 30)
+    px = part_pixels(spark, SF)
+    assert px.select(F.spark_partition_id()).distinct().count() > 1
+    per = [r["count"] for r in px.groupBy(F.spark_partition_id().alias("at")).count().collect()]
+    assert sum(per) == 200 and max(per) < 60
