@@ -403,3 +403,35 @@ def test_many_pixels_of_a_small_file_are_many_tasks(spark, monkeypatch):
     assert px.select(F.spark_partition_id()).distinct().count() > 1
     per = [r["count"] for r in px.groupBy(F.spark_partition_id().alias("at")).count().collect()]
     assert sum(per) == 200 and max(per) < 60
+
+
+def test_nearest_vectors_meet_in_pairs_of_blocks(spark, monkeypatch):
+    """Exact, with equal vectors, far-off and non-finite values; each two blocks meet in one task."""
+    monkeypatch.setattr(neighbors, "LEAST_VECTORS", 600)
+    monkeypatch.setattr(neighbors, "CHUNK", 64)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 6))
+    v[100:140], v[200], v[300:600] = v[7], 1e9, v[300:600] + 1e5
+    for spoilt in (False, True):
+        if spoilt:
+            v[11, 2] = np.inf
+        d = neighbors._exact(v, v, np.arange(len(v))[:, None], np.arange(len(v))[None, :])
+        want = {(i, int(j)): float(d[i, j]) for i in range(len(v)) for j in np.argsort(d[i], kind="stable")[:5] if np.isfinite(d[i, j])}
+        rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "i long, v array<double>")
+        got = {(r.q, r.j): r.dist2 for r in neighbors.nearest_vectors(rows, 5).collect() if np.isfinite(r.dist2)}
+        assert got == want
+
+
+def test_few_pairs_of_vectors_are_computed_one_by_one(monkeypatch):
+    """Of 4,000 candidates a query's exact distances to under 40 are computed; of equal ones k are kept."""
+    rng, seen, exact = np.random.default_rng(4), [], neighbors._exact
+
+    def counted(q, c, row, column):
+        seen.append(max(row.size, column.size))
+        return exact(q, c, row, column)
+
+    monkeypatch.setattr(neighbors, "_exact", counted)
+    neighbors._top(rng.normal(size=(2000, 6)), rng.normal(size=(4000, 6)), 10)
+    assert sum(seen) < 2000 * 40
+    row, column, d = neighbors._top(np.ones((300, 6)), np.ones((4000, 6)), 10)
+    assert len(row) == 3000 and set(column) == set(range(10)) and not d.any()
