@@ -435,3 +435,20 @@ def test_few_pairs_of_vectors_are_computed_one_by_one(monkeypatch):
     assert sum(seen) < 2000 * 40
     row, column, d = neighbors._top(np.ones((300, 6)), np.ones((4000, 6)), 10)
     assert len(row) == 3000 and set(column) == set(range(10)) and not d.any()
+
+
+def test_window_moments_need_no_join(spark):
+    """A pixel goes to the centres around it; narrow images and missing pixels as by windows, which a join looks up."""
+    for w, h in ((7, 5), (1, 1), (1, 4), (2, 3), (5, 1)):
+        px = spark.range(w * h).filter("id != 9").selectExpr("0L AS image_id", "id AS i", f"CAST(id % {w} AS int) AS x", f"CAST(id DIV {w} AS int) AS y", f"{w} AS w", f"{h} AS h", "id * 37 % 101 AS r8", "id * id % 97 AS g8", "id * 11 % 53 AS b8")
+        value = {r.i: (r.r8, r.g8, r.b8) for r in px.collect()}
+        got = grid.window_moments(px)
+        assert {r.i for r in got.select("i").collect()} == set(value)
+        for r in got.collect():
+            x, y = r.i % w, r.i // w
+            taps = [min(w - 1, max(0, x + dx)) + min(h - 1, max(0, y + dy)) * w for dx, dy in grid.NINE]
+            near = np.array([value[t] for t in taps if t in value])
+            s = near.sum(0)
+            assert [r.s_r, r.s_g, r.s_b] == s.tolist()
+            assert [r.c_rr, r.c_rg, r.c_rb, r.c_gg, r.c_gb, r.c_bb] == (9 * near.T @ near - np.outer(s, s))[np.triu_indices(3)].tolist()
+    assert "Join" not in _plan(got)
