@@ -452,3 +452,25 @@ def test_window_moments_need_no_join(spark):
             assert [r.s_r, r.s_g, r.s_b] == s.tolist()
             assert [r.c_rr, r.c_rg, r.c_rb, r.c_gg, r.c_gb, r.c_bb] == (9 * near.T @ near - np.outer(s, s))[np.triu_indices(3)].tolist()
     assert "Join" not in _plan(got)
+
+
+def test_least_of_rows():
+    """Ties go to the first column, none lies beyond a row's reach, and missing values come last."""
+    d = np.array([[3.0, 1, 1, 1, 2], [np.nan, 5, np.nan, np.nan, np.nan], [0, 9, 9, 9, 0]])
+    row, column, rank = neighbors._least(d, 2)
+    assert list(zip(row.tolist(), column.tolist(), rank.tolist())) == [(0, 1, 1), (0, 2, 2), (1, 1, 1), (1, 0, 2), (2, 0, 1), (2, 4, 2)]
+    row, column, _ = neighbors._least(d, 4, np.array([1.5, 9, 0]))
+    assert [(r, c) for r, c in zip(row.tolist(), column.tolist()) if r != 1] == [(0, 1), (0, 2), (0, 3), (2, 0), (2, 4)]
+
+
+def test_neighbours_of_small_images_are_ranked_where_they_meet(spark):
+    px = part_pixels(spark, SF, 2)
+    assert "Window" not in _plan(neighbors.nearest(px, px, ["r", "g"], 3))
+
+
+def test_neighbours_values_are_not_broadcast(spark):
+    """Millions of pixels in a small file: what is looked up of neighbours goes by shuffles, in tasks dealt by rows."""
+    px = keep(part_pixels(spark, SF))
+    found = px.select("image_id", F.col("i").alias("q"), F.lit(1).alias("rank"), F.col("i").alias("j"))
+    assert "BroadcastHashJoin" not in _plan(neighbors.lle_weights(found, px, ["r", "g", "b"]))
+    assert "REPARTITION_BY_NUM" in _plan(affinity.patch_distances(px))
