@@ -474,3 +474,36 @@ def test_neighbours_values_are_not_broadcast(spark):
     found = px.select("image_id", F.col("i").alias("q"), F.lit(1).alias("rank"), F.col("i").alias("j"))
     assert "BroadcastHashJoin" not in _plan(neighbors.lle_weights(found, px, ["r", "g", "b"]))
     assert "REPARTITION_BY_NUM" in _plan(affinity.patch_distances(px))
+
+
+def test_small_images_are_trimmed_some_at_a_time(spark, monkeypatch):
+    """Images of one task don't see each other, and are fewer groups than images."""
+    px = part_pixels(spark, SF, 2)
+    seen, expand = [], affinity.kernels.expand_labels
+
+    def counted(image, t, r, threshold, tall=None):
+        seen.append(len(t))
+        return expand(image, t, r, threshold, tall)
+
+    frame = px.toPandas().sort_values(["image_id", "i"])
+    alone = [expand(f[["r", "g", "b"]].to_numpy().reshape(-1, 40, 3), f["t"].to_numpy().reshape(-1, 40), 3, 0.4).ravel() for _, f in frame.groupby("image_id")]
+    tall = frame[frame["h"] == 2]
+    both = counted(tall[["r", "g", "b"]].to_numpy().reshape(-1, 40, 3), tall["t"].to_numpy().reshape(-1, 40), 3, 0.4, 2).ravel()
+    assert np.array_equal(both, np.concatenate([t for t in alone if len(t) == 80])) and seen == [4]
+    got = affinity.trim_edges(px, 4, 0.4, 0.3, in_tasks=True)
+    assert "groupBy" not in _plan(got) and "batch" in _plan(got) and got.count() == 200
+
+
+def test_a_neighbour_graph_is_found_once(spark):
+    """Both directions and the row sums read the edges from one table."""
+    px = part_pixels(spark, SF)
+    assert "PandasCoGroup" not in (plan := _plan(affinity.knn_laplacian(px))) and "FlatMapCoGroups" not in plan
+
+
+def test_information_flow_is_added_up_once_by_shuffles(spark):
+    px = part_pixels(spark, SF, 2)
+    a, _ = affinity.information_flow_system(px)
+    plan = _plan(a)
+    assert "BroadcastHashJoin" not in plan and plan.count("keys=[image_id") <= 10
+    m = keep(px.select("image_id", "i", (F.col("i") % 3).alias("j"), F.col("r").alias("v")))
+    assert linalg.products(linalg.transpose(m), m).count() == m.count()
