@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenweave.operators import affinity, color, grid, krylov, linalg, matte, multigrid, neighbors, tiles
+from lumenweave.operators import affinity, color, flow, grid, krylov, linalg, matte, multigrid, neighbors, tiles
 from lumenweave.operators.kernels import ColumnFactor, FactorError, Multigrid, conjugate_gradients, csr, factor_with_retries, gauss_seidel, least_squares, restriction
 from lumenweave.plans.lineage import keep
 from lumenweave.plans.queries import ORACLES, QUERIES
@@ -507,3 +507,38 @@ def test_information_flow_is_added_up_once_by_shuffles(spark):
     assert "BroadcastHashJoin" not in plan and plan.count("keys=[image_id") <= 10
     m = keep(px.select("image_id", "i", (F.col("i") % 3).alias("j"), F.col("r").alias("v")))
     assert linalg.products(linalg.transpose(m), m).count() == m.count()
+
+
+def _trimaps(spark):
+    """Images of several sizes: plain, without background, all known, all unknown, flat, narrow."""
+    rng, rows = np.random.default_rng(1), []
+    for image, w, h in ((1, 9, 7), (2, 6, 5), (3, 5, 4), (4, 7, 4), (5, 6, 6), (6, 1, 5), (7, 1, 1)):
+        v = rng.integers(0, 256, (w * h, 3)) if image != 5 else np.full((w * h, 3), 90)
+        t = rng.choice({2: [1.0, 0.5], 3: [1.0, 0.0], 4: [0.5, 0.4]}.get(image, [0.0, 0.5, 0.9, 1.0]), w * h)
+        rows += [(image, i, i % w, i // w, w, h, *map(int, v[i]), *(float(x / 255.0) for x in v[i]), float(t[i])) for i in range(w * h)]
+    return spark.createDataFrame(rows, "image_id long, i long, x int, y int, w int, h int, r8 long, g8 long, b8 long, r double, g double, b double, t double")
+
+
+def test_information_flow_of_small_images_equals_tables(spark):
+    px = keep(_trimaps(spark))
+    a, b = (x.toPandas() for x in affinity.information_flow_system(px))
+    for image, frame in px.toPandas().sort_values(["image_id", "i"]).groupby("image_id"):
+        got, right = flow.system(frame, flow.trim_edges(frame))
+        own = a[a["image_id"] == image].sort_values(["i", "j"])
+        assert np.array_equal(own["i"], got.i) and np.array_equal(own["j"], got.j)
+        assert np.abs(own["v"] - got.v).max() < 1e-9
+        assert np.abs(b[b["image_id"] == image].sort_values("i")["v"].to_numpy() - right).max() < 1e-9
+
+
+def test_small_information_flow_makes_no_tables_of_entries(spark, monkeypatch):
+    """Small images are built where they are solved; with larger ones beside them both forms give their part."""
+    px = part_pixels(spark, SF, 2)
+    alphas = lambda how: {(r.image_id, r.i): r.alpha for r in matte.alpha(px, "ifm", how, relative_tolerance=1e-6).collect()}
+    monkeypatch.setattr(matte, "FLOW_PIXELS", 60)
+    mixed = alphas("jacobi")
+    monkeypatch.setattr(matte, "FLOW_PIXELS", 80)
+    monkeypatch.delattr(affinity, "information_flow_system")
+    for how in matte.METHODS["ifm"]:
+        got = alphas(how)
+        assert len(got) == 200 and got.keys() == mixed.keys()
+        assert how != "jacobi" or max(abs(got[k] - mixed[k]) for k in got) < 1e-4
