@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.operators import affinity, color, flow, grid, krylov, linalg, matte, multigrid, neighbors, tiles
 from lumenweave.operators.kernels import ColumnFactor, FactorError, Multigrid, conjugate_gradients, csr, factor_with_retries, gauss_seidel, least_squares, restriction
+from lumenweave.plans import lineage
 from lumenweave.plans.lineage import keep
 from lumenweave.plans.queries import ORACLES, QUERIES
 from lumenweave.sources import pixels
@@ -542,3 +543,14 @@ def test_small_information_flow_makes_no_tables_of_entries(spark, monkeypatch):
         got = alphas(how)
         assert len(got) == 200 and got.keys() == mixed.keys()
         assert how != "jacobi" or max(abs(got[k] - mixed[k]) for k in got) < 1e-4
+
+
+def test_steps_over_tables_are_dealt_by_rows(spark, monkeypatch):
+    """Entries compress well, so tasks of some bytes would grow with the image; the answer stays."""
+    px = part_pixels(spark, SF).withColumn("alpha", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (32 - F.col("x")) / 24.0)))
+    want = color.estimate_closed_form(px, rtol=1e-13, max_iter=2, in_tasks=False).orderBy("i").toPandas()
+    monkeypatch.setattr(lineage, "TASK_ROWS", 20)
+    a, b = color.closed_form_system(px)
+    assert "REPARTITION_BY_NUM" in _plan(a) and _plan(krylov.product(a, list("rgb"), 400)(b)).count("REPARTITION_BY_NUM") >= 3
+    got = color.estimate_closed_form(px, rtol=1e-13, max_iter=2, in_tasks=False).orderBy("i").toPandas()
+    assert np.abs(got - want).to_numpy().max() < 1e-9
