@@ -554,3 +554,16 @@ def test_steps_over_tables_are_dealt_by_rows(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in _plan(a) and _plan(krylov.product(a, list("rgb"), 400)(b)).count("REPARTITION_BY_NUM") >= 3
     got = color.estimate_closed_form(px, rtol=1e-13, max_iter=2, in_tasks=False).orderBy("i").toPandas()
     assert np.abs(got - want).to_numpy().max() < 1e-9
+
+
+def test_small_images_meet_some_at_a_time(spark):
+    """Groups are batches of images, none of which sees another's points."""
+    px = part_pixels(spark, SF, 2)
+    found = neighbors.nearest(px, px.filter("image_id < 2"), ["r", "g"], 3)
+    assert "batch" in _plan(found)
+    frame, got = px.toPandas(), found.toPandas().sort_values(["image_id", "q", "rank"])
+    assert set(got["image_id"]) == {0, 1}
+    for image, own in frame[frame["image_id"] < 2].sort_values("i").groupby("image_id"):
+        v = own[["r", "g"]].to_numpy()
+        want = np.argsort(((v[:, None] - v[None]) ** 2).sum(2), axis=1, kind="stable")[:, :3]
+        assert np.array_equal(got[got["image_id"] == image]["j"].to_numpy().reshape(-1, 3), want)
