@@ -501,6 +501,44 @@ def test_a_neighbour_graph_is_found_once(spark):
     assert "PandasCoGroup" not in (plan := _plan(affinity.knn_laplacian(px))) and "FlatMapCoGroups" not in plan
 
 
+def test_neighbours_are_looked_for_region_by_region(spark, monkeypatch):
+    """Only queries near a region's walls are shuffled again, and each find of a query is in one row, by both ways."""
+    monkeypatch.setattr(neighbors, "BLOCK", 20)
+    monkeypatch.setattr(neighbors, "REGION_LEVELS", 2)
+    monkeypatch.setattr(neighbors, "REGION_QUERIES", (50, 100))
+    rng, seen, paired = np.random.default_rng(5), [], neighbors._paired
+
+    def counted(left, right, by, *rest):
+        seen.append((by, left.count(), right.select("image_id", by).distinct().count()))
+        return paired(left, right, by, *rest)
+
+    monkeypatch.setattr(neighbors, "_paired", counted)
+    v = np.round(rng.random((1500, 2)), 2)
+    df = spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(v)], "image_id long, i long, a double, b double")
+    got = neighbors.nearest(df, df, ["a", "b"], 4).orderBy("q", "rank").toPandas()
+    d = ((v[:, None] - v[None]) ** 2)[:, :, 0] + ((v[:, None] - v[None]) ** 2)[:, :, 1]
+    want = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert np.array_equal(got["j"].to_numpy().reshape(-1, 4), want) and np.array_equal(got["rank"].to_numpy().reshape(-1, 4), np.tile([1, 2, 3, 4], (1500, 1)))
+    assert np.array_equal(got["dist2"].to_numpy().reshape(-1, 4), np.take_along_axis(d, want, 1))
+    assert [by for by, *_ in seen] == ["region", "region"] and seen[0][1] == 1500 and seen[0][2] > 16 and 0 < seen[1][1] < 1500
+
+
+def test_features_of_a_tall_image(spark):
+    """The squared height of an image of over 46,340 rows is no integer of 32 bits."""
+    px = part_pixels(spark, SF).withColumn("h", F.lit(180_000))
+    (row,) = affinity.knn_features(px.filter("i = 41")).collect()
+    assert row.fy == 2 / (np.sqrt(40.0**2 + 180_000.0**2) / 2)
+
+
+def test_a_neighbour_graph_adds_up_its_diagonal_only(spark):
+    """Pairs are distinct already: entries beside the diagonal are not shuffled."""
+    px = part_pixels(spark, SF)
+    w = affinity.knn_graph(px)
+    assert "Exchange" not in _plan(w) and w.groupBy("image_id", "i", "j").count().filter("count > 1").isEmpty()
+    got = affinity.knn_laplacian(px)
+    assert _plan(got).count("Exchange") == 1 and {(r.i, r.j): r.v for r in got.collect()} == {(r.i, r.j): r.v for r in linalg.laplacian(w, False).collect()}
+
+
 def test_information_flow_is_added_up_once_by_shuffles(spark):
     px = part_pixels(spark, SF, 2)
     a, _ = affinity.information_flow_system(px)
