@@ -539,6 +539,33 @@ def test_a_neighbour_graph_adds_up_its_diagonal_only(spark):
     assert _plan(got).count("Exchange") == 1 and {(r.i, r.j): r.v for r in got.collect()} == {(r.i, r.j): r.v for r in linalg.laplacian(w, False).collect()}
 
 
+def test_a_tall_image_is_trimmed_strip_by_strip(spark, monkeypatch):
+    """Strips with enough rows around give what the whole image gives, beside images that are no taller than a strip."""
+    rng, rows = np.random.default_rng(4), []
+    for image, w, h in ((1, 6, 95), (2, 5, 7), (3, 4, 24), (4, 4, 25)):
+        v, t = np.round(rng.random((w * h, 3)), 1), rng.choice([0.0, 0.5, 0.5, 0.5, 1.0], w * h)
+        rows += [(image, i, i % w, i // w, w, h, *map(float, v[i]), float(t[i])) for i in range(w * h)]
+    px = keep(spark.createDataFrame(rows, "image_id long, i long, x int, y int, w int, h int, r double, g double, b double, t double"))
+    values = lambda: sorted(map(tuple, affinity.trim_edges(px, 3, 0.4, 0.3, in_tasks=True).collect()))
+    whole = values()
+    monkeypatch.setattr(affinity, "STRIP_PIXELS", 60)
+    assert "strip" in _plan(affinity.trim_edges(px, 3, 0.4, 0.3, in_tasks=True)) and values() == whole and len(whole) == len(rows)
+    assert any(0.2 < t < 0.8 for *_, t in whole) and sum(t == 0.5 for *_, t in whole) < sum(r[-1] == 0.5 for r in rows)
+
+
+def test_a_symmetric_product_is_made_once_for_both_sides(spark):
+    rng = np.random.default_rng(6)
+    m, other = (np.where(rng.random((9, 9)) < 0.4, rng.random((9, 9)), 0.0) for _ in range(2))
+    table = lambda a: spark.createDataFrame([(0, int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "image_id long, i long, j long, v double")
+    upper = linalg.gram(table(m))
+    assert upper.filter("i > j").isEmpty()
+    got = linalg.add_to_symmetric(upper, table(other)).collect()
+    dense = np.zeros((9, 9))
+    for r in got:
+        dense[r.i, r.j] += r.v
+    assert np.allclose(dense, m.T @ m + other) and len(got) == np.count_nonzero(m.T @ m + other) == len({(r.i, r.j) for r in got})
+
+
 def test_information_flow_is_added_up_once_by_shuffles(spark):
     px = part_pixels(spark, SF, 2)
     a, _ = affinity.information_flow_system(px)
